@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from isolates.llm.op2_wumanber import op2_decontamination
+from isolates.llm.op3_sharding import op3_resharding
+from isolates.llm.op5_chunks import op5_substring_dedup
+from isolates.llm.op6_packing import op6_packing
 from isolates.llm.op10_simhash import op10_simhash
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
+    "op3_resharding": op3_resharding,
+    "op5_substring_dedup": op5_substring_dedup,
+    "op6_packing": op6_packing,
     "op10_simhash": op10_simhash,
 }
 
