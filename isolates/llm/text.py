@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once in a task; a longer single text is handled alone.
@@ -82,3 +82,48 @@ def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[byte
     mark[ends] -= 1
     out[inside] = data[np.cumsum(mark[:-1], dtype=np.int8).view(bool)]
     return out.tobytes(), new_starts, new_ends
+
+
+#: An odd factor for rolling hashes, and its inverse modulo 2**64.
+FACTOR = np.uint64(0x9E3779B97F4A7C15)
+INVERSE = np.uint64(pow(int(FACTOR), -1, 1 << 64))
+
+
+class RollingHash:
+    """Hashes of any byte ranges of one buffer, by prefix sums of byte times power modulo 2**64."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        with np.errstate(over="ignore"):
+            power = np.full(n, FACTOR, np.uint64)
+            back = np.full(n + 1, INVERSE, np.uint64)
+            if n:
+                power[0] = 1
+            back[0] = 1
+            self.back = np.cumprod(back, dtype=np.uint64)
+            self.sums = np.zeros(n + 1, np.uint64)
+            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * np.cumprod(power, dtype=np.uint64), out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            h = (self.sums[ends] - self.sums[starts]) * self.back[starts]
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            return h ^ (h >> np.uint64(32))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int) -> tuple[list[str], np.ndarray]:
+    """At most ``max_rows`` texts and their labels, chosen by a hash of doc_id among the labelled rows that ``learn`` allows.
+
+    All labelled rows are counted first, and each is taken with the same chance, so the sample is spread over the
+    whole table however large it is. The texts come to the driver, where the model is fitted.
+    """
+    known = labels.filter(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
+    n = known.count()
+    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
+    if n > max_rows:
+        known = known.filter(place < int(0.95 * max_rows / n * (1 << 30)))
+    chosen = known.dropDuplicates(["doc_id"])
+    # at most max_rows ids and labels
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(max_rows).toArrow()
+    return rows.column("text").combine_chunks().to_pylist(), rows.column("y").to_numpy()
