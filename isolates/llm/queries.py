@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from isolates.llm.op1_toxicity import op1_toxicity
 from isolates.llm.op2_wumanber import op2_decontamination
 from isolates.llm.op3_sharding import op3_resharding
+from isolates.llm.op4_langid import op4_language_id
 from isolates.llm.op5_chunks import op5_substring_dedup
 from isolates.llm.op6_packing import op6_packing
+from isolates.llm.op7_quality import op7_quality
 from isolates.llm.op10_simhash import op10_simhash
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_resharding": op3_resharding,
+    "op4_language_id": op4_language_id,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op10_simhash": op10_simhash,
 }
 
