@@ -9,6 +9,9 @@ from isolates.llm.op4_langid import op4_language_id
 from isolates.llm.op5_chunks import op5_substring_dedup
 from isolates.llm.op6_packing import op6_packing
 from isolates.llm.op7_quality import op7_quality
+from isolates.llm.op8_bm25 import ORACLE as BM25_ORACLE
+from isolates.llm.op8_bm25 import op8_bm25_search
+from isolates.llm.op9_maxent import op9_lm_scoring
 from isolates.llm.op10_simhash import op10_simhash
 
 QUERIES = {
@@ -19,7 +22,9 @@ QUERIES = {
     "op5_substring_dedup": op5_substring_dedup,
     "op6_packing": op6_packing,
     "op7_quality": op7_quality,
+    "op8_bm25_search": op8_bm25_search,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_bm25_search": BM25_ORACLE}
