@@ -100,39 +100,44 @@ def forest(fp: np.ndarray, pop: np.ndarray, radius: int, left: np.ndarray | None
     return out
 
 
+def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches sorted by g, and where each group begins; a group's rows are at most two tiles."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if held[0].column("g")[0] == batch.column("g")[-1]:
+            continue
+        table = pa.Table.from_batches(held)
+        g = table.column("g").to_numpy()
+        cut = np.append(0, np.flatnonzero(np.diff(g)) + 1)
+        yield table.slice(0, cut[-1]), cut
+        held = table.slice(cut[-1]).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        g = table.column("g").to_numpy()
+        yield table, np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
+
+
 def _compare(radius: int):
     """Arrow function over rows (g, side, fp, rep) sorted by g: a forest of links (src, dst) of each group."""
 
-    def links(side: np.ndarray, fp: np.ndarray, rep: np.ndarray, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
-        src, dst = [], []
-        pop = np.bitwise_count(fp).astype(np.int64)
-        size = np.diff(cut)
-        for k in np.flatnonzero(size > 1):
-            s = slice(cut[k], cut[k + 1])
-            root = forest(fp[s], pop[s], radius, None if side[cut[k]] == 2 else side[s])
-            moved = np.flatnonzero(root != np.arange(len(root)))
-            if len(moved):
-                src.append(rep[s][moved])
-                dst.append(rep[s][root[moved]])
-        if src:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(tuple(batch.column(c).to_numpy() for c in ("g", "side", "fp", "rep")))
-            if held[0][0][0] == held[-1][0][-1]:
-                continue  # one group so far; its rows are bounded by two tiles
-            g, side, fp, rep = (np.concatenate(c) for c in zip(*held))
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1])
-            yield from links(side, fp.view(np.uint64), rep, cut)
-            held = [tuple(c[cut[-1] :] for c in (g, side, fp, rep))]
-        if held:
-            g, side, fp, rep = (np.concatenate(c) for c in zip(*held))
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
-            yield from links(side, fp.view(np.uint64), rep, cut)
+        for table, cut in groups(batches):
+            side, fp, rep = (table.column(c).to_numpy() for c in ("side", "fp", "rep"))
+            fp = fp.view(np.uint64)
+            pop = np.bitwise_count(fp).astype(np.int64)
+            src, dst = [], []
+            for k in np.flatnonzero(np.diff(cut) > 1):
+                s = slice(cut[k], cut[k + 1])
+                root = forest(fp[s], pop[s], radius, None if side[cut[k]] == 2 else side[s])
+                moved = np.flatnonzero(root != np.arange(len(root)))
+                if len(moved):
+                    src.append(rep[s][moved])
+                    dst.append(rep[s][root[moved]])
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], ["src", "dst"])
 
     return run
 
@@ -143,53 +148,56 @@ def bit_blocks(blocks: int) -> list[int]:
     return [m - (1 << BITS) if (m := ((1 << b) - 1) ^ ((1 << a) - 1)) >> 63 else m for a, b in zip(edges, edges[1:])]
 
 
-def tile_rows(nodes: DataFrame, radius: int, shared: int, tile: int = TILE) -> DataFrame:
-    """Rows (g, side, fp, rep): each fingerprint once for each tile pair that it is part of. side 2: within one tile."""
-    masks = bit_blocks(radius + shared)
-    keys = []
-    for i, chosen in enumerate(combinations(masks, shared)):
-        mask = 0
-        for m in chosen:
-            mask |= m
-        keys.append(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k")))
-    keyed = nodes.select("fp", "rep", F.explode(F.array(*keys)).alias("b")).select("fp", "rep", "b.c", "b.k")
-    keyed = keyed.withColumn("p", F.bit_count("fp"))
-    held = keyed.groupBy("c", "k", "p").agg(F.count("*").alias("n"))
+def tile_pairs(rows: DataFrame, reach: int, tile: int) -> DataFrame:
+    """``rows`` (bucket, p, key, ...) once for each tile pair that they are part of, with the pair ``g`` and their side.
+
+    A bucket of at most ``tile`` rows is one tile (side 2: compared within). A larger one has tiles of one value of
+    ``p`` each, parted by ``key`` where that has too many rows, and a pair of tiles for values ``reach`` apart at most.
+    """
+    held = rows.groupBy("bucket", "p").agg(F.count("*").alias("n"))
     large = (
-        held.groupBy("c", "k")
+        held.groupBy("bucket")
         .agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("p", F.ceil(F.col("n") / tile).cast("int")))).alias("parts"))
         .filter(F.col("n") > tile)
-        .select("c", "k", "parts")
+        .select("bucket", "parts")
     )
     own = F.col("parts")[F.col("p")]
-    keyed = keyed.join(large, ["c", "k"], "left").withColumn("s", F.when(own.isNotNull(), F.pmod(F.xxhash64("fp"), own)).cast("int"))
-
-    def group(p, s, q, t):
-        return F.xxhash64("c", "k", p, s, q, t)
+    keyed = rows.join(large, "bucket", "left").withColumn("s", F.when(own.isNotNull(), F.pmod("key", own)).cast("int"))
 
     def others(q, left):
         mine = F.struct(F.col("p"), F.col("s"))
 
         def pair(t):
-            ahead = F.struct(q.alias("p"), t.alias("s"))
+            other = F.struct(q.alias("p"), t.alias("s"))
             side = F.when((q == F.col("p")) & (t == F.col("s")), 2).otherwise(0 if left else 1)
-            g = group("p", "s", q, t) if left else group(q, t, "p", "s")
-            return F.when(ahead >= mine if left else ahead < mine, F.struct(g.alias("g"), side.alias("side")))
+            g = F.xxhash64("bucket", "p", "s", q, t) if left else F.xxhash64("bucket", q, t, "p", "s")
+            return F.when(other >= mine if left else other < mine, F.struct(g.alias("g"), side.alias("side")))
 
         parts = F.coalesce(F.col("parts")[q], F.lit(0))
         return F.when(parts > 0, F.transform(F.sequence(F.lit(0), parts - 1), pair)).otherwise(F.array())
 
     near = F.flatten(
         F.concat(
-            F.transform(F.sequence(F.col("p"), F.col("p") + radius), lambda q: others(q, True)),
-            F.transform(F.sequence(F.col("p") - radius, F.col("p")), lambda q: others(q, False)),
+            F.transform(F.sequence(F.col("p"), F.col("p") + reach), lambda q: others(q, True)),
+            F.transform(F.sequence(F.col("p") - reach, F.col("p")), lambda q: others(q, False)),
         )
     )
-    alone = F.array(F.struct(F.xxhash64("c", "k").alias("g"), F.lit(2).alias("side")))
-    return (
-        keyed.select("fp", "rep", F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.array_compact(near))).alias("x"))
-        .select("x.g", "x.side", "fp", "rep")
-    )
+    alone = F.array(F.struct(F.xxhash64("bucket").alias("g"), F.lit(2).alias("side")))
+    rest = [c for c in rows.columns if c not in ("bucket", "p", "key")]
+    placed = keyed.select(*rest, F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.array_compact(near))).alias("x"))
+    return placed.select("x.g", "x.side", *rest)
+
+
+def tile_rows(nodes: DataFrame, radius: int, shared: int, tile: int = TILE) -> DataFrame:
+    """Rows (g, side, fp, rep): each fingerprint once for each tile pair of the buckets that it lies in."""
+    keys = []
+    for i, chosen in enumerate(combinations(bit_blocks(radius + shared), shared)):
+        mask = 0
+        for m in chosen:
+            mask |= m
+        keys.append(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(mask))))
+    keyed = nodes.select("fp", "rep", F.explode(F.array(*keys)).alias("bucket"))
+    return tile_pairs(keyed.withColumns({"p": F.bit_count("fp"), "key": F.xxhash64("fp")}), radius, tile)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, tile: int = TILE, shared: int | None = None) -> DataFrame:

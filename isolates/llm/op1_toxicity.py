@@ -193,6 +193,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_FIT_
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, learn, limit: float = 0.3, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+    """``docs`` without the rows that score ``limit`` or more; all columns stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, "toxic", learn, max_rows)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array(shared.value.score(batch.column("text")) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scored = toxicity(docs, labels, crc_mod("doc_id", 4) != 2)

@@ -177,23 +177,49 @@ def _compiled(shared) -> Patterns:
     return _tables(shared._id if hasattr(shared, "_id") else id(shared), shared)
 
 
+def _parts(benchmark: DataFrame, max_bytes: int) -> Iterator:
+    """Broadcast lists of (item, text), each of about ``max_bytes`` at most; at least one."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // max_bytes))
+    for k in range(parts):
+        part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """``docs`` without the rows in which any window occurs; all columns stay."""
+
+    def scan(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            patterns = _compiled(shared)
+            for batch in slices(batches):
+                joined, s, e, first = words_of(batch.column("text"))
+                full = np.flatnonzero(np.diff(first))
+                place, _ = search(patterns, joined, s[first[:-1][full]] - 1, e[first[1:][full] - 1] + 1)
+                clean = np.ones(batch.num_rows, bool)
+                clean[np.searchsorted(first, np.searchsorted(s, place + 1), "right") - 1] = False
+                yield batch.filter(pa.array(clean))
+
+        return run
+
+    for shared in _parts(benchmark, max_bytes):
+        docs = docs.mapInArrow(scan(shared), docs.schema)
+    return docs
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, max_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, item_ids) for every row of ``docs``.
 
     Null and empty texts have no words and hit nothing; a null or empty item has no window. Repeated rows and items
     are each treated alike; items with one text share its windows. Other columns are ignored, and an empty table on
-    either side is fine. The benchmark's size is summed first; beyond ``max_bytes`` it is parted by a running sum of
-    bytes, and each part is one more pass over the texts in the same stage.
+    either side is fine. The benchmark's size is summed first; beyond ``max_bytes`` it is parted by a hash of
+    its items, and each part is one more pass over the texts in the same stage.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").filter("item is not null and text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    passes = max(1, -(-total // max_bytes))
     out = docs.select("doc_id", "text", F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
-    for k in range(passes):
-        part = items if passes == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
-        shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in part.collect()])
-        last = k == passes - 1
+    parts = list(_parts(benchmark, max_bytes))
+    for shared in parts:
+        last = shared is parts[-1]
         schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, item_ids array<string>" if last else "doc_id long, text string, hits array<int>, items array<string>"
         out = out.mapInArrow(_scan(shared, last), schema)
     return out

@@ -122,6 +122,7 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     counts = counts.select("length", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = keyed.withColumn("r", F.row_number().over(W.partitionBy("length", "b").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")) - 1)
     ranked = ranked.join(counts, ["length", "b"]).withColumn("rank", (F.col("first") + F.col("r")).cast("long")).drop("b", "r", "first")
+    ranked = ranked.select(*parts.columns, "rank")
     schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
