@@ -21,7 +21,7 @@ from isolates.llm.text import ALNUM, LOWER_TABLE, RollingHash, crc_mod, flat, la
 from isolates.session import read_table
 
 #: Labelled texts that the fit may see.
-MAX_FIT_ROWS = 8000
+MAX_FIT_ROWS = 4000
 #: Bytes of the word beginnings that count as patterns, beside whole words.
 BEGINNINGS = (5, 6, 7, 8, 9)
 MIN_TEXTS = 4
@@ -48,11 +48,14 @@ def patterns(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def look(column: pa.Array) -> np.ndarray:
     """Shares of capitals, marks and digits in each text."""
-    data, offsets = flat(column)
-    kinds = [(data >= 65) & (data <= 90), (data == 33) | (data == 63), (data >= 48) & (data <= 57)]
-    n = np.maximum(1, np.diff(offsets))
-    sums = [np.append(0, np.cumsum(k, dtype=np.int64)) for k in kinds]
-    return np.stack([(s[offsets[1:]] - s[offsets[:-1]]) / n for s in sums], axis=1)
+    out = [np.zeros((0, 3))]
+    for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), limit=1 << 20):
+        data, offsets = flat(batch.column("text"))
+        kinds = [(data >= 65) & (data <= 90), (data == 33) | (data == 63), (data >= 48) & (data <= 57)]
+        n = np.maximum(1, np.diff(offsets))
+        sums = [np.append(0, np.cumsum(k, dtype=np.int64)) for k in kinds]
+        out.append(np.stack([(s[offsets[1:]] - s[offsets[:-1]]) / n for s in sums], axis=1))
+    return np.vstack(out)
 
 
 @dataclass
@@ -105,18 +108,42 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray
     return q
 
 
+def counted(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Patterns of at least ``MIN_TEXTS`` texts: their sorted hashes, and for each (pattern, text) numbers and count."""
+    hashes, texts, counts, base = [], [], [], 0
+    for batch in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), limit=1 << 20):
+        h, text = patterns(batch.column("text"))
+        order = np.lexsort((h, text))
+        h, text = h[order], text[order]
+        head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))) if len(h) else np.zeros(0, np.int64)
+        hashes.append(h[head])
+        texts.append((text[head] + base).astype(np.int32))
+        counts.append(np.minimum(np.diff(np.append(head, len(h))), 255).astype(np.uint8))
+        base += batch.num_rows
+    h, text, count = map(np.concatenate, (hashes, texts, counts))
+    hashes.clear()
+    ranked = np.sort(h)
+    head = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.zeros(0, np.int64)
+    keys = ranked[head[np.diff(np.append(head, len(ranked))) >= MIN_TEXTS]]
+    del ranked
+    if not len(keys):
+        return keys, np.zeros(0, np.int32), text[:0], count[:0]
+    key = np.minimum(np.searchsorted(keys, h), len(keys) - 1).astype(np.int32)
+    on = keys[key] == h
+    return keys, key[on], text[on], count[on]
+
+
 def fit(texts: list[str], y: np.ndarray) -> Model:
     """A model from labelled texts; without both classes it gives their share for every text."""
     share = (y.sum() + 0.5) / (len(y) + 1.0)
     if not 0 < y.sum() < len(y):
         return Model(np.zeros(0, np.uint64), np.zeros(0), float(np.log(share / (1 - share))))
     column = pa.array(texts, pa.string())
-    h, text = patterns(column)
-    keys, inverse = np.unique(h, return_inverse=True)
-    pair, count = np.unique(inverse * np.int64(len(y)) + text, return_counts=True)
+    keys, key, text, count = counted(column)
     # a feature is a pattern at a level: texts that have it so many times
-    feature = np.concatenate([pair[count >= n] // len(y) * len(LEVELS) + i for i, n in enumerate(LEVELS)])
-    row = np.concatenate([pair[count >= n] % len(y) for n in LEVELS])
+    feature = np.concatenate([key[count >= n] * len(LEVELS) + i for i, n in enumerate(LEVELS)])
+    row = np.concatenate([text[count >= n] for n in LEVELS])
+    del key, text, count
     df = np.bincount(feature, minlength=len(keys) * len(LEVELS))
 
     def stands_out(target):
