@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = None
+from isolates.plans import typing_queries
+
+QUERIES = dict(typing_queries.QUERIES)
+ORACLE_SQL = dict(typing_queries.SQL)
+FLAGSHIP = typing_queries.lineage_calls
