@@ -79,9 +79,9 @@ def renumbered(gene: Column, hgvs: Column) -> Column:
     return out
 
 
-def alias_keys(gene: Column, hgvs: Column) -> Column:
-    """Keys of a name's other spellings: one-letter residues and the legacy numbering."""
-    name = normalise(hgvs)
+def alias_keys(gene: Column, hgvs: Column, canonical: bool = False) -> Column:
+    """Keys of a name's other spellings: one-letter residues and the legacy numbering. ``canonical``: it is normalised already."""
+    name = hgvs if canonical else normalise(hgvs)
     legacy = renumbered(gene, name)
     others = F.array_distinct(F.array_compact(F.array(one_letter(name), legacy, one_letter(legacy))))
     return F.coalesce(F.transform(others, lambda x: F.concat(gene, F.lit("_"), x)), F.array().cast("array<string>"))

@@ -14,7 +14,13 @@ ROUTES = ("coordinate", "hgvs", "alias")
 
 def entry_keys(catalogue: DataFrame) -> DataFrame:
     """(entry_id, key, alias_keys): the key of each entry's name and its other spellings."""
-    return catalogue.select("entry_id", H.hgvs_key(F.col("gene"), F.col("hgvs")).alias("key"), H.alias_keys(F.col("gene"), F.col("hgvs")).alias("alias_keys"))
+    named = catalogue.select("entry_id", "gene", H.normalise(F.col("hgvs")).alias("name"))
+    return named.select("entry_id", named_key().alias("key"), H.alias_keys(F.col("gene"), F.col("name"), canonical=True).alias("alias_keys"))
+
+
+def named_key():
+    """The key of a row with gene and normalised name, NULL where either is missing."""
+    return F.when((F.col("gene") != "") & (F.col("name") != ""), F.concat("gene", F.lit("_"), "name"))
 
 
 def match(variants: DataFrame, catalogue: DataFrame, coords: DataFrame) -> DataFrame:
@@ -25,7 +31,7 @@ def match(variants: DataFrame, catalogue: DataFrame, coords: DataFrame) -> DataF
     several routes keeps the first. ``variants``: sample_id, variant_id, chrom, pos, ref, alt, gene, hgvs. A variant's own
     row is joined by equal keys, so Spark may broadcast the catalogue or shuffle both.
     """
-    named = variants.withColumn("key", H.hgvs_key(F.col("gene"), F.col("hgvs"))).withColumn("other", H.alias_keys(F.col("gene"), F.col("hgvs")))
+    named = variants.withColumn("name", H.normalise(F.col("hgvs"))).withColumn("key", named_key())
     ids = ["sample_id", "variant_id", "entry_id"]
     by_place = named.join(coords.select("entry_id", "chrom", "pos", "ref", "alt"), ["chrom", "pos", "ref", "alt"]).select(*ids, F.lit(0).alias("route"))
     keys = entry_keys(catalogue)
@@ -33,7 +39,8 @@ def match(variants: DataFrame, catalogue: DataFrame, coords: DataFrame) -> DataF
     direct = by_place.union(by_name)
     rest = named.join(direct.select("sample_id", "variant_id").distinct(), ["sample_id", "variant_id"], "left_anti")
     spelled = keys.select("entry_id", F.explode(F.array_union(F.array("key"), F.col("alias_keys"))).alias("spelling"))
-    mine = rest.select("sample_id", "variant_id", F.explode(F.array_union(F.array("key"), F.col("other"))).alias("spelling"))
+    spellings = F.array_union(F.array("key"), H.alias_keys(F.col("gene"), F.col("name"), canonical=True))
+    mine = rest.filter("key is not null").select("sample_id", "variant_id", F.explode(spellings).alias("spelling"))
     by_alias = mine.join(spelled, "spelling").select(*ids, F.lit(2).alias("route"))
     first = direct.union(by_alias).groupBy(*ids).agg(F.min("route").alias("route"))
     return first.select(*ids, F.element_at(F.array(*[F.lit(r) for r in ROUTES]), F.col("route") + 1).alias("matched_by"))
