@@ -1,11 +1,12 @@
-"""Exact top-k search by BM25: an inverted index in shards, block-max WAND a block at a time.
-
-Each task builds shards from the texts it reads, so indexing does not shuffle. A shard holds, for each word, its
-postings in blocks of ``BLOCK`` texts and the largest weight in each block; weights leave out the word's rarity, which
-needs the whole corpus and is put in at query time. A query's blocks are tried in order of the most that they could
-score (the sum of their words' block maxima): once that is below the k-th best score so far, the rest is skipped.
-What is left of all shards is merged. Queries are taken in blocks that are broadcast, their size bounded by
-``QUERY_BLOCK``; documents are never paired with queries outside the index.
+"""Exact top-k search by BM25: an inverted index in shards, with block-max WAND a block at a time.
+
+Each task builds shards from the texts it reads, so indexing does not shuffle. A shard holds its texts in order of
+length, in blocks of ``BLOCK``, and each word's weights; weights leave out the word's rarity, which needs the whole corpus
+and is put in at query time. For a query, each block gets the most that it could score: the block maxima of the
+shard's frequent words by one matrix product for many queries, those of the other words from their postings. Blocks are
+scored in order of that bound, and once it is below the k-th best score so far the rest is skipped. What is left of all
+shards is merged. Queries are taken in blocks that are broadcast, their number bounded by ``QUERY_BLOCK``; documents are
+never paired with queries outside the index.
 """
 
 from __future__ import annotations
@@ -23,12 +24,18 @@ from isolates.llm.text import ALNUM, LOWER_TABLE, flat, slices, spaced, spans
 from isolates.session import materialise, read_table
 
 K1, B = 1.2, 0.75
-#: Texts in a block, and texts and bytes of text that a shard holds at most.
-BLOCK = 16
+#: Texts in a block, neighbours in length. Larger blocks suit queries of a few words; a query of some hundred words finds
+#: nearly all its frequent ones in any block of several texts, and the bounds then skip little.
+BLOCK = 1
+#: A word is frequent in a shard if it is in more than this share of its texts.
+FREQUENT = 0.025
+#: Texts and bytes of text that a shard holds at most.
 SHARD_ROWS, SHARD_BYTES = 16_384, 48 << 20
 #: Queries that are broadcast at once.
-QUERY_BLOCK = 2048
-INDEX = "shard string, ids binary, lengths binary, words array<string>, starts binary, texts binary, counts binary"
+QUERY_BLOCK = 4096
+#: Queries in one matrix product.
+TOGETHER = 256
+INDEX = "shard string, ids binary, lengths binary, words array<string>, starts binary, numbers binary, counts binary"
 
 
 def word_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -61,15 +68,20 @@ def build_index(docs: DataFrame) -> DataFrame:
             count.append(p[2])
             base, at = base + n, at + len(p[3])
         text, word, count = map(np.concatenate, (text, word, count))
-        order = np.lexsort((text, word))
-        starts = np.searchsorted(word[order], np.arange(len(dictionary.dictionary) + 1))
+        ids, lengths = np.concatenate(ids).astype(np.int64), np.concatenate(lengths).astype(np.int32)
+        by_length = np.argsort(lengths, kind="stable")
+        rank = np.empty(len(ids), np.int64)
+        rank[by_length] = np.arange(len(ids))
+        text = rank[text]
+        order = np.lexsort((word, text))
+        starts = np.searchsorted(text[order], np.arange(len(ids) + 1))
         row = {
             "shard": [name],
-            "ids": [np.concatenate(ids).astype(np.int64).tobytes()],
-            "lengths": [np.concatenate(lengths).astype(np.int32).tobytes()],
+            "ids": [ids[by_length].tobytes()],
+            "lengths": [lengths[by_length].tobytes()],
             "words": pa.array([dictionary.dictionary.cast(pa.string())], pa.list_(pa.string())),
             "starts": [starts.astype(np.int32).tobytes()],
-            "texts": [text[order].astype(np.uint16).tobytes()],
+            "numbers": [word[order].astype(np.int32).tobytes()],
             "counts": [count[order].astype(np.uint16 if count.max(initial=0) < 1 << 16 else np.uint32).tobytes()],
         }
         return pa.RecordBatch.from_pydict(row)
@@ -104,51 +116,71 @@ def best_in_shard(row: dict, queries: list[tuple[int, np.ndarray, np.ndarray]],
     ``queries``: id, numbers of its words among ``words`` and how often it has each.
     """
     ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
-    starts, texts = np.frombuffer(row["starts"], np.int32), np.frombuffer(row["texts"], np.uint16)
-    counts = np.frombuffer(row["counts"], np.uint16 if len(row["counts"]) == len(row["texts"]) else np.uint32)
+    starts, word = np.frombuffer(row["starts"], np.int32).astype(np.int64), np.frombuffer(row["numbers"], np.int32)
+    counts = np.frombuffer(row["counts"], np.uint16 if len(row["counts"]) * 2 == len(row["numbers"]) else np.uint32)
+    text = np.repeat(np.arange(len(ids)), np.diff(starts))
+    weight = _weights(counts.astype(np.float64), lengths[text].astype(np.float64), mean)
+    kinds = len(row["words"])
     own = pc.index_in(words, pa.array(row["words"], words.type))  # of each query word, its number here
-    own = pc.fill_null(own, -1).to_numpy(zero_copy_only=False)
-    weight = _weights(counts.astype(np.float64), lengths[texts].astype(np.float64), mean)
-    word_of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    # a group is the postings of one word in one block
-    new = np.ones(len(texts), bool)
-    new[1:] = (texts[1:] // BLOCK != texts[:-1] // BLOCK) | (word_of[1:] != word_of[:-1])
-    group = np.append(np.flatnonzero(new), len(texts))
-    highest = np.maximum.reduceat(weight, group[:-1]) if len(texts) else weight
-    block, first = texts[group[:-1]] // BLOCK, np.searchsorted(group[:-1], starts)
+    own = pc.fill_null(own, -1).to_numpy(zero_copy_only=False).astype(np.int64)
     blocks = -(-len(ids) // BLOCK)
+
+    df = np.bincount(word, minlength=kinds)
+    slot = np.full(kinds, -1)
+    often = np.flatnonzero(df > max(8, FREQUENT * len(ids)))
+    slot[often] = np.arange(len(often))
+    frequent = slot[word] >= 0
+    dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
+    dense[text[frequent], slot[word[frequent]]] = weight[frequent]
+    dense = np.nextafter(dense.reshape(blocks, BLOCK, -1).max(axis=1), np.float32(4), dtype=np.float32)
+    seldom = np.flatnonzero(~frequent)
+    seldom = seldom[np.argsort(word[seldom], kind="stable")]
+    first = np.searchsorted(word[seldom], np.arange(kinds + 1))
+    block_of, weight_of = text[seldom] // BLOCK, weight[seldom]
+
     out = []
-    for number, terms, times in queries:
-        here = own[terms]
-        terms, times, here = terms[here >= 0], times[here >= 0], here[here >= 0]
-        if not len(here):
-            continue
-        factor = rarity[terms] * times
-        n = first[here + 1] - first[here]
-        at = np.repeat(first[here] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-        factor = np.repeat(factor, n)
-        most = np.bincount(block[at], factor * highest[at], blocks)
-        order = np.argsort(-most, kind="stable")
-        rank = np.empty(blocks, np.int64)
-        rank[order] = np.arange(blocks)
-        score, done, step, floor = np.zeros(blocks * BLOCK), 0, 8, 0.0
-        while done < blocks and most[order[done]] > 0 and most[order[done]] * (1 + 1e-9) >= floor:
-            # the next blocks whole, words in the query's order, so that equal texts get equal sums
-            till = min(blocks, done + step)
-            mine = (rank[block[at]] >= done) & (rank[block[at]] < till)
-            g = at[mine]
-            size = group[g + 1] - group[g]
-            p = np.repeat(group[g] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
-            score += np.bincount(texts[p], np.repeat(factor[mine], size) * weight[p], len(score))
-            done, step = till, step * 4
-            if (score > 0).sum() >= k:
-                floor = -np.partition(-score, k - 1)[k - 1]
-        found = np.flatnonzero(score > 0)
-        if len(found) > k:
-            edge = -np.partition(-score[found], k - 1)[k - 1]
-            sure, tied = found[score[found] > edge], found[score[found] == edge]
-            found = np.append(sure, tied[np.argsort(ids[tied], kind="stable")][: k - len(sure)])
-        out.append((np.full(len(found), number), ids[found], score[found]))
+    at_query = np.zeros(kinds)
+    for a in range(0, len(queries), TOGETHER):
+        part, wanted = queries[a : a + TOGETHER], []
+        factors = np.zeros((len(often), len(part)), np.float32)
+        for j, (_, terms, times) in enumerate(part):
+            here = own[terms]
+            factor = (rarity[terms] * times)[here >= 0]
+            here = here[here >= 0]
+            wanted.append((here, factor))
+            on = slot[here] >= 0
+            factors[slot[here[on]], j] = factor[on]
+        bounds = dense @ factors
+        for j, (number, _, _) in enumerate(part):
+            here, factor = wanted[j]
+            if not len(here):
+                continue
+            n = first[here + 1] - first[here]
+            at = np.repeat(first[here] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
+            most = bounds[:, j] * 1.0001 + np.bincount(block_of[at], np.repeat(factor, n) * weight_of[at], blocks)
+            order = np.argsort(-most)
+            at_query[here] = factor
+            found, score, done, step, floor = [], [], 0, 16, 0.0
+            while done < blocks and most[order[done]] > 0 and most[order[done]] >= floor:
+                # the next blocks whole, but for those that cannot reach the best so far
+                chosen = order[done : done + step]
+                chosen = chosen[most[chosen] >= floor]
+                rows = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                rows = rows[rows < len(ids)]
+                size = starts[rows + 1] - starts[rows]
+                rows, size = rows[size > 0], size[size > 0]
+                p = np.repeat(starts[rows] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
+                found.append(rows)
+                score.append(np.add.reduceat(at_query[word[p]] * weight[p], np.append(0, np.cumsum(size))[:-1]) if len(rows) else np.zeros(0))
+                done, step = done + step, step * 2
+                so_far = np.concatenate(score)
+                if len(so_far) >= k:
+                    floor = -np.partition(-so_far, k - 1)[k - 1]
+            at_query[here] = 0
+            found, score = np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(score or [np.zeros(0)])
+            found, score = found[score > 0], score[score > 0]
+            best = np.lexsort((ids[found], -np.round(score, 9)))[:k]
+            out.append((np.full(len(best), number), ids[found[best]], score[best]))
     return out
 
 
@@ -204,12 +236,12 @@ def _search(index: DataFrame, table: pa.Table, n: int, mean: float, k: int) -> D
         for batch in batches:
             for i in range(batch.num_rows):
                 at = pc.index_in(batch.column("words")[i].values, asked.value)
-                starts = np.frombuffer(batch.column("starts")[i].as_py(), np.int32)
+                word = np.frombuffer(batch.column("numbers")[i].as_py(), np.int32)
                 ok = at.is_valid().to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pc.drop_null(at), pa.array(np.diff(starts)[ok].astype(np.int64))], ["word", "df"])
+                yield pa.RecordBatch.from_arrays([pc.drop_null(at), pa.array(np.bincount(word, minlength=len(ok))[ok])], ["word", "df"])
 
     df = np.zeros(len(words))
-    for r in [index.select("words", "starts").mapInArrow(frequencies, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()]:
+    for r in [index.select("words", "numbers").mapInArrow(frequencies, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()]:
         df[r.column("word").to_numpy()] = r.column("df").to_numpy()
     rarity = np.log(1 + (n - df + 0.5) / (df + 0.5))
     shared = context.broadcast((queries, words, rarity))
@@ -218,7 +250,7 @@ def _search(index: DataFrame, table: pa.Table, n: int, mean: float, k: int) -> D
         queries, words, rarity = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("ids", "lengths", "starts", "texts", "counts")} | {"words": batch.column("words")[i].values}
+                row = {c: batch.column(c)[i].as_py() for c in ("ids", "lengths", "starts", "numbers", "counts")} | {"words": batch.column("words")[i].values}
                 got = best_in_shard(row, queries, words, rarity, mean, k)
                 if got:
                     q, d, s = map(np.concatenate, zip(*got))
