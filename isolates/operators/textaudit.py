@@ -82,7 +82,7 @@ def numbers(text: Column) -> Column:
 
 
 def _decimals(n: Column) -> Column:
-    return F.length(F.coalesce(F.element_at(F.split(n, r"\."), 2), F.lit("")))
+    return F.length(F.coalesce(F.get(F.split(n, r"\."), F.lit(1)), F.lit("")))
 
 
 def unsupported_numbers(answer: Column, context: Column) -> Column:
@@ -116,7 +116,7 @@ def negation_governs(sentence: Column) -> Column:
     """Whether a negation stands within four words before the susceptibility word."""
     before = F.element_at(F.split(sentence, CLAIM_WORD, 2), 1)
     words = F.regexp_extract_all(before, F.lit(r"[\w'-]+"), 0)
-    return F.array_join(F.slice(F.reverse(words), 1, NEGATION_WORDS), " ").rlike("x^") | F.array_join(F.reverse(F.slice(F.reverse(words), 1, NEGATION_WORDS)), " ").rlike(NEGATED)
+    return F.array_join(F.reverse(F.slice(F.reverse(words), 1, NEGATION_WORDS)), " ").rlike(NEGATED)
 
 
 def sentence_rows(answers: DataFrame) -> DataFrame:
