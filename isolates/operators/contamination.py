@@ -148,3 +148,22 @@ def foreign_taxa(report: DataFrame, target: str) -> DataFrame:
     kept = report.filter((F.trim("rank") == "S") & (share > VALUE["taxon_report_floor"]) & ~F.lower(F.trim("name")).startswith(target.lower()))
     order = W.partitionBy("sample_id").orderBy(F.desc("percentage"), "name")
     return kept.select("sample_id", F.trim("name").alias("name"), share.alias("share"), F.row_number().over(order).alias("rank"))
+
+
+def screen_informative(index: str | None, confidence: float | None, mycobacterial_indexes: tuple[str, ...] = ()) -> bool:
+    """Whether a classifier screen says anything: its index must be declared and its confidence above zero, else an error;
+    an index that is not among those known to hold the target's relatives gives no evidence either way."""
+    if not index:
+        raise ValueError("the classifier's index must be declared")
+    if confidence is None or not 0 < confidence <= 1:
+        raise ValueError(f"the classifier's confidence must lie above 0 and up to 1; got {confidence!r}")
+    return index in mycobacterial_indexes
+
+
+def screen(report: DataFrame, target: str, informative: bool) -> DataFrame:
+    """(sample_id, largest_foreign, status): the largest foreign share against its limit; NULL and a warning if the screen says nothing."""
+    samples = report.select("sample_id").distinct()
+    most = foreign_taxa(report, target).groupBy("sample_id").agg(F.max("share").alias("largest_foreign"))
+    out = samples.join(most, "sample_id", "left").withColumn("largest_foreign", F.when(F.lit(informative), F.coalesce("largest_foreign", F.lit(0.0))))
+    status = F.when(F.col("largest_foreign").isNull(), "warn").when(F.col("largest_foreign") > VALUE["max_non_target"], "fail").otherwise("pass")
+    return out.withColumn("status", status)

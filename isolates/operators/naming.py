@@ -155,3 +155,58 @@ def left_align(variants: DataFrame, sequences: DataFrame, window: int = 200) ->
         }
     )
     return out.drop("__t", "__k", "seq")
+
+
+def name_indels(context: DataFrame) -> DataFrame:
+    """``context`` rows of insertions and deletions with ``hgvs`` and ``effect``, in the gene's own direction.
+
+    The first base of both alleles is the anchor. Names carry their bases, insertions the bases that flank them. A
+    deletion that runs from upstream into the gene loses its start; a shift that is no multiple of three is a
+    frameshift, named by the first codon that it touches.
+    """
+    rows = context.filter((F.length("ref") != F.length("alt")) & F.col("gene").isNotNull())
+    coding = ~F.lower("biotype").isin(*NON_CODING)
+    prefix = F.when(coding, "c.").otherwise("n.")
+    size = F.abs(F.length("alt") - F.length("ref"))
+    first, last = coding_offset(F.col("pos") + 1), coding_offset(F.col("pos") + size)
+    low, high = F.least(first, last), F.greatest(first, last)
+    span = F.when(size == 1, low.cast("string")).otherwise(F.concat(low.cast("string"), F.lit("_"), high.cast("string")))
+    gone = F.concat(prefix, span, F.lit("del"), _oriented(F.substr("ref", F.lit(2), size)))
+    anchor = F.col("offset")
+    forward = F.col("strand") == "+"
+    left = F.when(forward, anchor).otherwise(anchor - 1)
+    new = F.concat(prefix, left.cast("string"), F.lit("_"), (left + 1).cast("string"), F.lit("ins"), _oriented(F.substr("alt", F.lit(2), size)))
+    touched = F.when(forward, anchor + 1).otherwise(anchor)
+    deleted = F.length("alt") < F.length("ref")
+    shifted = size % 3 != 0
+    shift_name = F.concat(F.lit("p.Xaa"), (F.floor((F.when(deleted, low).otherwise(touched) - 1) / 3) + 1).cast("string"), F.lit("fs"))
+    effect = (
+        F.when(~coding, "non_coding_variant")
+        .when(F.when(deleted, high).otherwise(touched) < 1, "upstream_variant")
+        .when(deleted & (low < 1), "start_lost")
+        .when(shifted, "frameshift_variant")
+        .when(deleted, "inframe_deletion")
+        .otherwise("inframe_insertion")
+    )
+    out = rows.withColumn("effect", effect)
+    return out.withColumn("hgvs", F.when(F.col("effect") == "frameshift_variant", shift_name).when(deleted, gone).otherwise(new))
+
+
+def frameshift_codons(indels: DataFrame, sequences: DataFrame) -> DataFrame:
+    """(sample_id, variant_id, hgvs): frameshifts named by the first residue that really changes.
+
+    The gene's coding sequence is cut out, changed and translated in both forms; the first residue that differs names
+    it. In-frame changes that shorten the product count as frameshifts; rows whose reference does not fit are left out.
+    """
+    rows = indels.join(sequences.select("chrom", "seq"), "chrom").filter(~F.lower("biotype").isin(*NON_CODING))
+    rows = rows.withColumn("cds", F.upper(F.substr("seq", F.col("start_pos"), F.col("end_pos") - F.col("start_pos") + 1))).withColumn("at", F.col("pos") - F.col("start_pos"))
+    rows = rows.filter((F.col("at") >= 0) & (F.substr("cds", F.col("at") + 1, F.length("ref")) == F.upper("ref")))
+    changed = F.concat(F.substr("cds", F.lit(1), F.col("at")), F.upper("alt"), F.substr("cds", F.col("at") + 1 + F.length("ref")))
+    to_stop = lambda p: F.regexp_extract(p, r"^[^*]*\*?", 0)
+    rows = rows.withColumns({"old": to_stop(E.translate(_oriented(F.col("cds")))), "new": to_stop(E.translate(_oriented(changed)))})
+    rows = rows.filter((F.abs(F.length("alt") - F.length("ref")) % 3 != 0) | (F.length("new") < F.length("old")))
+    most = F.least(F.length("old"), F.length("new"))
+    same = F.when(most > 0, F.aggregate(F.sequence(F.lit(1), most), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substr("old", i, F.lit(1)) == F.substr("new", i, F.lit(1))), i).otherwise(n))).otherwise(0)
+    rows = rows.withColumn("same", same).filter(F.col("same") < F.length("old"))
+    residue = E.three_letter(F.substr("old", F.col("same") + 1, F.lit(1)))
+    return rows.select("sample_id", "variant_id", F.concat(F.lit("p."), residue, (F.col("same") + 1).cast("string"), F.lit("fs")).alias("hgvs"))

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from isolates.functions import expressions as E
 from isolates.operators import checks as Q
+from isolates.operators import cohort
 from isolates.operators import intervals as I
 from isolates.operators import lineage as L
 from isolates.operators import naming as N
 from isolates.operators import report as P
 from isolates.operators import species as Z
+from isolates.operators import resistance as R
 from isolates.operators import textaudit as T
-from isolates.plans.cohort_queries import _CONSENSUS, contributions, variants
+from isolates.plans.cohort_queries import _CLUSTER_PAIRS, _CLUSTERS, _CONSENSUS, _VARIANTS, _chain, contributions, variants
 from isolates.plans.fixtures import run_sql, view, with_sql
-from isolates.plans.typing_queries import _VALIDITY, _panel, _support, sample_validity
-from isolates.operators import resistance as R
+from isolates.plans.typing_queries import _GENOTYPES, _VALIDITY, _panel, _support, sample_validity
 from isolates.session import read_table
 
 QUERIES, SQL = {}, {}
@@ -212,3 +213,73 @@ def natural_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     place = F.row_number().over(Window.partitionBy("group").orderBy("key"))
     return keyed.withColumn("i", place).join(F.broadcast(before), "group").select("name", (F.col("before") + F.col("i")).cast("long").alias("place"))
+
+
+@query(
+    "gene_probe_coverage",
+    with_sql(
+        """
+ SELECT s.sample_id, p.name || '@' || p.chrom AS gene, ROUND(COUNT(d.pos) * 1.0 / COUNT(*), 6) AS body_coverage, COUNT(d.pos) = COUNT(*) AS callable
+ FROM (SELECT DISTINCT sample_id FROM sites) s CROSS JOIN (SELECT DISTINCT name, chrom, CAST(start_pos + ROUND(i * (end_pos - start_pos) / 6.0) AS INT) AS pos FROM genes CROSS JOIN (SELECT UNNEST(RANGE(0, 7)) AS i) x) p
+ LEFT JOIN depths d ON d.sample_id = s.sample_id AND d.chrom = p.chrom AND d.pos = p.pos AND d.depth >= 20 GROUP BY s.sample_id, p.name, p.chrom"""
+    ),
+)
+def gene_probe_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from isolates.operators import ntm
+
+    genes = view(spark, sf_dir, "genes").withColumn("name", F.concat("name", F.lit("@"), "chrom"))
+    return ntm.gene_coverage(view(spark, sf_dir, "sites"), genes, depth=20).withColumn("body_coverage", F.round("body_coverage", 6))
+
+
+_MARKERS = """
+ markers AS (SELECT CONCAT('sp', CAST(p_size % 6 AS VARCHAR(9))) AS species, CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, CAST(p_partkey AS INT) + 1 AS pos, 'A' AS allele FROM part WHERE p_partkey % 60 = 7 AND p_partkey < 500)"""
+
+
+@query(
+    "marker_species",
+    with_sql(
+        """
+ SELECT sample_id, CASE WHEN COUNT(*) = 1 THEN MIN(species) END AS marker_species, COUNT(*) > 1 AS conflict FROM (
+  SELECT g.sample_id, m.species FROM geno g JOIN markers m ON m.chrom = g.chrom AND m.pos = g.pos WHERE g.depth >= 3 GROUP BY g.sample_id, m.species HAVING BOOL_AND(COALESCE(g.allele = m.allele, FALSE))) x GROUP BY sample_id""",
+        _GENOTYPES + "," + _MARKERS,
+    ),
+)
+def marker_species(spark: SparkSession, sf_dir: str) -> DataFrame:
+    markers = run_sql(spark, sf_dir, f"WITH{_MARKERS} SELECT * FROM markers")
+    return Z.genotype_markers(view(spark, sf_dir, "sites"), markers)
+
+
+@query(
+    "distance_rows",
+    f"""WITH RECURSIVE {_CLUSTER_PAIRS},{_CLUSTERS.format(t=1)},
+ member AS (SELECT c.sample_id, i.cluster_id FROM cust c LEFT JOIN comp k ON k.node = c.sample_id LEFT JOIN ids i USING (root))
+ SELECT p.sample_a, p.sample_b, p.snps, p.snps <= 1 AS within, p.shared_callable_sites >= 3000000 AS sufficient, COALESCE(a.cluster_id = b.cluster_id, FALSE) AS same_cluster
+ FROM cpairs p JOIN member a ON a.sample_id = p.sample_a JOIN member b ON b.sample_id = p.sample_b""",
+)
+def distance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples, found = _chain(spark, sf_dir)
+    return P.distance_rows(found, cohort.cluster_members(samples, found, 1), 1, 3_000_000).select("sample_a", "sample_b", "snps", "within", "sufficient", "same_cluster")
+
+
+@query(
+    "disagreements",
+    with_sql(" SELECT sample_id, drug, call, 'biological' AS disagreement_kind FROM graded WHERE disagreement", _CONSENSUS),
+)
+def disagreements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.disagreement_rows(R.consensus(contributions(spark, sf_dir), "illumina")).drop("supporting_variants")
+
+
+@query(
+    "joint_site_counts",
+    with_sql(" SELECT chrom, COUNT(*) AS sites, CAST(SUM(samples) AS BIGINT) AS alleles FROM (SELECT chrom, pos, COUNT(*) AS samples FROM v WHERE pass GROUP BY chrom, pos) x GROUP BY chrom", _VARIANTS),
+)
+def joint_site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = cohort.joint_alleles(cohort.usable_variants(variants(spark, sf_dir)))
+    return kept.groupBy("chrom", "pos").agg(F.count("*").alias("n")).groupBy("chrom").agg(F.count("*").alias("sites"), F.sum("n").alias("alleles"))
+
+
+@query("scheme_gaps", "SELECT r_name AS member, CONCAT('La', CAST(r_regionkey AS VARCHAR)) AS root FROM region WHERE CONCAT('La', CAST(r_regionkey AS VARCHAR)) NOT IN (SELECT DISTINCT CONCAT('La', CAST(p_size % 3 AS VARCHAR)) FROM part)")
+def scheme_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = read_table(spark, sf_dir, "region").select(F.col("r_name").alias("member"), F.concat(F.lit("La"), F.col("r_regionkey").cast("string")).alias("root"))
+    scheme = read_table(spark, sf_dir, "part").select(F.concat(F.lit("La"), (F.col("p_size") % 3).cast("string"), F.lit(".1")).alias("taxon"))
+    return L.scheme_gaps(scheme, members).select("member", "root")

@@ -258,6 +258,49 @@ def test_species(spark):
     assert [r.reference for r in found] == ["near"] and 97 < found[0].ani < 99.9
 
 
+def test_indel_names(spark):
+    genes = spark.createDataFrame([("g", "p", 10, 30, "+", "protein_coding"), ("r", "m", 10, 30, "-", "rRNA"), ("h", "n", 10, 30, "-", "protein_coding")], "name string, chrom string, start_pos int, end_pos int, strand string, biotype string")
+    cases = [("p", 14, "AC", "A"), ("p", 14, "ACGT", "A"), ("p", 8, "ACG", "A"), ("p", 14, "A", "ACGT"), ("p", 14, "A", "AC"), ("m", 14, "AC", "A"), ("n", 14, "A", "ACG"), ("p", 5, "AC", "A")]
+    v = spark.createDataFrame([("s", str(i), *c) for i, c in enumerate(cases)], "sample_id string, variant_id string, chrom string, pos int, ref string, alt string")
+    got = {int(r.variant_id): (r.hgvs, r.effect) for r in N.name_indels(N.gene_context(v, genes, 100)).collect()}
+    assert got[0] == ("p.Xaa2fs", "frameshift_variant") and got[1] == ("c.6_8delCGT", "inframe_deletion")
+    assert got[2] == ("c.-1_1delCG", "start_lost")
+    assert got[3] == ("c.5_6insCGT", "inframe_insertion") and got[4] == ("p.Xaa2fs", "frameshift_variant")
+    assert got[5] == ("n.16delG", "non_coding_variant") and got[6] == ("p.Xaa6fs", "frameshift_variant") and got[7] == ("c.-4delC", "upstream_variant")
+    seqs = spark.createDataFrame([("p", "T" * 9 + "ATGGCTGCTGCATGGAAATAA" + "T")], "chrom string, seq string")
+    shift = spark.createDataFrame([("s", "f", "p", 12, "GG", "G")], v.schema)
+    assert N.frameshift_codons(N.gene_context(shift, genes, 100), seqs).first().hgvs == "p.Ala2fs"
+
+
+def test_ntm(spark):
+    from isolates.operators import ntm
+
+    samples = spark.createDataFrame([("a", "Mycobacteroides abscessus"), ("b", "ABSCESSUS"), ("c", "Mycobacterium avium"), ("d", "other")], "sample_id string, organism string")
+    v = spark.createDataFrame([("a", "rrl", "n.2058A>G"), ("c", "rrs", "n.1408A>C"), ("c", "rrs", "n.1409C>T")], "sample_id string, gene string, hgvs string")
+    erm = ntm.erm41_states(spark.createDataFrame([("a", True, 0.99, "C"), ("b", True, 0.5, "T"), ("c", None, None, "T")], "sample_id string, present boolean, body_coverage double, base string"))
+    genes = spark.createDataFrame([("a", "rrs", True), ("b", "rrl", False)], "sample_id string, gene string, callable boolean")
+    drugs = spark.createDataFrame([("Azithromycin",), ("amikacin",)], "drug string")
+    got = {(r.sample_id, r.drug): (r.call, r.confidence, r.target_covered) for r in ntm.call_drugs(samples, v, erm, genes, drugs).collect()}
+    assert got["a", "Azithromycin"] == ("R", "high", True) and got["a", "amikacin"] == ("no-call", "none", True)
+    assert got["b", "Azithromycin"] == ("no-call", "none", True) and got["b", "amikacin"] == ("no-call", "none", False)
+    assert got["c", "amikacin"] == ("Uncertain", "low", True) and got["d", "amikacin"] == ("no-call", "none", False)
+    sites = spark.createDataFrame([("s", "c", p, 5, 0, 0, 0) for p in range(1, 60)], COUNTS)
+    span = spark.createDataFrame([("x", "c", 1, 61), ("y", "c", 1, 121)], "name string, chrom string, start_pos int, end_pos int")
+    held = {r.gene: (round(r.body_coverage, 3), r.callable) for r in ntm.gene_coverage(sites, span).collect()}
+    assert held == {"x": (0.857, False), "y": (0.429, False)}
+
+
+def test_screen(spark):
+    with pytest.raises(ValueError):
+        contamination.screen_informative(None, 0.1)
+    with pytest.raises(ValueError):
+        contamination.screen_informative("std", 0)
+    rows = spark.createDataFrame([("a", 70.0, "S", "Mycobacterium tuberculosis"), ("a", 20.0, "S", "Escherichia coli"), ("b", 0.1, "S", "Escherichia coli")], "sample_id string, percentage double, rank string, name string")
+    got = {r.sample_id: (r.largest_foreign, r.status) for r in contamination.screen(rows, "Mycobacterium", True).collect()}
+    assert got == {"a": (0.2, "fail"), "b": (0.0, "pass")}
+    assert contamination.screen(rows, "Mycobacterium", False).first().largest_foreign is None
+
+
 def test_text_review(spark):
     answers = [
         ("ok", "The depth was 26.2x over 5,015,531 sites.", "depth 26.24, 5015531 sites"), ("num", "Depth is 180x.", "depth 18"), ("org", "This is M. bovis.", "M. tuberculosis"), ("blank", " ", ""),
