@@ -191,11 +191,13 @@ def fit(texts: list[str], y: np.ndarray) -> Model:
         hessian = (x * np.maximum(p * (1 - p), 1e-4)[:, None].astype(np.float32)).T @ x + np.diag(ridge)
         w -= np.linalg.solve(hessian, x.T @ (p - q) + ridge * w)
     logit = x @ w
-    pair, ab = np.stack([logit, np.ones(len(y))], axis=1), np.array([1.0, 0.0])
-    for _ in range(30):  # the scale, on the sample's labels
+    middle = (np.quantile(logit[y == 0], 0.95) + np.quantile(logit[y == 1], 0.05)) / 2
+    pair, ab = np.stack([logit - middle, np.ones(len(y))], axis=1), np.array([1.0, 0.0])
+    for _ in range(200):  # the scale, on the sample's labels; damped Newton steps
         p = 1 / (1 + np.exp(-np.clip(pair @ ab, -30, 30)))
         hessian = (pair * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ pair + 1e-3 * np.eye(2)
         ab -= np.clip(np.linalg.solve(hessian, pair.T @ (p - y) + 1e-3 * (ab - (1, 0))), -1, 1)
+    ab[1] -= ab[0] * middle
     a, b = ab
     kept, of = np.unique(used // len(LEVELS), return_inverse=True)
     weights = np.zeros((len(kept), len(LEVELS)))
@@ -220,7 +222,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_FIT_
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, learn, limit: float = 0.3, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, learn, limit: float = 0.5, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """``docs`` without the rows that score ``limit`` or more; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, "toxic", learn, max_rows)))
 
