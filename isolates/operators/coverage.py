@@ -129,3 +129,16 @@ def quality_encoding(qualities: DataFrame) -> DataFrame:
     held = marks.groupBy("sample_id").agg(F.ascii(F.min("low")).alias("low"), F.ascii(F.max("high")).alias("high"))
     kind = F.when(F.col("low") < 59, "phred33").when(F.col("high") > 80, "phred64").otherwise("ambiguous")
     return held.select("sample_id", kind.alias("encoding"), "low", "high")
+
+
+def assembly_stats(sequences: DataFrame) -> DataFrame:
+    """One row a sample: contigs, bases, N50, GC share of the four bases, and ambiguous bases. ``sequences``: sample_id, seq."""
+    base = sequences.select("sample_id", F.length("seq").alias("length"), F.upper("seq").alias("seq"))
+    count = lambda pattern: F.length("seq") - F.length(F.regexp_replace("seq", pattern, ""))
+    base = base.select("sample_id", "length", count("[GC]").alias("gc"), count("[ACGT]").alias("known"))
+    down = W.partitionBy("sample_id").orderBy(F.desc("length")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    held = base.withColumns({"upto": F.sum("length").over(down), "bases": F.sum("length").over(W.partitionBy("sample_id"))})
+    return held.groupBy("sample_id").agg(
+        F.count("*").alias("contigs"), F.sum("length").alias("bases"), F.max(F.when(F.col("upto") * 2 >= F.col("bases"), F.col("length"))).alias("n50"),
+        ratio(F.sum("gc"), F.sum("known")).alias("gc"), (F.sum("length") - F.sum("known")).alias("ambiguous"),
+    )

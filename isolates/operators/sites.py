@@ -103,3 +103,38 @@ def allele_fraction_at(ref: Column, alt: Column) -> Column:
         .when((F.length(ref) > F.length(alt)) & F.startswith(ref, alt), F.coalesce(F.col("del")[F.substr(ref, F.length(alt) + 1)], F.lit(0)))
     )
     return F.when(F.coalesce(F.col("covered"), F.lit(True)), E.ratio(n, depth))
+
+
+def backfill_fractions(variants: DataFrame, sites: DataFrame) -> DataFrame:
+    """``variants`` whose missing allele fraction comes from the site's counts; NULL stays where there is no covered site."""
+    empty = F.create_map().cast("map<string,int>")
+    for name in ("ins", "del"):
+        if name not in sites.columns:
+            sites = sites.withColumn(name, empty)
+    if "covered" not in sites.columns:
+        sites = sites.withColumn("covered", F.lit(True))
+    counts = sites.select("sample_id", "chrom", "pos", "n_a", "n_c", "n_g", "n_t", "ins", "del", "covered")
+    joined = variants.join(counts, ["sample_id", "chrom", "pos"], "left")
+    filled = F.coalesce("allele_fraction", F.when(F.col("covered"), allele_fraction_at(F.col("ref"), F.col("alt"))))
+    return joined.withColumn("allele_fraction", filled).select(variants.columns)
+
+
+def snp_observations(variants: DataFrame) -> DataFrame:
+    """Counts of the two alleles of single-base variants, for mixture statistics; both read counts must be known."""
+    kept = variants.filter((F.length("ref") == 1) & (F.length("alt") == 1) & F.col("ref_reads").isNotNull() & F.col("alt_reads").isNotNull())
+    n = lambda b: (F.when(F.upper("ref") == b, F.col("ref_reads")).otherwise(0) + F.when(F.upper("alt") == b, F.col("alt_reads")).otherwise(0)).cast("long")
+    return kept.select("sample_id", "chrom", "pos", *[n(b).alias(c) for b, c in E.COUNT.items() if b in E.BASES], "qual")
+
+
+def require_shared_contigs(left: DataFrame, right: DataFrame, what: str) -> None:
+    """An error if both tables have contigs and none is in both: they stand on different references."""
+    names = left.select("chrom").distinct()
+    if not names.isEmpty() and not right.isEmpty() and names.join(right.select("chrom").distinct(), "chrom", "left_semi").isEmpty():
+        raise ValueError(f"{what}: no contig name is in both tables")
+
+
+def require_one_reference(samples: DataFrame) -> None:
+    """An error if samples (column reference) of one cohort were called on several references."""
+    named = samples.filter(F.coalesce("reference", F.lit("")) != "").agg(F.count_distinct("reference").alias("n"), F.min("reference").alias("a"), F.max("reference").alias("b")).first()
+    if named["n"] > 1:
+        raise ValueError(f"samples of one cohort were called against different references, {named['a']} and {named['b']} among them")

@@ -286,6 +286,74 @@ def read_third_catalogue(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.lit("third").alias("catalogue"), F.lower(F.trim("drug")).alias("drug"), F.col("gene"), F.col("mutation").alias("hgvs"), grade.alias("grade"), call.alias("call"), F.coalesce("comment", F.lit("")).alias("comment"))
 
 
+def read_graded_catalogue(spark: SparkSession, path: str, header_row: int = 2) -> DataFrame:
+    """The graded workbook as (catalogue, drug, gene, hgvs, name, grade, call, comment, rule_only).
+
+    The header stands on the third row; columns are found by name, and the workbook's position column, which does not
+    hold one position a name, is not read. A few tens of thousands of rows are parsed on the driver. Additional rules that the
+    table only states (their grade rests on a rule) are marked.
+    """
+    import pandas as pd
+
+    table = pd.read_excel(path, header=header_row, dtype=str) if path.endswith((".xlsx", ".xls")) else pd.read_csv(path, header=header_row, dtype=str, sep="\t")
+    table.columns = [str(c).strip() for c in table.columns]
+    wanted = {"drug": "drug", "gene": "gene", "mutation": "hgvs", "variant": "name", "FINAL CONFIDENCE GRADING": "grading", "Comment": "comment", "Additional grading criteria applied": "rule"}
+    missing = [c for c in wanted if c not in table.columns and c not in ("Comment", "Additional grading criteria applied")]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in row {header_row + 1}")
+    kept = table[[c for c in wanted if c in table.columns]].rename(columns=wanted).reindex(columns=list(wanted.values()))
+    rows = spark.createDataFrame(kept.astype(object).where(kept.notna(), None), ", ".join(f"{c} string" for c in wanted.values()))
+    grade = F.regexp_extract("grading", r"^\s*(\d)", 1).try_cast("int")
+    return rows.filter("drug is not null and name is not null").select(
+        F.lit("WHO").alias("catalogue"), F.lower(F.trim("drug")).alias("drug"), "gene", "hgvs", "name", grade.alias("grade"), E.call_for_grade(grade).alias("call"),
+        F.coalesce("comment", F.lit("")).alias("comment"), F.coalesce(F.col("rule").rlike("(?i)rule|criteri"), F.lit(False)).alias("rule_only"),
+    )
+
+
+# Drug classes of the flat list and what they stand for.
+DRUG_CLASSES = {"fluoroquinolones": ["levofloxacin", "moxifloxacin"], "aminoglycosides": ["amikacin", "kanamycin"]}
+
+
+def read_flat_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """The flat list as (catalogue, drug, gene, hgvs, pos, ref, alt, call): a row for each drug, always R.
+
+    Rows marked phylogenetic are skipped, drug classes become their drugs, and only single bases keep coordinates.
+    Columns: position, ref, alt, gene, change, drugs, remark; the file is Latin-1.
+    """
+    rows = spark.read.option("sep", "\t").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    rows = rows.filter(~F.coalesce(F.lower("remark").contains("phylo"), F.lit(False)))
+    classes = F.create_map(*[x for k, v in DRUG_CLASSES.items() for x in (F.lit(k), F.array(*[F.lit(d) for d in v]))])
+    named = F.filter(F.transform(F.split("drugs", r"[;,/]"), lambda d: F.lower(F.trim(F.regexp_replace(d, r"\([^)]*\)", "")))), lambda d: d != "")
+    drugs = F.array_distinct(F.flatten(F.transform(named, lambda d: F.coalesce(classes[d], F.array(d)))))
+    single = (F.length("ref") == 1) & (F.length("alt") == 1)
+    return rows.select(
+        F.lit("flat").alias("catalogue"), F.explode(drugs).alias("drug"), "gene", F.col("change").alias("hgvs"), F.when(single, F.col("position").try_cast("int")).alias("pos"),
+        F.when(single, F.upper("ref")).alias("ref"), F.when(single, F.upper("alt")).alias("alt"), F.lit("R").alias("call"),
+    )
+
+
+def read_reference_manifest(spark: SparkSession, path: str, required: tuple[str, ...] = ("reference", "name", "accession")) -> DataFrame:
+    """A tab-separated manifest with a header; lines that begin with # are comments, a missing column is an error."""
+    rows = spark.read.option("sep", "\t").option("header", True).option("comment", "#").csv(path)
+    lacking = [c for c in required if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"{path}: no column {', '.join(lacking)}")
+    return rows
+
+
+def resolve_references(matches: DataFrame, manifest: DataFrame) -> DataFrame:
+    """``matches`` (reference as a tool wrote it) with the manifest's name and complex: by path, file name, name or accession."""
+    last = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
+    stem = lambda c: F.regexp_replace(last(c), r"\.(fa|fna|fasta)(\.gz)?$", "")
+    ref = F.col("reference")
+    keys = manifest.select("name", *[c for c in ("complex",) if c in manifest.columns], F.explode(F.array_distinct(F.array_compact(F.transform(F.array(ref, last(ref), stem(ref), F.col("name"), F.col("accession")), lambda k: F.lower(k))))).alias("key"))
+    keys = keys.dropDuplicates(["key"])
+    known = matches.select("reference").distinct()
+    tried = known.select("reference", F.posexplode(F.array(F.lower(ref), F.lower(last(ref)), F.lower(stem(ref)))).alias("i", "key")).join(keys, "key")
+    best = tried.withColumn("n", F.row_number().over(W.partitionBy("reference").orderBy("i"))).filter("n = 1")
+    return matches.join(best.drop("i", "n", "key"), "reference", "left")
+
+
 def pair_reads(files: DataFrame) -> DataFrame:
     """(sample_id, r1, r2) of file paths (column path): mates by _R1/_R2 or _1/_2; several lanes or a second file of a
     mate are an error, and a bare _1 without its mate keeps its whole stem as the sample."""

@@ -43,6 +43,21 @@ def test_fraction_at(spark):
     assert at("A", "C") == [0.25, None] and at("A", "AGT") == [0.5, None] and at("CA", "C") == [0.25, None] and at("AC", "GT") == [None, None]
 
 
+def test_backfill_and_guards(spark):
+    sites = spark.createDataFrame([("s", "c", 1, 6, 2, 0, 0)], COUNTS)
+    v = spark.createDataFrame([("s", "c", 1, "A", "C", None), ("s", "c", 1, "A", "C", 0.9), ("s", "c", 2, "A", "C", None)], "sample_id string, chrom string, pos int, ref string, alt string, allele_fraction double")
+    assert sorted(str(r.allele_fraction) for r in S.backfill_fractions(v, sites).collect()) == ["0.25", "0.9", "None"]
+    calls = spark.createDataFrame([("s", "c", 1, "A", "C", 6, 2, 30.0), ("s", "c", 2, "A", "C", None, 2, 30.0), ("s", "c", 3, "AT", "A", 1, 2, 3.0)], "sample_id string, chrom string, pos int, ref string, alt string, ref_reads int, alt_reads int, qual double")
+    assert [tuple(r) for r in S.snp_observations(calls).collect()] == [("s", "c", 1, 6, 2, 0, 0, 30.0)]
+    S.require_shared_contigs(sites, sites, "x")
+    with pytest.raises(ValueError, match="no contig"):
+        S.require_shared_contigs(sites, sites.withColumn("chrom", F.lit("z")), "x")
+    with pytest.raises(ValueError, match="different references"):
+        S.require_one_reference(spark.createDataFrame([("a", "r1"), ("b", "r2")], "sample_id string, reference string"))
+    stats = coverage.assembly_stats(spark.createDataFrame([("s", "ACGT" * 5), ("s", "GGNN"), ("s", "A")], "sample_id string, seq string")).first()
+    assert (stats.contigs, stats.bases, stats.n50, stats.gc, stats.ambiguous) == (3, 25, 20, 12 / 23, 2)
+
+
 def test_contig_names(spark):
     sites = spark.createDataFrame([("s1", "NC_1"), ("s2", "other"), ("s3", "x"), ("s3", "y")], "sample_id string, chrom string")
     aliases = spark.createDataFrame([("NC_1", "Chromosome")], "alias string, chrom string")

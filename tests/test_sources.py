@@ -75,6 +75,23 @@ def test_small_formats(spark, tmp_path):
     assert [(r.call, r.grade) for r in third.orderBy("gene").collect()] == [("R", None), ("R", 1)]
 
 
+def test_catalogues(spark, tmp_path):
+    head = "title\t\n\t\ndrug\tgene\tmutation\tvariant\ttier\tposition\tFINAL CONFIDENCE GRADING\tComment\tAdditional grading criteria applied\n"
+    path = put(tmp_path, "graded.tsv", head + "Rifampicin\trpoB\tp.Ser450Leu\trpoB_p.Ser450Leu\t1\t7\t1) Assoc w R\tx\t\nIsoniazid\tkatG\tLoF\tkatG_LoF\t1\t\t2) Assoc w R - Interim\t\tgraded by rule\n")
+    rows = {r.drug: r for r in R.read_graded_catalogue(spark, path).collect()}
+    assert (rows["rifampicin"].grade, rows["rifampicin"].call, rows["rifampicin"].rule_only) == (1, "R", False)
+    assert (rows["isoniazid"].call, rows["isoniazid"].rule_only) == ("R-interim", True)
+    flat = put(tmp_path, "flat.tsv", "position\tref\talt\tgene\tchange\tdrugs\tremark\n7\ta\tg\tgyrA\tA90V\tFluoroquinolones (FQ)\t\n9\tac\ta\tpncA\tdel\tPyrazinamide\t\n3\ta\tc\tx\ty\tIsoniazid\tphylogenetic SNP\n")
+    got = sorted((r.drug, r.pos, r.alt, r.call) for r in R.read_flat_catalogue(spark, flat).collect() if r.drug != "pyrazinamide")
+    assert got == [("levofloxacin", 7, "G", "R"), ("moxifloxacin", 7, "G", "R")]
+    manifest = R.read_reference_manifest(spark, put(tmp_path, "m.tsv", "#c\nreference\tname\taccession\tcomplex\n/db/avium.fna.gz\tM. avium\tGCF_1\tMAC\n"))
+    matches = spark.createDataFrame([("s", "/other/avium.fna"), ("s", "gcf_1"), ("s", "none")], "sample_id string, reference string")
+    found = {r.reference: r.name for r in R.resolve_references(matches, manifest).collect()}
+    assert found == {"/other/avium.fna": "M. avium", "gcf_1": "M. avium", "none": None}
+    with pytest.raises(ValueError, match="no column"):
+        R.read_reference_manifest(spark, put(tmp_path, "n.tsv", "a\tb\n1\t2\n"))
+
+
 def test_pairs(spark):
     files = spark.createDataFrame([("/d/x_S1_L001_R1_001.fastq.gz",), ("/d/x_S1_L001_R2_001.fastq.gz",), ("/d/y_1.fq",), ("/d/z.fastq",)], "path string")
     rows = {r.sample_id: (r.r1, r.r2) for r in R.pair_reads(files).collect()}
