@@ -2,13 +2,12 @@
 
 The chance of a word is that of its class, given the words before, times that of the word in its class. The class is
 a softmax over hashed features: the word before, the two before, the one before that (a skip), and the classes of the
-last three. Weights start from counts and are trained by full gradient steps that tasks compute in parallel over a
-bounded set of whole blocks of texts. Word counts, and so the base score, the words' classes and their chances within
-them, come from all training texts.
+last three. Weights start from counts and are trained by full gradient steps that tasks compute in parallel over all
+training texts, as are topics and word counts, and so the base score, the words' classes and their chances within them.
 
-Texts are taken in blocks of neighbouring ids. Each task counts its words by block; one shuffle by word gives every
+Texts are taken in blocks of about equal numbers of neighbouring ids. Each task counts its words by block; one shuffle by word gives every
 (block, word) its count and class in the whole corpus, a second one brings them to the block's texts. Neither needs a
-table of all words in one place.
+table of all words in one place. Texts are then kept as feature rows, classes and counts, which training and scoring read.
 """
 
 from __future__ import annotations
@@ -26,8 +25,8 @@ from pyspark.sql import functions as F
 from isolates.llm.text import LOWER_TABLE, NOT_SPACE, RollingHash, crc_mod, flat, slices, spaced, spans
 from isolates.session import materialise, read_table
 
-#: Texts of a block, and blocks that the weights are trained on.
-BLOCK_TEXTS, FIT_BLOCKS = 2048, 12
+#: Texts of a block, and those of the ranges of ids that blocks are made of, if ids are spread evenly.
+BLOCK_TEXTS, CELL_TEXTS = 2048, 512
 #: Frequent words whose company tells topics apart, topics, and word shapes; one more class is the end.
 ANCHORS, TOPICS, SHAPES = 512, 9, 6
 CLASSES = TOPICS * SHAPES + 1
@@ -39,8 +38,8 @@ DISCOUNT = 0.6
 #: Bits of a topic count in a packed long, and tokens scored at once.
 PACK = 7
 TOKENS = 1 << 15
-#: Bytes of text that are hashed and scored at once in a block.
-SLICE = 1 << 20
+#: Bytes of text that are hashed at once in a block, texts scored at once, and rows of a weight table summed together.
+SLICE, SCORE_TEXTS, PART_ROWS = 1 << 20, 256, 128
 
 
 @dataclass
@@ -94,8 +93,22 @@ def neighbours(t: Tokens, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield same, same + d
 
 
+def summed(parts: DataFrame, dtype: type, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of ``parts`` (part int, sums binary) and for each the sum of its arrays of ``size`` numbers over all tasks."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(size)
+        for x in table.column("sums"):
+            total += np.frombuffer(x.as_buffer(), dtype)
+        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    # one array of a fixed size in all, whatever the number of tasks
+    found = parts.groupBy("part").applyInArrow(add, "part int, sums binary").toArrow().sort_by("part")
+    return found.column("part").to_numpy(), np.array([np.frombuffer(x.as_buffer()) for x in found.column("sums")]).reshape(-1, size)
+
+
 def find_topics(sample: DataFrame) -> tuple[pa.Array, np.ndarray]:
-    """The most frequent words of the sample and their topics, from how often they stand near each other."""
+    """The most frequent words of the training texts and their topics, from how often they stand near each other."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -114,14 +127,15 @@ def find_topics(sample: DataFrame) -> tuple[pa.Array, np.ndarray]:
             for i, j in neighbours(t, 8):
                 both = np.flatnonzero((a[i] >= 0) & (a[j] >= 0))
                 met += np.bincount(a[i[both]] * n + a[j[both]], minlength=n * n).reshape(n, n)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(list(met), pa.list_(pa.int64()))], ["word", "met"])
+        if met.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([m.tobytes() for m in met], pa.binary())], ["part", "sums"])
 
     if not n:
         return anchors, np.zeros(0, np.int64)
     met = np.zeros((n, n))
-    for batch in sample.select("text").mapInArrow(company, "word long, met array<long>").toArrow().to_batches():
-        for w, m in zip(batch.column("word").to_pylist(), batch.column("met")):
-            met[w] += m.values.to_numpy()
+    tasks = sample.sparkSession.sparkContext.defaultParallelism
+    of, sums = summed(sample.select("text").coalesce(tasks).mapInArrow(company, "part int, sums binary"), np.int64, n)
+    met[of] = sums
     met += met.T
     share = met / np.maximum(1, met.sum())
     one = np.maximum(share.sum(axis=1), 1e-12)
@@ -219,7 +233,7 @@ def features(t: Tokens, class_: np.ndarray) -> np.ndarray:
     kinds = [before(class_, d, CLASSES).astype(np.uint64) for d in (1, 2, 3)]
     mix = np.uint64(0x9E3779B97F4A7C15)
     cells = (one, two * np.uint64(3) + one * mix, two, kinds[0] + kinds[1] * np.uint64(64) + kinds[2] * np.uint64(4096))
-    return np.stack([((x * mix) >> np.uint64(64 - 13)).astype(np.int32) for x in cells], axis=1)
+    return np.stack([((x * mix) >> np.uint64(64 - 13)).astype(np.uint16) for x in cells], axis=1)
 
 
 def looked_up(t: Tokens, words: pa.ChunkedArray | pa.Array, c: np.ndarray, class_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,41 +244,45 @@ def looked_up(t: Tokens, words: pa.ChunkedArray | pa.Array, c: np.ndarray, class
     return np.where(ok, c[at], 0)[t.code], np.where(ok, class_[at], 0)[t.code]
 
 
+def joined(column: pa.Array, dtype: type) -> np.ndarray:
+    """The numbers of all texts of a binary column, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+
+
 def train(coded: DataFrame, n: np.ndarray, v: np.ndarray) -> Model:
-    """Weights from the coded blocks: smoothed log ratios of counts first, then gradient steps."""
+    """Weights from the coded texts: smoothed log ratios of counts first, then gradient steps."""
     start = np.log((n + 0.5) / (n + 0.5).sum()).astype(np.float32)
     context = coded.sparkSession.sparkContext
+    # as many tasks as cores: each sends one table of sums
+    coded = coded.filter("learn").select("cells", "classes").coalesce(context.defaultParallelism)
 
     def sums(model):
         """Over all coded tokens: the classes seen with each feature, or what the model expects there."""
         shared = context.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(TABLES * ROWS * CLASSES)
+            total = np.zeros((TABLES, ROWS, CLASSES))
             for batch in batches:
-                for cell, class_ in zip(batch.column("cells"), batch.column("classes")):
-                    f = np.frombuffer(cell.as_py(), np.int32).reshape(-1, TABLES)
-                    k = np.frombuffer(class_.as_py(), np.uint8)
-                    for a in range(0, len(f), TOKENS):
-                        part = f[a : a + TOKENS]
-                        if shared.value is None:
-                            for i in range(TABLES):
-                                np.add.at(total, (i * ROWS + part[:, i].astype(np.int64)) * CLASSES + k[a : a + TOKENS], 1.0)
+                f_all, k_all = joined(batch.column("cells"), np.uint16).reshape(-1, TABLES), joined(batch.column("classes"), np.uint8)
+                for a in range(0, len(k_all), TOKENS):
+                    f, k = f_all[a : a + TOKENS], k_all[a : a + TOKENS]
+                    p = None if shared.value is None else shared.value.classes(f)
+                    for i in range(TABLES):
+                        if p is None:
+                            np.add.at(total[i].reshape(-1), f[:, i].astype(np.int64) * CLASSES + k, 1.0)
                             continue
-                        p = shared.value.classes(part)
-                        for i in range(TABLES):
-                            order = np.argsort(part[:, i], kind="stable")
-                            row = part[order, i]
-                            head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                            at = (i * ROWS + row[head].astype(np.int64))[:, None] * CLASSES + np.arange(CLASSES)
-                            total[at] += np.add.reduceat(p[order], head, axis=0)
-            if total.any():
-                yield pa.RecordBatch.from_pydict({"sums": [total.astype(np.float32).tobytes()]})
-
-        out = np.zeros(TABLES * ROWS * CLASSES)
-        for batch in coded.mapInArrow(run, "sums binary").toArrow().to_batches():
-            for x in batch.column("sums"):
-                out += np.frombuffer(x.as_py(), np.float32)
+                        order = np.argsort(f[:, i], kind="stable")
+                        row = f[order, i]
+                        head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+                        total[i][row[head]] += np.add.reduceat(p.take(order, axis=0), head, axis=0)
+            parts = total.reshape(-1, PART_ROWS * CLASSES)
+            on = np.flatnonzero(parts.any(axis=1))
+            arrays = [pa.array(on.astype(np.int32)), pa.array([parts[i].astype(np.float32).tobytes() for i in on], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "sums"])
+
+        out = np.zeros((TABLES * ROWS // PART_ROWS, PART_ROWS * CLASSES))
+        of, found = summed(coded.mapInArrow(run, "part int, sums binary"), np.float32, PART_ROWS * CLASSES)
+        out[of] = found
         return out.reshape(TABLES, ROWS, CLASSES)
 
     seen = sums(None)
@@ -279,13 +297,29 @@ def train(coded: DataFrame, n: np.ndarray, v: np.ndarray) -> Model:
     return model
 
 
-def with_blocks(docs: DataFrame, learn: Column) -> tuple[DataFrame, int]:
-    """``docs`` with ``learn`` and ``block``: ranges of ids with about ``BLOCK_TEXTS`` texts each, if ids are spread evenly."""
+def with_blocks(docs: DataFrame, learn: Column) -> DataFrame:
+    """``docs`` with ``learn`` and ``block``: ranges of ids with about ``BLOCK_TEXTS`` texts each, however ids are spread.
+
+    Texts are counted by narrow ranges of ids, which are joined to blocks; a range that holds too many (null ids are
+    one) is parted by a hash of id and text.
+    """
     ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    blocks = max(1, -(-ends["n"] // BLOCK_TEXTS))
-    low, width = ends["low"] or 0, max(1, -(-((ends["high"] or 0) - (ends["low"] or 0) + 1) // blocks))
-    block = F.coalesce(F.floor((F.col("doc_id") - low) / width), F.lit(0)).cast("long")
-    return docs.select("doc_id", "text", F.coalesce(learn, F.lit(True)).alias("learn"), block.alias("block")), blocks
+    low, cells = float(ends["low"] or 0), max(1, -(-ends["n"] // CELL_TEXTS))
+    width = max(1.0, (float(ends["high"] or 0) - low + 1) / cells)
+    cell = F.coalesce(F.floor((F.col("doc_id").cast("double") - low) / width), F.lit(-1)).cast("long")
+    # a row for each range that has texts: one in CELL_TEXTS of the texts' number at most
+    held = docs.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()
+    placed, block, room = [], 0, BLOCK_TEXTS
+    for r in held:
+        if r["n"] > room and room < BLOCK_TEXTS:
+            block, room = block + 1, BLOCK_TEXTS
+        parts = -(-r["n"] // BLOCK_TEXTS)
+        placed.append((r["cell"], block, parts))
+        block, room = (block + parts, BLOCK_TEXTS) if parts > 1 else (block, room - r["n"])
+    where = docs.sparkSession.createDataFrame(placed, "cell long, first long, parts long")
+    block = F.when(F.col("parts") > 1, F.col("first") + F.pmod(F.xxhash64("doc_id", "text"), "parts")).otherwise(F.col("first"))
+    marked = docs.select("doc_id", "text", F.coalesce(learn, F.lit(True)).alias("learn"), cell.alias("cell"))
+    return marked.join(F.broadcast(where), "cell").select("doc_id", "text", "learn", block.alias("block"))
 
 
 def scores(docs: DataFrame, learn: Column) -> DataFrame:
@@ -296,10 +330,8 @@ def scores(docs: DataFrame, learn: Column) -> DataFrame:
     count each and score alike, a null doc_id counts as a text to learn from, and other columns are ignored. An empty
     table gives no rows.
     """
-    marked, blocks = with_blocks(docs, learn)
-    chosen = sorted({i * blocks // FIT_BLOCKS for i in range(FIT_BLOCKS)})
-    sample = marked.filter(F.col("block").isin(chosen) & F.col("learn"))
-    anchors, topics = find_topics(sample)
+    marked = with_blocks(docs, learn)
+    anchors, topics = find_topics(marked.filter("learn"))
     words = materialise(known_words(block_words(marked, anchors, topics)), "words")
     totals = words.filter(F.col("lead") & (F.col("c") > 0)).groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -310,49 +342,53 @@ def scores(docs: DataFrame, learn: Column) -> DataFrame:
         return right.column("word").combine_chunks(), right.column("c").to_numpy(), right.column("class").to_numpy()
 
     def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        cells, classes = [], []
-        if left.num_rows and right.num_rows:
-            known = table(right)
-            for batch in slices(iter(left.to_batches()), limit=SLICE):
-                t = tokens(batch.column("text"), hashed=True)
-                c, k = looked_up(t, *known)
-                f = features(t, k)
-                cells.append(f.tobytes())
-                classes.append(k.astype(np.uint8).tobytes())
-        return pa.table({"cells": pa.array(cells, pa.binary()), "classes": pa.array(classes, pa.binary())})
+        out = []
+        known = table(right)
+        for batch in slices(iter(left.to_batches()), limit=SLICE):
+            t = tokens(batch.column("text"), hashed=True)
+            c, k = looked_up(t, *known)
+            kept = [batch.column("doc_id"), batch.column("learn")]
+            for x in (features(t, k), k.astype(np.uint8), c.astype(np.int64)):
+                size = x.nbytes // len(x)
+                kept.append(pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((t.first * size).astype(np.int32)), pa.py_buffer(x.tobytes())]))
+            out.append(pa.table(kept, ["doc_id", "learn", "cells", "classes", "counts"]))
+        schema = pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("cells", pa.binary()), ("classes", pa.binary()), ("counts", pa.binary())])
+        return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
 
     in_block = words.select("block", "word", "c", "class")
-    coded = sample.groupBy("block").cogroup(in_block.filter(F.col("block").isin(chosen) & (F.col("c") > 0)).groupBy("block"))
-    model = train(materialise(coded.applyInArrow(code, "cells binary, classes binary"), "coded"), n, v) if n.sum() else None
+    texts = marked.select("block", "doc_id", "learn", "text").groupBy("block")
+    coded = texts.cogroup(in_block.groupBy("block")).applyInArrow(code, "doc_id long, learn boolean, cells binary, classes binary, counts binary")
+    coded = materialise(coded, "coded")
+    model = train(coded, n, v) if n.sum() else None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     total, kinds = int(n.sum()), int(v.sum())
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        out = []
-        known = table(right)
         if model is not None:
             unseen = np.where(model.n > 0, DISCOUNT * model.v / np.maximum(1, model.n), 0)
-        for batch in slices(iter(left.to_batches()), limit=SLICE):
-            t = tokens(batch.column("text"), hashed=True)
-            c, k = looked_up(t, *known)
-            base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-            mine = base
-            if model is not None:
-                f = features(t, k)
-                mine = np.empty(len(k))
-                for a in range(0, len(k), TOKENS):
-                    s = slice(a, a + TOKENS)
-                    p = model.classes(f[s])
-                    seen = p[np.arange(len(p)), k[s]] * (c[s] - DISCOUNT) / np.maximum(1, model.n[k[s]])
-                    mine[s] = np.log10(np.maximum(np.where(c[s] > 0, seen, p @ unseen), 1e-300))
-            add = lambda x: np.add.reduceat(x, t.first[:-1])
-            out.append(pa.table({"doc_id": batch.column("doc_id"), "n_tokens": np.diff(t.first), "n_known": add((c > 0).astype(np.int64)), "train_tokens": np.full(batch.num_rows, total, np.int64), "base_score": add(base), "score": add(mine)}))
-        schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-        return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
-
-    texts = marked.select("block", "doc_id", "text").groupBy("block")
-    return texts.cogroup(in_block.groupBy("block")).applyInArrow(
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SCORE_TEXTS):
+                batch = whole.slice(begin, SCORE_TEXTS)
+                c, k = joined(batch.column("counts"), np.int64), joined(batch.column("classes"), np.uint8)
+                length = np.array([len(x) for x in batch.column("classes").to_pylist()])
+                first = np.cumsum(length) - length
+                base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
+                mine = base
+                if model is not None:
+                    f = joined(batch.column("cells"), np.uint16).reshape(-1, TABLES)
+                    mine = np.empty(len(k))
+                    for a in range(0, len(k), TOKENS):
+                        s = slice(a, a + TOKENS)
+                        p = model.classes(f[s])
+                        seen = p[np.arange(len(p)), k[s]] * (c[s] - DISCOUNT) / np.maximum(1, model.n[k[s]])
+                        mine[s] = np.log10(np.maximum(np.where(c[s] > 0, seen, p @ unseen), 1e-300))
+                add = lambda x: np.add.reduceat(x, first)  # noqa: E731, B023
+                columns = [length, add((c > 0).astype(np.int64)), np.full(batch.num_rows, total, np.int64), add(base), add(mine)]
+                names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names)
+
+    return coded.drop("learn").mapInArrow(
         score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
