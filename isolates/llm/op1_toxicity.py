@@ -22,6 +22,8 @@ from isolates.session import read_table
 
 #: Labelled texts that the fit may see.
 MAX_FIT_ROWS = 4000
+#: Score from which on a text counts as toxic, in the query and in the pipeline's stage.
+LIMIT = 0.3
 #: Bytes of the word beginnings that count as patterns, beside whole words.
 BEGINNINGS = (5, 6, 7, 8, 9)
 MIN_TEXTS = 4
@@ -222,7 +224,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_FIT_
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, learn, limit: float = 0.5, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, learn, limit: float = LIMIT, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """``docs`` without the rows that score ``limit`` or more; all columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(*labelled_sample(docs, labels, "toxic", learn, max_rows)))
 
@@ -236,4 +238,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, learn, limit: float = 0.5,
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scored = toxicity(docs, labels, crc_mod("doc_id", 4) != 2)
-    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= LIMIT).cast("int").alias("predicted"))
