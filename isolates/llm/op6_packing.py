@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -34,28 +35,41 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str):
-    """The byte-level vocabulary at ``path`` (ranks), read once in each worker."""
+def encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...] = ()):
+    """Text to ids by the byte-level vocabulary at ``path`` (ranks) and the added tokens, read once in each worker."""
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    names = {content for content, _ in added}
+    encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(added))
 
+    def encode(text: str) -> list[int]:
+        # the file's tokenizer cuts a text at each added token; encode_ordinary would cut the token itself into pieces
+        if any(name in text for name in names):
+            return encoding.encode(text, allowed_special=names, disallowed_special=())
+        return encoding.encode_ordinary(text)
 
-def public_vocabulary() -> tuple[str, str]:
-    """Ranks of the public 50k byte-level vocabulary, whose ids are those of its tokenizer file, and its split pattern."""
+    return encode
+
+
+def public_vocabulary() -> tuple[str, str, tuple[tuple[str, int], ...]]:
+    """Ranks of the public 50k byte-level vocabulary, its split pattern, and the added tokens that its tokenizer file lists."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
+        raise ValueError("an added token is not matched as it stands")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tuple((t["content"], t["id"]) for t in added)
 
 
-def pieces(docs: DataFrame, vocabulary: tuple[str, str] | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: tuple | None = None, size: int = SIZE, with_ids: bool = False) -> DataFrame:
     """The pieces of every text: its ids and the end id, cut every ``size`` ids; ``with_ids`` adds them as ``ids``."""
-    path, pattern = vocabulary or public_vocabulary()
+    named = vocabulary or public_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode_ordinary
+        encode = encoder(*named)
         for batch in slices(batches):
             rows: list[tuple] = []
             kept = []
@@ -138,7 +152,7 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     return ranked.mapInArrow(run, schema)
 
 
-def pack_documents(docs: DataFrame, vocabulary: tuple[str, str] | None = None, size: int = SIZE) -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: tuple | None = None, size: int = SIZE) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every id of every text in one piece of one sequence.
 
     Null and empty texts are one piece with the end id alone. Long texts are cut every ``size`` ids. Repeated rows and
