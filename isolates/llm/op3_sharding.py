@@ -158,15 +158,26 @@ def rewrite(layout: DataFrame, moved: DataFrame, out: str, max_rows_per_file: in
     """Write the shards that lose or gain a document under ``out``/shard=N, in slot order; return their numbers.
 
     ``layout``: the rows now, with their ``shard``; ``moved``: what :func:`reshard` gave for them. A shard that
-    keeps exactly its documents is not read or written.
+    keeps exactly its documents is not read or written. A row is found by its shard (null: 0), doc_id, size and
+    checksum, nulls included; equal rows are numbered on both sides, so each gets a target of its own.
     """
     changed = moved.filter(F.col("shard") != F.col("old_shard")).select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
     numbers = sorted(r["s"] for r in changed.collect())
     if numbers:
-        target = moved.filter(F.col("shard").isin(numbers)).select("doc_id", "shard", "slot")
-        rows = layout.filter(F.col("shard").isin(numbers)).drop("shard")
+        keys = ["__old", "__id", "__size", "__crc", "__i"]
+        equal = W.partitionBy(*keys[:4])
+        target = moved.filter(F.col("old_shard").isin(numbers)).select(
+            F.col("old_shard").alias("__old"), F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "shard", "slot"
+        )
+        target = target.withColumn("__i", F.row_number().over(equal.orderBy("shard", "slot"))).alias("t")
+        rows = layout.withColumns(
+            {"__old": F.coalesce("shard", F.lit(0)).cast("int"), "__id": F.col("doc_id"), "__size": text_size(), "__crc": F.crc32("text")}
+        ).drop("shard")
+        rows = rows.filter(F.col("__old").isin(numbers)).withColumn("__i", F.row_number().over(equal.orderBy("__id"))).alias("r")
+        same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
         (
-            rows.join(target.dropDuplicates(["doc_id"]), "doc_id")
+            rows.join(target, same)
+            .select(*[F.col(f"r.{c}") for c in layout.columns if c not in ("shard", "slot")], "t.shard", "t.slot")
             .repartition("shard", F.floor(F.col("slot") / max_rows_per_file))
             .sortWithinPartitions("shard", "slot")
             .write.partitionBy("shard").parquet(out)
