@@ -1,13 +1,15 @@
 """Language-model scoring with a hashed maximum-entropy model and a class-factored softmax.
 
-The chance of a word is that of its class, given the words before, times that of the word in its class. The class is
-a softmax over hashed features: the word before, the two before, the one before that (a skip), and the classes of the
-last three. Weights start from counts and are trained by full gradient steps that tasks compute in parallel over all
-training texts, as are topics and word counts, and so the base score, the words' classes and their chances within them.
-
-Texts are taken in blocks of about equal numbers of neighbouring ids. Each task counts its words by block; one shuffle by word gives every
-(block, word) its count and class in the whole corpus, a second one brings them to the block's texts. Neither needs a
-table of all words in one place. Texts are then kept as feature rows, classes and counts, which training and scoring read.
+The most frequent words are outputs of their own, all others share an output with the words of the same form (last
+letters and shape). Outputs are dealt to classes by rank. The chance of a word is that of its class, given the words
+before, times that of its output in the class, given the same, times the word's share of its output. Both softmaxes see
+hashed features: the word before, the two before, the one before that alone (a skip), and the outputs of the last two.
+All weights lie in one hashed table with a row for each feature, or for each feature and class.
+
+Weights come from distributed gradient updates: each step sums gradients over another part of all training texts, in
+tasks that send sums of a fixed size, so every training text is seen once. Words are counted by one shuffle. The
+frequent words, in a number that is bounded, are looked up in the tasks; all others are rare, so that the join that
+brings their counts to the texts has no hot key. Texts themselves are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,28 +20,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isolates.llm.text import LOWER_TABLE, NOT_SPACE, RollingHash, crc_mod, flat, slices, spaced, spans
+from isolates.llm.text import LOWER_TABLE, NOT_SPACE, RollingHash, crc_mod, flat, slices, spaced, spans, spread
 from isolates.session import materialise, read_table
 
-#: Texts of a block, and those of the ranges of ids that blocks are made of, if ids are spread evenly.
-BLOCK_TEXTS, CELL_TEXTS = 2048, 512
-#: Frequent words whose company tells topics apart, topics, and word shapes; one more class is the end.
-ANCHORS, TOPICS, SHAPES = 512, 9, 6
-CLASSES = TOPICS * SHAPES + 1
 END = "\n"
-#: Rows of a weight table (hashed), tables, and gradient steps.
-ROWS, TABLES, STEPS = 1 << 13, 4, 4
-#: What each word leaves of its count to unseen words of its class.
+#: Words that tasks look up at most, and the bytes that such a word may have.
+HEAD, HEAD_BYTES = 1 << 17, 256
+#: Members of a class and classes; outputs that are forms, the rest are words.
+WIDTH, FORMS = 32, 256
+OUTPUTS = WIDTH * WIDTH
+#: Rows of the hashed table, features of a token, gradient steps, and how far a step goes.
+ROWS, FEATURES, STEPS, RATE = 1 << 15, 4, 6, 0.5
+#: What each word leaves of its count to unseen words of its form.
 DISCOUNT = 0.6
-#: Bits of a topic count in a packed long, and tokens scored at once.
-PACK = 7
-TOKENS = 1 << 15
-#: Bytes of text that are hashed at once in a block, texts scored at once, and rows of a weight table summed together.
-SLICE, SCORE_TEXTS, PART_ROWS = 1 << 20, 256, 128
+#: Bytes of text and tokens handled at once, and rows of the table that are summed together.
+SLICE, TOKENS, PART_ROWS = 1 << 20, 1 << 15, 128
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass
@@ -66,330 +67,289 @@ def tokens(column: pa.Array, hashed: bool = False) -> Tokens:
     return Tokens(code, words, h, first + np.arange(len(first)))
 
 
-def shapes(words: pa.Array) -> np.ndarray:
-    """The shape of each word: plain, ends in a stop, in a comma, in another mark, has a digit, or marks only."""
+def forms(words: pa.Array) -> np.ndarray:
+    """The form of each word: its last two letters and its shape (plain, stop, comma, other mark, digits, marks only), hashed."""
     data, offsets = flat(words)
-    n = np.diff(offsets)
-    last = data[np.maximum(offsets[1:] - 1, 0)] if len(data) else np.zeros(len(n), np.uint8)
+    if not len(data):
+        return np.zeros(len(words), np.int32)
+    last = data[np.maximum(offsets[1:] - 1, 0)]
     letter = (data >= 97) & (data <= 122) | (data >= 128)
-    letters = np.append(0, np.cumsum(letter))
     digits = np.append(0, np.cumsum((data >= 48) & (data <= 57)))
-    has = lambda c: c[offsets[1:]] > c[offsets[:-1]]
+    at = np.maximum.accumulate(np.where(letter, np.arange(len(data)), -1))[np.maximum(offsets[1:] - 1, 0)]
+    some = at >= offsets[:-1]
+    one = np.where(some, data[np.maximum(at, 0)], 0).astype(np.uint64)
+    two = np.where(some & (at > offsets[:-1]), data[np.maximum(at - 1, 0)], 0).astype(np.uint64)
     mark = (last < 48) | (last > 57) & (last < 97) | (last > 122) & (last < 128)
-    return np.select([has(digits), ~has(letters), last == ord("."), last == ord(","), mark], [4, 5, 1, 2, 3], 0)
+    shape = np.select([digits[offsets[1:]] > digits[offsets[:-1]], ~some, last == ord("."), last == ord(","), mark], [4, 5, 1, 2, 3], 0)
+    return (((one + two * np.uint64(256) + shape.astype(np.uint64) * np.uint64(65536) + np.uint64(1)) * _MIX) >> np.uint64(56)).astype(np.int32)
 
 
-def topic_of(t: Tokens, anchors: pa.Array, topics: np.ndarray) -> np.ndarray:
-    """The topic of each token that is an anchor, else -1."""
-    at = pc.fill_null(pc.index_in(t.words, anchors), -1).to_numpy(zero_copy_only=False)
-    return np.where(at >= 0, topics[at], -1)[t.code]
+@dataclass
+class Words:
+    """The frequent words and their counts, which of them are outputs, and counts and kinds of the words of each output."""
 
+    words: pa.Array
+    count: np.ndarray
+    output: np.ndarray
+    form_output: np.ndarray
+    n: np.ndarray
+    v: np.ndarray
+    total: int
+    kinds: int
 
-def neighbours(t: Tokens, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of tokens of one text up to ``reach`` apart."""
-    text = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
-    for d in range(1, reach + 1):
-        same = np.flatnonzero(text[d:] == text[:-d])
-        yield same, same + d
+    def of(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of the dictionary: its count (-1 if not frequent), its output, and whether it is all of its output."""
+        at = pc.fill_null(pc.index_in(t.words, self.words), -1).to_numpy(zero_copy_only=False)
+        count = np.where(at >= 0, self.count[at], -1) if len(self.count) else np.full(len(at), -1)
+        own = np.where(at >= 0, self.output[at], -1) if len(self.count) else np.full(len(at), -1)
+        return count, np.where(own >= 0, own, self.form_output[forms(t.words)]), own >= 0
 
 
-def summed(parts: DataFrame, dtype: type, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The parts of ``parts`` (part int, sums binary) and for each the sum of its arrays of ``size`` numbers over all tasks."""
+def count_words(docs: DataFrame) -> DataFrame:
+    """(word, n, form) of all words of ``docs`` (text); every text has one end."""
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(size)
-        for x in table.column("sums"):
-            total += np.frombuffer(x.as_buffer(), dtype)
-        return pa.table({"part": table.column("part").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            t = tokens(batch.column("text"))
+            columns = [t.words.cast(pa.string()), pa.array(np.bincount(t.code, minlength=len(t.words))), pa.array(forms(t.words))]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "n", "form"])
 
-    # one array of a fixed size in all, whatever the number of tasks
-    found = parts.groupBy("part").applyInArrow(add, "part int, sums binary").toArrow().sort_by("part")
-    return found.column("part").to_numpy(), np.array([np.frombuffer(x.as_buffer()) for x in found.column("sums")]).reshape(-1, size)
+    found = docs.select("text").mapInArrow(run, "word string, n long, form int")
+    return found.groupBy("word").agg(F.sum("n").alias("n"), F.min("form").alias("form"))
 
 
-def find_topics(sample: DataFrame) -> tuple[pa.Array, np.ndarray]:
-    """The most frequent words of the training texts and their topics, from how often they stand near each other."""
+def frequent_words(words: DataFrame) -> Words:
+    """The words from the lowest count on that leaves ``HEAD`` of them at most, and how the outputs are made up."""
+    # counts by steps of a quarter of a power of two: some hundred rows
+    level = F.floor(4 * F.log2("n")).cast("int")
+    short = F.octet_length("word") <= HEAD_BYTES
+    held = words.filter(short).groupBy(level.alias("level")).agg(F.count("*").alias("words")).orderBy(F.desc("level")).collect()
+    least, room = 1 << 30, HEAD
+    for r in held:
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["level"]
+    head = words.filter(short & (level >= least) | (F.col("word") == END)).toArrow()
+    head = head.take(np.lexsort((np.array(head.column("word").to_pylist(), object), -head.column("n").to_numpy())))
+    count, form = head.column("n").to_numpy(), head.column("form").to_numpy()
+    n, v = np.zeros(FORMS, np.int64), np.zeros(FORMS, np.int64)
+    for r in words.groupBy("form").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        n[r["form"]], v[r["form"]] = r["n"], r["v"]
+    total, kinds = int(n.sum()), int(v.sum())
+    own = np.zeros(len(count), bool)
+    own[: OUTPUTS - FORMS] = True
+    own |= pc.equal(head.column("word"), END).to_numpy()
+    chosen = np.flatnonzero(own)
+    if len(chosen) > OUTPUTS - FORMS:  # the end is always an output
+        chosen = np.delete(chosen, -2)
+    np.subtract.at(n, form[chosen], count[chosen])
+    np.subtract.at(v, form[chosen], 1)
+    n, v = np.append(n, count[chosen]), np.append(v, np.ones(len(chosen), np.int64))
+    rank = np.empty(len(n), np.int64)
+    order = np.argsort(-n, kind="stable")
+    rank[order] = np.arange(len(n))
+    output = np.full(len(count), -1)
+    output[chosen] = rank[FORMS:]
+    spare = np.zeros(OUTPUTS - len(n), np.int64)
+    text = head.column("word").combine_chunks().cast(pa.large_string())
+    return Words(text, count, output, rank[:FORMS], np.append(n[order], spare), np.append(v[order], spare), total, kinds)
+
+
+def features(t: Tokens, output: np.ndarray) -> np.ndarray:
+    """A hash for each feature of each token, from what stands before it in its text."""
+    text = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            t = tokens(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([t.words.cast(pa.string()), pa.array(np.bincount(t.code, minlength=len(t.words)))], ["word", "n"])
+    def before(x, d, none):
+        out = np.full(len(x), none, np.uint64)
+        out[d:] = np.where(text[d:] == text[:-d], x[:-d], np.uint64(none))
+        return out
 
-    top = sample.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    anchors = pa.array([r["word"] for r in top.filter(F.col("word") != END).orderBy(F.desc("n"), "word").limit(ANCHORS).collect()], pa.large_string())
-    n = len(anchors)
+    one, two = before(t.hash, 1, 2), before(t.hash, 2, 2)
+    kinds = [before(output.astype(np.uint64), d, OUTPUTS) for d in (1, 2)]
+    with np.errstate(over="ignore"):
+        cells = np.stack([one, two * np.uint64(3) + one * _MIX, two, kinds[0] + kinds[1] * np.uint64(2 * OUTPUTS)])
+        cells = (cells + np.arange(1, FEATURES + 1, dtype=np.uint64)[:, None]) * _MIX
+        return cells ^ (cells >> np.uint64(31))
 
-    def company(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = np.zeros((n, n), np.int64)
-        for batch in slices(batches):
-            t = tokens(batch.column("text"))
-            a = topic_of(t, anchors, np.arange(n))
-            for i, j in neighbours(t, 8):
-                both = np.flatnonzero((a[i] >= 0) & (a[j] >= 0))
-                met += np.bincount(a[i[both]] * n + a[j[both]], minlength=n * n).reshape(n, n)
-        if met.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array([m.tobytes() for m in met], pa.binary())], ["part", "sums"])
-
-    if not n:
-        return anchors, np.zeros(0, np.int64)
-    met = np.zeros((n, n))
-    tasks = sample.sparkSession.sparkContext.defaultParallelism
-    of, sums = summed(sample.select("text").coalesce(tasks).mapInArrow(company, "part int, sums binary"), np.int64, n)
-    met[of] = sums
-    met += met.T
-    share = met / np.maximum(1, met.sum())
-    one = np.maximum(share.sum(axis=1), 1e-12)
-    near = np.log1p(share / (one[:, None] * one[None, :]))
-    value, vector = np.linalg.eigh(near)
-    x = vector[:, np.argsort(-np.abs(value))[:TOPICS]]
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centre = x[:1]
-    for _ in range(min(TOPICS, n) - 1):
-        centre = np.vstack([centre, x[np.argmin((x @ centre.T).max(axis=1))]])
-    for _ in range(25):
-        mine = (x @ centre.T).argmax(axis=1)
-        centre = np.stack([x[mine == k].mean(axis=0) if (mine == k).any() else centre[k] for k in range(len(centre))])
-        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-9)
-    return anchors, mine
-
-
-def block_words(docs: DataFrame, anchors: pa.Array, topics: np.ndarray) -> DataFrame:
-    """(block, word, n, shape, near): each block's words, their count in its training texts, and the topics near them, packed."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            blocks = batch.column("block").to_numpy()
-            for block in np.unique(blocks):
-                rows = batch.filter(pa.array(blocks == block))
-                t = tokens(rows.column("text"))
-                size = len(t.words)
-                learn = np.repeat(rows.column("learn").to_numpy(zero_copy_only=False), np.diff(t.first))
-                n = np.bincount(t.code, learn, size).astype(np.int64)
-                topic = topic_of(t, anchors, topics)
-                near = np.zeros(size * TOPICS, np.int32)
-                for i, j in neighbours(t, 2):
-                    for a, b in ((i, j), (j, i)):
-                        on = np.flatnonzero((topic[b] >= 0) & learn[a])
-                        np.add(near, np.bincount(t.code[a[on]] * TOPICS + topic[b[on]], minlength=size * TOPICS), out=near, casting="unsafe")
-                near = near.reshape(size, TOPICS)
-                most, top = (1 << PACK) - 1, near.max(axis=1)
-                many = np.flatnonzero(top > most)
-                near[many] = near[many].astype(np.int64) * most // top[many, None]
-                packed = np.zeros(size, np.int64)
-                for i in range(TOPICS):
-                    packed |= near[:, i].astype(np.int64) << (PACK * i)
-                columns = [pa.array(np.full(size, block)), t.words.cast(pa.string()), pa.array(n), pa.array(shapes(t.words), pa.int32()), pa.array(packed)]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "word", "n", "shape", "near"])
-
-    rows = docs.select("block", "text", "learn").mapInArrow(run, "block long, word string, n long, shape int, near long")
-    return rows
-
-
-def known_words(rows: DataFrame) -> DataFrame:
-    """(block, word, c, class, lead): for each block's words the count in all training texts and the class.
-
-    ``lead`` marks one row of each word. Rows of a word are at most as many as there are blocks and tasks that share one.
-    """
-    of_word = W.partitionBy("word")
-    near = F.array(*[F.sum(F.shiftright("near", PACK * i).bitwiseAND((1 << PACK) - 1)).over(of_word) for i in range(TOPICS)])
-    placed = rows.select("block", "word", "shape", F.sum("n").over(of_word).alias("c"), near.alias("near"), F.row_number().over(of_word.orderBy("block")).alias("i"))
-    topic = (F.array_position("near", F.array_max("near")) - 1).cast("int")
-    class_ = F.when(F.col("word") == END, CLASSES - 1).otherwise(topic * SHAPES + F.col("shape")).cast("int")
-    return placed.select("block", "word", "c", class_.alias("class"), (F.col("i") == 1).alias("lead"))
+def rows_of(cells: np.ndarray, class_: np.ndarray | None = None) -> np.ndarray:
+    """The row of the table for each feature, or for each feature in a class."""
+    with np.errstate(over="ignore"):
+        if class_ is not None:
+            cells = cells + (class_.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD1B54A32D192ED03)
+        return ((cells * _MIX) >> np.uint64(64 - 15)).astype(np.uint16)
 
 
 @dataclass
 class Model:
-    """Totals by class, the base's totals, and the weights of the class softmax."""
+    """The outputs' logarithmic shares of all words, by class and in their class, and the weights."""
 
-    n: np.ndarray
-    v: np.ndarray
+    classes: np.ndarray
+    members: np.ndarray
     weights: np.ndarray
-    start: np.ndarray
-
-    def classes(self, features: np.ndarray) -> np.ndarray:
-        """The classes' chances for each row of features."""
-        x = self.start + self.weights[0][features[:, 0]]
-        for k in range(1, TABLES):
-            x += self.weights[k][features[:, k]]
-        x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
+
+    @staticmethod
+    def start(n: np.ndarray) -> Model:
+        share = (n + 0.5).reshape(WIDTH, WIDTH)
+        classes, members = np.log(share.sum(axis=1) / share.sum()), np.log(share / share.sum(axis=1, keepdims=True))
+        return Model(classes.astype(np.float32), members.astype(np.float32), np.zeros((ROWS, WIDTH), np.float32))
+
+    def chances(self, rows: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Softmax over a class's members, or the classes, for each token."""
+        x = start + self.weights.take(rows[0], axis=0)
+        for r in rows[1:]:
+            x += self.weights.take(r, axis=0)
+        np.exp(x, out=x)  # a weight moves by 2 * RATE a step at most, so this cannot overflow
+        x /= (x @ np.ones(WIDTH, np.float32))[:, None]
         return x
 
+    def levels(self, cells: np.ndarray, output: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For the classes and for the members of each token's class: rows, what was met, and the chances of all."""
+        class_, member = output // WIDTH, output % WIDTH
+        rows = rows_of(cells)
+        yield rows, class_, self.chances(rows, self.classes)
+        rows = rows_of(cells, class_)
+        yield rows, member, self.chances(rows, self.members[class_])
 
-def features(t: Tokens, class_: np.ndarray) -> np.ndarray:
-    """The rows of the weight tables for each token, from what stands before it in its text."""
-    text = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
 
-    def before(x, d, none):
-        out = np.full(len(x), none, x.dtype)
-        out[d:] = np.where(text[d:] == text[:-d], x[:-d], none)
-        return out
+def gradient(texts: DataFrame, words, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Over all tokens of ``texts``: how often each weight's output was met with its feature, and how often the model expects it."""
+    context = texts.sparkSession.sparkContext
+    shared = context.broadcast(model)
 
-    one, two = before(t.hash, 1, np.uint64(2)), before(t.hash, 2, np.uint64(2))
-    kinds = [before(class_, d, CLASSES).astype(np.uint64) for d in (1, 2, 3)]
-    mix = np.uint64(0x9E3779B97F4A7C15)
-    cells = (one, two * np.uint64(3) + one * mix, two, kinds[0] + kinds[1] * np.uint64(64) + kinds[2] * np.uint64(4096))
-    return np.stack([((x * mix) >> np.uint64(64 - 13)).astype(np.uint16) for x in cells], axis=1)
-
-
-def looked_up(t: Tokens, words: pa.ChunkedArray | pa.Array, c: np.ndarray, class_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Count and class of every token."""
-    at = pc.index_in(t.words, words.cast(pa.large_string())).to_numpy(zero_copy_only=False)
-    at = np.nan_to_num(at, nan=-1).astype(np.int64)
-    ok = at >= 0
-    return np.where(ok, c[at], 0)[t.code], np.where(ok, class_[at], 0)[t.code]
-
-
-def joined(column: pa.Array, dtype: type) -> np.ndarray:
-    """The numbers of all texts of a binary column, one after the other."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
-
-
-def train(coded: DataFrame, n: np.ndarray, v: np.ndarray) -> Model:
-    """Weights from the coded texts: smoothed log ratios of counts first, then gradient steps."""
-    start = np.log((n + 0.5) / (n + 0.5).sum()).astype(np.float32)
-    context = coded.sparkSession.sparkContext
-    # as many tasks as cores: each sends one table of sums
-    coded = coded.filter("learn").select("cells", "classes").coalesce(context.defaultParallelism)
-
-    def sums(model):
-        """Over all coded tokens: the classes seen with each feature, or what the model expects there."""
-        shared = context.broadcast(model)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((TABLES, ROWS, CLASSES))
-            for batch in batches:
-                f_all, k_all = joined(batch.column("cells"), np.uint16).reshape(-1, TABLES), joined(batch.column("classes"), np.uint8)
-                for a in range(0, len(k_all), TOKENS):
-                    f, k = f_all[a : a + TOKENS], k_all[a : a + TOKENS]
-                    p = None if shared.value is None else shared.value.classes(f)
-                    for i in range(TABLES):
-                        if p is None:
-                            np.add.at(total[i].reshape(-1), f[:, i].astype(np.int64) * CLASSES + k, 1.0)
-                            continue
-                        order = np.argsort(f[:, i], kind="stable")
-                        row = f[order, i]
-                        head = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                        total[i][row[head]] += np.add.reduceat(p.take(order, axis=0), head, axis=0)
-            parts = total.reshape(-1, PART_ROWS * CLASSES)
-            on = np.flatnonzero(parts.any(axis=1))
-            arrays = [pa.array(on.astype(np.int32)), pa.array([parts[i].astype(np.float32).tobytes() for i in on], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["part", "sums"])
-
-        out = np.zeros((TABLES * ROWS // PART_ROWS, PART_ROWS * CLASSES))
-        of, found = summed(coded.mapInArrow(run, "part int, sums binary"), np.float32, PART_ROWS * CLASSES)
-        out[of] = found
-        return out.reshape(TABLES, ROWS, CLASSES)
-
-    seen = sums(None)
-    prior = np.exp(start)
-    rows = seen.sum(axis=2, keepdims=True)
-    weights = (0.5 * np.log((seen + 4 * prior) / (rows + 4) / prior)).astype(np.float32)
-    model = Model(n, v, weights, start)
-    for _ in range(STEPS):
-        expected = sums(model)
-        step = 0.6 * (seen - expected) / (0.5 * (seen + expected) + 2.0)
-        model = Model(n, v, (model.weights + step).astype(np.float32), start)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, expected = np.zeros(ROWS * WIDTH, np.int64), np.zeros((WIDTH, ROWS))
+        for batch in slices(batches, limit=SLICE):
+            t = tokens(batch.column("text"), hashed=True)
+            output = words.value.of(t)[1][t.code]
+            cells = features(t, output)
+            for a in range(0, len(output), TOKENS):
+                for rows, target, p in shared.value.levels(cells[:, a : a + TOKENS], output[a : a + TOKENS]):
+                    row = rows.astype(np.int64)
+                    np.add.at(met, (row * WIDTH + target).ravel(), 1)
+                    for member, x in enumerate(p.T.astype(np.float64)):
+                        expected[member] += np.bincount(row.ravel(), np.tile(x, FEATURES), ROWS)
+        expected = np.ascontiguousarray(expected.T)
+        met, expected = met.reshape(-1, PART_ROWS * WIDTH), expected.reshape(-1, PART_ROWS * WIDTH)
+        on = np.flatnonzero(met.any(axis=1))
+        columns = [pa.array([x[i].astype(np.float32).tobytes() for i in on], pa.binary()) for x in (met, expected)]
+        yield pa.RecordBatch.from_arrays([pa.array(on.astype(np.int32)), *columns], ["part", "met", "expected"])
+
+    def add(table: pa.Table) -> pa.Table:
+        out = [table.column("part").slice(0, 1)]
+        for name in ("met", "expected"):
+            total = np.zeros(PART_ROWS * WIDTH)
+            for x in table.column(name):
+                total += np.frombuffer(x.as_buffer(), np.float32)
+            out.append(pa.array([total.astype(np.float32).tobytes()], pa.binary()))
+        return pa.table(out, ["part", "met", "expected"])
+
+    # as many tasks as cores, each sends one table of sums; one table in all comes to the driver
+    parts = texts.select("text").coalesce(context.defaultParallelism).mapInArrow(run, "part int, met binary, expected binary")
+    found = parts.groupBy("part").applyInArrow(add, "part int, met binary, expected binary").toArrow()
+    out = np.zeros((2, ROWS // PART_ROWS, PART_ROWS * WIDTH), np.float32)
+    for i, name in enumerate(("met", "expected")):
+        for part, x in zip(found.column("part").to_pylist(), found.column(name)):
+            out[i, part] = np.frombuffer(x.as_buffer(), np.float32)
+    shared.destroy()
+    return out[0].reshape(ROWS, WIDTH), out[1].reshape(ROWS, WIDTH)
+
+
+def train(texts: DataFrame, words, n: np.ndarray) -> Model:
+    """Weights after ``STEPS`` updates, each from the gradient over another part of all training texts."""
+    model = Model.start(n)
+    part = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(STEPS))
+    for step in range(STEPS):
+        met, expected = gradient(texts.filter(part == step), words, model)
+        change = RATE * (met - expected) / (0.5 * (met + expected) + 2.0)
+        model = Model(model.classes, model.members, model.weights + change.astype(np.float32))
     return model
 
 
-def with_blocks(docs: DataFrame, learn: Column) -> DataFrame:
-    """``docs`` with ``learn`` and ``block``: ranges of ids with about ``BLOCK_TEXTS`` texts each, however ids are spread.
+def scored_texts(docs: DataFrame, words, model) -> DataFrame:
+    """For every text what its frequent words add up to, and its other words, each once, with their number and form."""
+    schema = "row long, doc_id long, n_tokens long, n_known long, base double, model double, rare array<struct<word:string,n:int,form:int>>"
+    rare_type = pa.struct([("word", pa.string()), ("n", pa.int32()), ("form", pa.int32())])
 
-    Texts are counted by narrow ranges of ids, which are joined to blocks; a range that holds too many (null ids are
-    one) is parted by a hash of id and text.
-    """
-    ends = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).first()
-    low, cells = float(ends["low"] or 0), max(1, -(-ends["n"] // CELL_TEXTS))
-    width = max(1.0, (float(ends["high"] or 0) - low + 1) / cells)
-    cell = F.coalesce(F.floor((F.col("doc_id").cast("double") - low) / width), F.lit(-1)).cast("long")
-    # a row for each range that has texts: one in CELL_TEXTS of the texts' number at most
-    held = docs.select(cell.alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).orderBy("cell").collect()
-    placed, block, room = [], 0, BLOCK_TEXTS
-    for r in held:
-        if r["n"] > room and room < BLOCK_TEXTS:
-            block, room = block + 1, BLOCK_TEXTS
-        parts = -(-r["n"] // BLOCK_TEXTS)
-        placed.append((r["cell"], block, parts))
-        block, room = (block + parts, BLOCK_TEXTS) if parts > 1 else (block, room - r["n"])
-    where = docs.sparkSession.createDataFrame(placed, "cell long, first long, parts long")
-    block = F.when(F.col("parts") > 1, F.col("first") + F.pmod(F.xxhash64("doc_id", "text"), "parts")).otherwise(F.col("first"))
-    marked = docs.select("doc_id", "text", F.coalesce(learn, F.lit(True)).alias("learn"), cell.alias("cell"))
-    return marked.join(F.broadcast(where), "cell").select("doc_id", "text", "learn", block.alias("block"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, m, row = words.value, model.value, TaskContext.get().partitionId() << 33
+        smooth = known.total + 0.5 * (known.kinds + 1)
+        for batch in slices(batches, limit=SLICE):
+            t = tokens(batch.column("text"), hashed=m is not None)
+            count, output, own = known.of(t)
+            base = np.log10((np.maximum(count, 0) + 0.5) / smooth)
+            base[count < 0] = 0  # added once the count is known
+            mine = np.zeros(len(t.code))
+            if m is not None:
+                n = known.n[output]
+                # the share of an output's words, as far as it is known here
+                share = np.where(count >= 0, np.log10(np.maximum(count - DISCOUNT, 0.1)), 0.0) - np.log10(np.maximum(n, 1))
+                share[own] = 0
+                out = output[t.code]
+                cells = features(t, out)
+                for a in range(0, len(out), TOKENS):
+                    s = slice(a, a + TOKENS)
+                    for _, target, p in m.levels(cells[:, s], out[s]):
+                        mine[s] += np.log10(np.maximum(p[np.arange(len(p)), target], 1e-30))
+                mine += share[t.code]
+            length = np.diff(t.first)
+            text = np.repeat(np.arange(len(length)), length)
+            seldom = np.flatnonzero(count[t.code] < 0)
+            pair, times = np.unique(text[seldom] * len(t.words) + t.code[seldom], return_counts=True)
+            word = pair % len(t.words)
+            form = forms(t.words)
+            rare = pa.StructArray.from_arrays([t.words.take(pa.array(word)).cast(pa.string()), pa.array(times.astype(np.int32)), pa.array(form[word])], fields=list(rare_type))
+            edges = np.searchsorted(pair // len(t.words), np.arange(len(length) + 1)).astype(np.int32)
+            add = lambda x: np.add.reduceat(x, t.first[:-1])  # noqa: E731, B023
+            columns = [length, add((count > 0)[t.code].astype(np.int64)), add(base[t.code]), add(mine)]
+            rows = pa.array(row + np.arange(batch.num_rows))
+            row += batch.num_rows
+            names = ["row", "doc_id", "n_tokens", "n_known", "base", "model", "rare"]
+            yield pa.RecordBatch.from_arrays([rows, batch.column("doc_id"), *map(pa.array, columns), pa.ListArray.from_arrays(pa.array(edges), rare)], names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def scores(docs: DataFrame, learn: Column) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
-    ``learn``: the rows that counts and weights come from. Null and empty texts are one end. Words unseen in training
-    share what the seen words of each class leave; a model without training texts scores as the base. Repeated rows
-    count each and score alike, a null doc_id counts as a text to learn from, and other columns are ignored. An empty
-    table gives no rows.
+    ``learn``: the rows that counts and weights come from (a null there learns). Null and empty texts are one end.
+    Unseen words of one form are one word, and share what its seen words leave; a model without training texts scores
+    as the base. Repeated rows count each and score alike, a null doc_id counts as a text to learn from, ties in
+    counts are broken by the word, other columns are ignored. An empty table gives no rows.
     """
-    marked = with_blocks(docs, learn)
-    anchors, topics = find_topics(marked.filter("learn"))
-    words = materialise(known_words(block_words(marked, anchors, topics)), "words")
-    totals = words.filter(F.col("lead") & (F.col("c") > 0)).groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
-    n, v = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in totals:
-        n[r["class"]], v[r["class"]] = r["n"], r["v"]
-
-    def table(right: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-        return right.column("word").combine_chunks(), right.column("c").to_numpy(), right.column("class").to_numpy()
-
-    def code(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        known = table(right)
-        for batch in slices(iter(left.to_batches()), limit=SLICE):
-            t = tokens(batch.column("text"), hashed=True)
-            c, k = looked_up(t, *known)
-            kept = [batch.column("doc_id"), batch.column("learn")]
-            for x in (features(t, k), k.astype(np.uint8), c.astype(np.int64)):
-                size = x.nbytes // len(x)
-                kept.append(pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer((t.first * size).astype(np.int32)), pa.py_buffer(x.tobytes())]))
-            out.append(pa.table(kept, ["doc_id", "learn", "cells", "classes", "counts"]))
-        schema = pa.schema([("doc_id", pa.int64()), ("learn", pa.bool_()), ("cells", pa.binary()), ("classes", pa.binary()), ("counts", pa.binary())])
-        return pa.concat_tables([x.cast(schema) for x in out]) if out else schema.empty_table()
-
-    in_block = words.select("block", "word", "c", "class")
-    texts = marked.select("block", "doc_id", "learn", "text").groupBy("block")
-    coded = texts.cogroup(in_block.groupBy("block")).applyInArrow(code, "doc_id long, learn boolean, cells binary, classes binary, counts binary")
-    coded = materialise(coded, "coded")
-    model = train(coded, n, v) if n.sum() else None
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    total, kinds = int(n.sum()), int(v.sum())
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        if model is not None:
-            unseen = np.where(model.n > 0, DISCOUNT * model.v / np.maximum(1, model.n), 0)
-        for whole in batches:
-            for begin in range(0, whole.num_rows, SCORE_TEXTS):
-                batch = whole.slice(begin, SCORE_TEXTS)
-                c, k = joined(batch.column("counts"), np.int64), joined(batch.column("classes"), np.uint8)
-                length = np.array([len(x) for x in batch.column("classes").to_pylist()])
-                first = np.cumsum(length) - length
-                base = np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
-                mine = base
-                if model is not None:
-                    f = joined(batch.column("cells"), np.uint16).reshape(-1, TABLES)
-                    mine = np.empty(len(k))
-                    for a in range(0, len(k), TOKENS):
-                        s = slice(a, a + TOKENS)
-                        p = model.classes(f[s])
-                        seen = p[np.arange(len(p)), k[s]] * (c[s] - DISCOUNT) / np.maximum(1, model.n[k[s]])
-                        mine[s] = np.log10(np.maximum(np.where(c[s] > 0, seen, p @ unseen), 1e-300))
-                add = lambda x: np.add.reduceat(x, first)  # noqa: E731, B023
-                columns = [length, add((c > 0).astype(np.int64)), np.full(batch.num_rows, total, np.int64), add(base), add(mine)]
-                names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names)
-
-    return coded.drop("learn").mapInArrow(
-        score, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    context = docs.sparkSession.sparkContext
+    docs = spread(docs.select("doc_id", "text", F.coalesce(learn, F.lit(True)).alias("learn")))
+    texts = docs.filter("learn")
+    counts = materialise(count_words(texts), "words")
+    known = frequent_words(counts)
+    words = context.broadcast(known)
+    model = train(texts, words, known.n) if known.total else None
+    held = materialise(scored_texts(docs, words, context.broadcast(model)), "scored")
+    smooth = known.total + 0.5 * (known.kinds + 1)
+    # for each form, what an unseen word of it gets of the form's share
+    v = known.v[known.form_output]
+    unseen = F.lit(np.log10(np.maximum(DISCOUNT * v, DISCOUNT)).tolist())
+    c = F.coalesce("c", F.lit(0))
+    share = F.when(c > 0, F.log10(F.greatest(c - DISCOUNT, F.lit(0.1)))).otherwise(F.element_at(unseen, F.col("form") + 1))
+    rare = held.select("row", F.inline("rare")).join(counts.select("word", F.col("n").alias("c")), "word", "left")
+    rest = rare.groupBy("row").agg(
+        F.sum("n").alias("_n"),
+        F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("_known"),
+        F.sum(F.col("n") * F.log10((c + 0.5) / smooth)).alias("_base"),
+        F.sum(F.col("n") * share).alias("_model"),
+    )
+    out = held.drop("rare").join(rest, "row", "left")
+    zero = lambda name: F.coalesce(name, F.lit(0))
+    base = F.col("base") + zero("_base")
+    return out.select(
+        "doc_id",
+        "n_tokens",
+        (F.col("n_known") + zero("_known")).alias("n_known"),
+        F.lit(known.total).cast("long").alias("train_tokens"),
+        base.alias("base_score"),
+        (base if model is None else F.col("model") + zero("_model")).alias("score"),
     )
 
 

@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isolates.session import materialise
+
 #: Bytes of text handled at once in a task; a longer single text is handled alone.
 SLICE_BYTES = 4 << 20
 
@@ -112,6 +114,15 @@ class RollingHash:
             return h ^ (h >> np.uint64(32))
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` written out over as many files as there are cores, if it is read in fewer parts than that; else as it is.
+
+    A table of a few large row groups keeps most cores idle, and several passes over it are then slower than one copy.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else materialise(docs.repartition(cores), "spread")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int) -> tuple[list[str], np.ndarray]:
     """At most ``max_rows`` texts and their labels, chosen by a hash of doc_id among the labelled rows that ``learn`` allows.
 

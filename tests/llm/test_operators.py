@@ -250,15 +250,6 @@ def test_language_model(docs):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_class_softmax_sums_to_one():
-    rng = np.random.default_rng(0)
-    n, v = rng.integers(5, 50, op9_maxent.CLASSES).astype(float), np.full(op9_maxent.CLASSES, 3.0)
-    model = op9_maxent.Model(n, v, rng.standard_normal((op9_maxent.TABLES, op9_maxent.ROWS, op9_maxent.CLASSES)).astype(np.float32), np.zeros(op9_maxent.CLASSES, np.float32))
-    p = model.classes(rng.integers(0, op9_maxent.ROWS, (7, op9_maxent.TABLES)).astype(np.int32))
-    d = op9_maxent.DISCOUNT
-    assert np.allclose((p * (n - d * v) / n).sum(axis=1) + p @ (d * v / n), 1, atol=1e-5)
-
-
 def labelled(spark, n=600):
     rng = np.random.default_rng(2)
     plain, bad = [f"word{i}" for i in range(300)], ["grunk", "snarf", "blat"]
