@@ -1,12 +1,16 @@
 """Exact top-k search by BM25: an inverted index in shards, with block-max WAND a block at a time.
 
-Each task builds shards from the texts it reads, so indexing does not shuffle. A shard holds its texts in order of
-length, in blocks of ``BLOCK``, and each word's weights; weights leave out the word's rarity, which needs the whole corpus
-and is put in at query time. For a query, each block gets the most that it could score: the block maxima of the
-shard's frequent words by one matrix product for many queries, those of the other words from their postings. Blocks are
-scored in order of that bound, and once it is below the k-th best score so far the rest is skipped. What is left of all
-shards is merged. Queries are taken in blocks that are broadcast, their number bounded by ``QUERY_BLOCK``; documents are
-never paired with queries outside the index.
+Each task builds shards from the texts it reads, so indexing does not shuffle. A shard orders its texts by content
+(groups of texts with like words, then length) and cuts each group into blocks of ``BLOCK``; it keeps each text's words and
+counts. Weights leave out a word's rarity, which needs the whole corpus and is put in at query time.
+
+For a query, each block gets the most that one of its texts could score: the sum of the block maxima of the query's
+words that are frequent in the group, by one matrix product for many queries, and the most that its texts get from the
+other words, from their postings. The best blocks are scored first; the k-th best score so far is the floor, and blocks
+whose bound lies below it are skipped, texts and all. Bounds and first scores are in single precision with room for its
+error, whatever could be among the best is scored again in double precision. What is left of all shards is merged.
+Queries of one text are searched once. They are taken in parts that are broadcast, whose bytes are bounded; documents
+are never paired with queries outside the index.
 """
 
 from __future__ import annotations
@@ -20,22 +24,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isolates.llm.text import ALNUM, LOWER_TABLE, flat, slices, spaced, spans
+from isolates.llm.text import ALNUM, LOWER_TABLE, flat, slices, spaced, spans, spread
 from isolates.session import materialise, read_table
 
 K1, B = 1.2, 0.75
-#: Texts in a block, neighbours in length. Larger blocks suit queries of a few words; a query of some hundred words finds
-#: nearly all its frequent ones in any block of several texts, and the bounds then skip little.
-BLOCK = 1
-#: A word is frequent in a shard if it is in more than this share of its texts.
+#: Texts in a block, and groups of texts with like words in a shard.
+BLOCK, GROUPS = 64, 16
+#: Words that tell groups apart at most, and texts that groups start from.
+TELLING, STARTS = 384, 256
+#: A word is frequent in a group if it is in more than this share of its texts.
 FREQUENT = 0.025
 #: Texts and bytes of text that a shard holds at most.
 SHARD_ROWS, SHARD_BYTES = 16_384, 48 << 20
-#: Queries that are broadcast at once.
-QUERY_BLOCK = 4096
-#: Queries in one matrix product.
-TOGETHER = 256
-INDEX = "shard string, ids binary, lengths binary, words array<string>, starts binary, numbers binary, counts binary"
+#: Queries, and bytes of their texts, that are broadcast at once.
+QUERY_ROWS, QUERY_BYTES = 8192, 16 << 20
+#: Queries in one matrix product, and blocks of a query that are scored before its floor is raised.
+TOGETHER, WAVES = 256, (2, 8, 32, 1 << 40)
+#: Room for the error of single precision, as a share of a score.
+ROOM = 1e-4
+INDEX = "shard string, ids binary, lengths binary, groups binary, alike binary, words array<string>, starts binary, numbers binary, counts binary"
 
 
 def word_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -55,8 +62,33 @@ def word_counts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, p
     return pair // size, pair % size, count, pc.utf8_rtrim(words.dictionary, " "), np.diff(first)
 
 
+def content_groups(text: np.ndarray, word: np.ndarray, n: int, kinds: int) -> np.ndarray:
+    """The group of each of ``n`` texts, from the frequent words they have: some rounds of means on the sphere."""
+    df = np.bincount(word, minlength=kinds)
+    telling = np.argsort(-df, kind="stable")[:TELLING]
+    telling = telling[df[telling] < 0.9 * n]
+    column = np.full(kinds, -1)
+    column[telling] = np.arange(len(telling))
+    x = np.zeros((n, len(telling)), np.float32)
+    on = column[word] >= 0
+    x[text[on], column[word[on]]] = 1
+    x *= np.sqrt(np.log(n / df[telling])).astype(np.float32)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-6)
+    some = x[np.linspace(0, n - 1, min(n, STARTS)).astype(np.int64)]
+    centre = some[:1]
+    for _ in range(min(GROUPS, n) - 1):
+        centre = np.vstack([centre, some[np.argmin((some @ centre.T).max(axis=1))]])
+    for _ in range(4):
+        mine = (x @ centre.T).argmax(axis=1)
+        for g in range(len(centre)):
+            if (mine == g).any():
+                centre[g] = x[mine == g].mean(axis=0)
+        centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-6)
+    return (x @ centre.T).argmax(axis=1)
+
+
 def build_index(docs: DataFrame) -> DataFrame:
-    """The shards of an index over ``docs``, one row each; its texts are its rows in the order they were read."""
+    """The shards of an index over ``docs``, one row each, its texts ordered by group and length."""
 
     def shard(name: str, ids: list, lengths: list, parts: list) -> pa.RecordBatch:
         dictionary, codes, base = pa.chunked_array([p[3] for p in parts]).combine_chunks().dictionary_encode(), [], 0
@@ -69,16 +101,26 @@ def build_index(docs: DataFrame) -> DataFrame:
             base, at = base + n, at + len(p[3])
         text, word, count = map(np.concatenate, (text, word, count))
         ids, lengths = np.concatenate(ids).astype(np.int64), np.concatenate(lengths).astype(np.int32)
-        by_length = np.argsort(lengths, kind="stable")
+        group = content_groups(text, word, len(ids), len(dictionary.dictionary))
+        with np.errstate(over="ignore"):  # texts with the same words as often have one sum
+            mixed = (word.astype(np.uint64) * np.uint64(1 << 20) + count.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            first = np.searchsorted(text, np.arange(len(ids) + 1))
+            sums = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
+            alike = sums[first[1:]] - sums[first[:-1]]
+        placed = np.lexsort((ids, alike, lengths, group))
         rank = np.empty(len(ids), np.int64)
-        rank[by_length] = np.arange(len(ids))
+        rank[placed] = np.arange(len(ids))
         text = rank[text]
         order = np.lexsort((word, text))
         starts = np.searchsorted(text[order], np.arange(len(ids) + 1))
         row = {
             "shard": [name],
-            "ids": [ids[by_length].tobytes()],
-            "lengths": [lengths[by_length].tobytes()],
+            "ids": [ids[placed].tobytes()],
+            "lengths": [lengths[placed].tobytes()],
+            "groups": [np.append(0, np.cumsum(np.bincount(group))).astype(np.int32).tobytes()],
+            "alike": [alike[placed].tobytes()],
             "words": pa.array([dictionary.dictionary.cast(pa.string())], pa.list_(pa.string())),
             "starts": [starts.astype(np.int32).tobytes()],
             "numbers": [word[order].astype(np.int32).tobytes()],
@@ -110,78 +152,131 @@ def _weights(counts: np.ndarray, lengths: np.ndarray, mean: float) -> np.ndarray
     return counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths / mean))
 
 
-def best_in_shard(row: dict, queries: list[tuple[int, np.ndarray, np.ndarray]], words: pa.Array, rarity: np.ndarray, mean: float, k: int):
-    """(query, doc_id, score) of the k best texts of a shard for each query; scores of zero are left out.
-
-    ``queries``: id, numbers of its words among ``words`` and how often it has each.
-    """
-    ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
-    starts, word = np.frombuffer(row["starts"], np.int32).astype(np.int64), np.frombuffer(row["numbers"], np.int32)
-    counts = np.frombuffer(row["counts"], np.uint16 if len(row["counts"]) * 2 == len(row["numbers"]) else np.uint32)
-    text = np.repeat(np.arange(len(ids)), np.diff(starts))
-    weight = _weights(counts.astype(np.float64), lengths[text].astype(np.float64), mean)
-    kinds = len(row["words"])
-    own = pc.index_in(words, pa.array(row["words"], words.type))  # of each query word, its number here
-    own = pc.fill_null(own, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    blocks = -(-len(ids) // BLOCK)
-
-    df = np.bincount(word, minlength=kinds)
-    slot = np.full(kinds, -1)
-    often = np.flatnonzero(df > max(8, FREQUENT * len(ids)))
-    slot[often] = np.arange(len(often))
-    frequent = slot[word] >= 0
-    dense = np.zeros((blocks * BLOCK, len(often)), np.float32)
-    dense[text[frequent], slot[word[frequent]]] = weight[frequent]
-    dense = np.nextafter(dense.reshape(blocks, BLOCK, -1).max(axis=1), np.float32(4), dtype=np.float32)
-    seldom = np.flatnonzero(~frequent)
-    seldom = seldom[np.argsort(word[seldom], kind="stable")]
-    first = np.searchsorted(word[seldom], np.arange(kinds + 1))
-    block_of, weight_of = text[seldom] // BLOCK, weight[seldom]
-
-    out = []
-    at_query = np.zeros(kinds)
-    for a in range(0, len(queries), TOGETHER):
-        part, wanted = queries[a : a + TOGETHER], []
-        factors = np.zeros((len(often), len(part)), np.float32)
-        for j, (_, terms, times) in enumerate(part):
-            here = own[terms]
-            factor = (rarity[terms] * times)[here >= 0]
-            here = here[here >= 0]
-            wanted.append((here, factor))
-            on = slot[here] >= 0
-            factors[slot[here[on]], j] = factor[on]
-        bounds = dense @ factors
-        for j, (number, _, _) in enumerate(part):
-            here, factor = wanted[j]
-            if not len(here):
+class Group:
+    """Neighbouring texts of a shard with like words: a dense table of the frequent ones, postings of the others."""
+
+    def __init__(self, first: int, text: np.ndarray, word: np.ndarray, weight: np.ndarray, rows: int, kinds: int):
+        self.first, self.rows, self.blocks = first, rows, -(-rows // BLOCK)
+        df = np.bincount(word, minlength=kinds)
+        often = np.flatnonzero(df > max(8, FREQUENT * rows))
+        self.column = np.full(kinds, -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        here = self.column[word]
+        on = here >= 0
+        self.dense = np.zeros((self.blocks * BLOCK, len(often)), np.float32)
+        self.dense[text[on], here[on]] = weight[on]
+        self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1)
+        on = np.flatnonzero(~on)
+        on = on[np.argsort(word[on], kind="stable")]
+        self.text, self.weight = text[on], weight[on].astype(np.float32)
+        self.posting = np.searchsorted(word[on], np.arange(kinds + 1))
+
+
+class Shard:
+    """A shard of the index, opened for queries; counts the texts that it scores."""
+
+    def __init__(self, row: dict, mean: float):
+        self.ids, lengths = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["lengths"], np.int32)
+        self.alike = np.frombuffer(row["alike"], np.uint64)
+        self.starts, self.word = np.frombuffer(row["starts"], np.int32).astype(np.int64), np.frombuffer(row["numbers"], np.int32)
+        counts = np.frombuffer(row["counts"], np.uint16 if len(row["counts"]) * 2 == len(row["numbers"]) else np.uint32)
+        text = np.repeat(np.arange(len(self.ids)), np.diff(self.starts))
+        self.weight = _weights(counts.astype(np.float64), lengths[text].astype(np.float64), mean)
+        self.words = row["words"]
+        edges, self.groups, self.scored = np.frombuffer(row["groups"], np.int32), [], 0
+        for a, b in zip(edges.tolist(), edges[1:].tolist()):
+            if b > a:
+                s = slice(self.starts[a], self.starts[b])
+                self.groups.append(Group(a, text[s] - a, self.word[s], self.weight[s], b - a, len(self.words)))
+
+    def candidates(self, of: np.ndarray, terms: np.ndarray, factor: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, text) of all that may be among a query's k best here: ``n`` queries, term ``terms[i]`` of query ``of[i]``."""
+        tables = []
+        for g in self.groups:
+            column = g.column[terms]
+            on = column >= 0
+            factors = np.zeros((n, g.most.shape[1]), np.float32)
+            factors[of[on], column[on]] = factor[on]
+            # what the other words give each text
+            rare = np.flatnonzero(~on)
+            size = g.posting[terms[rare] + 1] - g.posting[terms[rare]]
+            at = np.repeat(g.posting[terms[rare]] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
+            width = g.blocks * BLOCK
+            rest = np.bincount(np.repeat(of[rare], size) * width + g.text[at], np.repeat(factor[rare], size) * g.weight[at], n * width)
+            rest = rest.astype(np.float32).reshape(n, g.blocks, BLOCK)
+            tables.append((factors, rest, factors @ g.most.T + rest.max(axis=2)))
+        bound = np.hstack([t[2] for t in tables]) * np.float32(1 + ROOM)
+        of_group = np.repeat(np.arange(len(tables)), [g.blocks for g in self.groups])
+        in_group = np.concatenate([np.arange(g.blocks) for g in self.groups])
+        # blocks in order of their bounds, in waves; the floor rises after each
+        best, floor = np.full((n, k), -1, np.float32), np.zeros(n, np.float32)
+        order = np.argsort(-bound, axis=1)
+        found, begin = [], 0
+        for wave in WAVES:
+            chosen = order[:, begin : begin + wave]
+            begin += wave
+            query = np.repeat(np.arange(n), chosen.shape[1])
+            block = chosen.ravel()
+            top = bound[query, block]
+            go = np.flatnonzero((top > 0) & (top >= floor[query]))
+            query, block = query[go], block[go]
+            by_block = np.argsort(block, kind="stable")
+            query, block = query[by_block], block[by_block]
+            cut = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(block) else []
+            met_query, met_score = [], []
+            for a, z in zip(cut, np.append(cut[1:], len(block)).astype(np.int64)):
+                g, i = of_group[block[a]], in_group[block[a]]
+                q = query[a:z]
+                factors, rest, _ = tables[g]
+                score = factors[q] @ self.groups[g].dense[i * BLOCK : (i + 1) * BLOCK].T + rest[q, i]
+                self.scored += len(q) * min(BLOCK, self.groups[g].rows - i * BLOCK)
+                r, c = np.nonzero((score >= floor[q, None] * np.float32(1 - ROOM)) & (score > 0))
+                found.append((q[r], self.groups[g].first + i * BLOCK + c, score[r, c]))
+                met_query.append(q[r])
+                met_score.append(score[r, c])
+            if not met_query:
                 continue
-            n = first[here + 1] - first[here]
-            at = np.repeat(first[here] - np.append(0, np.cumsum(n))[:-1], n) + np.arange(n.sum())
-            most = bounds[:, j] * 1.0001 + np.bincount(block_of[at], np.repeat(factor, n) * weight_of[at], blocks)
-            order = np.argsort(-most)
-            at_query[here] = factor
-            found, score, done, step, floor = [], [], 0, 16, 0.0
-            while done < blocks and most[order[done]] > 0 and most[order[done]] >= floor:
-                # the next blocks whole, but for those that cannot reach the best so far
-                chosen = order[done : done + step]
-                chosen = chosen[most[chosen] >= floor]
-                rows = (chosen[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-                rows = rows[rows < len(ids)]
-                size = starts[rows + 1] - starts[rows]
-                rows, size = rows[size > 0], size[size > 0]
-                p = np.repeat(starts[rows] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
-                found.append(rows)
-                score.append(np.add.reduceat(at_query[word[p]] * weight[p], np.append(0, np.cumsum(size))[:-1]) if len(rows) else np.zeros(0))
-                done, step = done + step, step * 2
-                so_far = np.concatenate(score)
-                if len(so_far) >= k:
-                    floor = -np.partition(-so_far, k - 1)[k - 1]
-            at_query[here] = 0
-            found, score = np.concatenate(found or [np.zeros(0, np.int64)]), np.concatenate(score or [np.zeros(0)])
-            found, score = found[score > 0], score[score > 0]
-            best = np.lexsort((ids[found], -np.round(score, 9)))[:k]
-            out.append((np.full(len(best), number), ids[found[best]], score[best]))
-    return out
+            # the k best so far of each query
+            q, x = np.concatenate([*met_query, np.repeat(np.arange(n), k)]), np.concatenate([*met_score, best.ravel()])
+            o = np.lexsort((-x, q))
+            q, x = q[o], x[o]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            best = x[place < k].reshape(n, k)
+            floor = np.maximum(best[:, -1], 0)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        query, text, score = map(np.concatenate, zip(*found))
+        on = score >= floor[query] * (1 - ROOM)
+        query, text = query[on], text[on]
+        # of texts with the same words as often, those with the k lowest ids are enough
+        o = np.lexsort((self.ids[text], self.alike[text], query))
+        query, text = query[o], text[o]
+        new = np.append(True, (query[1:] != query[:-1]) | (self.alike[text[1:]] != self.alike[text[:-1]])) if len(query) else np.zeros(0, bool)
+        place = np.arange(len(query)) - np.maximum.accumulate(np.where(new, np.arange(len(query)), 0))
+        return query[place < k], text[place < k]
+
+    def best(self, queries: list[tuple[int, np.ndarray, np.ndarray]], words: pa.Array, rarity: np.ndarray, k: int):
+        """(query, doc_id, score) of the k best texts for each query (id, numbers of its words among ``words``, how often it has each)."""
+        own = pc.fill_null(pc.index_in(words, pa.array(self.words, words.type)), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        at_query = np.zeros(len(self.words))
+        for a in range(0, len(queries), TOGETHER):
+            part = queries[a : a + TOGETHER]
+            of = np.repeat(np.arange(len(part)), [len(t) for _, t, _ in part])
+            terms = np.concatenate([t for _, t, _ in part])
+            factor = rarity[terms] * np.concatenate([n for _, _, n in part])
+            here = own[terms]
+            of, factor, here = of[here >= 0], factor[here >= 0], here[here >= 0]
+            query, text = self.candidates(of, here, factor, len(part), k)
+            edge, term_edge = np.searchsorted(query, np.arange(len(part) + 1)), np.searchsorted(of, np.arange(len(part) + 1))
+            for j in np.flatnonzero(np.diff(edge)):
+                rows, s = text[edge[j] : edge[j + 1]], slice(term_edge[j], term_edge[j + 1])
+                at_query[here[s]] = factor[s]
+                size = self.starts[rows + 1] - self.starts[rows]
+                p = np.repeat(self.starts[rows] - np.append(0, np.cumsum(size))[:-1], size) + np.arange(size.sum())
+                score = np.add.reduceat(at_query[self.word[p]] * self.weight[p], np.append(0, np.cumsum(size))[:-1])
+                at_query[here[s]] = 0
+                best = np.lexsort((self.ids[rows], -np.round(score, 9)))[:k]
+                yield np.full(len(best), part[j][0]), self.ids[rows[best]], score[best]
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -191,10 +286,10 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ``ln(1 + (N - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * words / mean words))``, rounded to 9
     places; texts that share no word do not count, ties go to the lower doc_id. N and the mean take in null and empty
     texts, which have no words. Rows with a null id are left out. Repeated document rows are ranked each; of rows
-    with one query_id the first by text stays. Empty tables give no rows.
+    with one query_id the first by text stays, and one that has no text finds nothing. Empty tables give no rows.
     """
     spark = docs.sparkSession
-    index = materialise(build_index(docs), "index")
+    index = materialise(build_index(spread(docs.select("doc_id", "text"))), "index")
 
     def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,31 +299,37 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
 
     total = index.select("lengths").mapInArrow(measures, "n long, words long").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).first()
     asked = queries.filter("query_id is not null").groupBy("query_id").agg(F.min("text").alias("text"))
-    asked = materialise(asked, "queries")
-    parts = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = materialise(asked.withColumn("digest", F.sha2("text", 256)), "queries")
+    # queries of one text are searched once, under the lowest of their ids
+    texts = asked.groupBy("digest").agg(F.min("query_id").alias("searched"), F.min("text").alias("text"))
+    texts = materialise(texts.filter("text is not null"), "query_texts")
+    held = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    parts = max(1, -(-held["n"] // QUERY_ROWS), -(-(held["bytes"] or 0) // QUERY_BYTES))
     found = []
     for i in range(parts if total["n"] and total["words"] else 0):
-        part = asked if parts == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i)
-        table = part.orderBy("query_id").toArrow()  # about QUERY_BLOCK texts
+        part = texts.filter(F.pmod(F.xxhash64("digest"), F.lit(parts)) == i)
+        table = part.select("searched", "text").orderBy("searched").toArrow()  # about QUERY_BYTES of text
         if table.num_rows:
-            found.append(_search(index, table, total["n"], total["words"] / total["n"], k))
+            best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
+            one = _search(index, table, total["n"], total["words"] / total["n"], k)
+            ranked = one.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(best))
+            found.append(materialise(ranked.filter(F.col("rank") <= k), "best"))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = out.withColumn("score", F.round("score", 9)).withColumn("rank", F.row_number().over(best))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    searched = asked.select("query_id", "digest").join(texts.select("digest", "searched"), "digest")
+    return searched.join(out.withColumnRenamed("query_id", "searched"), "searched").select("query_id", "rank", "doc_id", "score")
 
 
 def _search(index: DataFrame, table: pa.Table, n: int, mean: float, k: int) -> DataFrame:
-    """The k best of every shard for one block of queries."""
+    """The k best of every shard for one part of the queries (searched, text)."""
     context = index.sparkSession.sparkContext
     text, word, count, words, _ = word_counts(table.column("text").combine_chunks())
     words = words.cast(pa.string())
     edge = np.searchsorted(text, np.arange(table.num_rows + 1))
-    ids = table.column("query_id").to_pylist()
+    ids = table.column("searched").to_pylist()
     queries = [(ids[i], word[a:b].astype(np.int32), count[a:b].astype(np.int32)) for i, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
     asked = context.broadcast(words)
 
@@ -241,8 +342,8 @@ def _search(index: DataFrame, table: pa.Table, n: int, mean: float, k: int) -> D
                 yield pa.RecordBatch.from_arrays([pc.drop_null(at), pa.array(np.bincount(word, minlength=len(ok))[ok])], ["word", "df"])
 
     df = np.zeros(len(words))
-    for r in [index.select("words", "numbers").mapInArrow(frequencies, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()]:
-        df[r.column("word").to_numpy()] = r.column("df").to_numpy()
+    found = index.select("words", "numbers").mapInArrow(frequencies, "word int, df long").groupBy("word").agg(F.sum("df").alias("df")).toArrow()
+    df[found.column("word").to_numpy()] = found.column("df").to_numpy()
     rarity = np.log(1 + (n - df + 0.5) / (df + 0.5))
     shared = context.broadcast((queries, words, rarity))
 
@@ -250,8 +351,8 @@ def _search(index: DataFrame, table: pa.Table, n: int, mean: float, k: int) -> D
         queries, words, rarity = shared.value
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("ids", "lengths", "starts", "numbers", "counts")} | {"words": batch.column("words")[i].values}
-                got = best_in_shard(row, queries, words, rarity, mean, k)
+                row = {c: batch.column(c)[i].as_py() for c in ("ids", "lengths", "groups", "alike", "starts", "numbers", "counts")}
+                got = list(Shard(row | {"words": batch.column("words")[i].values}, mean).best(queries, words, rarity, k))
                 if got:
                     q, d, s = map(np.concatenate, zip(*got))
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(d), pa.array(s)], ["query_id", "doc_id", "score"])
