@@ -32,8 +32,8 @@ K1, B = 1.2, 0.75
 BLOCK, GROUPS = 64, 16
 #: Words that tell groups apart at most, and texts that groups start from.
 TELLING, STARTS = 384, 256
-#: A word is frequent in a group if it is in more than this share of its texts.
-FREQUENT = 0.025
+#: A word is frequent in a group if it is in more than this share of its texts, and so many words are at most.
+FREQUENT, COLUMNS = 0.025, 1024
 #: Texts and bytes of text that a shard holds at most.
 SHARD_ROWS, SHARD_BYTES = 16_384, 48 << 20
 #: Queries, and bytes of their texts, that are broadcast at once.
@@ -159,6 +159,7 @@ class Group:
         self.first, self.rows, self.blocks = first, rows, -(-rows // BLOCK)
         df = np.bincount(word, minlength=kinds)
         often = np.flatnonzero(df > max(8, FREQUENT * rows))
+        often = often[np.argsort(-df[often], kind="stable")[:COLUMNS]]
         self.column = np.full(kinds, -1, np.int32)
         self.column[often] = np.arange(len(often))
         here = self.column[word]
@@ -168,8 +169,8 @@ class Group:
         self.most = self.dense.reshape(self.blocks, BLOCK, -1).max(axis=1)
         on = np.flatnonzero(~on)
         on = on[np.argsort(word[on], kind="stable")]
-        self.text, self.weight = text[on], weight[on].astype(np.float32)
-        self.posting = np.searchsorted(word[on], np.arange(kinds + 1))
+        self.text, self.weight = text[on].astype(np.int32), weight[on].astype(np.float32)
+        self.posting = np.append(0, np.cumsum(np.bincount(word[on], minlength=kinds))).astype(np.int32)
 
 
 class Shard:
