@@ -1,14 +1,16 @@
 """Substring dedup by content-defined chunks: a gear rolling hash over the bytes chooses where chunks end.
 
 A word ends a chunk if its gear value (over the last 16 bytes) is the least among the words within ``REACH`` of
-it. That rule looks at nearby bytes only, so an insertion changes the chunks around it and no others. Chunks are
-digested, digests found in more than one document are matched to their first place, and a run of consecutive
-repeated chunks with enough words is a repeated passage. Only digests are shuffled; the text stays where it is.
+it. That rule looks at nearby bytes only, so an insertion changes the chunks around it and no others. From every chunk
+on, the chunks that make up ``MIN_WORDS`` words or more are a window, which is digested as a whole; a window whose digest
+stands earlier too is a repeated passage that truly stands there in one piece, and windows that overlap are joined. Only
+digests are shuffled; the text stays where it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ WINDOW = 16
 REACH = 3
 #: A word longer than this is cut inside, where the gear value has five zero bits.
 LONG_WORD = 128
-#: Words that a repeated passage must have in whole chunks. A passage of 50 words has about 35 in whole chunks.
+#: Words that a window has in whole chunks, at least. A passage of 50 words has about 35 in whole chunks.
 MIN_WORDS = 15
 
 #: The gear table: one random number for each byte value, zero for the padding between texts.
@@ -47,12 +49,39 @@ def gear(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (padded * np.uint64(0x9E3779B97F4A7C15))[place] >> np.uint64(8)
 
 
-def chunk_table(column: pa.Array) -> tuple[np.ndarray, ...]:
-    """For each chunk: row of its text, number within it, digest, words, first byte and end byte."""
+@dataclass
+class Chunks:
+    """For each chunk: row of its text, number within it, words before it and up to its end, first byte and end byte; all words, spaced."""
+
+    row: np.ndarray
+    number: np.ndarray
+    before: np.ndarray
+    upto: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    joined: bytes
+    place: np.ndarray
+    stop: np.ndarray
+
+    def windows(self, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """From which chunk to which each window goes; the last chunks of a text are too few for one."""
+        last = np.searchsorted(self.upto, self.before + min_words)
+        begin = np.flatnonzero(last < len(self.row))
+        begin = begin[self.row[begin] == self.row[last[begin]]]
+        return begin, last[begin]
+
+    def digests(self, begin: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """128 bits of each range of chunks, their words with one space between."""
+        digest = xxhash.xxh3_128_digest
+        joined = self.joined
+        return np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(self.place[begin].tolist(), self.stop[last].tolist())]), np.int64).reshape(-1, 2)
+
+
+def chunked(column: pa.Array) -> Chunks:
     data, offsets = flat(column)
     starts, ends, first = spans(data, offsets, NOT_SPACE)
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return Chunks(*[np.zeros(0, np.int64)] * 6, b"", *[np.zeros(0, np.int64)] * 2)
     value = gear(data, offsets)
     long = np.flatnonzero(ends - starts > LONG_WORD)
     if len(long):
@@ -71,49 +100,55 @@ def chunk_table(column: pa.Array) -> tuple[np.ndarray, ...]:
     end = np.flatnonzero(last)
     begin = np.append(0, end[:-1] + 1)
     joined, s, e = spaced(data, starts, ends)
-    digest = np.array([xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(s[begin].tolist(), e[end].tolist())], np.uint64).view(np.int64)
     row = owner[end]
     number = np.arange(len(end)) - np.searchsorted(row, row)
-    return row, number, digest, end - begin + 1, starts[begin] - offsets[row], ends[end] - offsets[row]
+    return Chunks(row, number, begin, end + 1, starts[begin] - offsets[row], ends[end] - offsets[row], joined, s[begin], e[end])
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, digest, w): the chunks of every text, numbered, with their words."""
+def windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, k, last, a, z, one, two): the windows of every text, their chunks, their words' numbers in the text, and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            row, k, digest, w, _, _ = chunk_table(batch.column("text"))
-            ids = batch.column("doc_id").take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(k, pa.int32()), pa.array(digest), pa.array(w, pa.int32())], ["doc_id", "k", "digest", "w"])
+            c = chunked(batch.column("text"))
+            begin, last = c.windows(min_words)
+            if not len(begin):
+                continue
+            digest = c.digests(begin, last)
+            zero = c.before[np.searchsorted(c.row, c.row[begin])]
+            ids = batch.column("doc_id").take(pa.array(c.row[begin]))
+            numbers = [c.number[begin], c.number[last], c.before[begin] - zero, c.upto[last] - zero]
+            columns = [ids, *[pa.array(x, pa.int32()) for x in numbers], pa.array(digest[:, 0]), pa.array(digest[:, 1])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "last", "a", "z", "one", "two"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k int, digest long, w int")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k int, last int, a int, z int, one long, two long")
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = True) -> DataFrame:
     """(doc_id, first_chunk, last_chunk, n_words, kept_in): passages whose text also stands in an earlier place.
 
-    A passage is a run of consecutive chunks that occur in more than one document, ``min_words`` words or more
-    together. Its chunks stay where they occur first (lowest doc_id, then place); every later run of them is a row,
-    with the documents that keep its chunks in ``kept_in``. Null and empty texts have no chunks. Rows with a null
-    doc_id are compared with nothing. Rows that repeat a doc_id count as one document, and a passage repeated in one
-    document alone is left. Other columns are ignored; an empty table gives no rows.
+    A window of whole chunks with ``min_words`` words or more stays where its text occurs first (lowest doc_id, then
+    place); later ones are repeats. Repeats of one document that overlap or touch are joined to one passage, with the
+    documents that keep its windows in ``kept_in``. ``within``: whether repeats of a document's own text count. Null and
+    empty texts have no chunks. Rows with a null doc_id are compared with nothing. Rows that repeat a doc_id count as
+    one document, and of rows alike in all the first stays too. Other columns are ignored; an empty table gives no rows.
     """
-    parts = materialise(chunks(docs.filter(F.col("doc_id").isNotNull())), "chunks")
-    known = (
-        parts.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "k")).alias("kept"), F.max("doc_id").alias("other"))
-        .filter(F.col("kept.doc_id") != F.col("other"))
-        .select("digest", "kept")
-    )
-    met = parts.join(known, "digest").select("doc_id", "k", "w", "kept").distinct()
-    in_doc = W.partitionBy("doc_id").orderBy("k")
-    runs = met.withColumn("run", F.col("k") - F.dense_rank().over(in_doc))
-    runs = runs.withColumn("total", F.sum("w").over(W.partitionBy("doc_id", "run")))
-    later = runs.filter((F.col("total") >= min_words) & (F.struct("doc_id", "k") != F.col("kept")))
-    later = later.withColumn("run", F.col("k") - F.dense_rank().over(in_doc))
-    return later.groupBy("doc_id", "run").agg(
-        F.min("k").alias("first_chunk"), F.max("k").alias("last_chunk"), F.sum("w").alias("n_words"), F.sort_array(F.collect_set("kept.doc_id")).alias("kept_in")
-    ).filter(F.col("n_words") >= min_words).drop("run")
+    parts = materialise(windows(docs.filter(F.col("doc_id").isNotNull()), min_words), "windows")
+    held = parts.groupBy("one", "two").agg(F.min(F.struct("doc_id", "k")).alias("kept"), F.count("*").alias("n"), F.max("doc_id").alias("other"))
+    held = held.filter(F.col("n") > 1 if within else F.col("kept.doc_id") != F.col("other")).select("one", "two", "kept")
+    later = parts.join(held, ["one", "two"]).filter(F.struct("doc_id", "k") != F.col("kept"))
+    if not within:
+        later = later.filter(F.col("doc_id") != F.col("kept.doc_id"))
+    in_doc = W.partitionBy("doc_id").orderBy("k", "last")
+    so_far = F.max("last").over(in_doc.rowsBetween(W.unboundedPreceding, -1))
+    runs = later.select("doc_id", "k", "last", "a", "z", "kept", F.when(F.col("k") > so_far + 1, 1).otherwise(0).alias("new"))
+    runs = runs.withColumn("run", F.sum("new").over(in_doc))
+    return runs.groupBy("doc_id", "run").agg(
+        F.min("k").alias("first_chunk"),
+        F.max("last").alias("last_chunk"),
+        (F.max("z") - F.min("a")).alias("n_words"),
+        F.sort_array(F.collect_set("kept.doc_id")).alias("kept_in"),
+    ).drop("run")
 
 
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
@@ -132,13 +167,13 @@ def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
             texts = batch.column("text").to_pylist()
             held = [i for i, c in enumerate(cuts) if c and texts[i]]
             if held:
-                row, k, _, _, a, b = chunk_table(batch.column("text").take(pa.array(held)))
-                edge = np.searchsorted(row, np.arange(len(held) + 1))
+                c = chunked(batch.column("text").take(pa.array(held)))
+                edge = np.searchsorted(c.row, np.arange(len(held) + 1))
                 for n, i in enumerate(held):
                     gone = np.zeros(edge[n + 1] - edge[n], bool)
-                    for c in cuts[i]:
-                        gone[c["first_chunk"] : c["last_chunk"] + 1] = True
-                    raw, begin, end = texts[i].encode(), a[edge[n] : edge[n + 1]], b[edge[n] : edge[n + 1]]
+                    for cut in cuts[i]:
+                        gone[cut["first_chunk"] : cut["last_chunk"] + 1] = True
+                    raw, begin, end = texts[i].encode(), c.begin[edge[n] : edge[n + 1]], c.end[edge[n] : edge[n + 1]]
                     begin, end = np.append(begin, len(raw)), end
                     kept = [raw[: begin[0]]] + [raw[begin[m] : begin[m + 1]] for m in np.flatnonzero(~gone)]
                     texts[i] = b"".join(kept).decode() if not gone.all() else ""

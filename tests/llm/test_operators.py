@@ -175,19 +175,6 @@ def test_cut_passages(docs):
     assert got[121] == ""
 
 
-def test_chunks_survive_insertions():
-    import pyarrow as pa
-
-    text = " ".join(ROWS[10][1].split() * 1 + ROWS[11][1].split() + ROWS[13][1].split())
-    other = "new words stand here " + text
-    _, _, a, *_ = op5_chunks.chunk_table(pa.array([text]))
-    _, _, b, *_ = op5_chunks.chunk_table(pa.array([other]))
-    assert len(set(a) & set(b)) >= len(a) - 3
-    row, k, _, words, begin, end = op5_chunks.chunk_table(pa.array(["", text, None, "z" * 3000]))
-    assert set(row) == {1, 3} and words[row == 1].sum() == len(text.split()) and (row == 3).sum() > 1
-    assert begin[row == 1][0] == 0 and end[row == 1][-1] == len(text.encode())
-
-
 def test_packing(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
