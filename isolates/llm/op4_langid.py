@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from isolates.llm.text import LOWER_TABLE, crc_mod, flat, slices
 from isolates.session import read_table
 
-#: Labelled texts that the filters may be filled from, and languages at most (the bits of a mask).
-MAX_FIT_ROWS = 12_000
-MAX_LANGUAGES = 64
-GRAM, HASHES, BITS = 4, 2, 20
+#: Labelled texts that the filters may be filled from, and their bytes, about.
+MAX_FIT_ROWS, MAX_FIT_BYTES = 12_000, 256 << 20
+#: Languages in a word of a mask; a mask has as many words as it takes.
+WORD = 64
+GRAM, HASHES = 4, 2
+#: Bits of a table's index: from the least, as many as leave three quarters of a language's places empty, up to the most.
+LEAST_BITS, MOST_BITS = 20, 24
 #: An n-gram belongs to a language if it is so much of its n-grams, and so much of its largest share in any language.
 LEAST_SHARE, LEAST_OF_MOST = 2e-6, 0.2
 
@@ -48,67 +51,71 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return wide ^ (wide >> np.uint64(31)), np.searchsorted(offsets, at, "right") - 1
 
 
-def places(h: np.ndarray, i: int) -> np.ndarray:
-    return ((h * np.uint64(2 * i + 1) >> np.uint64(64 - BITS - 7 * i)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def places(h: np.ndarray, i: int, bits: int = LEAST_BITS) -> np.ndarray:
+    return ((h * np.uint64(2 * i + 1) >> np.uint64(64 - bits - 7 * i)) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 @dataclass
 class Filters:
+    """``table[w]`` has a word of each place's mask: bit k is language ``w * WORD + k``; ``chance`` that a foreign n-gram hits."""
+
     languages: list[str]
     table: np.ndarray
     chance: np.ndarray
+    bits: int
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The language's number and its share of the evidence for each text; the first (commonest) language without any."""
         h, text = grams(column)
-        mask = self.table[places(h, 0)]
-        for i in range(1, HASHES):
-            mask = mask & self.table[places(h, i)]
+        at = [places(h, i, self.bits) for i in range(HASHES)]
         n = np.bincount(text, minlength=len(column))
-        share = np.zeros((len(column), len(self.languages)))
-        for k in range(len(self.languages)):
-            hits = np.bincount(text, mask >> mask.dtype.type(k) & mask.dtype.type(1), len(column))
-            share[:, k] = np.maximum(0, hits - n * self.chance[k]) / np.maximum(1, n) / (1 - self.chance[k])
-        best = share.argmax(axis=1)
-        top = share[np.arange(len(column)), best]
-        return best, top / np.maximum(share.sum(axis=1), 1e-12)
+        best, top, total = np.zeros(len(column), np.int64), np.zeros(len(column)), np.zeros(len(column))
+        for w, table in enumerate(self.table):
+            mask = table[at[0]]
+            for x in at[1:]:
+                mask = mask & table[x]
+            for k in range(w * WORD, min(len(self.languages), (w + 1) * WORD)):
+                hits = np.bincount(text, mask >> mask.dtype.type(k - w * WORD) & mask.dtype.type(1), len(column))
+                share = np.maximum(0, hits - n * self.chance[k]) / np.maximum(1, n) / (1 - self.chance[k])
+                best, top, total = np.where(share > top, k, best), np.maximum(share, top), total + share
+        return best, top / np.maximum(total, 1e-12)
 
 
 def fill(languages: list[str], rows: list[tuple[str, np.ndarray, np.ndarray]]) -> Filters:
     """Filters from (language, n-gram hashes, counts); languages in order of their number of texts."""
-    keys = np.unique(np.concatenate([k for _, k, _ in rows] or [np.zeros(0, np.uint64)]))
-    share = np.zeros((len(keys), len(languages)))
-    for name, k, c in rows:
-        np.add.at(share[:, languages.index(name)], np.searchsorted(keys, k), c)
-    counts = share.copy()
-    share /= np.maximum(1, share.sum(axis=0))
-    member = (counts >= 2) & (share >= LEAST_SHARE) & (share >= LEAST_OF_MOST * share.max(axis=1, initial=0, keepdims=True))
-    kind = next(t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= n)
-    table, chance = np.zeros(1 << BITS, kind), np.zeros(len(languages))
+    number = {x: i for i, x in enumerate(languages)}
+    gram = np.concatenate([k for _, k, _ in rows] or [np.zeros(0, np.uint64)])
+    count = np.concatenate([c for _, _, c in rows] or [np.zeros(0)]).astype(np.float64)
+    of = np.repeat([number[x] for x, _, _ in rows], [len(k) for _, k, _ in rows]).astype(np.int64)
+    share = count / np.maximum(1, np.bincount(of, count, len(languages)))[of]
+    keys, at = np.unique(gram, return_inverse=True)
+    most = np.zeros(len(keys))
+    np.maximum.at(most, at, share)
+    member = (count >= 2) & (share >= LEAST_SHARE) & (share >= LEAST_OF_MOST * most[at])
+    held = int(np.bincount(of[member], minlength=1).max(initial=1))
+    bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(4 * HASHES * max(1, held))))))
+    kind = next((t for t, n in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(languages) <= n), np.uint64)
+    table, chance = np.zeros((max(1, -(-len(languages) // WORD)), 1 << bits), kind), np.zeros(len(languages))
     for k in range(len(languages)):
-        own = keys[member[:, k]]
+        own, (w, bit) = gram[member & (of == k)], divmod(k, WORD)
         for i in range(HASHES):
-            table[places(own, i)] |= kind(1 << k)
-        chance[k] = min(0.99, ((table >> kind(k) & kind(1)).mean()) ** HASHES)
-    return Filters(languages, table, chance)
+            table[w, places(own, i, bits)] |= kind(1 << bit)
+        chance[k] = min(0.99, ((table[w] >> kind(bit) & kind(1)).mean()) ** HASHES)
+    return Filters(languages, table, chance, bits)
 
 
 def fit(docs: DataFrame, learn: Column, max_rows: int = MAX_FIT_ROWS) -> Filters | None:
-    """Filters from a hash sample of at most about ``max_rows`` texts with a language; None if there is none."""
+    """Filters from a hash sample of at most about ``max_rows`` texts and ``MAX_FIT_BYTES`` with a language; None if there is none."""
     known = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).orderBy(F.desc("n"), "lang").collect()
     total = sum(r["n"] for r in sizes)
     if not total:
         return None
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sizes)} languages; a mask holds {MAX_LANGUAGES}")
     place = F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30))
     # the same number of texts of each language, as far as there are
-    each = max_rows // len(sizes)
-    take = F.lit(1 << 30)
-    for r in sizes:
-        if r["n"] > each:
-            take = F.when(F.col("lang") == r["lang"], int(each / r["n"] * (1 << 30))).otherwise(take)
+    each, bytes_each = max(1, max_rows // len(sizes)), max(1, MAX_FIT_BYTES // len(sizes))
+    shares = [(r["lang"], int(min(1, each / r["n"], bytes_each / max(1, r["bytes"])) * (1 << 30))) for r in sizes]
+    taken = docs.sparkSession.createDataFrame(shares, "lang string, take long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -124,7 +131,8 @@ def fit(docs: DataFrame, learn: Column, max_rows: int = MAX_FIT_ROWS) -> Filters
             k, c = _merge(parts)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(k)), pa.array(k.view(np.int64)), pa.array(c)], ["lang", "gram", "n"])
 
-    counted = known.filter(place < take).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
+    # one row a language
+    counted = known.join(F.broadcast(taken), "lang").filter(place < F.col("take")).select("lang", "text").mapInArrow(count, "lang string, gram long, n long")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
     languages = [r["lang"] for r in sizes]
     names, gram, n = (summed.column(c).to_numpy() for c in ("lang", "gram", "n"))

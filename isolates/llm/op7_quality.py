@@ -21,8 +21,8 @@ from isolates.session import read_table
 
 #: Labelled texts that the fit may see, and passes over them.
 MAX_FIT_ROWS, EPOCHS, BATCH = 4000, 8, 64
-#: Fitting looks at so many blocks of each text in a pass, anew each time; scoring looks at all.
-FIT_BLOCKS = 8
+#: Bytes of text whose gradient is taken at once; a longer text is taken alone, whole.
+FIT_SLICE = 1 << 18
 EMBED, STRIDE, FILTERS = 8, 4, 32
 WIDTH = 2 * STRIDE
 #: Bytes of a block; a chunk is two.
@@ -87,8 +87,38 @@ def combine(peak: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.add.reduceat(chunk, begin[:-1], axis=0) / np.diff(begin)[:, None], np.maximum.reduceat(chunk, begin[:-1], axis=0)
 
 
+def gradients(net: Network, texts: list[bytes], y: np.ndarray, n: int) -> list[np.ndarray]:
+    """Of the mean loss over ``n`` texts, what these whole texts add for each parameter; the maxima's windows get it."""
+    data, blocks = padded(np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts])))
+    peak, at = net.peaks_and_places(data)
+    mean, top = combine(peak, blocks)
+    features = np.hstack([mean, top])
+    p = 1 / (1 + np.exp(-np.clip(features @ net.out + net.bias, -30, 30)))
+    g = ((p - y) / n).astype(np.float32)
+    a, b, begin = pairs(blocks)
+    text = np.repeat(np.arange(len(texts)), np.diff(begin))
+    chunk = np.maximum(peak[a], peak[b])
+    back = g[text, None] * (net.out[:FILTERS] / np.diff(begin)[text, None] + net.out[FILTERS:] * (chunk >= top[text]))
+    winner = np.where(peak[a] >= peak[b], a[:, None], b[:, None])
+    back = np.where(chunk > 0, back, 0).astype(np.float32)
+    d_peak = np.zeros_like(peak)
+    np.add.at(d_peak, (winner, np.arange(FILTERS)), back)
+    block, f = np.nonzero(d_peak)
+    start = block * BLOCK + at[block, f] * STRIDE
+    grad = d_peak[block, f]
+    window = np.append(data, np.zeros(WIDTH, np.uint8))[start[:, None] + np.arange(WIDTH)]
+    d_filters = np.zeros_like(net.filters)
+    x = net.embed[window].reshape(len(start), -1)
+    for k in range(FILTERS):
+        mine = f == k
+        d_filters[:, k] = grad[mine] @ x[mine]
+    d_x = (grad[:, None] * net.filters.T[f]).reshape(-1, EMBED)
+    d_embed = np.stack([np.bincount(window.ravel(), d_x[:, e], 256) for e in range(EMBED)], axis=1)
+    return [d_embed, d_filters, d_peak.sum(axis=0), features.T @ g, g.sum()]
+
+
 def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
-    """Train by Adam on mini-batches of some blocks of each text; gradients reach the windows that gave the maxima."""
+    """Train by Adam on mini-batches of whole texts."""
     rng = np.random.default_rng(seed)
     share = float((y.sum() + 0.5) / (len(y) + 1.0))
     net = Network(
@@ -102,50 +132,26 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
         return net
     net.out[:] = rng.standard_normal(2 * FILTERS) * 0.1
     raw = [t.encode() if t else b"" for t in texts]
+    size = np.array([len(t) for t in raw])
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (net.embed, net.filters, net.shift, net.out)]
     step = 0
     for _ in range(EPOCHS):
         order = rng.permutation(len(raw))
         for s in range(0, len(order), BATCH):
-            chosen = order[s : s + BATCH]
-            parts = []
-            for i in chosen:
-                n = len(raw[i])
-                at = 0 if n <= FIT_BLOCKS * BLOCK else int(rng.integers(n - FIT_BLOCKS * BLOCK + 1))
-                parts.append(raw[i][at : at + FIT_BLOCKS * BLOCK])
-            offsets = np.append(0, np.cumsum([len(p) for p in parts]))
-            data, blocks = padded(np.frombuffer(b"".join(parts), np.uint8), offsets)
-            peak, at = net.peaks_and_places(data)
-            mean, top = combine(peak, blocks)
-            features = np.hstack([mean, top])
-            p = 1 / (1 + np.exp(-np.clip(features @ net.out + net.bias, -30, 30)))
-            g = ((p - y[chosen]) / len(chosen)).astype(np.float32)
-            a, b, begin = pairs(blocks)
-            text = np.repeat(np.arange(len(chosen)), np.diff(begin))
-            chunk = np.maximum(peak[a], peak[b])
-            back = g[text, None] * (net.out[:FILTERS] / np.diff(begin)[text, None] + net.out[FILTERS:] * (chunk >= top[text]))
-            winner = np.where(peak[a] >= peak[b], a[:, None], b[:, None])
-            back = np.where(chunk > 0, back, 0).astype(np.float32)
-            d_peak = np.zeros_like(peak)
-            np.add.at(d_peak, (winner, np.arange(FILTERS)), back)
-            block, f = np.nonzero(d_peak)
-            start = block * BLOCK + at[block, f] * STRIDE
-            grad = d_peak[block, f]
-            window = np.append(data, np.zeros(WIDTH, np.uint8))[start[:, None] + np.arange(WIDTH)]
-            d_filters = np.zeros_like(net.filters)
-            x = net.embed[window].reshape(len(start), -1)
-            for k in range(FILTERS):
-                mine = f == k
-                d_filters[:, k] = grad[mine] @ x[mine]
-            d_x = (grad[:, None] * net.filters.T[f]).reshape(-1, EMBED)
-            d_embed = np.stack([np.bincount(window.ravel(), d_x[:, e], 256) for e in range(EMBED)], axis=1)
+            batch = order[s : s + BATCH]
+            part = np.cumsum(size[batch]) // FIT_SLICE
+            sums = None
+            for k in np.unique(part):
+                chosen = batch[part == k]
+                found = gradients(net, [raw[i] for i in chosen], y[chosen], len(batch))
+                sums = found if sums is None else [a + b for a, b in zip(sums, found)]
+            sums[3] = sums[3] + 1e-4 * net.out
             step += 1
-            grads = (d_embed, d_filters, d_peak.sum(axis=0), features.T @ g + 1e-4 * net.out)
-            for q, d, (m, v) in zip((net.embed, net.filters, net.shift, net.out), grads, state):
+            for q, d, (m, v) in zip((net.embed, net.filters, net.shift, net.out), sums, state):
                 m += 0.1 * (d - m)
                 v += 0.01 * (d * d - v)
                 q -= (0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-            net.bias -= 0.05 * float(g.sum())
+            net.bias -= 0.05 * float(sums[4])
     return net
 
 
@@ -153,8 +159,8 @@ def quality(docs: DataFrame, labels: DataFrame, learn, max_rows: int = MAX_FIT_R
     """(doc_id, score) for every row of ``docs``: the chance that the text is of good quality.
 
     ``learn``: which labelled rows (columns doc_id, quality) the fit may see; null labels and ids are left out. Null and
-    empty texts are scored as one block of zeros, texts of any length by all their chunks. Repeated rows score alike,
-    other columns are ignored, and empty tables are fine: without both labels scores are the share of label 1.
+    empty texts are scored as one block of zeros, texts of any length by all their chunks. Repeated rows score alike and
+    texts that tie do too, other columns are ignored, and empty tables are fine: without both labels scores are the share of label 1.
     """
     net = fit(*labelled_sample(docs, labels, "quality", learn, max_rows))
     shared = docs.sparkSession.sparkContext.broadcast(net)

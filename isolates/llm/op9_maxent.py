@@ -356,3 +356,34 @@ def scores(docs: DataFrame, learn: Column) -> DataFrame:
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scores(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) != 1)
     return found.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def lm_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the scores counts alone give: every column but the model's, rounded for comparison."""
+    found = op9_lm_scoring(spark, sf_dir).drop("score")
+    return found.withColumn("base_score", F.round("base_score", 4))
+
+
+#: crc32 of the id as text, a bit at a time.
+CRC = """
+xor(list_reduce(flatten(list_transform(range(LEN(CAST(doc_id AS VARCHAR))),
+                        lambda i: list_transform(range(8), lambda j: (ascii(substr(CAST(doc_id AS VARCHAR), i + 1, 1)) >> j) & 1))),
+                lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END), 4294967295), 4294967295) % 5"""
+
+BASE_ORACLE = (
+    r"""
+WITH d AS (
+  SELECT ROW_NUMBER() OVER () AS row, doc_id, crc32_mod = 1 AS held_out,
+         LIST_APPEND(regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), chr(10)) AS w
+  FROM (SELECT *, %s AS crc32_mod FROM documents)),
+word AS (SELECT row, held_out, UNNEST(w) AS word FROM d),
+seen AS (SELECT word, COUNT(*) AS c FROM word WHERE NOT held_out GROUP BY word),
+n AS (SELECT SUM(c) AS n, COUNT(*) AS v FROM seen),
+score AS (
+  SELECT row, COUNT(*) AS n_tokens, COUNT(c) AS n_known, SUM(LOG10((COALESCE(c, 0) + 0.5) / (n + 0.5 * (v + 1)))) AS base
+  FROM word LEFT JOIN seen USING (word) CROSS JOIN n GROUP BY row)
+SELECT doc_id, held_out, n_tokens, n_known, CAST((SELECT n FROM n) AS BIGINT) AS train_tokens, ROUND(base, 4) AS base_score
+FROM d JOIN score USING (row)
+"""
+    % CRC
+)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from isolates.llm.op1_toxicity import op1_toxicity
+from isolates.llm.op2_wumanber import ORACLE as WINDOW_ORACLE
 from isolates.llm.op2_wumanber import op2_decontamination
 from isolates.llm.op3_sharding import op3_resharding
 from isolates.llm.op4_langid import op4_language_id
@@ -11,7 +12,7 @@ from isolates.llm.op6_packing import op6_packing
 from isolates.llm.op7_quality import op7_quality
 from isolates.llm.op8_bm25 import ORACLE as BM25_ORACLE
 from isolates.llm.op8_bm25 import op8_bm25_search
-from isolates.llm.op9_maxent import op9_lm_scoring
+from isolates.llm.op9_maxent import BASE_ORACLE, lm_base_scores, op9_lm_scoring
 from isolates.llm.op10_simhash import op10_simhash
 
 QUERIES = {
@@ -25,6 +26,11 @@ QUERIES = {
     "op8_bm25_search": op8_bm25_search,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
+    "lm_base_scores": lm_base_scores,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_bm25_search": BM25_ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": WINDOW_ORACLE,
+    "op8_bm25_search": BM25_ORACLE,
+    "lm_base_scores": BASE_ORACLE,
+}

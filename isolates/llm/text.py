@@ -123,18 +123,27 @@ def spread(docs: DataFrame) -> DataFrame:
     return docs if docs.rdd.getNumPartitions() >= cores else materialise(docs.repartition(cores), "spread")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int) -> tuple[list[str], np.ndarray]:
-    """At most ``max_rows`` texts and their labels, chosen by a hash of doc_id among the labelled rows that ``learn`` allows.
+#: Bytes of text that a labelled sample has at most, about, and those of one of its texts.
+SAMPLE_BYTES, SAMPLE_TEXT_BYTES = 48 << 20, 1 << 20
 
-    All labelled rows are counted first, and each is taken with the same chance, so the sample is spread over the
-    whole table however large it is. The texts come to the driver, where the model is fitted.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int, max_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """At most ``max_rows`` texts, about ``max_bytes`` together, and their labels, among the labelled rows that ``learn`` allows.
+
+    All labelled rows are counted first, and each is taken with the same chance by a hash of its doc_id, so the sample is
+    spread over the whole table however large it is; texts above ``SAMPLE_TEXT_BYTES`` are not taken. An id with both
+    labels counts as 1. The texts come to the driver, where the model is fitted.
     """
     known = labels.filter(learn & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     n = known.count()
     place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
     if n > max_rows:
         known = known.filter(place < int(0.95 * max_rows / n * (1 << 30)))
-    chosen = known.dropDuplicates(["doc_id"])
+    chosen = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     # at most max_rows ids and labels
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(max_rows).toArrow()
-    return rows.column("text").combine_chunks().to_pylist(), rows.column("y").to_numpy()
+    rows = docs.select("doc_id", "text").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES).join(F.broadcast(chosen), "doc_id")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > max_bytes:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("bytes")), F.lit(1 << 30)) < int(max_bytes / size * (1 << 30)))
+    held = rows.orderBy("doc_id", "text").limit(max_rows).toArrow()
+    return held.column("text").combine_chunks().to_pylist(), held.column("y").to_numpy()

@@ -146,10 +146,28 @@ def test_bloom_masks():
     keys = np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     ones = np.full(2000, 9)
     f = op4_langid.fill(["x", "y"], [("x", keys[:2000], ones), ("y", keys[1000:3000], ones)])
-    mask = f.table[op4_langid.places(keys, 0)] & f.table[op4_langid.places(keys, 1)]
+    mask = f.table[0][op4_langid.places(keys, 0, f.bits)] & f.table[0][op4_langid.places(keys, 1, f.bits)]
     assert (mask[:2000] & 1).all() and (mask[1000:3000] & 2).all() and (mask[:900] & 2).mean() < 0.02 + f.chance[1] * 2
 
 
+def test_more_languages_than_a_word_of_a_mask(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows, words = [], {}
+    for k in range(70):
+        words[k] = ["".join(rng.choice(letters, 6)) for _ in range(12)]
+        rows += [(k * 10 + i, " ".join(rng.choice(words[k], 20)), f"l{k:02d}", "s", 0) for i in range(10)]
+    got = op4_langid.languages(spark.createDataFrame(rows, SCHEMA), F.col("doc_id") % 10 != 1).collect()
+    held = [r for r in got if r.doc_id % 10 == 1]
+    assert len(held) == 70 and sum(r.lang_pred == f"l{r.doc_id // 10:02d}" for r in held) >= 68
+
+
+def test_tables_grow_with_the_n_grams():
+    keys = np.random.default_rng(1).integers(0, 1 << 63, 500_000).astype(np.uint64)
+    f = op4_langid.fill(["x"], [("x", keys, np.full(len(keys), 9))])
+    assert f.bits > op4_langid.LEAST_BITS and f.chance[0] < 0.1
+
+
 def test_passages(docs):
     found = op5_chunks.repeated_passages(docs).collect()
     shared = [i for i in range(120) if i % 10 == 4]
