@@ -108,7 +108,9 @@ def downgrade(confidence: Column, steps: Column) -> Column:
 def natural_key(text: Column) -> Column:
     """A string that sorts as the text does with its digit runs as numbers, numbers after letters."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1)
-    pad = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("~"), F.lpad(F.regexp_replace(p, r"^0+(?=\d)", ""), 20, "0"))).otherwise(p))
+    digits = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    # longer numbers are larger ones: the number of digits stands first
+    pad = F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lit("~"), F.lpad(F.length(digits(p)).cast("string"), 9, "0"), digits(p))).otherwise(p))
     return F.array_join(pad, "")
 
 

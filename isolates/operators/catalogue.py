@@ -88,7 +88,7 @@ def union_catalogues(*parts: DataFrame, anchor: str = "WHO") -> DataFrame:
         out = out.unionByName(part, allowMissingColumns=True)
     if out.filter(F.col("catalogue") == anchor).isEmpty():
         raise ValueError(f"no entries of the {anchor} catalogue; it decides every call")
-    parts = ["catalogue", "drug", "gene", "hgvs", "grade", "call"]
+    parts = [c for c in ("catalogue", "drug", "gene", "hgvs", "grade", "call", "chrom", "pos", "ref", "alt") if c in out.columns]
     return out.withColumn("entry_id", F.xxhash64(*parts))
 
 

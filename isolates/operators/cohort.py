@@ -80,9 +80,11 @@ def pairwise_distances(variants: DataFrame, regions: DataFrame, mask: DataFrame,
     spots = I.inside(sites.select("chrom", "pos", "ref", "is_snp").join(clean.select("sample_id", "chrom").distinct(), "chrom"), clean, keys)
     here = spots.join(alleles.select("chrom", "pos", "sample_id", "allele"), ["chrom", "pos", "sample_id"], "left")
     here = materialise(here.select("chrom", "pos", "sample_id", "is_snp", F.coalesce("allele", "ref").alias("allele"), F.col("allele").isNotNull().alias("departs")), "here")
-    a = here.select("chrom", "pos", "is_snp", F.col("sample_id").alias("sample_a"), F.col("allele").alias("allele_a"), F.col("departs").alias("departs_a"))
-    b = here.select("chrom", "pos", F.col("sample_id").alias("sample_b"), F.col("allele").alias("allele_b"), F.col("departs").alias("departs_b"))
-    met = a.join(b, ["chrom", "pos"]).filter((F.col("sample_a") < F.col("sample_b")) & (F.col("departs_a") | F.col("departs_b")))
+    # only samples that depart are paired with the others at a site; two that both do meet once
+    a = here.filter("departs").select("chrom", "pos", "is_snp", F.col("sample_id").alias("one"), F.col("allele").alias("allele_a"))
+    b = here.select("chrom", "pos", F.col("sample_id").alias("other"), F.col("allele").alias("allele_b"), F.col("departs").alias("departs_b"))
+    met = a.join(b, ["chrom", "pos"]).filter((F.col("one") != F.col("other")) & (~F.col("departs_b") | (F.col("one") < F.col("other"))))
+    met = met.withColumns({"sample_a": F.least("one", "other"), "sample_b": F.greatest("one", "other")})
     unclear = (F.col("allele_a") == AMBIGUOUS) | (F.col("allele_b") == AMBIGUOUS)
     met = met.withColumn("unclear", unclear)
     differs = ~F.col("unclear") & (F.col("allele_a") != F.col("allele_b"))
@@ -134,8 +136,11 @@ def cluster_members(samples: DataFrame, pairs: DataFrame, threshold: int = int(V
     links = comparable_pairs(pairs, floor).filter((F.col("state") == "comparable") & (F.col("snps") <= threshold))
     found = connected_components(links, "sample_a", "sample_b")
     size = found.groupBy("component").agg(F.count("*").alias("size"), F.min(E.natural_key(F.col("node"))).alias("first"))
-    # the number of clusters is numbered in one place: it is a report's list
-    ids = size.withColumn("cluster_id", F.concat(F.lit("C"), F.row_number().over(W.orderBy(F.desc("size"), "first")).cast("string")))
+    # numbered within each size, after all clusters of larger sizes: as many sizes as there are, at most the root of twice the samples
+    sizes = size.groupBy("size").agg(F.count("*").alias("n"))
+    larger = sizes.join(sizes.select(F.col("size").alias("s"), F.col("n").alias("m")), F.col("s") > F.col("size"), "left").groupBy("size").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy("size").orderBy("first"))
+    ids = size.withColumn("i", place).join(larger, "size").withColumn("cluster_id", F.concat(F.lit("C"), (F.col("before") + F.col("i")).cast("string")))
     return samples.select("sample_id").distinct().join(
         found.join(ids, "component").select(F.col("node").alias("sample_id"), "cluster_id"), "sample_id", "left"
     )
@@ -162,7 +167,7 @@ def clusters_at(samples: DataFrame, pairs: DataFrame, thresholds: list[int], flo
     return out
 
 
-def upgma(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
+def upgma(pairs: DataFrame) -> DataFrame:
     """(left, right, height, size): average-linkage merges, nodes named by their lowest sample.
 
     Samples with any missing distance are left out. In each round every pair of clusters that are each other's
@@ -175,9 +180,7 @@ def upgma(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
     one = F.lit(1).cast("long")
     now = kept.select(F.least("sample_a", "sample_b").alias("a"), F.greatest("sample_a", "sample_b").alias("b"), F.col("snps").cast("double").alias("d"), one.alias("na"), one.alias("nb"))
     now, merges = materialise(now, "upgma"), None
-    for _ in range(max_rounds):
-        if now.isEmpty():
-            break
+    while not now.isEmpty():
         sides = now.select("a", "b", "d").union(now.select(F.col("b"), F.col("a"), "d"))
         nearest = sides.groupBy("a").agg(F.min_by("b", F.struct("d", F.least("a", "b"), F.greatest("a", "b"))).alias("n"))
         back = nearest.select(F.col("a").alias("n"), F.col("n").alias("back"))
@@ -198,6 +201,4 @@ def upgma(pairs: DataFrame, max_rounds: int = 200) -> DataFrame:
         after = materialise(after.select("a", "b", "d", F.coalesce("sa", "na").alias("na"), F.coalesce("sb", "nb").alias("nb")), "upgma")
         discard(now)
         now = after
-    else:
-        raise RuntimeError(f"the tree did not close in {max_rounds} rounds")
     return merges if merges is not None else now.select(F.col("a").alias("left"), F.col("b").alias("right"), F.col("d").alias("height"), F.col("na").alias("size"))

@@ -23,7 +23,7 @@ def _star(both: DataFrame, larger: bool) -> DataFrame:
     return out.filter(F.col("u") != F.col("v")).distinct()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of ``edges``; component is the smallest node it can reach.
 
     Nulls and self links add nothing; repeated and reversed edges are fine; an empty table gives an empty table.
@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         "edges",
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, larger=True)
         after = materialise(_star(large, larger=False), "edges")
@@ -46,7 +46,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if mark == before:
             break
         before = mark
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)

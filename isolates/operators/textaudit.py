@@ -113,8 +113,13 @@ def mentions(sentence: Column, term: Column) -> Column:
 
 
 def negation_governs(sentence: Column) -> Column:
-    """Whether a negation stands within four words before the susceptibility word."""
-    before = F.element_at(F.split(sentence, CLAIM_WORD, 2), 1)
+    """Whether a negation stands within four words before the susceptibility word of the sentence's claim.
+
+    The claim is the first match of ``SUSCEPTIBLE``; an earlier word of that kind that claims nothing does not count.
+    """
+    claim = F.regexp_extract(sentence, SUSCEPTIBLE, 0)
+    ahead = F.element_at(F.split(sentence, SUSCEPTIBLE, 2), 1)
+    before = F.concat(ahead, F.element_at(F.split(claim, CLAIM_WORD, 2), 1))
     words = F.regexp_extract_all(before, F.lit(r"[\w'-]+"), 0)
     return F.array_join(F.reverse(F.slice(F.reverse(words), 1, NEGATION_WORDS)), " ").rlike(NEGATED)
 

@@ -226,7 +226,7 @@ def callable_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Pairs of the clustering queries: customers of a nation, linked if their balances are close.
 _CLUSTER_PAIRS = """
- cust AS (SELECT CONCAT('N', CAST(c_custkey AS VARCHAR(9))) AS sample_id, c_nationkey AS g, CAST(FLOOR(c_acctbal / 100) AS BIGINT) AS b FROM customer WHERE c_custkey % 5 < 4),
+ cust AS (SELECT CONCAT('N', CAST(c_custkey AS VARCHAR(9))) AS sample_id, c_nationkey AS g, CAST(FLOOR(c_acctbal / 100) AS BIGINT) AS b FROM customer),
  ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY g ORDER BY b, sample_id) AS i FROM cust),
  cpairs AS (SELECT x.sample_id AS sample_a, y.sample_id AS sample_b, y.b - x.b AS snps, CASE WHEN (x.b + y.b) % 7 = 0 THEN 100 ELSE 4000000 END AS shared_callable_sites
    FROM ranked x JOIN ranked y ON x.g = y.g AND y.i > x.i AND y.i <= x.i + 3)"""
@@ -242,7 +242,7 @@ _CLUSTERS = """
  links AS (SELECT sample_a AS a, sample_b AS b FROM cpairs WHERE snps <= {t} AND shared_callable_sites >= 3000000 UNION SELECT sample_b, sample_a FROM cpairs WHERE snps <= {t} AND shared_callable_sites >= 3000000),
  reach AS (SELECT a AS node, a AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
  comp AS (SELECT node, MIN(seen) AS root FROM reach GROUP BY node),
- sized AS (SELECT root, COUNT(*) AS size, MIN(CONCAT('n~', LPAD(SUBSTR(node, 2), 20, '0'))) AS first FROM comp GROUP BY root),
+ sized AS (SELECT root, COUNT(*) AS size, MIN(CONCAT('n~', LPAD(CAST(LENGTH(node) - 1 AS VARCHAR), 9, '0'), SUBSTR(node, 2))) AS first FROM comp GROUP BY root),
  ids AS (SELECT root, CONCAT('C', CAST(ROW_NUMBER() OVER (ORDER BY size DESC, first) AS VARCHAR)) AS cluster_id FROM sized)"""
 
 

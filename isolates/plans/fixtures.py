@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from isolates.session import read_table
 
-SAMPLES, POSITIONS = 20, 500
+#: Positions of each of the two contigs; samples are the suppliers, and grow with the tables.
+POSITIONS = 500
 
 
-def ctes(samples: int = SAMPLES, positions: int = POSITIONS) -> str:
+def ctes(positions: int = POSITIONS) -> str:
     """The views in order, ready to stand after WITH."""
     return f"""
 reads AS (
-  SELECT l_suppkey % {samples} AS s, CASE WHEN l_linestatus = 'O' THEN 'c1' ELSE 'c2' END AS chrom,
+  SELECT l_suppkey AS s, CASE WHEN l_linestatus = 'O' THEN 'c1' ELSE 'c2' END AS chrom,
          CAST(l_partkey % {positions} AS INT) + 1 AS pos,
          CASE WHEN l_linenumber % 7 = 0 THEN 'T' WHEN l_linenumber % 7 = 3 THEN 'G' WHEN l_linenumber % 7 = 5 THEN 'C' ELSE 'A' END AS base,
          CAST(l_quantity AS INT) AS n
@@ -31,11 +32,11 @@ sites AS (
   FROM reads GROUP BY s, chrom, pos),
 depths AS (SELECT sample_id, chrom, pos, n_a + n_c + n_g + n_t AS depth, pos % 41 AS qual FROM sites),
 barcode AS (
-  SELECT CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, CAST(p_partkey AS INT) + 1 AS pos,
+  SELECT CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, CAST(p_partkey % {positions} AS INT) + 1 AS pos,
          CASE WHEN p_partkey % 3 = 0 THEN CONCAT('lineage', CAST(p_partkey % 4 + 1 AS VARCHAR(9)))
               ELSE CONCAT('lineage', CAST(p_partkey % 4 + 1 AS VARCHAR(9)), '.', CAST(p_partkey % 2 + 1 AS VARCHAR(9))) END AS taxon,
          CASE WHEN p_partkey % 10 = 9 THEN 'C' ELSE 'A' END AS allele
-  FROM part WHERE p_partkey < {positions}),
+  FROM part),
 catalogue AS (
   SELECT CAST(p_partkey AS BIGINT) AS entry_id, CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, CAST(p_partkey % {positions} AS INT) + 1 AS pos, 'A' AS ref,
          CASE WHEN p_size % 3 = 0 THEN 'C' WHEN p_size % 3 = 1 THEN 'G' ELSE 'T' END AS alt,
@@ -46,10 +47,10 @@ catalogue AS (
   FROM part),
 genes AS (
   SELECT p_brand AS name, chrom, MIN(p) AS start_pos, MIN(p) + 59 AS end_pos, CASE WHEN MIN(p) % 2 = 0 THEN '+' ELSE '-' END AS strand
-  FROM (SELECT p_brand, CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, CAST(p_partkey % {positions} AS INT) + 1 AS p FROM part WHERE p_partkey < {positions}) g
+  FROM (SELECT p_brand, CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, CAST(p_partkey % {positions} AS INT) + 1 AS p FROM part) g
   GROUP BY p_brand, chrom),
 mask_raw AS (SELECT 'mask' AS set_id, chrom, CAST(p AS INT) AS start_pos, CAST(p + 5 AS INT) AS end_pos FROM (
-  SELECT CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, p_partkey % {positions} AS p FROM part WHERE p_size % 7 = 0 AND p_partkey < {positions}) m),
+  SELECT CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, p_partkey % {positions} AS p FROM part WHERE p_size % 7 = 0) m),
 variants AS (
   SELECT sample_id, CONCAT(chrom, ':', CAST(pos AS VARCHAR(9)), 'A>', alt) AS variant_id, chrom, pos, 'A' AS ref, alt, alt_reads, depth, allele_reads, pos % 11 AS flag
   FROM (SELECT sample_id, chrom, pos, n_a + n_c + n_g + n_t AS depth, GREATEST(n_c, n_g, n_t) AS alt_reads, GREATEST(n_c, n_g, n_t) AS allele_reads,
@@ -58,9 +59,9 @@ variants AS (
 """
 
 
-def with_sql(body: str, more: str = "", samples: int = SAMPLES, positions: int = POSITIONS) -> str:
+def with_sql(body: str, more: str = "", positions: int = POSITIONS) -> str:
     """SQL for DuckDB: the views, then ``more`` views, then ``body``."""
-    return "WITH" + ctes(samples, positions) + ("," + more if more else "") + body
+    return "WITH" + ctes(positions) + ("," + more if more else "") + body
 
 
 @cache
@@ -79,6 +80,6 @@ def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
-def view(spark: SparkSession, sf_dir: str, name: str, samples: int = SAMPLES, positions: int = POSITIONS) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, positions: int = POSITIONS) -> DataFrame:
     """One of the views."""
-    return run_sql(spark, sf_dir, "WITH" + ctes(samples, positions) + f" SELECT * FROM {name}")
+    return run_sql(spark, sf_dir, "WITH" + ctes(positions) + f" SELECT * FROM {name}")

@@ -61,7 +61,7 @@ def gene_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MATCHES = """
  ani AS (SELECT CONCAT('S', CAST(ps_suppkey AS VARCHAR(9))) AS sample_id, p_brand AS name, CASE p_size % 4 WHEN 0 THEN 'MTBC' WHEN 1 THEN 'MAC' END AS complex,
    90 + p_size / 5.0 AS ani, CASE WHEN p_size % 3 = 0 THEN NULL ELSE (p_size % 10) / 10.0 END AS aligned_fraction
-   FROM (SELECT DISTINCT l_suppkey AS ps_suppkey, p_brand, p_size FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 7 = 0) x)"""
+   FROM (SELECT DISTINCT l_suppkey AS ps_suppkey, p_brand, p_size FROM lineitem JOIN part ON l_partkey = p_partkey) x)"""
 
 
 @query(
