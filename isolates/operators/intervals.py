@@ -6,6 +6,8 @@ positions, joined on equal bins, and a pair is kept in the bin where its overlap
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -101,9 +103,12 @@ def from_one_based(rows: DataFrame) -> DataFrame:
 
 def low_complexity(sequences: DataFrame, length: int = 48, step: int = 24, share: float = 0.92) -> DataFrame:
     """Merged windows (chrom, start_pos, end_pos) in which two bases make up ``share`` or more. ``sequences``: chrom, seq."""
-    n = F.length("seq")
-    at = sequences.filter(n >= length).select("chrom", F.explode(F.sequence(F.lit(0), F.length("seq") - length, F.lit(step))).alias("start_pos"), F.col("seq"))
-    window = F.upper(F.substr("seq", F.col("start_pos") + 1, F.lit(length)))
+    # the sequence is cut once into pieces that windows are made of, so that no window is looked up from its start
+    piece = math.gcd(length, step)
+    cut = sequences.filter(F.length("seq") >= length).select("chrom", F.length("seq").alias("n"), F.regexp_extract_all(F.upper("seq"), F.lit(f"(?s)(.{{{piece}}})"), 1).alias("pieces"))
+    windows = F.transform(F.sequence(F.lit(0), F.col("n") - length, F.lit(step)), lambda a: F.struct(a.alias("start_pos"), F.array_join(F.slice("pieces", (a / piece).cast("int") + 1, length // piece), "").alias("window")))
+    at = cut.select("chrom", F.inline(windows))
+    window = F.col("window")
     counts = F.reverse(F.array_sort(F.array(*[F.length(window) - F.length(F.replace(window, F.lit(b), F.lit(""))) for b in "ACGT"])))
     found = at.filter(F.element_at(counts, 1) + F.element_at(counts, 2) >= share * length)
     found = found.select(F.lit("low").alias("set_id"), "chrom", "start_pos", (F.col("start_pos") + length).alias("end_pos"))

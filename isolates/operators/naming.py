@@ -210,3 +210,39 @@ def frameshift_codons(indels: DataFrame, sequences: DataFrame) -> DataFrame:
     rows = rows.withColumn("same", same).filter(F.col("same") < F.length("old"))
     residue = E.three_letter(F.substr("old", F.col("same") + 1, F.lit(1)))
     return rows.select("sample_id", "variant_id", F.concat(F.lit("p."), residue, (F.col("same") + 1).cast("string"), F.lit("fs")).alias("hgvs"))
+
+
+def equivalent_placements(variants: DataFrame, sequences: DataFrame, window: int = 24) -> DataFrame:
+    """(sample_id, variant_id, pos, ref, alt): every placement of an insertion or deletion that gives the same sequence.
+
+    The block that is put in or taken out moves by a base while the base that it leaves equals the one that it takes in,
+    up to ``window`` bases to each side. Other rows, rows without a sequence and rows whose reference does not fit keep
+    their own placement only. ``sequences``: chrom, seq.
+    """
+    trim = E.trimmed(F.col("pos"), F.upper("ref"), F.upper("alt"))
+    rows = variants.select("sample_id", "variant_id", "chrom", trim.alias("t")).select("sample_id", "variant_id", "chrom", "t.*")
+    rows = rows.join(sequences.select("chrom", "seq"), "chrom", "left")
+    longer = F.when(F.length("ref") > F.length("alt"), F.col("ref")).otherwise(F.col("alt"))
+    n = F.length(longer) - 1
+    deleted = F.length("ref") > F.length("alt")
+    begin = F.greatest(F.col("pos") - window + 1, F.lit(1)).cast("int")
+    left = F.upper(F.substr("seq", begin, F.col("pos") - begin + 1))
+    right = F.upper(F.substr("seq", F.col("pos") + F.length("ref"), F.lit(window)))
+    fits = (F.least(F.length("ref"), F.length("alt")) == 1) & (n > 0) & (F.upper(F.substr("seq", F.col("pos"), F.length("ref"))) == F.col("ref"))
+    rows = rows.withColumns({"n": n, "deleted": deleted, "fits": F.coalesce(fits, F.lit(False)), "text": F.concat(left, F.substr(longer, F.lit(2)), right), "at": F.length(left) + 1, "right": F.length(right)})
+    letter = lambda i: F.substr("text", i, F.lit(1))
+
+    def steps(most: Column, same) -> Column:
+        seq = F.when(F.col("fits") & (most > 0), F.sequence(F.lit(1), most)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(seq, F.lit(0), lambda k, i: F.when((k == i - 1) & same(i), i).otherwise(k))
+
+    at, n = F.col("at"), F.col("n")
+    back = steps(F.col("at") - 2, lambda i: letter(at - i) == letter(at - i + n))
+    on = steps(F.col("right"), lambda i: letter(at + i - 1) == letter(at + i - 1 + n))
+    placed = rows.withColumns({"back": back, "on": on}).withColumn("s", F.explode(F.sequence(-F.col("back"), F.col("on"))))
+    anchor, block = letter(at + F.col("s") - 1), F.substr("text", at + F.col("s") - 1, n + 1)
+    shown = lambda own, new: F.when(F.col("fits"), new).otherwise(F.col(own))
+    return placed.select(
+        "sample_id", "variant_id", (F.col("pos") + F.col("s")).cast("int").alias("pos"),
+        shown("ref", F.when(F.col("deleted"), block).otherwise(anchor)).alias("ref"), shown("alt", F.when(F.col("deleted"), anchor).otherwise(block)).alias("alt"),
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isolates.functions import drugs as D
 from isolates.functions import expressions as E
 from isolates.functions import hgvs as H
 from isolates.functions.thresholds import VALUE
@@ -38,7 +39,8 @@ def rule_calls(variants: DataFrame, graded: DataFrame, gene_drugs: DataFrame) ->
     Borderline rpoB changes are 1, other changes in its resistance region 2, loss of function in a listed gene 2, and a
     silent change 4 for the drugs of its gene. ``graded``: sample_id, variant_id, drug; ``gene_drugs``: gene, drugs.
     """
-    gene, name = F.col("gene"), H.normalise(F.col("hgvs"))
+    variants = variants.withColumn("__name", H.normalise(F.col("hgvs")))
+    gene, name = F.col("gene"), F.col("__name")
     loss = H.is_loss_of_function(name, F.col("effect"))
 
     def hit(condition: Column, drug: str, grade: int, rule: str) -> Column:
@@ -115,7 +117,9 @@ def consensus(parts: DataFrame, platform: str, covered: DataFrame | None = None)
     resistant into Uncertain. Catalogues disagree if those that spoke take different stances; the kind is coverage
     (target not covered, or all positions masked), nomenclature (one coordinate, several names or an alias) or
     biological. Confidence comes from the anchor's grade and is lowered by disagreement and, on ONT, by an indel.
-    ``covered``: sample_id, drug, target_covered; false means that the drug could not be evaluated.
+    ``covered``: sample_id, drug, target_covered; false means that the drug could not be evaluated. ``level`` and
+    ``cross_resistance`` come from the comments of counted resistant calls (column comment), the highest level first;
+    ``caveats`` are the platform's, then those of suppression and missing cover.
     """
     sev = E.severity(F.col("call"))
     active = F.col("suppressed_by").isNull()
@@ -128,6 +132,9 @@ def consensus(parts: DataFrame, platform: str, covered: DataFrame | None = None)
             "coordinate": E.coordinate_key(), "indel": F.length("ref") != F.length("alt"), "resistant": E.is_resistant(F.col("call")),
         }
     )
+    for name, kind in (("comment", "string"), ("is_major", "boolean")):
+        if name not in marked.columns:
+            marked = marked.withColumn(name, F.lit(None).cast(kind))
     if "masked" not in marked.columns:
         marked = marked.withColumn("masked", F.lit(False))
     # what each catalogue says is its worst call, then its position
@@ -141,6 +148,9 @@ def consensus(parts: DataFrame, platform: str, covered: DataFrame | None = None)
         F.bool_or(~F.col("active") & F.col("resistant")).alias("lost_resistance"),
         F.bool_or(~F.col("active")).alias("any_suppressed"),
         F.bool_or(F.col("active") & F.col("indel")).alias("indel"),
+        F.bool_or(F.col("active") & ~F.col("is_major")).alias("minor"),
+        F.array_sort(F.collect_set(F.when(F.col("speaks") & F.col("resistant"), D.level_stated(F.col("comment"))))).alias("levels"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(F.col("speaks") & F.col("resistant"), D.cross_resistance(F.col("comment"), F.col("drug"))))))).alias("cross_resistance"),
         F.bool_and(F.when(has_stance, F.col("masked"))).alias("all_masked"),
         F.count_distinct(F.when(has_stance, F.col("coordinate"))).alias("coordinates"),
         F.count_distinct(F.when(has_stance, F.col("variant_key"))).alias("names"),
@@ -172,6 +182,11 @@ def consensus(parts: DataFrame, platform: str, covered: DataFrame | None = None)
     return per.select(
         "sample_id", "drug", "call", E.downgrade(base, steps).alias("confidence"), "disagreement", kind.alias("disagreement_kind"),
         F.col("anchor").isNotNull().alias("who_graded"), F.col("anchor.grade").alias("who_grade"), "supporting_variants", "suppressed_by", "target_covered",
+        F.coalesce(*[F.when(F.array_contains("levels", x), x) for x in ("high-level", "additive low-level", "low-level")]).alias("level"), "cross_resistance",
+        F.array_distinct(F.concat(
+            D.caveats(platform, E.is_resistant(F.col("call")), F.col("indel"), F.col("minor")),
+            F.array_compact(F.array(F.when(F.col("any_suppressed"), "suppressed-evidence"), F.when(F.col("target_covered").eqNullSafe(False), "target-not-covered"))),
+        )).alias("caveats"),
     )
 
 

@@ -72,10 +72,11 @@ def choose_reference(samples: DataFrame, species: DataFrame, references: DataFra
 def sketches(sequences: DataFrame, k: int = 21, size: int = 1000) -> DataFrame:
     """(id, hash): the ``size`` least hashes of each sequence's canonical k-mers. ``sequences``: id, seq.
 
-    K-mers with letters other than A, C, G and T are left out. Duplicates go before the window ranks.
+    K-mers with letters other than A, C, G and T are left out. Duplicates go before the window ranks. K-mers are read in
+    ``k`` passes, each from another first letter on, so the cost grows with the length and not with its square.
     """
-    n = F.length("seq") - k + 1
-    mers = sequences.filter(n > 0).select("id", F.upper("seq").alias("seq")).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substr("seq", i, F.lit(k)))).alias("mer"))
+    every = [F.regexp_extract_all(F.substr("seq", F.lit(i + 1)), F.lit(f"(?s)(.{{{k}}})"), 1) for i in range(k)]
+    mers = sequences.select("id", F.upper("seq").alias("seq")).select("id", F.explode(F.flatten(F.array(*every))).alias("mer"))
     mers = mers.filter(F.col("mer").rlike(f"^[ACGT]{{{k}}}$"))
     hashed = mers.select("id", F.xxhash64(F.least("mer", E.reverse_complement(F.col("mer")))).alias("hash")).distinct()
     return hashed.withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("hash"))).filter(F.col("i") <= size).select("id", "hash")

@@ -107,7 +107,7 @@ def contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def drug_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.consensus(contributions(spark, sf_dir), "illumina").drop("target_covered").withColumn("supporting_variants", F.array_join("supporting_variants", ","))
+    return R.consensus(contributions(spark, sf_dir), "illumina").drop("target_covered", "level", "cross_resistance", "caveats").withColumn("supporting_variants", F.array_join("supporting_variants", ","))
 
 
 @query("annex_rows", with_sql(" SELECT sample_id, drug, catalogue, variant_id, variant_id AS coordinate, grade, call, 'coordinate' AS matched_by, suppressed AS suppressed_by, pass AS counted FROM parts", _CONSENSUS))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isolates.functions import expressions as E
 from isolates.operators import checks as Q
 from isolates.operators import cohort
+from isolates.operators import coverage as C
 from isolates.operators import intervals as I
 from isolates.operators import lineage as L
 from isolates.operators import naming as N
@@ -192,13 +193,15 @@ def homopolymers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "assembly_stats",
-    f"WITH{_SEQ} SELECT chrom, LENGTH(seq) AS bases, ROUND((LENGTH(seq) - LENGTH(REPLACE(REPLACE(seq, 'G', ''), 'C', ''))) * 1.0 / NULLIF(LENGTH(seq), 0), 6) AS gc FROM seqs",
+    f"""WITH{_SEQ}, c AS (SELECT source, LENGTH(seq) AS length, LENGTH(seq) - LENGTH(REPLACE(REPLACE(seq, 'G', ''), 'C', '')) AS gc FROM (SELECT source, UPPER(REGEXP_REPLACE(LOWER(text), '[^acgt]', '', 'g')) AS seq FROM documents) x WHERE seq IS NOT NULL),
+ r AS (SELECT *, SUM(length) OVER (PARTITION BY source ORDER BY length DESC) AS upto, SUM(length) OVER (PARTITION BY source) AS bases FROM c)
+ SELECT source AS sample_id, COUNT(*) AS contigs, CAST(SUM(length) AS BIGINT) AS bases, MAX(CASE WHEN upto * 2 >= bases THEN length END) AS n50, ROUND(SUM(gc) * 1.0 / NULLIF(SUM(length), 0), 6) AS gc, CAST(0 AS BIGINT) AS ambiguous FROM r GROUP BY source""",
 )
 def assembly_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    seqs = docs.select(F.col("doc_id").cast("string").alias("chrom"), F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("seq"))
-    gc = F.length("seq") - F.length(F.regexp_replace("seq", "[GC]", ""))
-    return seqs.select("chrom", F.length("seq").cast("long").alias("bases"), F.round(E.ratio(gc, F.length("seq")), 6).alias("gc"))
+    """The letters a, c, g and t of each text are a contig, the texts of a source one assembly."""
+    seqs = read_table(spark, sf_dir, "documents").select(F.col("source").alias("sample_id"), F.upper(F.regexp_replace(F.lower("text"), "[^acgt]", "")).alias("seq"))
+    out = C.assembly_stats(seqs.filter("seq is not null"))
+    return out.withColumns({"gc": F.round("gc", 6), "n50": F.col("n50").cast("long"), "contigs": F.col("contigs").cast("long"), "ambiguous": F.col("ambiguous").cast("long")})
 
 
 @query("natural_order", "SELECT CONCAT('S', CAST(c_custkey AS VARCHAR)) AS name, ROW_NUMBER() OVER (ORDER BY c_custkey) AS place FROM customer")
@@ -232,7 +235,7 @@ def gene_probe_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MARKERS = """
- markers AS (SELECT CONCAT('sp', CAST(p_size % 6 AS VARCHAR(9))) AS species, CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, CAST(p_partkey AS INT) + 1 AS pos, 'A' AS allele FROM part WHERE p_partkey % 60 = 7 AND p_partkey < 500)"""
+ markers AS (SELECT CONCAT('sp', CAST(FLOOR(p_partkey % 500 / 4) AS VARCHAR(9))) AS species, CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, CAST(p_partkey % 500 AS INT) + 1 AS pos, 'A' AS allele FROM part)"""
 
 
 @query(
