@@ -12,15 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from isolates.session import read_table
 
-#: Positions of each of the two contigs; samples are the suppliers, and grow with the tables.
-POSITIONS = 500
+#: Samples of the cohort and positions of each of its two contigs. All rows of the tables are read and make up the counts;
+#: the cohort keeps its size, as its pairs grow with the square of the samples.
+SAMPLES, POSITIONS = 100, 500
 
 
 def ctes(positions: int = POSITIONS) -> str:
     """The views in order, ready to stand after WITH."""
     return f"""
 reads AS (
-  SELECT l_suppkey AS s, CASE WHEN l_linestatus = 'O' THEN 'c1' ELSE 'c2' END AS chrom,
+  SELECT l_suppkey % {SAMPLES} AS s, CASE WHEN l_linestatus = 'O' THEN 'c1' ELSE 'c2' END AS chrom,
          CAST(l_partkey % {positions} AS INT) + 1 AS pos,
          CASE WHEN l_linenumber % 7 = 0 THEN 'T' WHEN l_linenumber % 7 = 3 THEN 'G' WHEN l_linenumber % 7 = 5 THEN 'C' ELSE 'A' END AS base,
          CAST(l_quantity AS INT) AS n
