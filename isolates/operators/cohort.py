@@ -46,7 +46,7 @@ def joint_table(variants: DataFrame, regions: DataFrame, samples: DataFrame) ->
     """
     sites, alleles = joint_sites(variants), joint_alleles(variants)
     grid = sites.select("chrom", "pos", "ref", "is_snp").join(samples.select("sample_id").distinct(), how="cross")
-    callable_ = I.inside(grid.select("sample_id", "chrom", "pos"), regions, ["sample_id", "chrom"]).withColumn("__in", F.lit(True))
+    callable_ = I.inside(grid.select("sample_id", "chrom", "pos"), regions, ["sample_id", "chrom"], width=I.mean_width(regions)).withColumn("__in", F.lit(True))
     out = grid.join(alleles, ["chrom", "pos", "sample_id"], "left").join(callable_, ["sample_id", "chrom", "pos"], "left")
     shown = F.coalesce("allele", F.when(F.col("__in"), F.col("ref")), F.lit(NOT_CALLABLE))
     return out.select("chrom", "pos", "ref", "is_snp", "sample_id", shown.alias("allele"))
@@ -71,13 +71,13 @@ def pairwise_distances(variants: DataFrame, regions: DataFrame, mask: DataFrame,
     def shared(df: DataFrame, name: str) -> DataFrame:
         a = df.select(F.col("sample_id").alias("sample_a"), "chrom", "start_pos", "end_pos")
         b = df.select(F.col("sample_id").alias("sample_b"), "chrom", "start_pos", "end_pos")
-        met = I.overlap_join(a, b, ["chrom"]).filter(F.col("sample_a") < F.col("sample_b"))
+        met = I.overlap_join(a, b, ["chrom"], I.mean_width(df)).filter(F.col("sample_a") < F.col("sample_b"))
         return met.groupBy("sample_a", "sample_b").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias(name))
 
     sites = joint_sites(variants)
     alleles = joint_alleles(variants).join(sites.select("chrom", "pos", "ref", "is_snp"), ["chrom", "pos"])
     # what each sample has at the variable positions inside its unmasked regions: its allele or the reference
-    spots = I.inside(sites.select("chrom", "pos", "ref", "is_snp").join(clean.select("sample_id", "chrom").distinct(), "chrom"), clean, keys)
+    spots = I.inside(sites.select("chrom", "pos", "ref", "is_snp").join(clean.select("sample_id", "chrom").distinct(), "chrom"), clean, keys, width=I.mean_width(clean))
     here = spots.join(alleles.select("chrom", "pos", "sample_id", "allele"), ["chrom", "pos", "sample_id"], "left")
     here = materialise(here.select("chrom", "pos", "sample_id", "is_snp", F.coalesce("allele", "ref").alias("allele"), F.col("allele").isNotNull().alias("departs")), "here")
     # only samples that depart are paired with the others at a site; two that both do meet once

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Positions of a bin. An interval has one row for each bin that it touches.
-BIN = 10_000
+BIN = 1_000
 
 
 def merge_intervals(intervals: DataFrame, key: str = "set_id") -> DataFrame:
@@ -32,6 +32,15 @@ def binned(intervals: DataFrame, width: int = BIN) -> DataFrame:
     return intervals.withColumn("bin", F.explode(F.sequence(first, F.greatest(first, last))))
 
 
+def mean_width(intervals: DataFrame) -> int:
+    """The mean length of ``intervals``: bins of this width hold few intervals, and all intervals touch twice their number of bins at most.
+
+    Runs one aggregation; for tables of short pieces, of which a bin of ``BIN`` positions would hold too many to pair.
+    """
+    mean = intervals.agg(F.avg(F.col("end_pos") - F.col("start_pos"))).first()[0]
+    return max(1, math.ceil(mean or 1))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], width: int = BIN) -> DataFrame:
     """Pairs of overlapping intervals on equal ``keys`` (chrom among them), with the overlap as start_pos and end_pos.
 

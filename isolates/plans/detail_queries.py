@@ -379,7 +379,7 @@ def contig_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def built_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mask's own intervals and the genes, one-based, as one merged mask."""
-    contigs = spark.createDataFrame([("c1", 600), ("c2", 600)], "chrom string, length int")
+    contigs = view(spark, sf_dir, "contigs")
     genes = I.from_one_based(view(spark, sf_dir, "genes"))
     return I.build_mask([view(spark, sf_dir, "mask_raw"), genes], contigs, 1.0).select("chrom", F.col("start_pos").cast("int").alias("start_pos"), F.col("end_pos").cast("int").alias("end_pos"))
 

@@ -235,7 +235,7 @@ def gene_probe_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _MARKERS = """
- markers AS (SELECT CONCAT('sp', CAST(FLOOR(p_partkey % 500 / 4) AS VARCHAR(9))) AS species, CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, CAST(p_partkey % 500 AS INT) + 1 AS pos, 'A' AS allele FROM part)"""
+ markers AS (SELECT CONCAT('sp', CAST(FLOOR(p_partkey / 4) AS VARCHAR(9))) AS species, CASE WHEN p_size % 2 = 0 THEN 'c1' ELSE 'c2' END AS chrom, CAST(p_partkey AS INT) + 1 AS pos, 'A' AS allele FROM part)"""
 
 
 @query(

@@ -281,10 +281,9 @@ def variants_outside_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.inside(view(spark, sf_dir, "variants"), mask(spark, sf_dir), ["chrom"], "left_anti").select("sample_id", "variant_id")
 
 
-@query("masked_fraction", with_sql(" SELECT CAST(1000 AS BIGINT) AS bases, CAST(SUM(end_pos - start_pos) AS BIGINT) AS masked, ROUND(SUM(end_pos - start_pos) / 1000.0, 6) AS fraction FROM mask", _MASK))
+@query("masked_fraction", with_sql(" SELECT CAST(bases AS BIGINT) AS bases, CAST(masked AS BIGINT) AS masked, ROUND(masked * 1.0 / bases, 6) AS fraction FROM (SELECT SUM(end_pos - start_pos) AS masked FROM mask) m CROSS JOIN (SELECT SUM(length) AS bases FROM contigs) c", _MASK))
 def masked_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    contigs = view(spark, sf_dir, "sites").select("chrom").distinct().withColumn("length", F.lit(500).cast("long"))
-    return I.masked_fraction(mask(spark, sf_dir), contigs).withColumn("fraction", F.round("fraction", 6))
+    return I.masked_fraction(mask(spark, sf_dir), view(spark, sf_dir, "contigs")).withColumn("fraction", F.round("fraction", 6))
 
 
 _HET = (
