@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from isolates.functions.expressions import ranked
-from isolates.functions.thresholds import STATUS_ORDER
+from isolates.functions.thresholds import STATUS_ORDER, VALUE
 
 #: The quality checks: metric column, category, fail_min, warn_min, fail_max, warn_max, unit, source.
 QC_SPEC = (
@@ -62,6 +62,60 @@ def boolean_check(flags: DataFrame, column: str, category: str, expected: bool =
     )
 
 
+#: Shares of a lineage's sites, by name of the check.
+LINEAGE_SPEC = (
+    ("lineage_callable_fraction", "typing", None, VALUE["barcode_callable"], None, None, "fraction", "policy"),
+    ("lineage_support_fraction", "typing", None, VALUE["barcode_support"], None, None, "fraction", "policy"),
+)
+
+
+def lineage_checks(calls: DataFrame) -> DataFrame:
+    """Check rows of lineage calls (sample_id, sites_total, sites_callable, sites_supporting, mixed): how many of the lineage's
+    sites were callable, how many of those carry its alleles, and whether no other taxon is supported. All warn at worst."""
+    share = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b))
+    metrics = calls.select("sample_id", share("sites_callable", "sites_total").alias("lineage_callable_fraction"), share("sites_supporting", "sites_callable").alias("lineage_support_fraction"))
+    single = boolean_check(calls.select("sample_id", (F.size("mixed") == 0).alias("lineage_single_taxon")), "lineage_single_taxon", "typing")
+    single = single.withColumn("status", F.when(F.col("status") == "fail", "warn").otherwise(F.col("status")))
+    return evaluate(metrics, LINEAGE_SPEC).unionByName(single)
+
+
+def cohort_checks(samples: DataFrame, pairs: DataFrame, clusters: DataFrame, threshold: int, window: int | None = None, masked: bool = True, floor: int | None = None) -> DataFrame:
+    """(name, value, threshold, comparison, unit, status, measured): one row for each check of a whole cohort.
+
+    ``pairs``: snps (NULL: not computed) and shared_callable_sites; ``clusters``: cluster_id and max_distance, a row a
+    cluster. Size, mask, proximity window, thinnest denominator, computed pairs, the threshold's basis, pairs fit for
+    clustering and chained clusters. Only an absent mask fails; without pairs, what they would show is not measured.
+    """
+    window = int(VALUE["snp_proximity"]) if window is None else window
+    floor = int(VALUE["min_shared_callable"]) if floor is None else floor
+    thin = F.col("snps").isNotNull() & (F.coalesce("shared_callable_sites", F.lit(0)) < floor)
+    over_pairs = pairs.agg(F.count("*").alias("pairs"), F.count("snps").alias("computed"), F.count_if(thin).alias("thin"), F.min("shared_callable_sites").alias("least"))
+    over = samples.agg(F.count_distinct("sample_id").alias("samples")).join(over_pairs, how="cross")
+    over = over.join(clusters.agg(F.count_if(F.col("max_distance") > threshold).alias("chained")), how="cross")
+    c, none = F.col, F.lit(None).cast("double")
+    some = c("pairs") > 0
+
+    def row(name: str, value: Column, limit: Column, comparison: str, unit: str, status: Column) -> Column:
+        cells = (F.lit(name).alias("name"), value.cast("double").alias("value"), limit.cast("double").alias("threshold"), F.lit(comparison).alias("comparison"), F.lit(unit).alias("unit"), status.alias("status"))
+        return F.struct(*cells, value.isNotNull().alias("measured"))
+
+    passes = lambda met, other="warn": F.when(met, "pass").otherwise(other)
+    of_pairs = lambda value: F.when(some, value)
+    published = threshold in {int(VALUE[k]) for k in ("cluster_strict", "cluster_relaxed", "cluster_default")}
+    fit = c("computed") - c("thin")
+    rows = [
+        row("cohort_size", c("samples"), F.lit(2), ">=", "samples", passes(c("samples") >= 2)),
+        row("mask_applied", F.lit(float(masked)), F.lit(1), "==", "", passes(F.lit(masked), "fail")),
+        row("snp_proximity_window", F.lit(window), F.lit(int(VALUE["snp_proximity"])), "==", "bp", passes(F.lit(window == int(VALUE["snp_proximity"])))),
+        row("min_shared_callable_sites", c("least"), F.when(c("least").isNotNull(), F.lit(floor)).otherwise(none), ">=", "bp", passes(c("least") >= floor)),
+        row("pairs_computed", of_pairs(c("computed")), c("pairs"), "==", "pairs", passes(some & (c("computed") == c("pairs")))),
+        row("cluster_threshold", F.lit(threshold), none, "", "SNPs", passes(F.lit(published))),
+        row("pairs_used_for_clustering", of_pairs(fit), c("pairs"), "==", "pairs", passes(some & (fit == c("pairs")))),
+        row("single_linkage_chaining", of_pairs(c("chained")), F.lit(0), "<=", "clusters", passes(some & (c("chained") == 0))),
+    ]
+    return over.select(F.inline(F.array(*rows)))
+
+
 def overall(checks: DataFrame) -> DataFrame:
     """(sample_id, status, failed, unmeasured): the worst status, and the names that failed or were not measured."""
     return checks.groupBy("sample_id").agg(

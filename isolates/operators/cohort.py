@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from isolates.functions import expressions as E
 from isolates.functions.thresholds import VALUE
+from isolates.operators import checks, report
 from isolates.operators import intervals as I
 from isolates.operators.components import connected_components
 from isolates.session import discard, materialise
@@ -167,6 +168,29 @@ def clusters_at(samples: DataFrame, pairs: DataFrame, thresholds: list[int], flo
     return out
 
 
+def assemble(variants: DataFrame, regions: DataFrame, mask: DataFrame, samples: DataFrame, threshold: int = int(VALUE["cluster_default"]), floor: int = int(VALUE["min_shared_callable"])) -> dict[str, DataFrame]:
+    """A whole cohort: its ``table``, ``pairs`` (with their state and whether they share a cluster), ``members``, ``clusters`` and ``checks``.
+
+    Pairs and members are written once in the shared folder, as everything else is read off them.
+    """
+    names = samples.select("sample_id").distinct()
+    pairs = materialise(pairwise_distances(variants, regions, mask, names), "pairs")
+    members = materialise(cluster_members(names, pairs, threshold, floor), "members")
+    clusters = cluster_summary(members, pairs, threshold, floor)
+    return {
+        "table": joint_table(variants, regions, names),
+        "pairs": report.distance_rows(comparable_pairs(pairs, floor), members, threshold, floor),
+        "members": members,
+        "clusters": clusters,
+        "checks": checks.cohort_checks(names, pairs, clusters, threshold, masked=not mask.isEmpty(), floor=floor),
+    }
+
+
+def pair_of(pairs: DataFrame, one: str, other: str) -> DataFrame:
+    """The row of two samples, in either order."""
+    return pairs.filter(F.col("sample_a").isin(one, other) & F.col("sample_b").isin(one, other) & (F.col("sample_a") != F.col("sample_b")))
+
+
 def upgma(pairs: DataFrame) -> DataFrame:
     """(left, right, height, size): average-linkage merges, nodes named by their lowest sample.
 

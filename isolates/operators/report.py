@@ -52,6 +52,34 @@ def variant_rows(variants: DataFrame, parts: DataFrame) -> DataFrame:
     return variants.join(said, ["sample_id", "variant_id"], "left")
 
 
+def graded_rows(variants: DataFrame, parts: DataFrame) -> DataFrame:
+    """A row for each variant, catalogue and drug: the grading table in full, with the variant's depth and fraction."""
+    held = variants.select("sample_id", "variant_id", "chrom", "pos", "depth", F.round("allele_fraction", 4).alias("allele_fraction"))
+    said = parts.select("sample_id", "variant_id", "catalogue", "drug", F.col("grade").cast("string").alias("grade"), "call", "matched_by")
+    return held.join(said, ["sample_id", "variant_id"])
+
+
+def plot_points(variants: DataFrame, parts: DataFrame, calls: DataFrame) -> DataFrame:
+    """``variants`` for a plot: the worst call that they support, else the worst that a catalogue gives them, else no-call.
+
+    Variants without a fraction stay. ``calls``: sample_id, drug, call, supporting_variants (names of variants).
+    """
+    worst = lambda: F.max_by("call", E.severity(F.col("call")))
+    said = parts.groupBy("sample_id", "variant_id").agg(worst().alias("catalogue_call"), F.sort_array(F.collect_set("drug")).alias("drugs"))
+    driven = calls.select("sample_id", "call", F.explode("supporting_variants").alias("variant_id")).groupBy("sample_id", "variant_id").agg(worst().alias("driven"))
+    out = variants.join(said, ["sample_id", "variant_id"], "left").join(driven, ["sample_id", "variant_id"], "left")
+    none = F.lit("no-call")
+    return out.select(
+        "sample_id", "variant_id", "chrom", "pos", "allele_fraction", "depth", F.coalesce("driven", "catalogue_call", none).alias("call"), F.coalesce("catalogue_call", none).alias("catalogue_call"),
+        F.col("catalogue_call").isNotNull().alias("catalogued"), F.coalesce("drugs", F.array().cast("array<string>")).alias("drugs"),
+    )
+
+
+def unverified_rows(thresholds: DataFrame) -> DataFrame:
+    """Thresholds that rest on policy alone, or that were overridden: what a reader has to know of."""
+    return thresholds.filter(~F.col("verified") | F.col("overridden")).select("name", "value", "unit", "source", F.when(F.col("overridden"), "overridden").otherwise("unverified").alias("why"))
+
+
 def panel(checks: DataFrame, spec: DataFrame) -> DataFrame:
     """Every metric of a spec (name, label, ordinal) for every sample, measured or not."""
     samples = checks.select("sample_id").distinct()

@@ -243,6 +243,15 @@ def read_classifier_report(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("malformed", F.col("percentage").isNull() | F.col("clade_reads").isNull() | F.col("name").isNull())
 
 
+def require_some_rows(report: DataFrame) -> DataFrame:
+    """``report`` of :func:`read_classifier_report` without its malformed rows; an error if a sample has no other."""
+    only = report.groupBy("sample_id").agg(F.bool_and("malformed").alias("all")).filter("all")
+    bad = [r["sample_id"] for r in only.select("sample_id").sort("sample_id").limit(5).collect()]
+    if bad:
+        raise ValueError(f"no row of the report can be read for {', '.join(bad)}")
+    return report.filter(~F.col("malformed"))
+
+
 def read_ani(spark: SparkSession, path: str, tool: str) -> DataFrame:
     """(sample_id, reference, ani, aligned_fraction) of tool output: ``skani`` by column names, ``mash`` as (1 - distance) * 100."""
     if tool == "skani":
