@@ -14,10 +14,10 @@ from isolates.operators import report as P
 from isolates.operators import resistance as R
 from isolates.operators import species as Z
 from isolates.plans import typing_queries
-from isolates.plans.cohort_queries import _CLUSTER_PAIRS, _CLUSTERS, _CONSENSUS, _chain, contributions, variants
+from isolates.plans.cohort_queries import _CLUSTER_PAIRS, _CLUSTERS, _CONSENSUS, _PAIRS, _chain, _joint, contributions, variants
 from isolates.plans.detail_queries import _ASSIGNED
 from isolates.plans.fixtures import run_sql, view, with_sql
-from isolates.plans.typing_queries import _support
+from isolates.plans.typing_queries import _support, mask, regions
 
 QUERIES, SQL = {}, {}
 
@@ -164,3 +164,23 @@ _CHOICE = """
 def chosen_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     asks, genomes, near = (run_sql(spark, sf_dir, f"WITH {_CHOICE} SELECT * FROM {t}") for t in ("asks", "genomes", "near"))
     return Z.choose_reference(asks, asks.select("sample_id", "name", "complex"), genomes, near)
+
+
+#: Differences and shared callable sites that make a link in the view, whose contigs are as long as there are parts.
+LINK, FLOOR = 2, 10
+
+
+@query(
+    "cohort_pairs",
+    "WITH RECURSIVE" + with_sql("", _PAIRS).removeprefix("WITH")
+    + f""",
+ links AS (SELECT sample_a AS a, sample_b AS b FROM pairs WHERE snps <= {LINK} AND shared_callable_sites >= {FLOOR} UNION SELECT sample_b, sample_a FROM pairs WHERE snps <= {LINK} AND shared_callable_sites >= {FLOOR}),
+ reach AS (SELECT a AS node, a AS seen FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+ comp AS (SELECT node, MIN(seen) AS root FROM reach GROUP BY node)
+ SELECT p.sample_a, p.sample_b, p.snps, CASE WHEN shared_callable_sites < {FLOOR} THEN 'thin' ELSE 'comparable' END AS state, p.snps <= {LINK} AS within, shared_callable_sites >= {FLOOR} AS sufficient, COALESCE(a.root = b.root, FALSE) AS same_cluster
+ FROM pairs p LEFT JOIN comp a ON a.node = p.sample_a LEFT JOIN comp b ON b.node = p.sample_b""",
+)
+def cohort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of an assembled cohort the pairs, with their state and whether they share a cluster."""
+    made = H.assemble(_joint(spark, sf_dir), regions(spark, sf_dir), mask(spark, sf_dir), view(spark, sf_dir, "sites"), LINK, FLOOR)
+    return made["pairs"].select("sample_a", "sample_b", "snps", "state", "within", "sufficient", "same_cluster")
