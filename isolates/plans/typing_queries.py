@@ -193,13 +193,14 @@ def depth_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
         ROUND(SUM(CASE WHEN depth >= 0.5 * mean AND depth <= 2.0 * mean AND mean > 0 THEN 1 ELSE 0 END) * 1.0 / COUNT(*), 6) AS evenness
  FROM (SELECT *, AVG(depth) OVER (PARTITION BY sample_id) AS mean FROM (
    SELECT g.sample_id, COALESCE(d.depth, 0) AS depth FROM (
-     SELECT s.sample_id, c.chrom, p.pos FROM (SELECT DISTINCT sample_id FROM sites) s, (SELECT 'c1' AS chrom UNION ALL SELECT 'c2') c, (SELECT UNNEST(RANGE(1, 501)) AS pos) p) g
+     SELECT s.sample_id, p.chrom, p.pos FROM (SELECT DISTINCT sample_id FROM sites) s, (SELECT chrom, UNNEST(RANGE(1, length + 1)) AS pos FROM contigs) p) g
    LEFT JOIN depths d ON d.sample_id = g.sample_id AND d.chrom = g.chrom AND d.pos = g.pos) x) y GROUP BY sample_id"""
     ),
 )
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     depths = view(spark, sf_dir, "depths")
-    lengths = depths.select("sample_id").distinct().withColumn("length", F.lit(1000).cast("long"))
+    whole = view(spark, sf_dir, "contigs").agg(F.sum("length").alias("length"))
+    lengths = depths.select("sample_id").distinct().join(whole, how="cross")
     out = V.coverage(V.merge_contigs(V.depth_histogram(depths)), lengths, breadth_at=60)
     return out.select("sample_id", "positions", *[F.round(c, 6).alias(c) for c in ("mean_depth", "median_depth", "breadth", "evenness")])
 
