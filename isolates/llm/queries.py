@@ -14,6 +14,8 @@ from isolates.llm.op8_bm25 import ORACLE as BM25_ORACLE
 from isolates.llm.op8_bm25 import op8_bm25_search
 from isolates.llm.op9_maxent import BASE_ORACLE, lm_base_scores, op9_lm_scoring
 from isolates.llm.op10_simhash import op10_simhash
+from isolates.llm.op11_dialogue import ORACLE as REPAIR_ORACLE
+from isolates.llm.op11_dialogue import op11_conversation_repair
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -26,11 +28,13 @@ QUERIES = {
     "op8_bm25_search": op8_bm25_search,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
+    "op11_conversation_repair": op11_conversation_repair,
     "lm_base_scores": lm_base_scores,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": WINDOW_ORACLE,
     "op8_bm25_search": BM25_ORACLE,
+    "op11_conversation_repair": REPAIR_ORACLE,
     "lm_base_scores": BASE_ORACLE,
 }
