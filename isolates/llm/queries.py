@@ -16,6 +16,10 @@ from isolates.llm.op9_maxent import BASE_ORACLE, lm_base_scores, op9_lm_scoring
 from isolates.llm.op10_simhash import op10_simhash
 from isolates.llm.op11_dialogue import ORACLE as REPAIR_ORACLE
 from isolates.llm.op11_dialogue import op11_conversation_repair
+from isolates.llm.op12_minhash import ORACLE as MINHASH_ORACLE
+from isolates.llm.op12_minhash import op12_minhash
+from isolates.llm.op13_hybrid import ORACLE as RANKED_ORACLE
+from isolates.llm.op13_hybrid import op13_ranked_search
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -29,6 +33,8 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_minhash": op12_minhash,
+    "op13_ranked_search": op13_ranked_search,
     "lm_base_scores": lm_base_scores,
 }
 
@@ -36,5 +42,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_decontamination": WINDOW_ORACLE,
     "op8_bm25_search": BM25_ORACLE,
     "op11_conversation_repair": REPAIR_ORACLE,
+    "op12_minhash": MINHASH_ORACLE,
+    "op13_ranked_search": RANKED_ORACLE,
     "lm_base_scores": BASE_ORACLE,
 }
