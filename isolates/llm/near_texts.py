@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isolates.llm.op10_simhash import BLOCK, groups, shingle_hashes, tile_pairs
-from isolates.llm.text import slices
+from isolates.llm.text import one_of_each, same_text, slices, text_key
 from isolates.operators.components import connected_components
-from isolates.session import materialise
+from isolates.session import discard, materialise
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Bands of a text, each of two least values.
@@ -88,7 +88,7 @@ def band_keys(h: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def marked_texts(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, bits, n, sig, bands): parity map, number of shingles, a sum over the set and its bands, for every text."""
+    """(doc_id, hash, size, bits, n, sig, bands): a row's identity, parity map, number of shingles, a sum over the set and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -98,10 +98,11 @@ def marked_texts(docs: DataFrame, width: int) -> DataFrame:
             mixed ^= mixed >> np.uint64(31)
             sums = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
             sums = pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
-            columns = [batch.column("doc_id"), parity_maps(h, first), pa.array(np.diff(first).astype(np.int32)), sums, band_keys(h, first)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "bits", "n", "sig", "bands"])
+            own = batch.select(["doc_id", "hash", "size"]).columns
+            columns = [*own, parity_maps(h, first), pa.array(np.diff(first).astype(np.int32)), sums, band_keys(h, first)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "size", "bits", "n", "sig", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, bits binary, n int, sig long, bands array<long>")
+    return docs.select("doc_id", "text", *text_key()).mapInArrow(run, "doc_id long, hash long, size int, bits binary, n int, sig long, bands array<long>")
 
 
 def spanning(near, size: int) -> np.ndarray:
@@ -200,16 +201,16 @@ def _by_sets(similarity: float):
     return near_of
 
 
-def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, kept_id) for every row of ``docs`` with an id: the lowest id of its class of near texts.
+def _classes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, hash, size, kept): every row of ``docs`` by its identity, and the identity (none, doc_id, hash, size) that its class keeps.
 
-    Texts of fewer words than a shingle are one shingle; texts without words, null ones too, are all alike. Rows with
-    a null doc_id are left out; rows that repeat an id are one document, whose texts are each compared. Other columns
-    are ignored, an empty table gives no rows.
+    A null id comes after all others. Nodes are shingle sets, with numbers of their own, so an id that stands on several
+    texts joins nothing.
     """
-    docs = docs.filter(F.col("doc_id").isNotNull())
     marked = materialise(marked_texts(docs, width), "marked")
-    nodes = materialise(marked.groupBy("bits", "n", "sig").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "nodes")
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "size")
+    nodes = marked.groupBy("bits", "n", "sig").agg(F.min(own).alias("own"), F.min("bands").alias("bands"))
+    nodes = materialise(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
     # neighbouring classes of sizes, a factor of the similarity wide each
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / -math.log(similarity)).cast("int")
     banded = nodes.select("sig", "n", F.explode("bands").alias("bucket"))
@@ -217,26 +218,44 @@ def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, similarity: floa
     shared = banded.join(banded.groupBy("bucket").agg(F.count("*").alias("met")).filter("met > 1").drop("met"), "bucket")
     some = shared.join(nodes.select("sig", "n", "bits", "rep"), ["sig", "n"])
     some = some.select("bucket", size_class.alias("p"), F.xxhash64("sig").alias("key"), "bits", "n", "rep")
-    rows = tile_pairs(materialise(some, "buckets"), 1, TILE).repartition("g").sortWithinPartitions("g")
+    buckets = materialise(some, "buckets")
+    rows = tile_pairs(buckets, 1, TILE).repartition("g", "g2").sortWithinPartitions("g", "g2")
     candidates = rows.mapInArrow(_links(_by_bits(similarity)), "src long, dst long")
     coarse = materialise(connected_components(candidates), "coarse")
+    discard(buckets)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             h, first = shingle_sets(batch.column("text"), width)
             lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("doc_id"), lists], ["bucket", "rep", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("rep"), lists], ["bucket", "rep", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(coarse, docs["doc_id"] == coarse["node"]).select("component", "doc_id", "text")
+    members = nodes.join(coarse, nodes["rep"] == coarse["node"]).select("component", "rep", "own.doc_id", "own.hash", "own.size")
+    texts = same_text(docs.select("doc_id", "text"), members, "inner").select("component", "rep", "text")
     held = materialise(texts.mapInArrow(sets, "bucket long, rep long, shingles array<long>"), "sets")
     held = held.withColumn("n", F.size("shingles")).withColumns({"p": size_class, "key": F.xxhash64("rep")})
-    rows = tile_pairs(held.select("bucket", "p", "key", "n", "rep", "shingles"), 1, SET_TILE).repartition("g").sortWithinPartitions("g")
+    rows = tile_pairs(held.select("bucket", "p", "key", "n", "rep", "shingles"), 1, SET_TILE).repartition("g", "g2").sortWithinPartitions("g", "g2")
     found = connected_components(rows.mapInArrow(_links(_by_sets(similarity)), "src long, dst long"))
-    kept = nodes.join(found, nodes["rep"] == found["node"], "left").select("bits", "n", "sig", F.coalesce("component", "rep").alias("kept_id"))
-    return marked.join(kept, ["bits", "n", "sig"]).select("doc_id", "kept_id")
+    labels = nodes.join(found, nodes["rep"] == found["node"], "left").select("bits", "n", "sig", "own", F.coalesce("component", "rep").alias("label"))
+    kept = labels.join(labels.groupBy("label").agg(F.min("own").alias("kept")), "label").select("bits", "n", "sig", "kept")
+    return marked.join(kept, ["bits", "n", "sig"]).select("doc_id", "hash", "size", "kept")
+
+
+def near_duplicate_classes(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, kept_id) for every row of ``docs``: the lowest id of its class of near texts.
+
+    Texts of fewer words than a shingle are one shingle; texts without words, null ones too, are all alike. Rows that
+    repeat an id with another text are documents of their own. A null id takes part and is kept only where no row of the
+    class has an id. Other columns are ignored, an empty table gives no rows.
+    """
+    return _classes(docs, width, similarity).select("doc_id", F.col("kept.doc_id").alias("kept_id"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class, the one with the lowest id; rows with a null id stay."""
-    gone = near_duplicate_classes(docs, width, similarity).filter("doc_id != kept_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """``docs`` with one document of each class, all columns kept: the one with the lowest id, null ids last, then by its text's hash.
+
+    Of rows that repeat id and text one stays. Texts without words, null ones too, are one class. Long texts are compared
+    whole; an empty table stays empty.
+    """
+    keys = _classes(docs, width, similarity).filter("doc_id <=> kept.doc_id and hash <=> kept.hash and size <=> kept.size")
+    return one_of_each(docs, keys.groupBy("doc_id", "hash", "size").agg(F.count("*").alias("times")))

@@ -101,27 +101,30 @@ def forest(fp: np.ndarray, pop: np.ndarray, radius: int, left: np.ndarray | None
 
 
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of whole groups from batches sorted by g, and where each group begins; a group's rows are at most two tiles."""
+    """Tables of whole groups from batches sorted by (g, g2), and where each group begins; a group's rows are at most two tiles."""
+
+    def begins(table: pa.Table) -> np.ndarray:
+        g, g2 = table.column("g").to_numpy(), table.column("g2").to_numpy()
+        return np.append(0, np.flatnonzero((np.diff(g) != 0) | (np.diff(g2) != 0)) + 1)
+
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        if held[0].column("g")[0] == batch.column("g")[-1]:
+        if all(held[0].column(c)[0] == batch.column(c)[-1] for c in ("g", "g2")):
             continue
         table = pa.Table.from_batches(held)
-        g = table.column("g").to_numpy()
-        cut = np.append(0, np.flatnonzero(np.diff(g)) + 1)
+        cut = begins(table)
         yield table.slice(0, cut[-1]), cut
         held = table.slice(cut[-1]).to_batches()
     if held:
         table = pa.Table.from_batches(held)
-        g = table.column("g").to_numpy()
-        yield table, np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
+        yield table, np.append(begins(table), table.num_rows)
 
 
 def _compare(radius: int):
-    """Arrow function over rows (g, side, fp, rep) sorted by g: a forest of links (src, dst) of each group."""
+    """Arrow function over rows (g, g2, side, fp, rep) sorted by the first two: a forest of links (src, dst) of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cut in groups(batches):
@@ -149,7 +152,9 @@ def bit_blocks(blocks: int) -> list[int]:
 
 
 def tile_pairs(rows: DataFrame, reach: int, tile: int) -> DataFrame:
-    """``rows`` (bucket, p, key, ...) once for each tile pair that they are part of, with the pair ``g`` and their side.
+    """``rows`` (bucket, p, key, ...) once for each tile pair that they are part of, with the pair (``g``, ``g2``) and their side.
+
+    A pair is named by 128 bits, two hashes with seeds of their own.
 
     A bucket of at most ``tile`` rows is one tile (side 2: compared within). A larger one has tiles of one value of
     ``p`` each, parted by ``key`` where that has too many rows, and a pair of tiles for values ``reach`` apart at most.
@@ -170,8 +175,9 @@ def tile_pairs(rows: DataFrame, reach: int, tile: int) -> DataFrame:
         def pair(t):
             other = F.struct(q.alias("p"), t.alias("s"))
             side = F.when((q == F.col("p")) & (t == F.col("s")), 2).otherwise(0 if left else 1)
-            g = F.xxhash64("bucket", "p", "s", q, t) if left else F.xxhash64("bucket", q, t, "p", "s")
-            return F.when(other >= mine if left else other < mine, F.struct(g.alias("g"), side.alias("side")))
+            names = ["p", "s", q, t] if left else [q, t, "p", "s"]
+            pair = F.struct(F.xxhash64("bucket", *names).alias("g"), F.xxhash64(F.lit("g2"), "bucket", *names).alias("g2"), side.alias("side"))
+            return F.when(other >= mine if left else other < mine, pair)
 
         parts = F.coalesce(F.col("parts")[q], F.lit(0))
         return F.when(parts > 0, F.transform(F.sequence(F.lit(0), parts - 1), pair)).otherwise(F.array())
@@ -182,14 +188,14 @@ def tile_pairs(rows: DataFrame, reach: int, tile: int) -> DataFrame:
             F.transform(F.sequence(F.col("p") - reach, F.col("p")), lambda q: others(q, False)),
         )
     )
-    alone = F.array(F.struct(F.xxhash64("bucket").alias("g"), F.lit(2).alias("side")))
+    alone = F.array(F.struct(F.xxhash64("bucket").alias("g"), F.xxhash64(F.lit("g2"), "bucket").alias("g2"), F.lit(2).alias("side")))
     rest = [c for c in rows.columns if c not in ("bucket", "p", "key")]
     placed = keyed.select(*rest, F.explode(F.when(F.col("parts").isNull(), alone).otherwise(F.array_compact(near))).alias("x"))
-    return placed.select("x.g", "x.side", *rest)
+    return placed.select("x.g", "x.g2", "x.side", *rest)
 
 
 def tile_rows(nodes: DataFrame, radius: int, shared: int, tile: int = TILE) -> DataFrame:
-    """Rows (g, side, fp, rep): each fingerprint once for each tile pair of the buckets that it lies in."""
+    """Rows (g, g2, side, fp, rep): each fingerprint once for each tile pair of the buckets that it lies in."""
     keys = []
     for i, chosen in enumerate(combinations(bit_blocks(radius + shared), shared)):
         mask = 0
@@ -215,7 +221,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, tile: int
     if shared is None:
         shared = 1 if known.count() < MANY else 2
     rows = tile_rows(known, radius, shared, tile)
-    rows = rows.repartition("g").sortWithinPartitions("g")
+    rows = rows.repartition("g", "g2").sortWithinPartitions("g", "g2")
     links = rows.mapInArrow(_compare(radius), "src long, dst long")
     found = connected_components(links)
     classes = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))

@@ -139,7 +139,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, similarity: float = SIM
     # neighbouring classes of sizes, a factor of the similarity wide each
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / -math.log(similarity)).cast("int")
     held = held.withColumns({"p": size_class, "key": F.xxhash64("rep")})
-    rows = tile_pairs(held.select("bucket", "p", "key", "n", "rep", "shingles"), 1, TILE).repartition("g").sortWithinPartitions("g")
+    rows = tile_pairs(held.select("bucket", "p", "key", "n", "rep", "shingles"), 1, TILE).repartition("g", "g2").sortWithinPartitions("g", "g2")
     links = rows.mapInArrow(_links(_by_sets(similarity)), "src long, dst long")
     found = connected_components(links)
     labels = nodes.join(found, nodes["id"] == found["node"], "left").select("digest", "n", F.coalesce("component", "id").alias("label"), F.col("first.doc_id").alias("own"))

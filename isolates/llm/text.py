@@ -114,6 +114,37 @@ class RollingHash:
             return h ^ (h >> np.uint64(32))
 
 
+def text_key() -> list[Column]:
+    """What tells rows of one doc_id apart: hash and size of the text; a null text has a hash and no size."""
+    return [F.xxhash64("text").alias("hash"), F.octet_length("text").alias("size")]
+
+
+def same_text(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """``docs`` (left) joined to rows of ``keys`` (doc_id, hash, size, ...) that stand for them, nulls included.
+
+    Columns of ``keys`` other than these three must have names that ``docs`` has not.
+    """
+    keys = keys.withColumnsRenamed({"doc_id": "__id", "hash": "__hash", "size": "__size"})
+    same = docs["doc_id"].eqNullSafe(keys["__id"]) & (F.xxhash64(docs["text"]) == keys["__hash"]) & F.octet_length(docs["text"]).eqNullSafe(keys["__size"])
+    return docs.join(keys, same, how).drop("__id", "__hash", "__size")
+
+
+def one_of_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``keys`` (doc_id, hash, size, times) name, one for each; ``times``: how many rows a key has.
+
+    Rows whose key is unique are joined and pass as they are. Of the others, which are few or copies of each other, one
+    is picked by an aggregate, which keeps one row a task before it shuffles.
+    """
+    keys = materialise(keys, "keys")
+    out = same_text(docs, keys.filter("times = 1").drop("times"), "left_semi")
+    if keys.filter("times > 1").isEmpty():
+        return out
+    again = same_text(docs, keys.filter("times > 1").drop("times"), "left_semi")
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    again = again.groupBy("doc_id", *text_key()).agg(F.first(whole).alias("__row")).select("__row.*")
+    return out.union(again)
+
+
 def spread(docs: DataFrame) -> DataFrame:
     """``docs`` written out over as many files as there are cores, if it is read in fewer parts than that; else as it is.
 
