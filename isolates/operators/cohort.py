@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from isolates.session import discard, materialise
 
 AMBIGUOUS = "N"
 NOT_CALLABLE = "?"
+#: Samples and positions of one side of a sweep over callable regions, and segments that are multiplied at once.
+SAMPLE_BLOCK, SPAN, STRIP = 256, 1 << 16, 1 << 13
 
 
 def usable_variants(variants: DataFrame, include_indels: bool = True) -> DataFrame:
@@ -53,6 +57,56 @@ def joint_table(variants: DataFrame, regions: DataFrame, samples: DataFrame) ->
     return out.select("chrom", "pos", "ref", "is_snp", "sample_id", shown.alias("allele"))
 
 
+def shared_bases(regions: DataFrame, block: int = SAMPLE_BLOCK, span: int = SPAN) -> DataFrame:
+    """(kind, sample_a, sample_b, bases): the positions that both samples of a pair hold, for each kind of ``regions``; pairs with none are left out.
+
+    ``regions``: kind, sample_id, chrom, start_pos, end_pos; merged within a sample. Intervals are not joined to one
+    another: a sweep goes over the starts and ends of ``block`` samples against ``block`` others within ``span``
+    positions, as products of matrices (samples by segments between two events), a strip of segments at a time. A group
+    holds at most twice ``block`` samples within ``span`` positions, whatever the cohort; each interval is copied once for
+    each block of samples.
+    """
+    samples = regions.select("sample_id").distinct().count()
+    blocks = max(1, -(-samples // block))
+    cut = I.binned(regions.filter(F.col("start_pos") < F.col("end_pos")), span)
+    low, high = F.greatest(F.col("start_pos"), F.col("bin") * span), F.least(F.col("end_pos"), (F.col("bin") + 1) * span)
+    mine = F.pmod(F.xxhash64("sample_id"), F.lit(blocks))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    cut = cut.select("kind", "sample_id", "chrom", "bin", (low - F.col("bin") * span).cast("int").alias("a"), (high - F.col("bin") * span).cast("int").alias("z"), mine.alias("mine"), other)
+    cut = cut.withColumns({"one": F.least("mine", "other"), "two": F.greatest("mine", "other")})
+
+    def sweep(group: pa.Table) -> pa.Table:
+        name = group.column("sample_id").combine_chunks().dictionary_encode()
+        names = np.array(name.dictionary.to_pylist(), object)
+        of, a, z = name.indices.to_numpy(), group.column("a").to_numpy(), group.column("z").to_numpy()
+        side = np.zeros(len(names), np.int64)
+        side[of] = group.column("mine").to_numpy()
+        edges = np.unique(np.concatenate([a, z]))
+        width = np.diff(edges).astype(np.float32)
+        begin, end = np.searchsorted(edges, a), np.searchsorted(edges, z)
+        both, open_ = np.zeros((len(names), len(names)), np.float64), np.zeros(len(names), np.float32)
+        for c in range(0, len(width), STRIP):
+            n = min(STRIP, len(width) - c)
+            held = np.zeros((len(names), n), np.float32)
+            held[:, 0] = open_
+            for at, step in ((begin, 1), (end, -1)):
+                on = (at >= c) & (at < c + n)
+                np.add.at(held, (of[on], at[on] - c), step)
+            np.cumsum(held, axis=1, out=held)
+            both += (held * width[c : c + n]) @ held.T
+            open_ = held[:, -1]
+        x, y = np.nonzero(both)
+        on = names[x] < names[y]
+        if group.column("one")[0].as_py() != group.column("two")[0].as_py():
+            on &= side[x] != side[y]
+        x, y = x[on], y[on]
+        kind = pa.array([group.column("kind")[0].as_py()] * len(x), pa.string())
+        return pa.table({"kind": kind, "sample_a": pa.array(names[x], pa.string()), "sample_b": pa.array(names[y], pa.string()), "bases": pa.array(both[x, y].astype(np.int64))})
+
+    found = cut.drop("other").groupBy("kind", "chrom", "bin", "one", "two").applyInArrow(sweep, "kind string, sample_a string, sample_b string, bases long")
+    return found.groupBy("kind", "sample_a", "sample_b").agg(F.sum("bases").alias("bases"))
+
+
 def pairwise_distances(variants: DataFrame, regions: DataFrame, mask: DataFrame, samples: DataFrame, window: int = int(VALUE["snp_proximity"])) -> DataFrame:
     """(sample_a, sample_b, snps, shared_callable_sites, masked_sites, indel_sites, ambiguous_sites) for all pairs.
 
@@ -66,19 +120,17 @@ def pairwise_distances(variants: DataFrame, regions: DataFrame, mask: DataFrame,
     pairs = names.select(F.col("sample_id").alias("sample_a")).join(names.select(F.col("sample_id").alias("sample_b")), F.col("sample_a") < F.col("sample_b"))
     keys = ["sample_id", "chrom"]
     regions = regions.select(*keys, "start_pos", "end_pos")
-    per_sample_mask = regions.select(*keys).distinct().join(mask.select("chrom", "start_pos", "end_pos"), "chrom").select(*keys, "start_pos", "end_pos")
-    clean = materialise(I.subtract(regions, per_sample_mask, keys), "clean")
-
-    def shared(df: DataFrame, name: str) -> DataFrame:
-        a = df.select(F.col("sample_id").alias("sample_a"), "chrom", "start_pos", "end_pos")
-        b = df.select(F.col("sample_id").alias("sample_b"), "chrom", "start_pos", "end_pos")
-        met = I.overlap_join(a, b, ["chrom"], I.mean_width(df)).filter(F.col("sample_a") < F.col("sample_b"))
-        return met.groupBy("sample_a", "sample_b").agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias(name))
-
+    # the mask as far as it lies in a sample's regions: no row for each sample and masked interval
+    inside = I.overlap_join(regions, mask.select("chrom", "start_pos", "end_pos"), ["chrom"]).select(*keys, "start_pos", "end_pos")
+    clean = materialise(I.subtract(regions, inside, keys), "clean")
     sites = joint_sites(variants)
     alleles = joint_alleles(variants).join(sites.select("chrom", "pos", "ref", "is_snp"), ["chrom", "pos"])
     # what each sample has at the variable positions inside its unmasked regions: its allele or the reference
-    spots = I.inside(sites.select("chrom", "pos", "ref", "is_snp").join(clean.select("sample_id", "chrom").distinct(), "chrom"), clean, keys, width=I.mean_width(clean))
+    width = I.mean_width(clean)
+    held = I.binned(clean, width).withColumnRenamed("chrom", "__chrom")
+    at = F.col("pos") - 1
+    same = (F.col("chrom") == F.col("__chrom")) & (F.floor(at / width) == F.col("bin")) & (at >= F.col("start_pos")) & (at < F.col("end_pos"))
+    spots = sites.select("chrom", "pos", "ref", "is_snp").join(held, same).select("chrom", "pos", "ref", "is_snp", "sample_id")
     here = spots.join(alleles.select("chrom", "pos", "sample_id", "allele"), ["chrom", "pos", "sample_id"], "left")
     here = materialise(here.select("chrom", "pos", "sample_id", "is_snp", F.coalesce("allele", "ref").alias("allele"), F.col("allele").isNotNull().alias("departs")), "here")
     # only samples that depart are paired with the others at a site; two that both do meet once
@@ -103,7 +155,9 @@ def pairwise_distances(variants: DataFrame, regions: DataFrame, mask: DataFrame,
     for side in ("sample_a", "sample_b"):
         known = known.join(with_regions.select(F.col("sample_id").alias(side), F.lit(True).alias(f"__{side}")), side, "left")
     both = F.coalesce(F.col("__sample_a") & F.col("__sample_b"), F.lit(False))
-    out = known.join(shared(clean, "clean"), ["sample_a", "sample_b"], "left").join(shared(regions, "all"), ["sample_a", "sample_b"], "left").join(counted, ["sample_a", "sample_b"], "left")
+    shared = shared_bases(regions.withColumn("kind", F.lit("all")).unionByName(clean.withColumn("kind", F.lit("clean")))).groupBy("sample_a", "sample_b")
+    shared = shared.agg(*[F.sum(F.when(F.col("kind") == k, F.col("bases"))).alias(k) for k in ("clean", "all")])
+    out = known.join(shared, ["sample_a", "sample_b"], "left").join(counted, ["sample_a", "sample_b"], "left")
     zero = lambda c: F.when(both, F.coalesce(F.col(c), F.lit(0)))
     return out.select(
         "sample_a",
@@ -136,15 +190,22 @@ def cluster_members(samples: DataFrame, pairs: DataFrame, threshold: int = int(V
     """
     links = comparable_pairs(pairs, floor).filter((F.col("state") == "comparable") & (F.col("snps") <= threshold))
     found = connected_components(links, "sample_a", "sample_b")
-    size = found.groupBy("component").agg(F.count("*").alias("size"), F.min(E.natural_key(F.col("node"))).alias("first"))
+    return samples.select("sample_id").distinct().join(_numbered(found, []).select(F.col("node").alias("sample_id"), "cluster_id"), "sample_id", "left")
+
+
+def _numbered(found: DataFrame, keys: list[str]) -> DataFrame:
+    """``found`` (keys, node, component) with ``cluster_id``, C1 the largest of its ``keys``, ties by the first member in natural order."""
+    size = found.groupBy(*keys, "component").agg(F.count("*").alias("size"), F.min(E.natural_key(F.col("node"))).alias("first"))
     # numbered within each size, after all clusters of larger sizes: as many sizes as there are, at most the root of twice the samples
-    sizes = size.groupBy("size").agg(F.count("*").alias("n"))
-    larger = sizes.join(sizes.select(F.col("size").alias("s"), F.col("n").alias("m")), F.col("s") > F.col("size"), "left").groupBy("size").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
-    place = F.row_number().over(W.partitionBy("size").orderBy("first"))
-    ids = size.withColumn("i", place).join(larger, "size").withColumn("cluster_id", F.concat(F.lit("C"), (F.col("before") + F.col("i")).cast("string")))
-    return samples.select("sample_id").distinct().join(
-        found.join(ids, "component").select(F.col("node").alias("sample_id"), "cluster_id"), "sample_id", "left"
-    )
+    sizes = size.groupBy(*keys, "size").agg(F.count("*").alias("n"))
+    other = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("size").alias("s"), F.col("n").alias("m"))
+    above = F.col("s") > F.col("size")
+    for k in keys:
+        above = above & (F.col(k) == F.col(f"__{k}"))
+    larger = sizes.join(other, above, "left").groupBy(*keys, "size").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
+    place = F.row_number().over(W.partitionBy(*keys, "size").orderBy("first"))
+    ids = size.withColumn("i", place).join(larger, [*keys, "size"]).withColumn("cluster_id", F.concat(F.lit("C"), (F.col("before") + F.col("i")).cast("string")))
+    return found.join(ids.select(*keys, "component", "cluster_id"), [*keys, "component"])
 
 
 def cluster_summary(members: DataFrame, pairs: DataFrame, threshold: int, floor: int = int(VALUE["min_shared_callable"])) -> DataFrame:
@@ -159,13 +220,52 @@ def cluster_summary(members: DataFrame, pairs: DataFrame, threshold: int, floor:
     return out.withColumns({"chained": F.col("max_distance") > threshold, "all_compared": F.coalesce("compared", F.lit(0)) * 2 == F.col("size") * (F.col("size") - 1)})
 
 
+def minimum_spanning_forest(edges: DataFrame, src: str = "sample_a", dst: str = "sample_b", weight: str = "snps") -> DataFrame:
+    """The edges (src, dst, weight) of a minimum spanning forest: ties go to the lower pair of names, so there is only one.
+
+    Rounds of Boruvka: every tree takes its lightest edge to another tree, the trees so joined become one, and of the
+    edges between two trees the lightest stays. Trees at least halve in number each round, which is written to the shared
+    folder. Self links, nulls and heavier copies of an edge are never taken; an empty table gives none.
+    """
+    a, b = F.least(src, dst), F.greatest(src, dst)
+    now = edges.filter(F.col(src).isNotNull() & F.col(dst).isNotNull() & F.col(weight).isNotNull() & (F.col(src) != F.col(dst)))
+    now = now.groupBy(a.alias("a"), b.alias("b")).agg(F.min(weight).alias("w"))
+    now, taken = materialise(now.select(F.col("a").alias("p"), F.col("b").alias("q"), F.struct("w", "a", "b").alias("edge")), "forest"), []
+    while not now.isEmpty():
+        sides = now.select("p", "edge").union(now.select(F.col("q").alias("p"), "edge"))
+        chosen = materialise(sides.groupBy("p").agg(F.min("edge").alias("edge")).select("edge").distinct(), "chosen")
+        taken.append(chosen.select("edge.*"))
+        joining = now.join(chosen, "edge", "left_semi").select("p", "q")
+        trees = materialise(connected_components(joining, "p", "q"), "trees")
+        of = lambda side: trees.select(F.col("node").alias(side), F.col("component").alias(f"{side}_tree"))
+        left = now.join(of("p"), "p").join(of("q"), "q").filter("p_tree <> q_tree")
+        p, q = F.least("p_tree", "q_tree"), F.greatest("p_tree", "q_tree")
+        after = materialise(left.groupBy(p.alias("p"), q.alias("q")).agg(F.min("edge").alias("edge")), "forest")
+        discard(now)
+        discard(trees)
+        now = after
+    out = taken[0] if taken else now.select("edge.*")
+    for part in taken[1:]:
+        out = out.union(part)
+    return out.select(F.col("a").alias(src), F.col("b").alias(dst), F.col("w").alias(weight))
+
+
 def clusters_at(samples: DataFrame, pairs: DataFrame, thresholds: list[int], floor: int = int(VALUE["min_shared_callable"])) -> DataFrame:
-    """(threshold, sample_id, cluster_id) for several thresholds at once."""
-    out = None
-    for t in thresholds:
-        part = cluster_members(samples, pairs, t, floor).select(F.lit(t).alias("threshold"), "sample_id", "cluster_id")
-        out = part if out is None else out.union(part)
-    return out
+    """(threshold, sample_id, cluster_id) for any number of thresholds, from one spanning forest and one run of components.
+
+    Single-linkage clusters at a threshold are the trees that are left when the forest's heavier edges are cut, so the
+    pairs are read once, and each threshold adds the forest's edges, fewer than there are samples.
+    """
+    links = comparable_pairs(pairs, floor).filter((F.col("state") == "comparable") & (F.col("snps") <= max(thresholds)))
+    forest = minimum_spanning_forest(links)
+    at = F.explode(F.filter(F.array(*[F.lit(t) for t in sorted(set(thresholds))]), lambda t: t >= F.col("snps"))).alias("threshold")
+    cut = forest.select("sample_a", "sample_b", at)
+    node = lambda c: F.struct("threshold", F.col(c).alias("name"))
+    found = connected_components(cut.select(node("sample_a").alias("src"), node("sample_b").alias("dst")))
+    found = found.select("node.threshold", F.col("node.name").alias("node"), F.col("component.name").alias("component"))
+    numbered = _numbered(found, ["threshold"]).select("threshold", F.col("node").alias("sample_id"), "cluster_id")
+    grid = samples.select("sample_id").distinct().withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in sorted(set(thresholds))])))
+    return grid.join(numbered, ["threshold", "sample_id"], "left").select("threshold", "sample_id", "cluster_id")
 
 
 def assemble(variants: DataFrame, regions: DataFrame, mask: DataFrame, samples: DataFrame, threshold: int = int(VALUE["cluster_default"]), floor: int = int(VALUE["min_shared_callable"])) -> dict[str, DataFrame]:

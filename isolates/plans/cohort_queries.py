@@ -255,10 +255,40 @@ def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.cluster_members(samples, found, 1)
 
 
-@query("clusters_at")
+#: Edges in one order; an edge is in the forest if lighter ones do not connect its ends.
+_FOREST = """
+ line AS (SELECT sample_a AS a, sample_b AS b, snps AS w, ROW_NUMBER() OVER (ORDER BY snps, LEAST(sample_a, sample_b), GREATEST(sample_a, sample_b)) AS r FROM cpairs WHERE shared_callable_sites >= 3000000 AND snps <= {t}),
+ way AS (SELECT a, b, r FROM line UNION ALL SELECT b, a, r FROM line),
+ met AS (SELECT a AS start, b AS goal, r AS edge, a AS seen FROM line UNION SELECT m.start, m.goal, m.edge, y.b FROM met m JOIN way y ON y.a = m.seen AND y.r < m.edge),
+ forest AS (SELECT l.* FROM line l WHERE NOT EXISTS (SELECT 1 FROM met m WHERE m.edge = l.r AND m.seen = l.b))"""
+
+
+@query("spanning_forest", f"WITH RECURSIVE {_CLUSTER_PAIRS},{_FOREST.format(t=3)} SELECT LEAST(a, b) AS sample_a, GREATEST(a, b) AS sample_b, w AS snps FROM forest")
+def spanning_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The single-linkage tree of the cohort: its lightest edges that join all that can be joined."""
+    _, found = _chain(spark, sf_dir)
+    return H.minimum_spanning_forest(H.comparable_pairs(found).filter("state = 'comparable' and snps <= 3"))
+
+
+def _at(t: int) -> str:
+    """Clusters at a threshold, each view by a name of its own."""
+    text = _CLUSTERS.format(t=t)
+    for name in ("links", "reach", "comp", "sized", "ids"):
+        text = text.replace(f" {name} AS", f" {name}{t} AS").replace(f"FROM {name}", f"FROM {name}{t}").replace(f"JOIN {name} ", f"JOIN {name}{t} ")
+    return text
+
+
+_THRESHOLDS = (0, 1, 2, 5)
+
+
+@query(
+    "clusters_at",
+    f"WITH RECURSIVE {_CLUSTER_PAIRS},{','.join(map(_at, _THRESHOLDS))} "
+    + " UNION ALL ".join(f"SELECT {t} AS threshold, c.sample_id, i.cluster_id FROM cust c LEFT JOIN comp{t} k ON k.node = c.sample_id LEFT JOIN ids{t} i USING (root)" for t in _THRESHOLDS),
+)
 def clusters_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, found = _chain(spark, sf_dir)
-    return H.clusters_at(samples, found, [0, 2])
+    return H.clusters_at(samples, found, list(_THRESHOLDS))
 
 
 @query(

@@ -21,7 +21,7 @@ from isolates.operators import ntm
 from isolates.operators import report as P
 from isolates.operators import resistance as R
 from isolates.operators import sites as S
-from isolates.plans.cohort_queries import _CLUSTER_PAIRS, _CLUSTERS, _CONSENSUS, _VARIANTS, _chain, contributions, variants
+from isolates.plans.cohort_queries import _CLUSTER_PAIRS, _CONSENSUS, _VARIANTS, _chain, contributions, variants
 from isolates.plans.fixtures import run_sql, view, with_sql
 
 QUERIES, SQL = {}, {}
@@ -394,17 +394,6 @@ def pair_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohort.comparable_pairs(_chain(spark, sf_dir)[1]).select("sample_a", "sample_b", "state", F.round("snps_per_mb", 6).alias("snps_per_mb"))
 
 
-def _renamed(ctes: str, n: int) -> str:
-    for name in ("links", "reach", "comp", "sized", "ids"):
-        ctes = ctes.replace(f"{name} AS", f"{name}{n} AS").replace(f"FROM {name} ", f"FROM {name}{n} ").replace(f"FROM {name})", f"FROM {name}{n})").replace(f"JOIN {name} ", f"JOIN {name}{n} ")
-    return ctes
-
-
-SQL["clusters_at"] = f"WITH RECURSIVE {_CLUSTER_PAIRS},{_renamed(_CLUSTERS.format(t=0), 0)},{_renamed(_CLUSTERS.format(t=2), 2)}" + " UNION ALL ".join(
-    f" SELECT {t} AS threshold, c.sample_id, i.cluster_id FROM cust c LEFT JOIN comp{t} k ON k.node = c.sample_id LEFT JOIN ids{t} i USING (root)" for t in (0, 2)
-)
-
-
 _FAMILIES = """
  taxa AS (SELECT DISTINCT CONCAT('S', CAST(l_suppkey AS VARCHAR(9))) AS sample_id, CONCAT('lineage', CAST(l_linenumber AS VARCHAR(9)), CASE WHEN l_partkey % 2 = 0 THEN CONCAT('.', CAST(l_partkey % 5 AS VARCHAR(9))) ELSE '' END) AS taxon, l_partkey % 2 = 0 AND l_partkey % 5 < 3 AS bare, l_linenumber AS n FROM lineitem),
  families AS (SELECT sample_id, taxon, CASE WHEN bare THEN '' ELSE CONCAT('family ', taxon) END AS family FROM taxa),
