@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from isolates.llm.text import NOT_SPACE, flat, slices, spaced, spans
-from isolates.session import materialise, read_table
+from isolates.llm.text import NOT_SPACE, flat, one_of_each, same_text, slices, spaced, spans, text_key
+from isolates.session import discard, materialise, read_table
 
 #: Bytes that a gear value depends on, and words to each side that a chunk's last word must undercut.
 WINDOW = 16
@@ -106,7 +106,10 @@ def chunked(column: pa.Array) -> Chunks:
 
 
 def windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, k, last, a, z, one, two): the windows of every text, their chunks, their words' numbers in the text, and digest."""
+    """(doc_id, hash, chunks, words, one, two): the windows of every text, its identity, first and last chunk and word, and digest.
+
+    ``chunks`` and ``words`` hold two numbers each, the first in the upper half.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -116,37 +119,46 @@ def windows(docs: DataFrame, min_words: int) -> DataFrame:
                 continue
             digest = c.digests(begin, last)
             zero = c.before[np.searchsorted(c.row, c.row[begin])]
-            ids = batch.column("doc_id").take(pa.array(c.row[begin]))
-            numbers = [c.number[begin], c.number[last], c.before[begin] - zero, c.upto[last] - zero]
-            columns = [ids, *[pa.array(x, pa.int32()) for x in numbers], pa.array(digest[:, 0]), pa.array(digest[:, 1])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k", "last", "a", "z", "one", "two"])
+            own = [batch.column(x).take(pa.array(c.row[begin])) for x in ("doc_id", "hash")]
+            chunks, words = c.number[begin] << 32 | c.number[last], c.before[begin] - zero << 32 | c.upto[last] - zero
+            yield pa.RecordBatch.from_arrays([*own, *map(pa.array, (chunks, words, digest[:, 0], digest[:, 1]))], ["doc_id", "hash", "chunks", "words", "one", "two"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k int, last int, a int, z int, one long, two long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, chunks long, words long, one long, two long")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, within: bool = True) -> DataFrame:
-    """(doc_id, first_chunk, last_chunk, n_words, kept_in): passages whose text also stands in an earlier place.
-
-    A window of whole chunks with ``min_words`` words or more stays where its text occurs first (lowest doc_id, then
-    place); later ones are repeats. Repeats of one document that overlap or touch are joined to one passage, with the
-    documents that keep its windows in ``kept_in``. ``within``: whether repeats of a document's own text count. Null and
-    empty texts have no chunks. Rows with a null doc_id are compared with nothing. Rows that repeat a doc_id count as
-    one document, and of rows alike in all the first stays too. Other columns are ignored; an empty table gives no rows.
+    """(doc_id, text_hash, first_chunk, last_chunk, n_words, kept_in): passages whose text also stands in an earlier place.
+
+    A window of whole chunks with ``min_words`` words or more stays where its text occurs first (lowest doc_id, null ids
+    last, then the text's hash and the place); later ones are repeats. Repeats of one document that overlap or touch are
+    joined to one passage, with the documents that keep its windows in ``kept_in`` (null ids are not listed). ``within``:
+    whether repeats of a document's own text count. Null and empty texts have no chunks. A document is an id and a text:
+    two texts under one id are compared like any others, rows that repeat both are one document. Other columns are
+    ignored; an empty table gives no rows.
     """
-    parts = materialise(windows(docs.filter(F.col("doc_id").isNotNull()), min_words), "windows")
-    held = parts.groupBy("one", "two").agg(F.min(F.struct("doc_id", "k")).alias("kept"), F.count("*").alias("n"), F.max("doc_id").alias("other"))
-    held = held.filter(F.col("n") > 1 if within else F.col("kept.doc_id") != F.col("other")).select("one", "two", "kept")
-    later = parts.join(held, ["one", "two"]).filter(F.struct("doc_id", "k") != F.col("kept"))
+    parts = materialise(windows(docs, min_words), "windows")
+    often = parts.groupBy("one", "two").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    # most windows stand once and go before places are compared
+    again = materialise(parts.join(often, ["one", "two"]), "repeats")
+    discard(parts)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", F.shiftright("chunks", 32).alias("k"))
+    held = again.withColumn("place", place)
+    first = held.groupBy("one", "two").agg(F.min("place").alias("kept"))
+    later = held.join(first, ["one", "two"]).filter(F.col("place") != F.col("kept"))
     if not within:
-        later = later.filter(F.col("doc_id") != F.col("kept.doc_id"))
-    in_doc = W.partitionBy("doc_id").orderBy("k", "last")
+        later = later.filter(~(F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("hash") == F.col("kept.hash"))))
+    low = F.lit((1 << 32) - 1)
+    later = later.select(
+        "doc_id", "hash", "kept", F.col("place.k").alias("k"), F.col("chunks").bitwiseAND(low).alias("last"), F.shiftright("words", 32).alias("a"), F.col("words").bitwiseAND(low).alias("z")
+    )
+    in_doc = W.partitionBy("doc_id", "hash").orderBy("k", "last")
     so_far = F.max("last").over(in_doc.rowsBetween(W.unboundedPreceding, -1))
-    runs = later.select("doc_id", "k", "last", "a", "z", "kept", F.when(F.col("k") > so_far + 1, 1).otherwise(0).alias("new"))
+    runs = later.withColumn("new", F.when(F.col("k") > so_far + 1, 1).otherwise(0))
     runs = runs.withColumn("run", F.sum("new").over(in_doc))
-    return runs.groupBy("doc_id", "run").agg(
-        F.min("k").alias("first_chunk"),
-        F.max("last").alias("last_chunk"),
-        (F.max("z") - F.min("a")).alias("n_words"),
+    return runs.groupBy("doc_id", F.col("hash").alias("text_hash"), "run").agg(
+        F.min("k").cast("int").alias("first_chunk"),
+        F.max("last").cast("int").alias("last_chunk"),
+        (F.max("z") - F.min("a")).cast("int").alias("n_words"),
         F.sort_array(F.collect_set("kept.doc_id")).alias("kept_in"),
     ).drop("run")
 
@@ -154,12 +166,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, within: bool
 def cut_passages(docs: DataFrame, passages: DataFrame) -> DataFrame:
     """``docs`` without the passages' chunks, all columns kept; a text that loses every word becomes empty.
 
-    Texts that hold no passage are returned byte for byte, ``n_chars`` follows the text if there is such a column.
+    A passage is cut from the text that it was found in, not from others under the same id. Of rows that repeat id and
+    text one stays, whatever their length. Texts that hold no passage, null and empty ones too, are returned byte for
+    byte; ``n_chars`` follows the text if there is such a column. An empty table stays empty.
     """
     names = docs.columns
-    spots = passages.groupBy("doc_id").agg(F.collect_list(F.struct("first_chunk", "last_chunk")).alias("__cut"))
-    spots = spots.select(F.col("doc_id").alias("__id"), "__cut")
-    joined = docs.join(spots, docs["doc_id"] == spots["__id"], "left").drop("__id")
+    spots = passages.groupBy("doc_id", F.col("text_hash").alias("hash")).agg(F.collect_list(F.struct("first_chunk", "last_chunk")).alias("__cut"))
+    times = docs.select("doc_id", *text_key()).groupBy("doc_id", "hash", "size").agg(F.count("*").alias("times")).filter("times > 1")
+    times = materialise(times, "repeated_rows")
+    if not times.isEmpty():
+        rest = same_text(docs, times.drop("times"), "left_anti")
+        docs = rest.union(one_of_each(docs, times))
+    spots = spots.withColumnsRenamed({"doc_id": "__id", "hash": "__hash"})
+    joined = docs.join(spots, docs["doc_id"].eqNullSafe(spots["__id"]) & (F.xxhash64(docs["text"]) == spots["__hash"]), "left").drop("__id", "__hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
