@@ -28,7 +28,7 @@ from isolates.llm.text import slices
 from isolates.session import materialise, read_table
 
 #: Best texts of an item; texts and bytes of text in a shard at most; bytes of items in a block.
-TOP, SHARD_ROWS, SHARD_BYTES, BLOCK_BYTES = 50, 16_384, 48 << 20, 4 << 20
+TOP, SHARD_ROWS, SHARD_BYTES, BLOCK_BYTES = 50, 8192, 24 << 20, 4 << 20
 #: Texts of a window; windows that are gone through before the floor is raised, at first and later; a list is long from this share of a shard's texts on.
 WINDOW, SEED, STEP, LONG_SHARE = 64, 4, 16, 1 / 32
 #: Parts in which the shards' best are merged before they meet.
