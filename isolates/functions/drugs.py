@@ -69,9 +69,15 @@ def platform_name(text: Column) -> Column:
     return _lookup({other: name for name, others in PLATFORM_NAMES.items() for other in others}, _clean(text))
 
 
+# The five grades as they are written.
+GRADES = ("1) Assoc w R", "2) Assoc w R - Interim", "3) Uncertain significance", "4) Not assoc w R - Interim", "5) Not assoc w R")
+
+
 def grade_number(text: Column) -> Column:
-    """1 to 5 of a grade as text: ``2``, ``group 2`` or ``2) Assoc w R - Interim`` with any dash; NULL for anything else."""
-    return F.regexp_extract(_clean(text), r"^(?:group )?([1-5])(?:\).*)?$", 1).try_cast("int")
+    """1 to 5 of a grade as text: ``2``, ``group 2`` or its written form with any dash; NULL for anything else, which is no grade."""
+    key = F.regexp_replace(_clean(text), " [\u2013\u2014] ", " - ")
+    known = {form: str(i) for i, g in enumerate(GRADES, 1) for form in (g.lower(), str(i), f"group {i}")}
+    return _lookup(known, key).cast("int")
 
 
 def level_stated(comment: Column) -> Column:

@@ -46,7 +46,22 @@ def sequence_tiles(sequences: DataFrame) -> DataFrame:
     position of its first base. Each contig is cut in one pass; margins reach their tiles by a shuffle on (chrom, tile).
     """
     pieces = F.posexplode(F.regexp_extract_all(F.upper("seq"), F.lit(f"(?s)(.{{1,{TILE}}})"), 1)).alias("tile", "piece")
-    cut = sequences.filter("seq is not null").select("chrom", pieces)
+    return _with_margins(sequences.filter("seq is not null").select("chrom", pieces))
+
+
+def tiles_of_pieces(pieces: DataFrame) -> DataFrame:
+    """The same tiles of a reference that comes in pieces (chrom, at, bases), ``at`` counting the bases before: no contig is ever in one row."""
+    some = pieces.filter("bases <> ''")
+    first, last = F.floor(F.col("at") / TILE), F.floor((F.col("at") + F.length("bases") - 1) / TILE)
+    cut = some.select("chrom", "at", F.upper("bases").alias("bases"), F.explode(F.sequence(first, last)).alias("tile"))
+    low, high = F.greatest(F.col("at"), F.col("tile") * TILE), F.least(F.col("at") + F.length("bases"), (F.col("tile") + 1) * TILE)
+    cut = cut.select("chrom", "tile", low.alias("low"), F.substr("bases", (low - F.col("at") + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("low", "part"))), lambda x: x["part"]), "")
+    return _with_margins(cut.groupBy("chrom", F.col("tile").cast("int").alias("tile")).agg(whole.alias("piece")))
+
+
+def _with_margins(cut: DataFrame) -> DataFrame:
+    """Tiles from their own bases (chrom, tile, piece)."""
     parts = F.array(
         F.struct(F.lit(0).alias("by"), F.col("piece").alias("part")),
         F.struct(F.lit(1).alias("by"), F.substr("piece", F.lit(1), F.lit(MARGIN)).alias("part")),

@@ -91,7 +91,7 @@ def contributions(calls: DataFrame, variants: DataFrame, platform: str, suppress
     ``calls``: sample_id, variant_id, catalogue, drug, grade, call, matched_by. Nothing is dropped.
     """
     kept = variants.select("sample_id", "variant_id", "chrom", "pos", "ref", "alt", "gene", "filters", "is_major")
-    out = calls.withColumn("drug", F.lower(F.trim("drug"))).join(kept, ["sample_id", "variant_id"])
+    out = calls.withColumn("drug", D.drug_name(F.col("drug"))).join(kept, ["sample_id", "variant_id"])
     below = F.when(~E.passes(F.col("filters")), F.concat(F.lit("below platform thresholds ("), F.array_join("filters", ", "), F.lit(")")))
     by_rule = F.lit(None).cast("string")
     if suppressed is not None:

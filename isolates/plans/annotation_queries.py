@@ -150,10 +150,10 @@ inside AS (
   SELECT p.*, SUBSTR(seq, start_pos, end_pos - start_pos + 1) AS cds, pos - start_pos AS o FROM pair p JOIN contig USING (chrom)
   WHERE inside AND coding AND LENGTH(ref) <> LENGTH(alt)),
 fit AS (SELECT *, CONCAT(SUBSTR(cds, 1, o), alt, SUBSTR(cds, CAST(o + 1 + LENGTH(ref) AS INT))) AS changed FROM inside WHERE SUBSTR(cds, CAST(o + 1 AS INT), LENGTH(ref)) = ref),
-turned AS (SELECT *, {_read("cds")} AS x, {_read("changed")} AS y FROM fit),
+read_as AS (SELECT *, {_read("cds")} AS x, {_read("changed")} AS y FROM fit),
 made AS (
   SELECT *, ARRAY_TO_STRING(LIST_TRANSFORM(range(0, LENGTH(x) // 3), lambda i: {_aa("SUBSTR(x, CAST(i * 3 + 1 AS INT), 3)")}), '') AS old,
-            ARRAY_TO_STRING(LIST_TRANSFORM(range(0, LENGTH(y) // 3), lambda i: {_aa("SUBSTR(y, CAST(i * 3 + 1 AS INT), 3)")}), '') AS new FROM turned),
+            ARRAY_TO_STRING(LIST_TRANSFORM(range(0, LENGTH(y) // 3), lambda i: {_aa("SUBSTR(y, CAST(i * 3 + 1 AS INT), 3)")}), '') AS new FROM read_as),
 headed AS (SELECT *, LEN(LIST_FILTER(range(1, LEAST(LENGTH(old), LENGTH(new)) + 1), lambda i: SUBSTR(old, 1, i) = SUBSTR(new, 1, i))) AS head FROM made),
 tailed AS (SELECT *, LEN(LIST_FILTER(range(1, LEAST(LENGTH(old), LENGTH(new)) - head + 1), lambda i: RIGHT(old, i) = RIGHT(new, i))) AS tail FROM headed),
 sized AS (SELECT *, LENGTH(old) - head - tail AS gone, LENGTH(new) - head - tail AS more, SUBSTR(new, head + 1, LENGTH(new) - head - tail) AS added FROM tailed),
@@ -201,3 +201,96 @@ def left_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = [F.col(c).alias(f"old_{c}") for c in ("pos", "ref", "alt")]
     moved = A.normalise_variants(alleles.select("*", *own), tiles)
     return moved.select("chrom", *[F.col(f"old_{c}").alias(c) for c in ("pos", "ref", "alt")], *[F.col(c).alias(f"new_{c}") for c in ("pos", "ref", "alt")], F.size("filters").alias("n_filters"))
+
+
+# --- every name ---
+
+_KEYS = "chrom, pos, ref, alt"
+
+
+def _base_chain(source: str, to: str) -> str:
+    """View ``to``: the name of a changed base (bp, r, a) of ``source`` in the row's gene, and its codon ``number``."""
+    return f"""
+{to}_n AS (SELECT *, CASE WHEN coding AND c > 0 THEN (c - 1) // 3 + 1 END AS number FROM (SELECT *, {_offset("bp")} AS c, CASE WHEN coding THEN 'c.' ELSE 'n.' END AS prefix FROM {source})),
+{to}_p AS (SELECT *, CASE WHEN strand = '+' THEN start_pos + (number - 1) * 3 ELSE end_pos - number * 3 + 1 END AS first FROM {to}_n),
+{to}_c AS (
+  SELECT *, SUBSTR(seq, first, 3) AS g, ARRAY_TO_STRING(LIST_TRANSFORM(range(0, 3), lambda k: CASE WHEN first + k = bp THEN a ELSE SUBSTR(seq, first + k, 1) END), '') AS g_one,
+    ARRAY_TO_STRING(LIST_TRANSFORM(range(0, 3), lambda k: CASE WHEN first + k BETWEEN pos AND pos + LENGTH(ref) - 1 AND first + k BETWEEN start_pos AND end_pos THEN SUBSTR(alt, CAST(first + k - pos + 1 AS INT), 1) ELSE SUBSTR(seq, first + k, 1) END), '') AS g_all
+  FROM {to}_p),
+{to}_t AS (SELECT *, {_read("g")} AS k0, {_read("g_one")} AS k1, {_read("g_all")} AS k2 FROM {to}_c),
+{to}_r AS (SELECT *, {_aa("k0")} AS before, {_aa("k1")} AS one, {_aa("k2")} AS whole FROM {to}_t),
+{to} AS (SELECT *, CASE WHEN number > 1 AND before <> one THEN CONCAT('p.', {_three("before")}, number, {_three("one")}) ELSE CONCAT(prefix, c, {_read("r")}, '>', {_read("a")}) END AS said FROM {to}_r)"""
+
+
+def _indel_chain(source: str, to: str) -> str:
+    """View ``to``: the nucleotide name of an insertion or deletion of ``source`` in the row's gene."""
+    return f"""
+{to}_m AS (
+  SELECT *, ABS(LENGTH(alt) - LENGTH(ref)) AS size, LENGTH(alt) < LENGTH(ref) AS del, {_offset("pos")} AS c, CASE WHEN coding THEN 'c.' ELSE 'n.' END AS prefix,
+         {_offset("(pos + 1)")} AS c1, {_offset("(pos + ABS(LENGTH(alt) - LENGTH(ref)))")} AS c2 FROM {source}),
+{to}_e AS (SELECT *, LEAST(c1, c2) AS lo, GREATEST(c1, c2) AS hi, CASE WHEN strand = '+' THEN c ELSE c - 1 END AS lft, CASE WHEN strand = '+' THEN c + 1 ELSE c END AS touched FROM {to}_m),
+{to} AS (
+  SELECT *, CASE WHEN coding AND size % 3 <> 0 AND (CASE WHEN del THEN lo ELSE touched END) >= 1 THEN CONCAT('p.Xaa', (CASE WHEN del THEN lo ELSE touched END - 1) // 3 + 1, 'fs')
+    WHEN del THEN CONCAT(prefix, CASE WHEN size = 1 THEN CONCAT(lo) ELSE CONCAT(lo, '_', hi) END, 'del', {_read("SUBSTR(ref, 2, CAST(size AS INT))")})
+    ELSE CONCAT(prefix, lft, '_', lft + 1, 'ins', {_read("SUBSTR(alt, 2, CAST(size AS INT))")}) END AS said FROM {to}_e)"""
+
+
+_LOSS = "effect IN ('" + "', '".join(A.LOSS) + "') OR (hgvs LIKE 'p.%' AND hgvs LIKE '%Ter')"
+_PROTEIN = SQL["protein_indels"].split("fit AS", 1)[1].rsplit("\nSELECT chrom", 1)
+_PROTEIN_NAMES = SQL["protein_indels"].rsplit("\nSELECT chrom, pos, ref, alt, gene,", 1)[1]
+
+_ALL_NAMES = f"""{_NAMES},
+wide AS (SELECT p.*, seq FROM pair p JOIN contig USING (chrom)),
+side AS (SELECT w.* FROM wide w LEFT JOIN best b USING ({_KEYS}) WHERE NOT w.inside AND w.gene IS DISTINCT FROM b.gene),
+side_base AS (
+  SELECT *, pos + i - 1 AS bp, SUBSTR(ref, i, 1) AS r, SUBSTR(alt, i, 1) AS a
+  FROM (SELECT *, LIST_MIN(LIST_FILTER(range(1, LENGTH(ref) + 1), lambda x: SUBSTR(ref, x, 1) <> SUBSTR(alt, x, 1))) AS i FROM side WHERE LENGTH(ref) = LENGTH(alt)) WHERE i IS NOT NULL),
+{_base_chain("side_base", "sb")},
+side_indel AS (SELECT * FROM side WHERE LENGTH(ref) <> LENGTH(alt)),
+{_indel_chain("side_indel", "si")},
+cut AS (SELECT *, SUBSTR(ref, 2) AS gone, SUBSTR(alt, 2) AS more, GREATEST(pos - 40, 1) AS base FROM allele JOIN contig USING (chrom) WHERE LENGTH(ref) <> LENGTH(alt)),
+local AS (SELECT *, SUBSTR(seq, base, 120) AS was, CONCAT(SUBSTR(seq, base, pos - base), alt, SUBSTR(seq, CAST(pos + LENGTH(ref) AS INT), CAST(120 - (pos - base) - LENGTH(ref) AS INT))) AS now FROM cut),
+shift AS (SELECT *, UNNEST(range(GREATEST(pos - 24, 1), pos + 25)) AS at_pos FROM local),
+moved_to AS (
+  SELECT chrom, pos AS own_pos, ref AS own_ref, alt AS own_alt, seq, CAST(at_pos AS INT) AS pos, was, now, base,
+    CASE WHEN gone <> '' THEN SUBSTR(was, CAST(at_pos - base + 1 AS INT), LENGTH(gone) + 1) ELSE SUBSTR(was, CAST(at_pos - base + 1 AS INT), 1) END AS ref,
+    CASE WHEN gone <> '' THEN SUBSTR(was, CAST(at_pos - base + 1 AS INT), 1) ELSE SUBSTR(now, CAST(at_pos - base + 1 AS INT), LENGTH(more) + 1) END AS alt FROM shift),
+put AS (
+  SELECT chrom, own_pos, own_ref, own_alt, pos, ref, alt FROM moved_to
+  WHERE LENGTH(ref) > 0 AND LENGTH(alt) > 0 AND LENGTH(ref) - LENGTH(alt) = LENGTH(own_ref) - LENGTH(own_alt) AND SUBSTR(ref, 1, 1) = SUBSTR(alt, 1, 1)
+    AND CONCAT(SUBSTR(was, 1, pos - base), alt, SUBSTR(was, CAST(pos - base + 1 + LENGTH(ref) AS INT))) = now),
+put_genes AS (SELECT p.*, g.* EXCLUDE (chrom), pos BETWEEN start_pos AND end_pos AS inside FROM put p JOIN label g ON g.chrom = p.chrom AND p.pos BETWEEN g.low AND g.high),
+put_in AS (SELECT * FROM put_genes QUALIFY inside OR NOT BOOL_OR(inside) OVER (PARTITION BY chrom, own_pos, own_ref, own_alt, pos)),
+{_indel_chain("put_in", "pi")},
+inside AS (SELECT p.*, SUBSTR(seq, start_pos, end_pos - start_pos + 1) AS cds, pos - start_pos AS o FROM put_in p JOIN contig USING (chrom) WHERE coding AND pos >= start_pos),
+fit AS{_PROTEIN[0]},
+product AS (SELECT chrom, own_pos, own_ref, own_alt, gene,{_PROTEIN_NAMES.rsplit("FROM moved", 1)[0]} FROM moved),
+base_at AS (
+  SELECT a.chrom, a.pos, a.ref, a.alt, seq, i, a.pos + i - 1 AS bp, SUBSTR(a.ref, i, 1) AS r, SUBSTR(a.alt, i, 1) AS a
+  FROM (SELECT *, UNNEST(range(1, LENGTH(ref) + 1)) AS i FROM allele WHERE LENGTH(ref) = LENGTH(alt) AND LENGTH(ref) > 1) a JOIN contig USING (chrom) WHERE SUBSTR(a.ref, i, 1) <> SUBSTR(a.alt, i, 1)),
+base_genes AS (SELECT b.*, g.* EXCLUDE (chrom), bp BETWEEN start_pos AND end_pos AS inside FROM base_at b JOIN label g ON g.chrom = b.chrom AND b.bp BETWEEN g.low AND g.high),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY {_KEYS}, i ORDER BY inside DESC, CASE WHEN inside THEN end_pos - start_pos ELSE ABS({_offset("bp")}) END, start_pos, gene) AS n FROM base_genes),
+meant AS (SELECT *, FIRST_VALUE(gene) OVER (PARTITION BY {_KEYS}, i ORDER BY n) AS main FROM ranked),
+block_base AS (SELECT * FROM meant WHERE n = 1 OR (NOT inside AND gene <> main)),
+{_base_chain("block_base", "bb")},
+block AS (SELECT *, {_offset("pos")} AS c1, {_offset("(pos + LENGTH(ref) - 1)")} AS c2 FROM best WHERE inside AND LENGTH(ref) = LENGTH(alt) AND LENGTH(ref) > 1),
+ending AS (SELECT * FROM named WHERE {_LOSS} OR regexp_matches(hgvs, '^p\\.Ter[0-9]')),
+every AS (
+  SELECT {_KEYS}, gene, hgvs AS name FROM named
+  UNION SELECT {_KEYS}, gene, said FROM sb UNION SELECT {_KEYS}, gene, said FROM si UNION SELECT {_KEYS}, gene, said FROM bb
+  UNION SELECT chrom, own_pos, own_ref, own_alt, gene, said FROM pi
+  UNION SELECT chrom, own_pos, own_ref, own_alt, gene, protein FROM product UNION SELECT chrom, own_pos, own_ref, own_alt, gene, frameshift FROM product
+  UNION SELECT chrom, own_pos, own_ref, own_alt, gene, 'LoF' FROM product WHERE frameshift IS NOT NULL
+  UNION SELECT {_KEYS}, gene, CONCAT('p.', {_three("before")}, number, {_three("whole")}) FROM bb WHERE n = 1 AND inside AND before <> whole
+  UNION SELECT {_KEYS}, gene, 'LoF' FROM bb WHERE n = 1 AND inside AND before <> whole AND (whole = '*' OR number = 1)
+  UNION SELECT {_KEYS}, gene, CONCAT(prefix, LEAST(c1, c2), '_', GREATEST(c1, c2), 'del', {_read("ref")}, 'ins', {_read("alt")}) FROM block
+  UNION SELECT {_KEYS}, gene, 'LoF' FROM named WHERE {_LOSS}
+  UNION SELECT {_KEYS}, p.gene, 'LoF' FROM pair p JOIN ending e USING ({_KEYS}) WHERE p.coding
+  UNION SELECT a.chrom, pos, ref, alt, gene, 'LoF' FROM allele a JOIN label g ON g.chrom = a.chrom AND g.coding AND LENGTH(ref) > LENGTH(alt) AND start_pos <= pos + LENGTH(ref) - LENGTH(alt) AND end_pos >= pos + 1)"""
+
+
+@query("legitimate_names", f"WITH{_DUCK},{_ALL_NAMES} SELECT {_KEYS}, gene, name FROM every WHERE name IS NOT NULL")
+def legitimate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every name under which a catalogue may hold each allele."""
+    alleles, genes, tiles = _inputs(spark, sf_dir)
+    return A.legitimate_names(alleles, genes, tiles, UPSTREAM)

@@ -1,4 +1,4 @@
-"""Readers of sequencing formats as DataFrames: text read by Spark, parsed by column expressions or Arrow functions.
+"""Readers of sequencing formats as DataFrames: text read by Spark in splits, parsed by column expressions.
 
 Each reader takes a path or glob and returns rows with ``sample_id`` from the file name (its stem up to the first
 point), so that one call reads many samples.
@@ -6,16 +6,13 @@ point), so that one call reads many samples.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from isolates.functions import drugs as D
 from isolates.functions import expressions as E
-from isolates.session import ship_package
+from isolates.sources.splits import read_fasta, read_fasta_pieces, read_fastq  # noqa: F401
 
 # Ambiguity codes of bases.
 IUPAC = {
@@ -36,120 +33,50 @@ def _checked(rows: DataFrame, bad: Column, what: str) -> DataFrame:
     return rows.filter(F.assert_true(~F.coalesce(bad, F.lit(True)), F.lit(what)).isNull())
 
 
-class FastqSource(DataSource):
-    """FASTQ files, one partition each: ``spark.read.format("fastq").option("paths", "a,b").load()``; gzip by suffix."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fastq"
-
-    def schema(self) -> str:
-        return "sample_id string, name string, seq string, qual string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return FastqReader(self.options)
-
-
-class FastqReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
-        self.most = int(options.get("max_records", 0))
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import gzip
-
-        path = partition.value.removeprefix("file://")
-        sample = path.rsplit("/", 1)[-1].split(".")[0]
-        with (gzip.open if path.endswith(".gz") else open)(path, "rt") as lines:
-            n = 0
-            while head := lines.readline().rstrip("\n"):
-                seq, plus, qual = (lines.readline().rstrip("\n") for _ in range(3))
-                if not head.startswith("@") or not plus.startswith("+") or len(seq) != len(qual):
-                    raise ValueError(f"{path}: record {n + 1} is no FASTQ record")
-                yield sample, head[1:], seq, qual
-                n += 1
-                if n == self.most:
-                    return
-
-
-def read_fastq(spark: SparkSession, paths: list[str], max_records: int = 0) -> DataFrame:
-    """(sample_id, name, seq, qual); ``max_records`` bounds the rows of each file, for read profiles."""
-    ship_package(spark)
-    spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("paths", ",".join(paths)).option("max_records", max_records).load()
-
-
 def read_lengths(fastq: DataFrame) -> DataFrame:
     """(sample_id, length, quality) of reads, quality as the mean phred of its marks."""
     marks = F.transform(F.filter(F.split("qual", ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
     return fastq.select("sample_id", F.length("seq").alias("length"), E.ratio(F.aggregate(marks, F.lit(0), lambda a, x: a + x), F.size(marks)).alias("quality"))
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(sample_id, name, header, seq) of FASTA records; sequences in upper case, lines joined."""
-    raw = spark.read.option("lineSep", ">").text(path).select(sample_from_path(F.input_file_name()).alias("sample_id"), "value").filter(F.trim("value") != "")
-    parts = F.split("value", "\n", 2)
-    header = F.trim(F.element_at(parts, 1))
-    seq = F.upper(F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), r"\s", ""))
-    return raw.select("sample_id", F.element_at(F.split(header, r"\s+"), 1).alias("name"), header.alias("header"), seq.alias("seq"))
-
-
-def parse_bases(text: str, ref: str) -> tuple[dict[str, int], dict[str, int], dict[str, int]]:
-    """Base counts, inserted and deleted sequences of one pileup column."""
-    counts, inserted, deleted = dict.fromkeys("ACGTN-", 0), {}, {}
-    i, n = 0, len(text)
-    while i < n:
-        c = text[i]
-        i += 1
-        if c == "^":
-            i += 1
-        elif c in "+-":
-            j = i
-            while j < n and text[j].isdigit():
-                j += 1
-            size = int(text[i:j])
-            held = inserted if c == "+" else deleted
-            word = text[j : j + size].upper()
-            held[word] = held.get(word, 0) + 1
-            i = j + size
-        elif c in ".,":
-            counts[ref] = counts.get(ref, 0) + 1
-        elif c in "*#":
-            counts["-"] += 1
-        elif c.upper() in "ACGTN":
-            counts[c.upper()] += 1
-    return counts, inserted, deleted
+SITES = "sample_id string, chrom string, pos int, ref_base string, n_a long, n_c long, n_g long, n_t long, n_n long, n_gap long, raw_depth int, covered boolean, ins map<string,int>, del map<string,int>"
 
 
-SITES = "sample_id string, chrom string, pos int, ref_base string, n_a long, n_c long, n_g long, n_t long, n_n long, n_gap long, raw_depth int, covered boolean, ins map<string,int>, del map<string,int>"
+def pileup_counts(bases: Column, ref: Column) -> dict[str, Column]:
+    """Base counts n_a to n_gap and the inserted and deleted sequences of a pileup column, as expressions.
+
+    ``^`` swallows the mark after it, ``$`` and a sign without a number stand for nothing; after a sign and a number so
+    many bases are an insertion or deletion, what follows them is counted again. ``.`` and ``,`` are the reference base.
+    """
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(bases, F.lit("")), r"\^.", ""), r"\$|[+-](?![0-9])", "")
+    token = r"([+-])([0-9]+)([^+-]*)"
+    part = lambda i: F.regexp_extract_all(clean, F.lit(token), i)
+    events = F.arrays_zip(part(1).alias("sign"), part(2).alias("n"), part(3).alias("rest"))
+    plain = F.concat(F.regexp_extract(clean, r"^[^+-]*", 0), F.array_join(F.transform(events, lambda e: F.substr(e["rest"], e["n"].cast("int") + 1)), ""))
+    count = lambda letters: F.length(F.regexp_replace(plain, f"[^{letters}]", "")).cast("long")
+    same = count(".,")
+    out = {}
+    for name, letter in (("n_a", "A"), ("n_c", "C"), ("n_g", "G"), ("n_t", "T"), ("n_n", "N")):
+        out[name] = count(letter + letter.lower()) + F.when(ref == letter, same).otherwise(0)
+    out["n_gap"] = count("*#")
+
+    def kinds(sign: str) -> Column:
+        words = F.transform(F.filter(events, lambda e: e["sign"] == sign), lambda e: F.upper(F.substr(e["rest"], F.lit(1), e["n"].cast("int"))))
+        one = F.array_distinct(words)
+        return F.map_from_arrays(one, F.transform(one, lambda k: F.size(F.filter(words, lambda w: w == k))))
+
+    return out | {"ins": kinds("+"), "del": kinds("-")}
 
 
 def read_mpileup(spark: SparkSession, path: str) -> DataFrame:
-    """Allele counts from pileup text; a row of depth zero is a site that is not covered."""
-    ship_package(spark)
+    """Allele counts from pileup text; a row of depth zero is a site that is not covered. Rows without a position are left out."""
     cut = F.split("value", "\t")
     rows = _lines(spark, path).filter(F.size(cut) >= 4)
-    rows = rows.select("sample_id", cut[0].alias("chrom"), cut[1].cast("int").alias("pos"), F.upper(cut[2]).alias("ref_base"), cut[3].cast("int").alias("raw_depth"), F.coalesce(F.get(cut, F.lit(4)), F.lit("")).alias("bases"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {c: [] for c in ("n_a", "n_c", "n_g", "n_t", "n_n", "n_gap", "ins", "del")}
-            for text, ref, depth in zip(*(batch.column(c).to_pylist() for c in ("bases", "ref_base", "raw_depth"))):
-                counts, inserted, deleted = parse_bases(text if depth else "", ref)
-                for c, b in zip(("n_a", "n_c", "n_g", "n_t", "n_n", "n_gap"), "ACGTN-"):
-                    out[c].append(counts[b])
-                out["ins"].append(list(inserted.items()))
-                out["del"].append(list(deleted.items()))
-            kind = pa.map_(pa.string(), pa.int32())
-            covered = [bool(d) for d in batch.column("raw_depth").to_pylist()]
-            columns = [batch.column(c) for c in ("sample_id", "chrom", "pos", "ref_base")] + [pa.array(out[c], pa.int64()) for c in ("n_a", "n_c", "n_g", "n_t", "n_n", "n_gap")]
-            columns += [batch.column("raw_depth"), pa.array(covered), pa.array(out["ins"], kind), pa.array(out["del"], kind)]
-            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SITES.replace("map<string,int>", "map").split(", ")])
-
-    return rows.mapInArrow(run, SITES)
+    rows = rows.select("sample_id", cut[0].alias("chrom"), cut[1].try_cast("int").alias("pos"), F.upper(cut[2]).alias("ref_base"), cut[3].try_cast("int").alias("raw_depth"), F.get(cut, F.lit(4)).alias("bases"))
+    rows = rows.filter("pos is not null")
+    counts = pileup_counts(F.when(F.col("raw_depth") > 0, F.col("bases")), F.col("ref_base"))
+    rows = rows.select("*", *[c.alias(n) for n, c in counts.items()], F.coalesce(F.col("raw_depth") > 0, F.lit(False)).alias("covered"))
+    return rows.select(*[F.col(f.split()[0]).alias(f.split()[0]) for f in SITES.replace("map<string,int>", "map").split(", ")])
 
 
 def read_depth(spark: SparkSession, path: str) -> DataFrame:
@@ -172,31 +99,62 @@ def read_library_stats(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each alternative allele: depth, read counts and allele fraction by AD, then AO and RO, then AF and DP.
+def read_vcf_headers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, samples, contigs): the sample columns and the declared contigs of each file."""
+    lines = _vcf_lines(spark, path).filter(F.startswith("value", F.lit("#")))
+    cut = F.split("value", "\t")
+    contig = F.nullif(F.regexp_extract("value", r"^##contig=<(?:.*,)?ID=([^,>]+)", 1), F.lit(""))
+    samples = F.when(F.startswith("value", F.lit("#CHROM")), F.slice(cut, 10, F.greatest(F.size(cut) - 9, F.lit(0))))
+    return lines.groupBy("path").agg(F.first(samples, ignorenulls=True).alias("samples"), F.sort_array(F.collect_set(contig)).alias("contigs"))
+
 
-    Symbolic, missing and spanning alleles (<*>, <NON_REF>, *, .) are left out. ``variant_id`` is the coordinate key.
+def _vcf_lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each sample and alternative allele: depth, read counts and allele fraction.
+
+    Sample columns come from each file's header. A file of one sample, or of none, is the sample that its name says; in a
+    file of several each column is a sample by its own name. Any number of FORMAT fields is read, values that are missing
+    at the end are NULL. Counts come from AD where it has a number for every allele (or one, for one allele), else from
+    AO and RO; the fraction is over the reads counted, else over DP, else AF. A sample whose genotype has no alternative
+    is kept: marking is not deleting. Symbolic, missing and spanning alleles (<*>, <NON_REF>, *, .) are left out, so are
+    rows with fewer than eight columns. ``variant_id`` is the coordinate key.
     """
     cut = F.split("value", "\t")
-    rows = _lines(spark, path).filter(~F.col("value").startswith("#") & (F.size(cut) >= 8))
     field = lambda i: F.get(cut, F.lit(i))
+    rows = _vcf_lines(spark, path).filter(~F.startswith("value", F.lit("#")) & (F.size(cut) >= 8))
+    values = F.when(F.size(cut) >= 10, F.slice(cut, 10, F.greatest(F.size(cut) - 9, F.lit(1)))).otherwise(F.array(F.lit("")))
+    rows = rows.select("path", cut.alias("cut"), F.posexplode(values).alias("column", "values"))
+    field = lambda i: F.get("cut", F.lit(i))
+    rows = rows.join(read_vcf_headers(spark, path).select("path", "samples"), "path", "left")
+    several = F.size(F.coalesce("samples", F.array().cast("array<string>"))) > 1
+    sample = F.when(several, F.get("samples", F.col("column"))).otherwise(sample_from_path(F.col("path")))
+    keys = F.coalesce(F.split(field(8), ":"), F.array().cast("array<string>"))
+    padded = F.slice(F.concat(F.split("values", ":"), F.array_repeat(F.lit(None).cast("string"), F.size(keys))), F.lit(1), F.size(keys))
     rows = rows.select(
-        "sample_id", field(0).alias("chrom"), field(1).cast("int").alias("pos"), F.upper(field(3)).alias("ref"), F.split(field(4), ",").alias("alts"), field(5).try_cast("double").alias("qual"),
+        sample.alias("sample_id"), field(0).alias("chrom"), field(1).try_cast("int").alias("pos"), F.upper(field(3)).alias("ref"), F.split(field(4), ",").alias("alts"), field(5).try_cast("double").alias("qual"),
         F.when(field(6).isin("PASS", "."), F.array(F.lit("PASS"))).otherwise(F.split(field(6), ";")).alias("filters"),
-        F.str_to_map(field(7), F.lit(";"), F.lit("=")).alias("info"),
-        F.map_from_arrays(F.coalesce(F.split(field(8), ":"), F.array()), F.slice(F.concat(F.coalesce(F.split(field(9), ":"), F.array()), F.array_repeat(F.lit(None).cast("string"), 40)), F.lit(1), F.size(F.coalesce(F.split(field(8), ":"), F.array())))).alias("fmt"),
+        F.str_to_map(field(7), F.lit(";"), F.lit("=")).alias("info"), F.map_from_arrays(keys, padded).alias("fmt"),
     )
+    info = lambda key: F.coalesce(F.col("fmt")[key], F.col("info")[key])
+    numbers = lambda text: F.transform(F.split(text, ","), lambda x: x.try_cast("long"))
+    rows = rows.withColumns({"ad": numbers(F.col("fmt")["AD"]), "ao": numbers(info("AO")), "ro": info("RO").try_cast("long"), "dp": info("DP").try_cast("long"), "af": F.split(info("AF"), ","), "of": F.size("alts")})
     rows = rows.select("*", F.posexplode("alts").alias("i", "alt")).filter(~F.col("alt").isin("<*>", "<NON_REF>", "*", "."))
-    get = lambda key: F.coalesce(F.col("fmt")[key], F.col("info")[key])
-    nth = lambda key, i: F.get(F.split(get(key), ","), i).try_cast("long")
-    counts = F.transform(F.split(get("AD"), ","), lambda x: x.try_cast("long"))
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
-    alt_reads, ref_reads = F.coalesce(nth("AD", F.col("i") + 1), nth("AO", F.col("i"))), F.coalesce(nth("AD", F.lit(0)), nth("RO", F.lit(0)))
-    depth = F.coalesce(get("DP").try_cast("long"), total, alt_reads + ref_reads)
-    fraction = F.coalesce(E.ratio(alt_reads, total), E.ratio(alt_reads, alt_reads + ref_reads), F.get(F.split(get("AF"), ","), F.col("i")).try_cast("double"))
+    whole, lone = F.size("ad") == F.col("of") + 1, (F.size("ad") == 1) & (F.col("of") == 1)
+    from_ad = F.when(whole, F.get("ad", F.col("i") + 1)).when(lone, F.get("ad", F.lit(0)))
+    alt_reads = F.coalesce(from_ad, F.get("ao", F.col("i")))
+    ref_reads = F.when(from_ad.isNull() & F.get("ao", F.col("i")).isNotNull(), F.col("ro")).when(whole, F.get("ad", F.lit(0)))
+    rows = rows.withColumns({"alt_reads": alt_reads, "ref_reads": ref_reads})
+    counted = F.aggregate(F.slice("ad", F.lit(1), F.col("of") + 1), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))
+    both = F.col("ref_reads").isNotNull() & F.col("alt_reads").isNotNull()
+    total = F.when(both, F.coalesce(F.nullif(counted, F.lit(0)), F.col("ref_reads") + F.col("alt_reads"))).otherwise(F.col("dp"))
+    fraction = F.coalesce(E.ratio("alt_reads", total), F.get("af", F.col("i")).try_cast("double"))
+    depth = F.coalesce(F.col("dp"), F.nullif(counted, F.lit(0)), F.col("alt_reads") + F.col("ref_reads"))
     return rows.select(
         "sample_id", E.coordinate_key().alias("variant_id"), "chrom", "pos", "ref", F.upper("alt").alias("alt"), E.variant_type(F.col("ref"), F.upper("alt")).alias("variant_type"),
-        depth.alias("depth"), ref_reads.alias("ref_reads"), alt_reads.alias("alt_reads"), fraction.alias("allele_fraction"), "qual", "filters",
+        depth.alias("depth"), "ref_reads", "alt_reads", fraction.alias("allele_fraction"), "qual", "filters",
     )
 
 
@@ -286,13 +244,22 @@ def read_catalogue_coordinates(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.explode(F.split("variant", "&")).alias("name"), F.col("chromosome").alias("chrom"), F.col("position").cast("int").alias("pos"), F.upper("reference_nucleotide").alias("ref"), F.upper("alternative_nucleotide").alias("alt")).withColumn("name", F.trim("name"))
 
 
+def read_catalogue_coordinates_vcf(spark: SparkSession, path: str) -> DataFrame:
+    """(name, chrom, pos, ref, alt) of a VCF whose INFO lists graded names (``graded_variant=a&b``); other rows are left out."""
+    cut = F.split("value", "\t")
+    rows = spark.read.text(path).filter(~F.startswith("value", F.lit("#")) & (F.size(cut) >= 8))
+    listed = F.regexp_extract(cut[7], r"(?:^|;)graded_variant=([^;]*)", 1)
+    rows = rows.select(F.explode(F.split(listed, "&")).alias("name"), cut[0].alias("chrom"), cut[1].try_cast("int").alias("pos"), F.upper(cut[3]).alias("ref"), F.upper(cut[4]).alias("alt"))
+    return rows.withColumn("name", F.trim("name")).filter("name <> ''")
+
+
 def read_third_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """(catalogue, drug, gene, hgvs, grade, call, comment) of a CSV with gene, mutation, drug, confidence and type: a grade
     in the confidence column decides, else a resistance row is R and any other Uncertain."""
     rows = spark.read.option("header", True).csv(path)
-    grade = F.regexp_extract("confidence", r"^\s*(\d)", 1).try_cast("int")
+    grade = D.grade_number(F.col("confidence"))
     call = F.coalesce(E.call_for_grade(grade), F.when(F.lower("type").contains("resistance"), "R").otherwise("Uncertain"))
-    return rows.select(F.lit("third").alias("catalogue"), F.lower(F.trim("drug")).alias("drug"), F.col("gene"), F.col("mutation").alias("hgvs"), grade.alias("grade"), call.alias("call"), F.coalesce("comment", F.lit("")).alias("comment"))
+    return rows.select(F.lit("third").alias("catalogue"), D.drug_name(F.col("drug")).alias("drug"), F.col("gene"), F.col("mutation").alias("hgvs"), grade.alias("grade"), call.alias("call"), F.coalesce("comment", F.lit("")).alias("comment"))
 
 
 def read_graded_catalogue(spark: SparkSession, path: str, header_row: int = 2) -> DataFrame:
@@ -312,9 +279,9 @@ def read_graded_catalogue(spark: SparkSession, path: str, header_row: int = 2) -
         raise ValueError(f"{path}: no column {', '.join(missing)} in row {header_row + 1}")
     kept = table[[c for c in wanted if c in table.columns]].rename(columns=wanted).reindex(columns=list(wanted.values()))
     rows = spark.createDataFrame(kept.astype(object).where(kept.notna(), None), ", ".join(f"{c} string" for c in wanted.values()))
-    grade = F.regexp_extract("grading", r"^\s*(\d)", 1).try_cast("int")
+    grade = D.grade_number(F.col("grading"))
     return rows.filter("drug is not null and name is not null").select(
-        F.lit("WHO").alias("catalogue"), F.lower(F.trim("drug")).alias("drug"), "gene", "hgvs", "name", grade.alias("grade"), E.call_for_grade(grade).alias("call"),
+        F.lit("WHO").alias("catalogue"), D.drug_name(F.col("drug")).alias("drug"), "gene", "hgvs", "name", grade.alias("grade"), E.call_for_grade(grade).alias("call"),
         F.coalesce("comment", F.lit("")).alias("comment"), F.coalesce(F.col("rule").rlike("(?i)rule|criteri"), F.lit(False)).alias("rule_only"),
     )
 
@@ -333,7 +300,7 @@ def read_flat_catalogue(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.filter(~F.coalesce(F.lower("remark").contains("phylo"), F.lit(False)))
     classes = F.create_map(*[x for k, v in DRUG_CLASSES.items() for x in (F.lit(k), F.array(*[F.lit(d) for d in v]))])
     named = F.filter(F.transform(F.split("drugs", r"[;,/]"), lambda d: F.lower(F.trim(F.regexp_replace(d, r"\([^)]*\)", "")))), lambda d: d != "")
-    drugs = F.array_distinct(F.flatten(F.transform(named, lambda d: F.coalesce(classes[d], F.array(d)))))
+    drugs = F.array_distinct(F.flatten(F.transform(named, lambda d: F.coalesce(classes[d], F.array(D.drug_name(d))))))
     single = (F.length("ref") == 1) & (F.length("alt") == 1)
     return rows.select(
         F.lit("flat").alias("catalogue"), F.explode(drugs).alias("drug"), "gene", F.col("change").alias("hgvs"), F.when(single, F.col("position").try_cast("int")).alias("pos"),

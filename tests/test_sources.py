@@ -1,7 +1,10 @@
+import gzip
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from isolates.operators import coverage, lineage
+from isolates.operators import annotation, coverage, lineage
 from isolates.sources import readers as R
 from isolates.sources import sinks
 from isolates.streaming.landed import run_landed
@@ -24,6 +27,81 @@ def test_fastq(spark, tmp_path):
         R.read_fastq(spark, [bad]).collect()
 
 
+def records(rng, n, long=False):
+    out = []
+    for i in range(n):
+        k = rng.randint(1, 4000 if long else 150)
+        # marks that look like a record's other lines: @ and + begin many of them
+        out.append((f"r{i} {'x' * rng.randint(1, 30)}", "".join(rng.choice("ACGTN") for _ in range(k)), rng.choice("@+I!") + "".join(rng.choice("@+I!5") for _ in range(k - 1))))
+    return out
+
+
+def fastq(rows, end="\n"):
+    return "".join(f"@{n}{end}{s}{end}+{n if i % 3 == 0 else ''}{end}{q}{end}" for i, (n, s, q) in enumerate(rows))
+
+
+@pytest.mark.parametrize("split,long", [("400b", False), ("90b", False), ("5k", True)])
+def test_one_fastq_in_many_splits(spark, tmp_path, split, long):
+    """As many tasks as splits, some of them shorter than a record: the same rows as one split gives."""
+    rng = random.Random(5)
+    rows = {"a": records(rng, 60, long), "b": records(rng, 3, long), "c": []}
+    paths = [put(tmp_path, f"{name}.x.fastq", fastq(r)) for name, r in rows.items()]
+    with gzip.open(tmp_path / "z.fq.gz", "wt") as out:
+        out.write(fastq(rows["a"]))
+    paths.append(str(tmp_path / "z.fq.gz"))
+    rows["z"] = rows["a"]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        frame = R.read_fastq(spark, paths)
+        got = sorted((r.sample_id, r.name, r.seq, r.qual) for r in frame.collect())
+        assert got == sorted((s, *r) for s, held in rows.items() for r in held)
+        assert spark.read.text(paths).rdd.getNumPartitions() > 4
+        few = sorted((r.sample_id, r.name) for r in R.read_fastq(spark, paths, max_records=7).collect())
+        assert few == sorted((s, r[0]) for s, held in rows.items() for r in held[:7])
+        most = 5 * len(rows["a"][0][1])
+        want, bases = [], 0
+        for r in rows["a"]:
+            if bases < most:
+                want.append(r[0])
+            bases += len(r[1])
+        assert sorted(r.name for r in R.read_fastq(spark, paths[:1], max_bases=most).collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_fastq_that_is_cut_off_or_none(spark, tmp_path):
+    cut = put(tmp_path, "s1.fastq", "@a\r\nACGT\r\n+\r\nIIII\r\n@b\r\nAC\r\n+\r\n")
+    assert [(r.name, r.seq) for r in R.read_fastq(spark, cut).collect()] == [("a", "ACGT")]
+    assert R.read_fastq(spark, put(tmp_path, "s2.fastq", "")).collect() == []
+    for text in ("a\nACGT\n+\nIIII\n", "@a\nACGT\nIIII\n@b\n"):
+        with pytest.raises(Exception, match="no FASTQ record"):
+            R.read_fastq(spark, put(tmp_path, "s3.fastq", text)).collect()
+
+
+def test_one_fasta_in_many_splits(spark, tmp_path, monkeypatch):
+    rng = random.Random(9)
+    seqs = {f"c{i}": "".join(rng.choice("acgtN") for _ in range(n)) for i, n in enumerate([3000, 0, 1, 61, 900])}
+    text = ";comment\n" + "".join(f">{n} of {i}\n" + "".join(s[k : k + 60] + "\n" for k in range(0, len(s), 60)) + "\n" for i, (n, s) in enumerate(seqs.items()))
+    path = put(tmp_path, "g.fa", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        assert spark.read.text(path).rdd.getNumPartitions() > 10
+        got = {r.name: (r.header, r.seq) for r in R.read_fasta(spark, path).collect()}
+        assert got == {n: (f"{n} of {i}", s.upper()) for i, (n, s) in enumerate(seqs.items())}
+        pieces = R.read_fasta_pieces(spark, path)
+        for r in pieces.collect():
+            assert seqs[r.name].upper()[r["at"] : r["at"] + len(r.bases)] == r.bases
+        tiles = annotation.tiles_of_pieces(pieces.select(F.col("name").alias("chrom"), "at", "bases"))
+        whole = annotation.sequence_tiles(spark.createDataFrame([(n, s) for n, s in seqs.items()], "chrom string, seq string"))
+        assert sorted(map(tuple, tiles.collect())) == sorted(map(tuple, whole.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_fasta(spark, tmp_path):
     path = put(tmp_path, "g.fa", ">c1 one\nacg\nT\n>c2\n\n")
     rows = R.read_fasta(spark, path).orderBy("name").collect()
@@ -38,6 +116,62 @@ def test_mpileup(spark, tmp_path):
     assert (rows[7].n_t, rows[7].n_g, rows[7].n_gap) == (1, 1, 1) and rows[7]["del"] == {"A": 1}
 
 
+def test_pileup_columns_against_a_walk(spark):
+    """A walk over each column, a mark at a time, and the expressions count alike."""
+    rng = random.Random(1)
+
+    def walk(text, ref):
+        counts, ins, gone, i = dict.fromkeys("ACGTN-", 0), {}, {}, 0
+        while i < len(text):
+            c = text[i]
+            i += 1
+            if c == "^":
+                i += 1
+            elif c in "+-" and text[i : i + 1].isdigit():
+                j = i
+                while text[j : j + 1].isdigit():
+                    j += 1
+                word = text[j : j + int(text[i:j])].upper()
+                held = ins if c == "+" else gone
+                held[word] = held.get(word, 0) + 1
+                i = j + int(text[i:j])
+            elif c in ".," and ref in counts:
+                counts[ref] += 1
+            elif c in "*#":
+                counts["-"] += 1
+            elif c.upper() in "ACGTN":
+                counts[c.upper()] += 1
+        return *counts.values(), ins, gone
+
+    rows = []
+    for _ in range(300):
+        text = ""
+        for _ in range(rng.randint(0, 30)):
+            n = rng.choice([1, 2, 11])
+            text += rng.choice([".", ",", "A", "c", "n", "*", "#", "$", "<", ">", "^" + rng.choice("+-^9.A"), f"{rng.choice('+-')}{n}" + "".join(rng.choice("acgtN") for _ in range(n)), "+"])
+        rows.append((text.replace("+.", "."), rng.choice("ACGTR")))
+    frame = spark.createDataFrame(rows, "bases string, ref string")
+    counts = R.pileup_counts(F.col("bases"), F.col("ref"))
+    got = frame.select("bases", "ref", *[c.alias(n) for n, c in counts.items()]).collect()
+    assert [tuple(r)[2:] for r in got] == [walk(r.bases, r.ref) for r in got]
+
+
+def test_vcf_of_several_samples(spark, tmp_path):
+    head = '##fileformat=VCFv4.2\n##contig=<ID=c1,length=9>\n##contig=<ID=c2>\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tx\ty\n'
+    many = ":".join(f"F{i}" for i in range(60))
+    text = head + f"c1\t5\t.\tA\tC,G\t9\tPASS\tDP=40\tGT:AD:{many}\t0/1:10,5,5\t1/2:0,8\nc2\t7\t.\tT\tA\t.\t.\tAO=1\tGT:DP:AD\t1:9:4\t.\nc2\tx\n"
+    path = put(tmp_path, "cohort.vcf", text)
+    got = {(r.sample_id, r.pos, r.alt): (r.depth, r.ref_reads, r.alt_reads, r.allele_fraction) for r in R.read_vcf(spark, path).collect()}
+    assert got == {
+        ("x", 5, "C"): (40, 10, 5, 0.25), ("x", 5, "G"): (40, 10, 5, 0.25), ("y", 5, "C"): (40, None, None, None), ("y", 5, "G"): (40, None, None, None),
+        ("x", 7, "A"): (9, None, 4, 4 / 9), ("y", 7, "A"): (None, None, 1, None),
+    }
+    (header,) = R.read_vcf_headers(spark, path).collect()
+    assert (header.samples, header.contigs) == (["x", "y"], ["c1", "c2"])
+    graded = put(tmp_path, "w.vcf", "#CHROM\nc1\t5\t.\ta\tc\t.\t.\tX=1;graded_variant=rpoB_p.A & g_LoF\nc1\t6\t.\ta\tc\t.\t.\tother_graded_variant=z\n")
+    assert sorted(map(tuple, R.read_catalogue_coordinates_vcf(spark, graded).collect())) == [("g_LoF", "c1", 5, "A", "C"), ("rpoB_p.A", "c1", 5, "A", "C")]
+
+
 def test_vcf(spark, tmp_path):
     path = put(
         tmp_path,
@@ -71,8 +205,8 @@ def test_small_formats(spark, tmp_path):
     ani = R.read_ani(spark, put(tmp_path, "s1.mash", "ref.fa\ts1\t0.05\t0\t5/10\n"), "mash").first()
     assert round(ani.ani, 6) == 95.0 and ani.aligned_fraction is None
     assert len(R.provenance(spark, bed).first().sha256) == 64
-    third = R.read_third_catalogue(spark, put(tmp_path, "t.csv", "gene,mutation,drug,confidence,type,comment\nrpoB,p.Ser450Leu,Rifampicin,1) x,drug_resistance,\ngyrA,p.A,Moxi,,drug_resistance,\n"))
-    assert [(r.call, r.grade) for r in third.orderBy("gene").collect()] == [("R", None), ("R", 1)]
+    third = R.read_third_catalogue(spark, put(tmp_path, "t.csv", "gene,mutation,drug,confidence,type,comment\nrpoB,p.Ser450Leu,RIF,1) Assoc w R,drug_resistance,\ngyrA,p.A,Moxi,,drug_resistance,\nx,p.B,Moxi,1) guessed,other,\n"))
+    assert [(r.drug, r.call, r.grade) for r in third.orderBy("gene").collect()] == [("moxi", "R", None), ("rifampicin", "R", 1), ("moxi", "Uncertain", None)]
 
 
 def test_catalogues(spark, tmp_path):
