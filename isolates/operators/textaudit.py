@@ -1,7 +1,9 @@
 """Review of generated answers against their evidence, over a whole table of them.
 
-``answers``: answer_id, answer, context. Facts about the result come as a table (answer_id, kind, term): kinds are
-unmeasured (a check's name), resistant and not_resistant (drugs), no_determinant (drugs), and validity (a verdict).
+``answers``: answer_id, answer, context. Facts about the result come as a table (answer_id, kind, term), for which
+:func:`facts_of` derives them from result tables: kinds are unmeasured (a check's name), resistant, uncertain, no_determinant
+and unevaluable (drugs), validity (a verdict) and choice (the option that the rules require). What prose calls a check or a
+drug comes from phrases by topic and by spelling: each fact gets its phrases once, and meets the sentences of its own answer.
 """
 
 from __future__ import annotations
@@ -10,6 +12,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from isolates.functions import drugs as D
+
+# What prose calls a check, by topic; a check has the topics whose name stands in its own.
+CHECK_TOPICS = {
+    "depth": ("depth", "coverage", "sequenced to", "reads per site"),
+    "breadth": ("breadth", "genome covered", "reference covered", "callable fraction", "covered at"),
+    "mapped": ("mapped", "mapping rate", "alignment rate", "reads aligned", "on-target"),
+    "evenness": ("evenness", "even coverage", "uniformity", "uneven"),
+    "gc": ("gc content", "gc"),
+    "unambiguous": ("unambiguous", "ambiguous base", "mixed base", "majority rule"),
+    "het": ("heterozygos", "hsnp", "het snp", "minor allele", "mixed infection", "mixture", "mixed"),
+    "f2": ("f2", "lineage-defining", "lineage defining"),
+    "f47": ("f47", "lineage-defining", "lineage defining"),
+    "contamination": ("contaminat", "purity", "pure", "second organism", "secondary organism", "foreign read", "off-target read", "other species", "co-infection", "coinfection", "another organism"),
+    "kraken": ("kraken", "read classifier", "taxonomic classif", "screen"),
+    "target": ("non-target", "non target", "off-target"),
+    "barcode": ("barcode", "lineage support", "defining snp", "defining site"),
+    "species": ("species", "ani", "identification", "identified"),
+    "lineage": ("lineage", "sublineage", "strain family"),
+    "minor": ("minor variant", "heteroresistance", "subpopulation", "minority population"),
+    "duplicate": ("duplicate", "pcr duplicate"),
+    "quality": ("base quality", "read quality", "phred", "q30"),
+    "length": ("read length",),
+    "callable": ("callable", "target region", "gene coverage", "evaluable"),
+    "cluster": ("cluster", "transmission", "snp distance", "linkage"),
+    "mask": ("mask", "repetitive region", "pe/ppe"),
+    "shared": ("shared callable", "denominator", "sites compared"),
+    "catalogue": ("catalogue", "catalog", "who grade", "grading"),
+    "validity": ("validity", "valid sample", "usable sample", "fit for"),
+}
+# Topics of checks whose names do not show them, by a part of the name.
+NAME_TOPICS = {
+    "purity": ("contamination",), "non target": ("contamination", "target"), "foreign": ("contamination",), "kraken": ("kraken", "contamination"), "screen": ("kraken", "contamination"),
+    "f2": ("f2", "het"), "f47": ("f47", "het"), "ani": ("species",), "mixture": ("het",), "hsnp": ("het",), "unambig": ("unambiguous",), "even": ("evenness",),
+    "barcode": ("barcode", "lineage"), "distance": ("cluster",),
+}
+# Spellings of drugs that are also words; a term of at most so many letters must stand as a word.
+WORD_SPELLINGS, SHORT_TERM = ("cap", "str", "pa", "sm", "eth", "km"), 4
+
 # Patterns of the wording rules.
 NUMBER = r"\d[\d,]*\.?\d*"
 SENTENCE = r"[^.!?;\n]+[.!?;\n]?"
@@ -55,7 +96,7 @@ SUPERLATIVE = r"(?i)\b(the|this)\s+(sample|isolate|result|run|data|sequencing|an
 ORGANISM = r"\b(?:M|Mycobacterium|Mycobacteroides|Mycolicibacterium)\.?\s+([a-z][a-z\-]{3,})\b"
 NEGATION_WORDS = 4
 RULES = (
-    "empty", "unsupported-number", "unmeasured-as-settled", "susceptible-for-no-determinant", "contradicts-drug-call", "contradicts-validity", "invented-organism", "outside-option-set",
+    "empty", "unsupported-number", "unmeasured-as-settled", "susceptible-for-no-determinant", "contradicts-drug-call", "contradicts-validity", "invented-organism", "outside-option-set", "overrides-rule",
 )
 
 
@@ -104,12 +145,68 @@ def invented_organisms(answer: Column, context: Column) -> Column:
     return F.sort_array(F.array_except(names(answer), names(context)))
 
 
-def mentions(sentence: Column, term: Column) -> Column:
-    """A short term as a word, a longer one anywhere; underscores of a name may be spaces."""
-    plain = F.lower(F.regexp_replace(term, "_", " "))
+def _texts(values: tuple[str, ...]) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+
+
+def check_phrases(name: Column) -> Column:
+    """What prose may call a check: the phrases of the topics that its name shows."""
+    low = F.lower(F.replace(name, F.lit("_"), F.lit(" ")))
+    parts = [F.when(low.contains(topic), _texts(phrases)) for topic, phrases in CHECK_TOPICS.items()]
+    parts += [F.when(low.contains(part), _texts(tuple(p for t in topics for p in CHECK_TOPICS[t]))) for part, topics in NAME_TOPICS.items()]
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*parts))))
+
+
+def drug_phrases(drug: Column) -> Column:
+    """What prose may call a drug: its name, code and spellings of three letters or more that are no words of their own."""
+    known = {d: (code.lower(), *[s for s in D.SPELLINGS.get(d, ()) if len(s) >= 3 and s not in WORD_SPELLINGS]) for d, code in D.CODES.items()}
+    spelled = F.create_map(*[x for d, others in known.items() for x in (F.lit(d), _texts(others))])
+    name = D.drug_name(drug)
+    return F.array_distinct(F.concat(F.array(F.lower(drug), name), F.coalesce(spelled[name], _texts(()))))
+
+
+def facts_of(checks: DataFrame | None = None, calls: DataFrame | None = None, verdicts: DataFrame | None = None) -> DataFrame:
+    """(sample_id, kind, term): the facts that result tables hold, for the answers about each sample.
+
+    ``checks``: sample_id, name, measured; ``calls``: sample_id, drug, call, target_covered; ``verdicts``: sample_id,
+    verdict. A drug without a call whose target is not covered could not be evaluated; that is not a drug in which nothing
+    was found.
+    """
+    parts = []
+    if checks is not None:
+        parts.append(checks.filter(~F.coalesce("measured", F.lit(False))).select("sample_id", F.lit("unmeasured").alias("kind"), F.col("name").alias("term")))
+    if calls is not None:
+        blind = F.coalesce(~F.col("target_covered"), F.lit(False))
+        kinds = F.array(
+            F.when(F.col("call").isin("R", "R-interim"), "resistant"), F.when(F.col("call") == "Uncertain", "uncertain"), F.when(blind, "unevaluable"), F.when((F.col("call") == "no-call") & ~blind, "no_determinant")
+        )
+        parts.append(calls.select("sample_id", F.explode(F.array_compact(kinds)).alias("kind"), F.col("drug").alias("term")))
+    if verdicts is not None:
+        parts.append(verdicts.select("sample_id", F.lit("validity").alias("kind"), F.col("verdict").alias("term")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.distinct()
+
+
+def _with_phrases(facts: DataFrame) -> DataFrame:
+    """``facts`` with ``phrases`` (by the rule of short terms) and ``anywhere`` (parts of any word)."""
+    check = F.col("kind") == "unmeasured"
+    name = F.lower("term")
+    return facts.select(
+        "answer_id", "kind", "term", F.when(check, check_phrases(F.col("term"))).otherwise(drug_phrases(F.col("term"))).alias("phrases"),
+        F.when(check, F.filter(F.array(name, F.replace(name, F.lit("_"), F.lit(" "))), lambda x: x != "")).otherwise(_texts(())).alias("anywhere"),
+    )
+
+
+def _words(sentence: Column) -> Column:
+    return F.regexp_extract_all(F.lower(sentence), F.lit(r"\w+"), 0)
+
+
+def mentioned(sentence: Column, words: Column, phrases: Column, anywhere: Column) -> Column:
+    """Whether a sentence (its ``words`` beside it) has one of the phrases: a short one as a word, a longer one within words too."""
     low = F.lower(sentence)
-    word = F.regexp_like(low, F.concat(F.lit(r"\b"), plain, F.lit(r"\b")))
-    return F.when(F.length(term) <= 4, word).otherwise(low.contains(plain) | low.contains(F.lower(term)))
+    return F.exists(anywhere, lambda p: low.contains(p)) | F.exists(phrases, lambda p: F.when(F.length(p) <= SHORT_TERM, F.array_contains(words, p)).otherwise(low.contains(p)))
 
 
 def negation_governs(sentence: Column) -> Column:
@@ -130,40 +227,53 @@ def sentence_rows(answers: DataFrame) -> DataFrame:
 
 
 def violations(answers: DataFrame, facts: DataFrame | None = None, options: list[str] | None = None) -> DataFrame:
-    """(answer_id, rule, detail): every rule that an answer breaks."""
+    """(answer_id, rule, at, detail): every rule that an answer breaks, ``at`` the place of the sentence.
+
+    ``facts``: answer_id, kind, term. An answer without a fact of validity is about a sample that was not assessed; one
+    without any drug in which nothing was found may not call anything susceptible at all.
+    """
     spoken = answers.withColumn("prose", prose(F.col("answer")))
     blank = F.trim(F.coalesce("answer", F.lit(""))) == ""
-    found = spoken.filter(blank).select("answer_id", F.lit("empty").alias("rule"), F.lit("").alias("detail"))
+    zero = F.lit(0).alias("at")
+    found = spoken.filter(blank).select("answer_id", F.lit("empty").alias("rule"), zero, F.lit("").alias("detail"))
     filled = spoken.filter(~blank)
     extra = unsupported_numbers(F.col("prose"), F.col("context"))
-    found = found.union(filled.select("answer_id", F.lit("unsupported-number"), F.array_join(extra, ", ").alias("d")).filter("d <> ''"))
+    found = found.union(filled.select("answer_id", F.lit("unsupported-number"), zero, F.array_join(extra, ", ").alias("d")).filter("d <> ''"))
     names = invented_organisms(F.col("prose"), F.col("context"))
-    found = found.union(filled.select("answer_id", F.lit("invented-organism"), F.array_join(names, ", ").alias("d")).filter("d <> ''"))
+    found = found.union(filled.select("answer_id", F.lit("invented-organism"), zero, F.array_join(names, ", ").alias("d")).filter("d <> ''"))
+    if facts is None:
+        facts = answers.select("answer_id", F.lit("").alias("kind"), F.lit("").alias("term")).limit(0)
     if options:
         choice = F.trim(F.get_json_object("answer", "$.choice"))
-        found = found.union(filled.filter(~F.coalesce(choice.isin(*options), F.lit(False))).select("answer_id", F.lit("outside-option-set"), F.coalesce(choice, F.lit(""))))
-    if facts is None:
-        return found
-    s, term = F.col("sentence"), F.col("term")
-    said = sentence_rows(filled.select("answer_id", "answer")).join(facts, "answer_id")
+        chosen = filled.select("answer_id", choice.alias("choice"), F.coalesce(choice.isin(*options), F.lit(False)).alias("allowed"))
+        found = found.union(chosen.filter("not allowed").select("answer_id", F.lit("outside-option-set"), zero, F.coalesce("choice", F.lit(""))))
+        required = facts.filter("kind = 'choice'").groupBy("answer_id").agg(F.min("term").alias("required"))
+        found = found.union(chosen.filter("allowed").join(required, "answer_id").filter("choice <> required").select("answer_id", F.lit("overrides-rule"), zero, "choice"))
+    s = F.col("sentence")
     has = lambda p: s.rlike(p)
-    about = mentions(s, term)
-    settled = (F.col("kind") == "unmeasured") & about & ~has(HEDGED) & has(SETTLED)
-    susceptible = (F.col("kind") == "no_determinant") & about & has(SUSCEPTIBLE) & ~negation_governs(s) & ~has(HEDGED)
-    plain = ~has(CONCESSIVE)
-    clears = (F.col("kind") == "resistant") & about & (has(CLEARS_DRUG) | (has(SUSCEPTIBLE) & ~has(NEGATED)))
-    asserts = F.col("kind").isin("not_resistant", "no_determinant") & about & has(RESISTANT_CLAIM) & ~has(NEGATED)
-    sound = F.when(has(NO_PROBLEMS), True).when(term == "suspect", has(SUPERLATIVE)).when(term == "not-assessed", has(GLOBAL_CLAIM) & ~has(HEDGED)).when(term == "invalid", has(GLOBAL_CLAIM)).otherwise(False)
-    valid = (F.col("kind") == "validity") & term.isin("invalid", "suspect", "not-assessed") & plain & sound
-    rule = (
-        F.when(settled, "unmeasured-as-settled").when(susceptible, "susceptible-for-no-determinant").when(plain & (clears | asserts), "contradicts-drug-call").when(valid, "contradicts-validity")
-    )
-    return found.union(said.withColumn("rule", rule).filter("rule is not null").select("answer_id", "rule", F.col("sentence").alias("detail")))
+    said = sentence_rows(filled.select("answer_id", "answer")).withColumns({"words": _words(s), "plain": ~has(CONCESSIVE), "hedged": has(HEDGED)})
+    # rules about a check or a drug: sentences meet the facts of their own answer
+    met = said.join(_with_phrases(facts.filter(F.col("kind").isin("unmeasured", "resistant", "uncertain", "no_determinant", "unevaluable"))), "answer_id")
+    met = met.filter(mentioned(s, F.col("words"), F.col("phrases"), F.col("anywhere")))
+    settled = (F.col("kind") == "unmeasured") & ~F.col("hedged") & has(SETTLED)
+    claim = has(SUSCEPTIBLE) & ~negation_governs(s) & ~F.col("hedged")
+    susceptible = F.col("kind").isin("no_determinant", "unevaluable") & claim
+    clears = (F.col("kind") == "resistant") & (has(CLEARS_DRUG) | (has(SUSCEPTIBLE) & ~has(NEGATED)))
+    asserts = F.col("kind").isin("uncertain", "no_determinant", "unevaluable") & has(RESISTANT_CLAIM) & ~has(NEGATED)
+    rules = F.array(F.when(settled, "unmeasured-as-settled"), F.when(susceptible, "susceptible-for-no-determinant"), F.when(F.col("plain") & (clears | asserts), "contradicts-drug-call"))
+    found = found.union(met.select("answer_id", F.explode(F.array_compact(rules)), "i", "sentence"))
+    # rules about the sample as a whole
+    open_ = facts.filter(F.col("kind").isin("no_determinant", "unevaluable")).select("answer_id").distinct()
+    found = found.union(said.filter(claim).join(open_, "answer_id", "left_anti").select("answer_id", F.lit("susceptible-for-no-determinant"), "i", "sentence"))
+    verdicts = facts.filter("kind = 'validity'").groupBy("answer_id").agg(F.min("term").alias("verdict"))
+    whole = said.filter("plain").join(verdicts, "answer_id", "left").withColumn("verdict", F.coalesce("verdict", F.lit("not-assessed")))
+    sound = F.when(has(NO_PROBLEMS), True).when(F.col("verdict") == "suspect", has(SUPERLATIVE)).when(F.col("verdict") == "not-assessed", has(GLOBAL_CLAIM) & ~F.col("hedged")).otherwise(has(GLOBAL_CLAIM))
+    return found.union(whole.filter(F.col("verdict").isin("invalid", "suspect", "not-assessed") & sound).select("answer_id", F.lit("contradicts-validity"), "i", "sentence"))
 
 
 def review(answers: DataFrame, facts: DataFrame | None = None, options: list[str] | None = None) -> DataFrame:
     """(answer_id, ok, rule, detail): the first rule in order that each answer breaks."""
     broken = violations(answers, facts, options)
     place = F.array_position(F.array(*[F.lit(r) for r in RULES]), F.col("rule"))
-    first = broken.withColumn("k", F.row_number().over(W.partitionBy("answer_id").orderBy(place, "detail"))).filter("k = 1")
+    first = broken.withColumn("k", F.row_number().over(W.partitionBy("answer_id").orderBy(place, "at", "detail"))).filter("k = 1")
     return answers.select("answer_id").join(first.select("answer_id", "rule", "detail"), "answer_id", "left").withColumn("ok", F.col("rule").isNull())

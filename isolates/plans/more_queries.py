@@ -169,15 +169,76 @@ def answer_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.sentence_rows(_answers(spark, sf_dir)).groupBy("answer_id").agg(F.count("*").alias("sentences"))
 
 
-@query("answer_review")
+#: Answers, the evidence and the facts about each, and the rule that it breaks; {n} is a number of the evidence.
+_REVIEWS = [
+    ("The depth was {n}x over all sites.", "depth {n}", "", None),
+    ("The depth was {n}00x.", "depth {n}", "", "unsupported-number"),
+    ("Depth came to {n}.3x.", "depth {n}.26", "", None),
+    ("   ", "depth {n}", "", "empty"),
+    ("The contamination screen came back clean.", "", "unmeasured=taxonomic_contamination_screen", "unmeasured-as-settled"),
+    ("No second organism was seen.", "", "unmeasured=non_target_fraction", "unmeasured-as-settled"),
+    ("Sequencing coverage is excellent.", "", "unmeasured=mean_depth", "unmeasured-as-settled"),
+    ("The screen was not informative, so purity is unknown and nothing is ruled out.", "", "unmeasured=taxonomic_contamination_screen", None),
+    ("GC was normal.", "", "unmeasured=gc_fraction", "unmeasured-as-settled"),
+    ("The ligcat was normal.", "", "unmeasured=gc_fraction", None),
+    ("Sequencing coverage is excellent.", "", "unmeasured=transmission_cluster", None),
+    ("The isolate is susceptible to INH.", "", "no_determinant=Isoniazid", "susceptible-for-no-determinant"),
+    ("Pyrazinamide is susceptible.", "", "unevaluable=Pyrazinamide", "susceptible-for-no-determinant"),
+    ("The isolate is fully susceptible.", "", "", "susceptible-for-no-determinant"),
+    ("The isolate is fully susceptible.", "", "no_determinant=Isoniazid", None),
+    ("There is no doubt at all here that the isolate is susceptible to rifampin.", "", "no_determinant=Rifampicin", "susceptible-for-no-determinant"),
+    ("This is not proof it is sensitive to rifampin.", "", "no_determinant=Rifampicin", None),
+    ("It cannot be assumed that the isolate is susceptible to rifampicin.", "", "no_determinant=Rifampicin", None),
+    ("Phenotypic susceptibility testing is required to settle isoniazid.", "", "no_determinant=Isoniazid", None),
+    ("RIF remains active.", "", "resistant=rifampicin", "contradicts-drug-call"),
+    ("Rmp can still be used; the rest is open.", "", "resistant=Rifampicin", "contradicts-drug-call"),
+    ("Rifampicin remains active, but only in part.", "", "resistant=rifampicin", None),
+    ("The isolate is resistant to DCS as well.", "", "uncertain=cycloserine", "contradicts-drug-call"),
+    ("Resistance to moxifloxacin was not called.", "", "no_determinant=MFX", None),
+    ("Eth is resistant to nothing that we looked for.", "", "no_determinant=ethionamide", None),
+    ("The sample is clean.", "", "validity=suspect", "contradicts-validity"),
+    ("The sample is reliable.", "", "validity=suspect", None),
+    ("The sample is reliable.", "", "validity=invalid", "contradicts-validity"),
+    ("The sample is reliable.", "", "validity=valid", None),
+    ("The sample is fit for purpose.", "", "", "contradicts-validity"),
+    ("The run is insufficient to be usable.", "", "validity=invalid", None),
+    ("While depth was low, the sample is acceptable.", "", "validity=invalid", None),
+    ("There were no major issues with this run.", "", "validity=suspect", "contradicts-validity"),
+    ("This is M. bovis.", "M. tuberculosis", "", "invented-organism"),
+    ("A member of the Mycobacterium tuberculosis complex.", "M. tuberculosis", "", None),
+    ('{"choice": "pass", "headline": "Depth was {n}x."}', "depth {n}", "choice=pass", None),
+    ('{"choice": "pass", "headline": "Depth was {n}x."}', "depth {n}", "choice=warn", "overrides-rule"),
+    ('{"choice": "probably fine", "confidence": 0.93, "headline": "All."}', "", "choice=pass", "outside-option-set"),
+]
+
+
+def _case(column: int) -> str:
+    text = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    return "CASE k " + " ".join(f"WHEN {i} THEN {text(r[column])}" for i, r in enumerate(_REVIEWS)) + " END"
+
+
+_REVIEWED = f" cases AS (SELECT CAST(p_partkey AS VARCHAR(20)) AS answer_id, CAST(p_partkey % {len(_REVIEWS)} AS INT) AS k, CAST(p_size + 10 AS VARCHAR(9)) AS n FROM part)"
+
+
+@query("answer_review", f"WITH{_REVIEWED} SELECT answer_id, {_case(3)} IS NULL AS ok, {_case(3)} AS rule FROM cases")
 def answer_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.review(_answers(spark, sf_dir))
+    """Answers of all kinds with facts of all kinds; the SQL states what each should come to, by hand."""
+    rows = run_sql(spark, sf_dir, f"WITH{_REVIEWED} SELECT answer_id, k, REPLACE({_case(0)}, '{{n}}', n) AS answer, REPLACE({_case(1)}, '{{n}}', n) AS context, {_case(2)} AS facts FROM cases")
+    pair = F.split("fact", "=")
+    facts = rows.filter("facts <> ''").select("answer_id", F.explode(F.split("facts", ";")).alias("fact")).select("answer_id", pair[0].alias("kind"), pair[1].alias("term"))
+    plain = F.startswith("answer", F.lit("{"))
+    free = T.review(rows.filter(~plain), facts)
+    closed = T.review(rows.filter(plain), facts.unionByName(rows.filter(plain).select("answer_id", F.lit("validity").alias("kind"), F.lit("valid").alias("term"))), ["pass", "warn", "fail"])
+    return free.unionByName(closed).select("answer_id", "ok", "rule")
 
 
-@query("sequence_leaks", "SELECT doc_id FROM documents WHERE regexp_matches(text, '[ACGTNacgtn]{8,}')")
+_RUNS = " texts AS (SELECT doc_id, CONCAT(text, ' ', REPEAT(CASE doc_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'N' ELSE 'gT' END, CAST(40 + doc_id % 20 AS INT)), CASE WHEN doc_id % 2 = 0 THEN ' ' ELSE 'x' END) AS text FROM documents)"
+
+
+@query("sequence_leaks", f"WITH{_RUNS} SELECT doc_id FROM texts WHERE regexp_matches(text, '[ACGTNacgtn]{{50,}}')")
 def sequence_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leak filter's form on texts, with runs of 8 letters, as the given tables hold no sequences."""
-    return read_table(spark, sf_dir, "documents").filter(F.col("text").rlike("[ACGTNacgtn]{8,}")).select("doc_id")
+    """Texts that hold a run of 50 bases or more; runs of 40 to 118 letters are put behind the given texts, which have none."""
+    return run_sql(spark, sf_dir, f"WITH{_RUNS} SELECT * FROM texts").filter(T.looks_like_sequence(F.col("text"))).select("doc_id")
 
 
 _SEQ = " seqs AS (SELECT CAST(doc_id AS VARCHAR) AS chrom, UPPER(regexp_replace(LOWER(text), '[^acgt]', '', 'g')) AS seq FROM documents)"

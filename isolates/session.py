@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _shipped: set[str] = set()
+#: Folders of intermediate tables, in the order in which they were written.
+_written: list[str] = []
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -50,10 +52,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives a lost executor."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> int:
+    """How many intermediate tables there have been: a mark for :func:`discard_since`."""
+    return len(_written)
+
+
+def discard_since(spark: SparkSession, mark: int, keep: int = 1) -> None:
+    """Delete the intermediate tables written since ``mark``, but for the last ``keep`` of them.
+
+    For the end of a step whose result has been written: nothing lazy may still read the others.
+    """
+    last = len(_written) - keep
+    for path in _written[mark:last]:
+        _delete(spark, path)
+    del _written[mark:last]
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialise` that nothing will read again."""
     spark = df.sparkSession

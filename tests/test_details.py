@@ -78,3 +78,22 @@ def test_long_numbers_and_sequences(spark):
 def test_negation_governs_the_claim_itself(spark, sentence, broken):
     rows = spark.createDataFrame([(sentence,)], "s string").select((~textaudit.negation_governs(F.col("s"))).alias("x"))
     assert rows.first().x == broken
+
+
+def test_facts_come_from_result_tables(spark):
+    checks = spark.createDataFrame([("s", "mean_depth", True), ("s", "gc_fraction", False), ("t", "ani", None)], "sample_id string, name string, measured boolean")
+    calls = spark.createDataFrame(
+        [("s", "Rifampicin", "R", True), ("s", "INH", "no-call", None), ("s", "Pyrazinamide", "no-call", False), ("s", "linezolid", "Uncertain", True), ("t", "EMB", "S", True)],
+        "sample_id string, drug string, call string, target_covered boolean",
+    )
+    verdicts = spark.createDataFrame([("s", "suspect")], "sample_id string, verdict string")
+    got = {tuple(r) for r in textaudit.facts_of(checks, calls, verdicts).collect()}
+    assert got == {
+        ("s", "unmeasured", "gc_fraction"), ("t", "unmeasured", "ani"), ("s", "resistant", "Rifampicin"), ("s", "no_determinant", "INH"), ("s", "unevaluable", "Pyrazinamide"),
+        ("s", "uncertain", "linezolid"), ("s", "validity", "suspect"),
+    }
+    said = [("s", "Pyrazinamide is susceptible.", ""), ("t", "EMB is susceptible.", "")]
+    facts = textaudit.facts_of(checks, calls, verdicts).withColumnRenamed("sample_id", "answer_id")
+    rules = {r.answer_id: r.rule for r in textaudit.review(spark.createDataFrame(said, "answer_id string, answer string, context string"), facts).collect()}
+    # a sample with no drug in which nothing was found may not be called susceptible either
+    assert rules == {"s": "susceptible-for-no-determinant", "t": "susceptible-for-no-determinant"}
