@@ -1,3 +1,4 @@
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -8,6 +9,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 from isolates.llm import op1_toxicity, op5_chunks
+from isolates.session import shared_dir
 from tests.llm.corpus import SCHEMA, documents
 from tests.llm.test_operators import SPACE_WORDS, components, labelled, lower
 from tests.llm.test_passages import brute_force, chunk_texts
@@ -53,6 +55,10 @@ def plain_pipeline(docs, labels, bench):
     return [*stages, clean]
 
 
+def folders(spark):
+    return set(os.listdir(shared_dir(spark).removeprefix("file://")))
+
+
 def test_pipeline_by_brute_force(spark, tmp_path):
     import corpus_pipeline
 
@@ -74,9 +80,15 @@ def test_pipeline_by_brute_force(spark, tmp_path):
         assert words(got) == words(expected), name
         assert found.columns == docs.columns
 
+    before = folders(spark)
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    packed.collect()
+    # the result of the last stage but one, and what packing still reads
+    assert {name.rsplit("-", 1)[0] for name in folders(spark) - before} <= {"decontamination", "pieces"}
+
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces, at = defaultdict(list), defaultdict(list)
-    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+    for r in packed.collect():
         pieces[r.doc_id].append(r)
         at[r.sequence_id].append((r.offset, r.length))
     assert set(pieces) == set(got)
