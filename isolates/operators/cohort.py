@@ -13,7 +13,7 @@ from isolates.functions.thresholds import VALUE
 from isolates.operators import checks, report
 from isolates.operators import intervals as I
 from isolates.operators.components import connected_components
-from isolates.session import discard, materialise
+from isolates.session import discard, materialise, ship_package
 
 AMBIGUOUS = "N"
 NOT_CALLABLE = "?"
@@ -66,6 +66,7 @@ def shared_bases(regions: DataFrame, block: int = SAMPLE_BLOCK, span: int = SPAN
     holds at most twice ``block`` samples within ``span`` positions, whatever the cohort; each interval is copied once for
     each block of samples.
     """
+    ship_package(regions.sparkSession)
     samples = regions.select("sample_id").distinct().count()
     blocks = max(1, -(-samples // block))
     cut = I.binned(regions.filter(F.col("start_pos") < F.col("end_pos")), span)

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from isolates.functions import expressions as E
 from isolates.functions.thresholds import VALUE
+from isolates.session import ship_package
+
+#: Bases of a sequence that are hashed at once.
+STRETCH = 1 << 20
 
 
 def genotype_markers(sites: DataFrame, markers: DataFrame, reads: int = 3) -> DataFrame:
@@ -69,17 +77,64 @@ def choose_reference(samples: DataFrame, species: DataFrame, references: DataFra
     return out.select("sample_id", F.coalesce(F.nullif("asked", F.lit("")), F.when(F.col("complex") == "MTBC", mtbc), F.col("genome"), F.col("nearest")).alias("reference"))
 
 
-def sketches(sequences: DataFrame, k: int = 21, size: int = 1000) -> DataFrame:
-    """(id, hash): the ``size`` least hashes of each sequence's canonical k-mers. ``sequences``: id, seq.
+def mixed(code: np.ndarray) -> np.ndarray:
+    """63 bits of each k-mer's code, by the finalizer of splitmix64."""
+    x = code.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(1)
+
+
+_CODE = np.full(256, 4, np.uint8)
+_CODE[list(b"ACGT")] = _CODE[list(b"acgt")] = range(4)
+
 
-    K-mers with letters other than A, C, G and T are left out. Duplicates go before the window ranks. K-mers are read in
-    ``k`` passes, each from another first letter on, so the cost grows with the length and not with its square.
+def kmer_hashes(seq: bytes, k: int) -> np.ndarray:
+    """Hashes of the canonical k-mers of a sequence, in order, repeats included; those with other letters are left out."""
+    base = _CODE[np.frombuffer(seq, np.uint8)]
+    n = len(base) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    forward, back = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    for i in range(k):
+        here = base[i : i + n].astype(np.uint64) & np.uint64(3)
+        forward = forward << np.uint64(2) | here
+        back |= (np.uint64(3) - here) << np.uint64(2 * i)
+    other = np.append(0, np.cumsum(base == 4))
+    return mixed(np.minimum(forward, back)[other[k:] == other[:n]])
+
+
+def sketches(sequences: DataFrame, k: int = 21, size: int = 1000, least: int = 1) -> DataFrame:
+    """(id, hash): the ``size`` least hashes of each sequence's canonical k-mers (``k`` of 32 at most). ``sequences``: id, seq.
+
+    An id may have any number of rows, as reads have. A task keeps no more than ``size`` hashes of an id from a batch
+    before anything is shuffled, so what meets is sketches and not k-mers. ``least``: k-mers with fewer copies are left
+    out, for reads, in which a k-mer that occurs once is an error as a rule; they are then counted before they are
+    ranked. Ids without a k-mer have no rows.
     """
-    every = [F.regexp_extract_all(F.substr("seq", F.lit(i + 1)), F.lit(f"(?s)(.{{{k}}})"), 1) for i in range(k)]
-    mers = sequences.select("id", F.upper("seq").alias("seq")).select("id", F.explode(F.flatten(F.array(*every))).alias("mer"))
-    mers = mers.filter(F.col("mer").rlike(f"^[ACGT]{{{k}}}$"))
-    hashed = mers.select("id", F.xxhash64(F.least("mer", E.reverse_complement(F.col("mer")))).alias("hash")).distinct()
-    return hashed.withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("hash"))).filter(F.col("i") <= size).select("id", "hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, list[np.ndarray]] = {}
+            for name, seq in zip(batch.column("id").to_pylist(), batch.column("seq").to_pylist()):
+                raw = (seq or "").encode()
+                for a in range(0, len(raw), STRETCH):
+                    h = kmer_hashes(raw[a : a + STRETCH + k - 1], k)
+                    found.setdefault(name, []).append(np.unique(h)[:size] if least == 1 else h)
+            for name, parts in found.items():
+                h, n = np.unique(np.concatenate(parts), return_counts=True)
+                if least == 1:
+                    h, n = h[:size], n[:size]
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h.astype(np.int64)), pa.array(n.astype(np.int64))], ["id", "hash", "n"])
+
+    ship_package(sequences.sparkSession)
+    if k > 32:
+        raise ValueError(f"k is 32 at most; got {k}")
+    parts = sequences.select(F.col("id").cast("string").alias("id"), "seq").filter("id is not null").mapInArrow(run, "id string, hash long, n long")
+    kept = parts.groupBy("id", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least) if least > 1 else parts.select("id", "hash").distinct()
+    # ranks above the size are dropped before the shuffle as well
+    return kept.withColumn("i", F.row_number().over(W.partitionBy("id").orderBy("hash"))).filter(F.col("i") <= size).select("id", "hash")
 
 
 def sketch_identity(queries: DataFrame, references: DataFrame, k: int = 21) -> DataFrame:

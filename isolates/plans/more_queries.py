@@ -86,13 +86,39 @@ def species_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample_id", "name", "complex", F.round("ani", 6).alias("ani"), "resolved", "confidence")
 
 
-@query("sketch_identity")
+def _mixed(code: str) -> str:
+    """The finalizer of splitmix64 over a column, 63 bits of it."""
+    times = lambda x, c: f"CAST((CAST({x} AS UHUGEINT) * {c}) % 18446744073709551616 AS UBIGINT)"
+    step = lambda x, n: f"xor({x}, {x} >> {n})"
+    return f"(SELECT {step('y', 31)} >> 1 FROM (SELECT {times(step('z', 27), 0x94D049BB133111EB)} AS y FROM (SELECT {times(step('w', 30), 0xBF58476D1CE4E5B9)} AS z FROM (SELECT CAST({code} AS UBIGINT) AS w))))"
+
+
+_K, _SIZE = 15, 200
+_CODED = " + ".join(f"(INSTR('ACGT', SUBSTR(m, {i + 1}, 1)) - 1) * {4 ** (_K - 1 - i)}" for i in range(_K))
+_SKETCHES = f"""
+ texts AS (SELECT 'd' AS side, CAST(doc_id AS VARCHAR) AS id, UPPER(REGEXP_REPLACE(LOWER(text), '[^acgt]', '', 'g')) AS seq FROM documents
+   UNION ALL SELECT 'i', CAST(item_id AS VARCHAR), UPPER(REGEXP_REPLACE(LOWER(text), '[^acgt]', '', 'g')) FROM benchmark),
+ mer AS (SELECT DISTINCT side, id, LEAST(m, REVERSE(TRANSLATE(m, 'ACGT', 'TGCA'))) AS m FROM (SELECT side, id, SUBSTR(seq, CAST(UNNEST(range(1, LENGTH(seq) - {_K} + 2)) AS INT), {_K}) AS m FROM texts WHERE LENGTH(seq) >= {_K})),
+ coded AS (SELECT side, id, {_CODED} AS code FROM mer),
+ hashed AS (SELECT DISTINCT side, id, {_mixed("code")} AS hash FROM coded),
+ sketch AS (SELECT side, id, hash FROM hashed QUALIFY ROW_NUMBER() OVER (PARTITION BY side, id ORDER BY hash) <= {_SIZE}),
+ sizes AS (SELECT side, id, COUNT(*) AS n FROM sketch GROUP BY side, id),
+ common AS (SELECT q.id AS query, r.id AS reference, COUNT(*) AS shared FROM sketch q JOIN sketch r ON q.hash = r.hash AND q.side = 'd' AND r.side = 'i' GROUP BY ALL)"""
+
+
+@query(
+    "sketch_identity",
+    f"""WITH{_SKETCHES} SELECT query, reference, shared, ROUND(shared * 1.0 / (a.n + b.n - shared), 6) AS jaccard,
+ ROUND(100 * (1 + LN(2 * (shared * 1.0 / (a.n + b.n - shared)) / (1 + shared * 1.0 / (a.n + b.n - shared))) / {_K}), 6) AS ani
+ FROM common JOIN sizes a ON a.side = 'd' AND a.id = query JOIN sizes b ON b.side = 'i' AND b.id = reference""",
+)
 def sketch_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity between the letters a, c, g and t of texts and those of benchmark items."""
     letters = lambda c: F.upper(F.regexp_replace(F.lower(c), "[^acgt]", ""))
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), letters(F.col("text")).alias("seq"))
     items = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("id"), letters(F.col("text")).alias("seq"))
-    return Z.sketch_identity(Z.sketches(docs, 15, 200), Z.sketches(items, 15, 200), 15)
+    found = Z.sketch_identity(Z.sketches(docs, _K, _SIZE), Z.sketches(items, _K, _SIZE), _K)
+    return found.select("query", "reference", "shared", F.round("jaccard", 6).alias("jaccard"), F.round("ani", 6).alias("ani"))
 
 
 _METRICS = _VALIDITY + ", metrics AS (SELECT sample_id, breadth, het AS het_fraction, f2, f47 FROM mix)"

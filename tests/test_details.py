@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,3 +100,36 @@ def test_facts_come_from_result_tables(spark):
     rules = {r.answer_id: r.rule for r in textaudit.review(spark.createDataFrame(said, "answer_id string, answer string, context string"), facts).collect()}
     # a sample with no drug in which nothing was found may not be called susceptible either
     assert rules == {"s": "susceptible-for-no-determinant", "t": "susceptible-for-no-determinant"}
+
+
+def test_sketches_by_a_loop_over_kmers(spark):
+    """Pieces of one id, both strands, other letters, repeats, and k-mers with few copies, against plain loops."""
+    rng = random.Random(8)
+    flip = str.maketrans("ACGT", "TGCA")
+
+    def mixed(x):
+        top = (1 << 64) - 1
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & top
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & top
+        return (x ^ x >> 31) >> 1
+
+    def plain(rows, k, size, least):
+        held = {}
+        for name, seq in rows:
+            seq = (seq or "").upper()
+            for i in range(len(seq) - k + 1):
+                mer = seq[i : i + k]
+                if set(mer) <= set("ACGT"):
+                    code = min(mer, mer.translate(flip)[::-1])
+                    h = mixed(sum("ACGT".index(c) << 2 * (k - 1 - j) for j, c in enumerate(code)))
+                    held.setdefault(name, Counter())[h] += 1
+        return {(name, h) for name, c in held.items() for h in sorted(x for x, n in c.items() if n >= least)[:size]}
+
+    rows = [(rng.choice("abc"), "".join(rng.choice("ACGTacgtN") for _ in range(rng.randint(0, 120)))) for _ in range(40)]
+    rows += [("a", rows[0][1]), ("d", None), ("e", "ACG"), ("f", rows[1][1].upper().translate(flip)[::-1]), ("g", rows[1][1])]
+    frame = spark.createDataFrame(rows, "id string, seq string").repartition(4)
+    for k, size, least in ((5, 20, 1), (7, 1000, 1), (5, 50, 2), (32, 9, 1)):
+        got = [tuple(r) for r in species.sketches(frame, k, size, least).collect()]
+        assert len(got) == len(set(got)) and set(got) == plain(rows, k, size, least)
+    own = {n: {h for i, h in got if i == n} for n in "fg"}
+    assert own["f"] == own["g"]
