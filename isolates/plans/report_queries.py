@@ -18,6 +18,7 @@ from isolates.plans.cohort_queries import _CLUSTER_PAIRS, _CLUSTERS, _CONSENSUS,
 from isolates.plans.detail_queries import _ASSIGNED
 from isolates.plans.fixtures import run_sql, view, with_sql
 from isolates.plans.typing_queries import _support, mask, regions
+from isolates.sources import views as V
 
 QUERIES, SQL = {}, {}
 
@@ -184,3 +185,44 @@ def cohort_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of an assembled cohort the pairs, with their state and whether they share a cluster."""
     made = H.assemble(_joint(spark, sf_dir), regions(spark, sf_dir), mask(spark, sf_dir), view(spark, sf_dir, "sites"), LINK, FLOOR)
     return made["pairs"].select("sample_a", "sample_b", "snps", "state", "within", "sufficient", "same_cluster")
+
+
+# --- the views of a run ---
+
+_LINES = (
+    _CONSENSUS
+    + """,
+ said AS (SELECT sample_id, drug, call, CASE LEAST(conf + CASE WHEN disagreement THEN 1 ELSE 0 END, 3) WHEN 0 THEN 'high' WHEN 1 THEN 'moderate' WHEN 2 THEN 'low' ELSE 'none' END AS confidence,
+   disagreement, CASE WHEN disagreement THEN 'biological' ELSE 'none' END AS kind, supporting_variants FROM graded),
+ cells AS (
+   SELECT 'drugs' AS view, sample_id, CONCAT_WS(chr(9), sample_id, drug, call, confidence, CASE WHEN disagreement THEN 'yes' ELSE 'no' END, COALESCE(REPLACE(supporting_variants, ',', ';'), '')) AS line FROM said
+   UNION ALL SELECT 'disagreements', sample_id, CONCAT_WS(chr(9), sample_id, drug, call, kind) FROM said WHERE disagreement
+   UNION ALL SELECT 'variants', sample_id, CONCAT_WS(chr(9), sample_id, variant_id, pos, depth, CASE WHEN major THEN 'yes' ELSE 'no' END, REPLACE(filters, ',', ';')) FROM v
+   UNION ALL SELECT 'tools', sample_id, CONCAT_WS(chr(9), sample_id, 'caller', '1.2', 'NA') FROM (SELECT DISTINCT sample_id FROM sites) s),
+ heads AS (SELECT sample_id, UNNEST(['drugs', 'disagreements', 'variants', 'tools', 'summary', 'catalogue_calls', 'variant_catalogue', 'checks', 'observations', 'lineage_support', 'databases']) AS view FROM (SELECT DISTINCT sample_id FROM sites) s)"""
+)
+
+
+@query(
+    "run_views",
+    with_sql(
+        """
+ SELECT h.view, h.sample_id, COUNT(c.line) AS rows, md5(COALESCE(STRING_AGG(c.line, chr(10) ORDER BY c.line), '')) AS digest FROM heads h LEFT JOIN cells c USING (view, sample_id) GROUP BY h.view, h.sample_id""",
+        _LINES,
+    ),
+)
+def run_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All views of all samples as the lines that one write puts into their files: how many each has, and their digest."""
+    called = variants(spark, sf_dir)
+    calls = R.consensus(contributions(spark, sf_dir), "illumina")
+    tools = spark.range(1).select(F.lit("caller").alias("tool"), F.lit("1.2").alias("version"), F.lit(None).cast("double").alias("seconds"))
+    views = {
+        "drugs": calls.select("sample_id", "drug", "call", "confidence", "disagreement", "supporting_variants"),
+        "disagreements": calls.filter("disagreement").select("sample_id", "drug", "call", "disagreement_kind"),
+        "variants": called.select("sample_id", "variant_id", "pos", "depth", "is_major", "filters"),
+        "tools": tools,
+    }
+    table = V.all_lines(views, view(spark, sf_dir, "sites"))
+    body = F.when(F.col("ordinal") != "0", F.col("line"))
+    held = table.groupBy("view", "sample_id").agg(F.count(body).alias("rows"), F.array_join(F.array_sort(F.collect_list(body)), "\n").alias("text"))
+    return held.select("view", "sample_id", "rows", F.md5("text").alias("digest"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from isolates.operators import annotation, coverage, lineage
 from isolates.sources import readers as R
 from isolates.sources import sinks
+from isolates.sources import views as V
 from isolates.streaming.landed import run_landed
 
 
@@ -260,3 +261,27 @@ def test_landed_equals_batch(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out" / "regions")).drop("batch")
     want = coverage.callable_regions(spark.read.schema(schema).parquet(str(tmp_path / "in")), 4)
     assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_all_views_in_one_write(spark, tmp_path):
+    samples = spark.createDataFrame([("s1",), ("s2",), ("s3",)], "sample_id string")
+    drugs = spark.createDataFrame([("s1", "b", 2, 0.5, True, ["x", None]), ("s1", "a", 10, 3.0, False, []), ("s2", "a\tb\nc", -1, float("nan"), None, None), ("other", "a", 1, 1.0, True, [])], "sample_id string, drug string, place int, share double, seen boolean, names array<string>")
+    calls = {"drugs": drugs, "tools": spark.createDataFrame([("caller", "1.2")], "tool string, version string"), "disagreements": drugs.filter("false").select("sample_id", "drug")}
+    pairs = spark.createDataFrame([("s1", "s2", 12, None)], "sample_a string, sample_b string, snps long, note string")
+    root = str(tmp_path / "run")
+    counts = V.write_run(root, samples, calls, {"distances": pairs}, {"drugs": ["place"]})
+    assert counts["drugs"] == 3 and counts["tools"] == 3 and counts["distances"] == 1 and counts["checks"] == 0 and counts["disagreements"] == 0
+    text = lambda view, sample: "".join(p.read_text() for p in (tmp_path / "run" / f"view={view}" / f"sample_id={sample}").glob("part*"))
+    head = "sample_id\tdrug\tplace\tshare\tseen\tnames\n"
+    assert text("drugs", "s1") == head + "s1\tb\t2\t0.5\tyes\tx;NA\n" + "s1\ta\t10\t3\tno\t\n"
+    assert text("drugs", "s2") == head + "s2\ta b c\t-1\tNA\tNA\tNA\n" and text("drugs", "s3") == head
+    assert text("disagreements", "s2") == "sample_id\tdrug\n" and text("tools", "s3") == "sample_id\ttool\tversion\ns3\tcaller\t1.2\n"
+    assert text("distances", "cohort") == "sample_id\tsample_a\tsample_b\tsnps\tnote\ncohort\ts1\ts2\t12\tNA\n"
+    for name in V.SAMPLE_VIEWS:
+        files = list((tmp_path / "run" / f"view={name}").glob("sample_id=s*/part*"))
+        assert len(files) == 3 and all(f.read_text().startswith("sample_id") for f in files)
+    assert V.write_run(root, samples.filter("sample_id = 's1'"), calls)["drugs"] == 2 and not text("drugs", "s2")
+    with pytest.raises(ValueError, match="no view is named"):
+        V.all_lines({"drug": drugs}, samples)
+    with pytest.raises(ValueError, match="no results"):
+        V.write_run(root, samples.limit(0), calls)
