@@ -60,33 +60,37 @@ def joint_table(variants: DataFrame, regions: DataFrame, samples: DataFrame) ->
 def shared_bases(regions: DataFrame, block: int = SAMPLE_BLOCK, span: int = SPAN) -> DataFrame:
     """(kind, sample_a, sample_b, bases): the positions that both samples of a pair hold, for each kind of ``regions``; pairs with none are left out.
 
-    ``regions``: kind, sample_id, chrom, start_pos, end_pos; merged within a sample. Intervals are not joined to one
+    ``regions``: kind, sample_id, chrom, start_pos, end_pos; merged within a sample. With a boolean column ``fresh`` only pairs
+    with a fresh sample are counted. Intervals are not joined to one
     another: a sweep goes over the starts and ends of ``block`` samples against ``block`` others within ``span``
     positions, as products of matrices (samples by segments between two events), a strip of segments at a time. A group
     holds at most twice ``block`` samples within ``span`` positions, whatever the cohort; each interval is copied once for
     each block of samples.
     """
     ship_package(regions.sparkSession)
+    regions = regions if "fresh" in regions.columns else regions.withColumn("fresh", F.lit(True))
     samples = regions.select("sample_id").distinct().count()
     blocks = max(1, -(-samples // block))
     cut = I.binned(regions.filter(F.col("start_pos") < F.col("end_pos")), span)
     low, high = F.greatest(F.col("start_pos"), F.col("bin") * span), F.least(F.col("end_pos"), (F.col("bin") + 1) * span)
     mine = F.pmod(F.xxhash64("sample_id"), F.lit(blocks))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    cut = cut.select("kind", "sample_id", "chrom", "bin", (low - F.col("bin") * span).cast("int").alias("a"), (high - F.col("bin") * span).cast("int").alias("z"), mine.alias("mine"), other)
+    cut = cut.select("kind", "sample_id", "fresh", "chrom", "bin", (low - F.col("bin") * span).cast("int").alias("a"), (high - F.col("bin") * span).cast("int").alias("z"), mine.alias("mine"), other)
     cut = cut.withColumns({"one": F.least("mine", "other"), "two": F.greatest("mine", "other")})
 
     def sweep(group: pa.Table) -> pa.Table:
         name = group.column("sample_id").combine_chunks().dictionary_encode()
         names = np.array(name.dictionary.to_pylist(), object)
         of, a, z = name.indices.to_numpy(), group.column("a").to_numpy(), group.column("z").to_numpy()
-        side = np.zeros(len(names), np.int64)
+        side, fresh = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
         side[of] = group.column("mine").to_numpy()
+        fresh[of] = group.column("fresh").to_numpy(zero_copy_only=False)
         edges = np.unique(np.concatenate([a, z]))
         width = np.diff(edges).astype(np.float32)
         begin, end = np.searchsorted(edges, a), np.searchsorted(edges, z)
-        both, open_ = np.zeros((len(names), len(names)), np.float64), np.zeros(len(names), np.float32)
-        for c in range(0, len(width), STRIP):
+        rows = np.flatnonzero(fresh)
+        both, open_ = np.zeros((len(rows), len(names)), np.float64), np.zeros(len(names), np.float32)
+        for c in range(0, len(width) if len(rows) else 0, STRIP):
             n = min(STRIP, len(width) - c)
             held = np.zeros((len(names), n), np.float32)
             held[:, 0] = open_
@@ -94,31 +98,42 @@ def shared_bases(regions: DataFrame, block: int = SAMPLE_BLOCK, span: int = SPAN
                 on = (at >= c) & (at < c + n)
                 np.add.at(held, (of[on], at[on] - c), step)
             np.cumsum(held, axis=1, out=held)
-            both += (held * width[c : c + n]) @ held.T
+            both += (held[rows] * width[c : c + n]) @ held.T
             open_ = held[:, -1]
         x, y = np.nonzero(both)
-        on = names[x] < names[y]
+        bases, x = both[x, y], rows[x]
+        # two fresh samples meet once
+        on = (names[x] < names[y]) | (~fresh[y] & (names[x] > names[y]))
         if group.column("one")[0].as_py() != group.column("two")[0].as_py():
             on &= side[x] != side[y]
-        x, y = x[on], y[on]
+        x, y, bases = x[on], y[on], bases[on]
+        first, second = np.minimum(names[x], names[y]), np.maximum(names[x], names[y])
         kind = pa.array([group.column("kind")[0].as_py()] * len(x), pa.string())
-        return pa.table({"kind": kind, "sample_a": pa.array(names[x], pa.string()), "sample_b": pa.array(names[y], pa.string()), "bases": pa.array(both[x, y].astype(np.int64))})
+        return pa.table({"kind": kind, "sample_a": pa.array(first, pa.string()), "sample_b": pa.array(second, pa.string()), "bases": pa.array(bases.astype(np.int64))})
 
     found = cut.drop("other").groupBy("kind", "chrom", "bin", "one", "two").applyInArrow(sweep, "kind string, sample_a string, sample_b string, bases long")
     return found.groupBy("kind", "sample_a", "sample_b").agg(F.sum("bases").alias("bases"))
 
 
-def pairwise_distances(variants: DataFrame, regions: DataFrame, mask: DataFrame, samples: DataFrame, window: int = int(VALUE["snp_proximity"])) -> DataFrame:
+def pairwise_distances(
+    variants: DataFrame, regions: DataFrame, mask: DataFrame, samples: DataFrame, window: int = int(VALUE["snp_proximity"]), fresh: DataFrame | None = None
+) -> DataFrame:
     """(sample_a, sample_b, snps, shared_callable_sites, masked_sites, indel_sites, ambiguous_sites) for all pairs.
 
     ``regions``: sample_id, chrom, start_pos, end_pos, merged; ``mask``: chrom, start_pos, end_pos, merged. A pair of
     which one sample has no regions has NULL distance and denominator. Only positions at which one of the two departs
     from the reference are looked at: ambiguous ones come off the denominator, differences at SNP sites count unless
     another comparable variable position lies within ``window``. The mask is taken from each sample once, so its cost
-    does not grow with the pairs. The pairs themselves are the result.
+    does not grow with the pairs. The pairs themselves are the result. ``fresh`` (sample_id): only pairs with one of these,
+    for a cohort that grows.
     """
     names = samples.select("sample_id").distinct()
-    pairs = names.select(F.col("sample_id").alias("sample_a")).join(names.select(F.col("sample_id").alias("sample_b")), F.col("sample_a") < F.col("sample_b"))
+    if fresh is None:
+        marked = names.withColumn("fresh", F.lit(True))
+    else:
+        marked = materialise(names.join(fresh.select("sample_id", F.lit(True).alias("fresh")).distinct(), "sample_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False))), "names")
+    pairs = marked.select(F.col("sample_id").alias("sample_a"), F.col("fresh").alias("fresh_a")).join(marked.select(F.col("sample_id").alias("sample_b"), F.col("fresh").alias("fresh_b")), F.col("sample_a") < F.col("sample_b"))
+    pairs = pairs.filter(F.col("fresh_a") | F.col("fresh_b")).select("sample_a", "sample_b")
     keys = ["sample_id", "chrom"]
     regions = regions.select(*keys, "start_pos", "end_pos")
     # the mask as far as it lies in a sample's regions: no row for each sample and masked interval
@@ -134,10 +149,11 @@ def pairwise_distances(variants: DataFrame, regions: DataFrame, mask: DataFrame,
     spots = sites.select("chrom", "pos", "ref", "is_snp").join(held, same).select("chrom", "pos", "ref", "is_snp", "sample_id")
     here = spots.join(alleles.select("chrom", "pos", "sample_id", "allele"), ["chrom", "pos", "sample_id"], "left")
     here = materialise(here.select("chrom", "pos", "sample_id", "is_snp", F.coalesce("allele", "ref").alias("allele"), F.col("allele").isNotNull().alias("departs")), "here")
+    here = here.withColumn("fresh", F.lit(True)) if fresh is None else here.join(marked, "sample_id")
     # only samples that depart are paired with the others at a site; two that both do meet once
-    a = here.filter("departs").select("chrom", "pos", "is_snp", F.col("sample_id").alias("one"), F.col("allele").alias("allele_a"))
-    b = here.select("chrom", "pos", F.col("sample_id").alias("other"), F.col("allele").alias("allele_b"), F.col("departs").alias("departs_b"))
-    met = a.join(b, ["chrom", "pos"]).filter((F.col("one") != F.col("other")) & (~F.col("departs_b") | (F.col("one") < F.col("other"))))
+    a = here.filter("departs").select("chrom", "pos", "is_snp", F.col("sample_id").alias("one"), F.col("allele").alias("allele_a"), F.col("fresh").alias("fresh_a"))
+    b = here.select("chrom", "pos", F.col("sample_id").alias("other"), F.col("allele").alias("allele_b"), F.col("departs").alias("departs_b"), F.col("fresh").alias("fresh_b"))
+    met = a.join(b, ["chrom", "pos"]).filter((F.col("one") != F.col("other")) & (~F.col("departs_b") | (F.col("one") < F.col("other"))) & (F.col("fresh_a") | F.col("fresh_b")))
     met = met.withColumns({"sample_a": F.least("one", "other"), "sample_b": F.greatest("one", "other")})
     unclear = (F.col("allele_a") == AMBIGUOUS) | (F.col("allele_b") == AMBIGUOUS)
     met = met.withColumn("unclear", unclear)
@@ -156,7 +172,8 @@ def pairwise_distances(variants: DataFrame, regions: DataFrame, mask: DataFrame,
     for side in ("sample_a", "sample_b"):
         known = known.join(with_regions.select(F.col("sample_id").alias(side), F.lit(True).alias(f"__{side}")), side, "left")
     both = F.coalesce(F.col("__sample_a") & F.col("__sample_b"), F.lit(False))
-    shared = shared_bases(regions.withColumn("kind", F.lit("all")).unionByName(clean.withColumn("kind", F.lit("clean")))).groupBy("sample_a", "sample_b")
+    kinds = regions.withColumn("kind", F.lit("all")).unionByName(clean.withColumn("kind", F.lit("clean")))
+    shared = shared_bases(kinds if fresh is None else kinds.join(marked, "sample_id")).groupBy("sample_a", "sample_b")
     shared = shared.agg(*[F.sum(F.when(F.col("kind") == k, F.col("bases"))).alias(k) for k in ("clean", "all")])
     out = known.join(shared, ["sample_a", "sample_b"], "left").join(counted, ["sample_a", "sample_b"], "left")
     zero = lambda c: F.when(both, F.coalesce(F.col(c), F.lit(0)))
@@ -209,6 +226,16 @@ def _numbered(found: DataFrame, keys: list[str]) -> DataFrame:
     return found.join(ids.select(*keys, "component", "cluster_id"), [*keys, "component"])
 
 
+def departing_at_changed_sites(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(sample_id) of ``before`` that depart at sites which other samples have changed: a site that is no SNP any more, or another reference.
+
+    Distances of their pairs change though neither sample did. ``before``, ``after``: variants of the joint table.
+    """
+    old, new = joint_sites(before).select("chrom", "pos", "ref", "is_snp"), joint_sites(after).select("chrom", "pos", F.col("ref").alias("ref_now"), F.col("is_snp").alias("is_now"))
+    changed = old.join(new, ["chrom", "pos"], "left").filter(~F.col("ref").eqNullSafe(F.col("ref_now")) | ~F.col("is_snp").eqNullSafe(F.col("is_now")))
+    return before.join(changed.select("chrom", "pos"), ["chrom", "pos"], "left_semi").select("sample_id").distinct()
+
+
 def cluster_summary(members: DataFrame, pairs: DataFrame, threshold: int, floor: int = int(VALUE["min_shared_callable"])) -> DataFrame:
     """One row a cluster: size, members, largest distance and least denominator inside, compared pairs, chaining flag."""
     inside = members.filter("cluster_id is not null")
