@@ -135,7 +135,9 @@ def pairwise_distances(
     pairs = marked.select(F.col("sample_id").alias("sample_a"), F.col("fresh").alias("fresh_a")).join(marked.select(F.col("sample_id").alias("sample_b"), F.col("fresh").alias("fresh_b")), F.col("sample_a") < F.col("sample_b"))
     pairs = pairs.filter(F.col("fresh_a") | F.col("fresh_b")).select("sample_a", "sample_b")
     keys = ["sample_id", "chrom"]
-    regions = regions.select(*keys, "start_pos", "end_pos")
+    # both are read several times, and may be whole pipelines
+    regions = materialise(regions.select(*keys, "start_pos", "end_pos"), "regions")
+    variants = materialise(variants.select(*keys, "pos", "ref", "alt", "gene", "is_major", "allele_fraction", "is_snp"), "joint")
     # the mask as far as it lies in a sample's regions: no row for each sample and masked interval
     inside = I.overlap_join(regions, mask.select("chrom", "start_pos", "end_pos"), ["chrom"]).select(*keys, "start_pos", "end_pos")
     clean = materialise(I.subtract(regions, inside, keys), "clean")
