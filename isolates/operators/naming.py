@@ -122,10 +122,11 @@ def genes_lost(variants: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def left_align(variants: DataFrame, sequences: DataFrame, window: int = 200) -> DataFrame:
-    """``variants`` with indels at their leftmost place, and ``aligned``: false without a sequence, NULL for other rows.
+    """``variants`` with indels at their leftmost place within ``window`` bases, and ``aligned``: NULL for other rows.
 
-    A pure insertion or deletion moves left while the base before it equals its last base; ``window`` bases are
-    fetched for each row and a row that would move further is moved on in a next round by calling again.
+    A pure insertion or deletion moves left while the base before it equals its last base. A row that moved through the
+    whole window may move further: its ``aligned`` is false, as is that of one without a sequence. On tiles,
+    :func:`isolates.operators.annotation.left_aligned_alleles` aligns without a window.
     """
     trim = E.trimmed(F.col("pos"), F.upper("ref"), F.upper("alt"))
     rows = variants.withColumn("__t", trim).join(sequences.select("chrom", "seq"), "chrom", "left")
@@ -151,7 +152,7 @@ def left_align(variants: DataFrame, sequences: DataFrame, window: int = 200) ->
             "pos": (pos - k).cast("int"),
             "ref": F.when(k > 0, F.when(deleted, longer).otherwise(anchor)).otherwise(ref),
             "alt": F.when(k > 0, F.when(deleted, anchor).otherwise(longer)).otherwise(alt),
-            "aligned": F.when(indel, F.col("seq").isNotNull()),
+            "aligned": F.when(indel, F.coalesce((k < F.least(pos, F.lit(window))) | (pos - k <= 1), F.lit(False)) & F.col("seq").isNotNull()),
         }
     )
     return out.drop("__t", "__k", "seq")
