@@ -27,7 +27,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near texts (shingles of five words, similarity 0.8) stays."""
+    """One document of each class of near texts stays: links of op10's fingerprints, then less alike texts; all are held
+    against the shingle sets (five words, similarity 0.8)."""
     ship_package(spark)
     return without_near_duplicates(docs.select(COLUMNS))
 

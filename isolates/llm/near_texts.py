@@ -1,9 +1,11 @@
-"""Near-duplicate texts by similarity, on the tiled comparison of parity maps.
+"""Near-duplicate texts by SimHash, and by the similarity of their shingle sets where fingerprints lie too far apart.
 
-Two texts are near if their sets of word shingles have a Jaccard similarity of at least ``similarity``. Each set has
+Two texts are near if their sets of word shingles have a Jaccard similarity of at least ``similarity``. First come the
+links of :mod:`op10_simhash`: all fingerprints within its radius, by its tiles. Their classes are candidates. A
+similarity of 0.8 lies near 10 of 64 bits, though, so pairs of different classes are looked for as follows. Each set has
 least values under several hash orders, two of which make a band; texts with a band in common share a bucket. Sets at a
 similarity of 0.8 agree on a band with a chance of 0.64, so that they miss each other in all 24 bands once in 4e10
-pairs, more alike ones less often. Within a bucket sets are compared by parity maps: each shingle flips one bit,
+pairs, more alike ones less often. A bucket whose texts are all linked to one by fingerprints goes. Within the others sets are compared by parity maps: each shingle flips one bit,
 chosen by its hash, so two maps differ in at most as many bits as the sets have shingles that are not common. Tiles
 hold texts whose numbers of shingles lie in one class, only classes that the similarity allows are paired, and a tile
 pair is compared whole, by exclusive-or and bit counts. Pairs that differ in more bits than the similarity leaves room
@@ -21,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isolates.llm.op10_simhash import BLOCK, groups, shingle_hashes, tile_pairs
+from isolates.llm.op10_simhash import BLOCK, fingerprint_links, fingerprints, groups, shingle_hashes, tile_pairs
+from isolates.llm.op10_simhash import WIDTH as PRINT_WIDTH
 from isolates.llm.text import one_of_each, same_text, slices, text_key
 from isolates.operators.components import connected_components
 from isolates.session import discard, materialise
@@ -88,7 +91,7 @@ def band_keys(h: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def marked_texts(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, hash, size, bits, n, sig, bands): a row's identity, parity map, number of shingles, a sum over the set and its bands."""
+    """(doc_id, hash, size, bits, n, sig, bands, fp): a row's identity, parity map, number of shingles, a sum over the set, its bands, its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -99,10 +102,20 @@ def marked_texts(docs: DataFrame, width: int) -> DataFrame:
             sums = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
             sums = pa.array((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
             own = batch.select(["doc_id", "hash", "size"]).columns
-            columns = [*own, parity_maps(h, first), pa.array(np.diff(first).astype(np.int32)), sums, band_keys(h, first)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "size", "bits", "n", "sig", "bands"])
+            fp = pa.array(fingerprints(*shingle_hashes(batch.column("text"), PRINT_WIDTH)).view(np.int64))
+            columns = [*own, parity_maps(h, first), pa.array(np.diff(first).astype(np.int32)), sums, band_keys(h, first), fp]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "hash", "size", "bits", "n", "sig", "bands", "fp"])
 
-    return docs.select("doc_id", "text", *text_key()).mapInArrow(run, "doc_id long, hash long, size int, bits binary, n int, sig long, bands array<long>")
+    made = "doc_id long, hash long, size int, bits binary, n int, sig long, bands array<long>, fp long"
+    return docs.select("doc_id", "text", *text_key()).mapInArrow(run, made)
+
+
+def fingerprint_edges(nodes: DataFrame) -> DataFrame:
+    """(src, dst): links that join the ``nodes`` (rep, fps) as all fingerprints within the radius of op10 do."""
+    prints = nodes.select("rep", F.explode("fps").alias("fp"))
+    first = materialise(prints.groupBy("fp").agg(F.min("rep").alias("rep")), "prints")
+    same = prints.join(first.withColumnRenamed("rep", "dst"), "fp").filter("rep <> dst").select(F.col("rep").alias("src"), "dst")
+    return fingerprint_links(first).union(same)
 
 
 def spanning(near, size: int) -> np.ndarray:
@@ -209,19 +222,25 @@ def _classes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
     """
     marked = materialise(marked_texts(docs, width), "marked")
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash", "size")
-    nodes = marked.groupBy("bits", "n", "sig").agg(F.min(own).alias("own"), F.min("bands").alias("bands"))
+    nodes = marked.groupBy("bits", "n", "sig").agg(F.min(own).alias("own"), F.min("bands").alias("bands"), F.collect_set("fp").alias("fps"))
     nodes = materialise(nodes.withColumn("rep", F.monotonically_increasing_id()), "nodes")
     # neighbouring classes of sizes, a factor of the similarity wide each
     size_class = F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / -math.log(similarity)).cast("int")
-    banded = nodes.select("sig", "n", F.explode("bands").alias("bucket"))
-    # most buckets hold one text and go before maps are brought in
-    shared = banded.join(banded.groupBy("bucket").agg(F.count("*").alias("met")).filter("met > 1").drop("met"), "bucket")
+    linked = materialise(fingerprint_edges(nodes), "linked")
+    # texts with one least neighbour are linked by fingerprints
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.least("src", "dst").alias("low")), F.struct(F.col("dst").alias("node"), F.least("src", "dst").alias("low"))))
+    near = linked.select(ends.alias("x")).select("x.*").groupBy("node").agg(F.min("low").alias("low"))
+    placed = nodes.join(near, nodes["rep"] == near["node"], "left").select("sig", "n", "bands", F.coalesce("low", "rep").alias("near"))
+    banded = placed.select("sig", "n", "near", F.explode("bands").alias("bucket"))
+    # most buckets hold one text or only texts that fingerprints link, and go before maps are brought in
+    several = banded.groupBy("bucket").agg(F.min("near").alias("low"), F.max("near").alias("high")).filter("low < high").select("bucket")
+    shared = banded.drop("near").join(several, "bucket")
     some = shared.join(nodes.select("sig", "n", "bits", "rep"), ["sig", "n"])
     some = some.select("bucket", size_class.alias("p"), F.xxhash64("sig").alias("key"), "bits", "n", "rep")
     buckets = materialise(some, "buckets")
     rows = tile_pairs(buckets, 1, TILE).repartition("g", "g2").sortWithinPartitions("g", "g2")
     candidates = rows.mapInArrow(_links(_by_bits(similarity)), "src long, dst long")
-    coarse = materialise(connected_components(candidates), "coarse")
+    coarse = materialise(connected_components(candidates.union(linked)), "coarse")
     discard(buckets)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,8 @@ from isolates.session import materialise, read_table
 
 BITS = 64
 SEED = 42
+#: Bits in which linked fingerprints differ at most, and words of a shingle.
+RADIUS, WIDTH = 4, 4
 #: Rows that one side of a tile pair has at most, and rows that are compared at once in numpy.
 TILE = 4096
 BLOCK = 512
@@ -66,7 +68,7 @@ def shingle_hashes(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray
     return np.array(out, np.uint64), begin
 
 
-def with_fingerprint(docs: DataFrame, width: int = 4, text: str = "text") -> DataFrame:
+def with_fingerprint(docs: DataFrame, width: int = WIDTH, text: str = "text") -> DataFrame:
     """(doc_id, fp long) for every row; a text without words has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,7 +208,16 @@ def tile_rows(nodes: DataFrame, radius: int, shared: int, tile: int = TILE) -> D
     return tile_pairs(keyed.withColumns({"p": F.bit_count("fp"), "key": F.xxhash64("fp")}), radius, tile)
 
 
-def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, tile: int = TILE, shared: int | None = None) -> DataFrame:
+def fingerprint_links(nodes: DataFrame, radius: int = RADIUS, tile: int = TILE, shared: int | None = None) -> DataFrame:
+    """(src, dst): links that join the same ``nodes`` (fp, rep; each fp once) as all pairs within ``radius`` bits do."""
+    if shared is None:
+        shared = 1 if nodes.count() < MANY else 2
+    rows = tile_rows(nodes, radius, shared, tile)
+    rows = rows.repartition("g", "g2").sortWithinPartitions("g", "g2")
+    return rows.mapInArrow(_compare(radius), "src long, dst long")
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, width: int = WIDTH, tile: int = TILE, shared: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id): every row of ``docs`` with its class of linked fingerprints.
 
     Texts without words, null ones too, have fingerprint zero and are linked as any other. Copies share one
@@ -218,12 +229,7 @@ def near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4, tile: int
     marked = materialise(with_fingerprint(docs, width), "fingerprints")
     nodes = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     known = nodes.filter(F.col("rep").isNotNull())
-    if shared is None:
-        shared = 1 if known.count() < MANY else 2
-    rows = tile_rows(known, radius, shared, tile)
-    rows = rows.repartition("g", "g2").sortWithinPartitions("g", "g2")
-    links = rows.mapInArrow(_compare(radius), "src long, dst long")
-    found = connected_components(links)
+    found = connected_components(fingerprint_links(known, radius, tile, shared))
     classes = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
