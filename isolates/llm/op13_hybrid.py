@@ -28,7 +28,9 @@ from isolates.llm.text import slices
 from isolates.session import materialise, read_table
 
 #: Best texts of an item; texts and bytes of text in a shard at most; bytes of items in a block.
-TOP, SHARD_ROWS, SHARD_BYTES, BLOCK_BYTES = 50, 8192, 24 << 20, 4 << 20
+TOP, SHARD_ROWS, SHARD_BYTES, BLOCK_BYTES = 50, 4096, 12 << 20, 4 << 20
+#: Bytes of text whose terms are counted at once while a shard is built.
+COUNT_BYTES = 1 << 20
 #: Texts of a window; windows that are gone through before the floor is raised, at first and later; a list is long from this share of a shard's texts on.
 WINDOW, SEED, STEP, LONG_SHARE = 64, 4, 16, 1 / 32
 #: Parts in which the shards' best are merged before they meet.
@@ -41,21 +43,24 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     def shard(name: str, ids: list, lengths: list, parts: list) -> pa.RecordBatch:
         dictionary = pa.chunked_array([p[3] for p in parts]).combine_chunks().dictionary_encode()
-        codes, at, base = dictionary.indices.to_numpy(), 0, 0
-        text, word, count = [], [], []
-        for p, n in zip(parts, map(len, lengths)):
-            text.append(p[0] + base)
-            word.append(codes[at : at + len(p[3])][p[1]])
-            count.append(p[2])
-            base, at = base + n, at + len(p[3])
-        text, word, count, lengths = map(np.concatenate, (text, word, count, lengths))
+        codes, at, base, end = dictionary.indices.to_numpy(), 0, 0, 0
+        pairs = sum(len(p[0]) for p in parts)
+        text, word, count = (np.empty(pairs, np.int32) for _ in range(3))
+        for n in map(len, lengths):
+            p = parts.pop(0)  # a part goes once it is copied
+            s = slice(end, end + len(p[0]))
+            text[s] = p[0] + base
+            word[s] = codes[at : at + len(p[3])][p[1]]
+            count[s] = p[2]
+            base, at, end = base + n, at + len(p[3]), s.stop
+        lengths = np.concatenate(lengths)
         ids = pa.chunked_array(ids).combine_chunks()
         known = ids.is_valid().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).to_numpy()
         some = np.flatnonzero(lengths > 0)
         placed = some[np.lexsort((ids[some], ~known[some]))]
-        rank = np.zeros(len(ids), np.int64)
-        rank[placed] = np.arange(len(placed))
+        rank = np.zeros(len(ids), np.int32)
+        rank[placed] = np.arange(len(placed), dtype=np.int32)
         text = rank[text]
         order = np.lexsort((text, word))
         row = {
@@ -67,22 +72,22 @@ def build_index(docs: DataFrame) -> DataFrame:
             "lengths": [lengths[placed].astype(np.int64).tobytes()],
             "words": pa.array([dictionary.dictionary.cast(pa.string())], pa.list_(pa.string())),
             "edges": [np.append(0, np.cumsum(np.bincount(word, minlength=len(dictionary.dictionary)))).astype(np.int64).tobytes()],
-            "texts": [text[order].astype(np.int32).tobytes()],
-            "counts": [count[order].astype(np.int32).tobytes()],
+            "texts": [text[order].tobytes()],
+            "counts": [count[order].tobytes()],
         }
         return pa.RecordBatch.from_pydict(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         ids, lengths, parts, held = [], [], [], 0
-        for batch in slices(batches):
+        for batch in slices(batches, limit=COUNT_BYTES):
             while batch.num_rows:
                 head = batch.slice(0, SHARD_ROWS - sum(map(len, lengths)))
                 batch = batch.slice(head.num_rows)
-                *part, n = word_counts(head.column("text"))
+                text, word, count, words, n = word_counts(head.column("text"))
                 ids.append(head.column("doc_id"))
                 lengths.append(n)
-                parts.append(part)
+                parts.append((text.astype(np.int32), word.astype(np.int32), count.astype(np.int32), words))
                 held += head.column("text").nbytes
                 if sum(map(len, lengths)) >= SHARD_ROWS or held > SHARD_BYTES:
                     yield shard(f"{task}-{made}", ids, lengths, parts)

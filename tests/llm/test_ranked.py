@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -95,3 +96,27 @@ def test_long_lists_are_skipped(monkeypatch):
         got, scores = shard.best(own, weight[own], 10)
         assert list(zip(got.tolist(), scores.tolist())) == [(d, s) for _, d, s in want[item]]
         assert 0 < shard.read < most[item[0]] * shard.held
+
+
+def test_a_shard_is_built_in_little_memory(spark, monkeypatch):
+    """What numpy holds at most while 16 MB of text are indexed, and what the shards hold together."""
+    monkeypatch.setattr(op13.TaskContext, "get", classmethod(lambda cls: type("T", (), {"partitionId": lambda self: 0})()))
+    kept = {}
+
+    class Frame:
+        filter = select = lambda self, *a: self
+
+        def mapInArrow(self, run, schema):
+            kept["run"] = run
+
+    op13.build_index(Frame())
+    rng = np.random.default_rng(7)
+    docs = [" ".join(f"w{x}" for x in row) for row in rng.zipf(1.3, (8000, 300)).clip(max=50_000).tolist()]
+    docs = pa.array([d + " " + "pad " * ((2000 - len(d)) // 4) for d in docs])
+    batch = pa.RecordBatch.from_pydict({"doc_id": np.arange(len(docs)), "text": docs})
+    tracemalloc.start()
+    made = [(b.column("n")[0].as_py(), b.column("terms")[0].as_py()) for b in kept["run"](iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for n, _ in made) == 8000 and sum(t for _, t in made) == sum(len(t.split()) for t in docs.to_pylist())
+    assert peak < 50 << 20
