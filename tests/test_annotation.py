@@ -215,3 +215,20 @@ def test_genes_that_a_deletion_touches(spark, frames, genome):
     rows = [(a - 3, seq[a - 4 : end + 2], seq[a - 4]), (end - 2, seq[end - 3 : b + 4], seq[end - 3]), (a - 1, "T", "TA")]
     got = {(r.pos, r.gene): (r.lost_bases, r.whole) for r in A.genes_touched(variants(spark, rows), frames[0]).collect()}
     assert got == {(a - 3, "geneA"): (end - a + 1, True), (end - 2, "geneA"): (2, False), (end - 2, "geneB"): (5, False)}
+
+
+def test_names_are_not_made_again_in_filters_nor_for_each_placement(spark, frames, genome):
+    seq, spans = genome
+    a = spans["geneA"][0]
+    lys = (a + 8, seq[a + 7 : a + 11], seq[a + 7])  # one of three codons AAA goes, so it stands in several places
+    rows = variants(spark, [lys, (a + 4, "A", "C")])
+    out = A.legitimate_names(rows, *frames, upstream=100)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "Xaa" in line]
+    placed = A.placements(rows.select(*A.ALLELE), frames[1]).filter("length(ref) <> length(alt)")
+    own = [A.F.col(c).alias(f"own_{c}") for c in ("pos", "ref", "alt")]
+    placed = placed.select("chrom", *own, A.F.col("at_pos").alias("pos"), A.F.col("at_ref").alias("ref"), A.F.col("at_alt").alias("alt"))
+    met = A.gene_pairs(placed, frames[0], upstream=100).filter("gene = 'geneA'")
+    coding = A.coding_sequences(*frames)
+    assert met.count() > 1 and A._one_placement(met).count() == 1
+    assert {r.protein for r in A.protein_changes(met, coding).collect()} == {r.protein for r in A.protein_changes(A._one_placement(met), coding).collect()} == {"p.Lys6del"}
