@@ -29,3 +29,15 @@ def test_pairs_are_those_of_the_sql_and_meet_by_equal_places(spark, customers):
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
     # a join with an order in its condition pairs all customers of a nation
     assert not [line for line in plan(found).splitlines() if "Join" in line and re.search(r" (<|<=|>|>=) ", line)]
+
+
+def test_rounds_of_the_forest_compare_numbers(spark, customers, monkeypatch):
+    seen = []
+    plain = cohort_queries.H.materialise
+    monkeypatch.setattr(cohort_queries.H, "materialise", lambda df, name: seen.append((name, dict(df.dtypes))) or plain(df, name))
+    got = registry.QUERIES["spanning_forest"](spark, customers)
+    assert all(set(kinds.values()) == {"bigint"} for name, kinds in seen if name in ("forest", "chosen", "trees")) and len(seen) > 4
+    # as many edges as there are nodes less trees
+    links = cohort_queries._chain(spark, customers)[1].filter("shared_callable_sites >= 3000000 and snps <= 3")
+    members = components.components_of_chains(links, "sample_a", "sample_b")
+    assert got.count() == members.count() - members.select("component").distinct().count()
