@@ -41,3 +41,14 @@ def test_rounds_of_the_forest_compare_numbers(spark, customers, monkeypatch):
     links = cohort_queries._chain(spark, customers)[1].filter("shared_callable_sites >= 3000000 and snps <= 3")
     members = components.components_of_chains(links, "sample_a", "sample_b")
     assert got.count() == members.count() - members.select("component").distinct().count()
+
+
+def test_clusters_at_agree_with_each_threshold_alone(spark, customers, monkeypatch):
+    stars = []
+    monkeypatch.setattr(cohort_queries.H, "connected_components", lambda *a: stars.append(a), raising=False)
+    found = registry.QUERIES["clusters_at"](spark, customers).collect()
+    samples, pairs = cohort_queries._chain(spark, customers)
+    for t in (0, 2):
+        want = cohort_queries.H.cluster_members(samples, pairs, t).collect()
+        assert sorted((r.sample_id, r.cluster_id or "") for r in found if r.threshold == t) == sorted((r.sample_id, r.cluster_id or "") for r in want)
+    assert not stars
