@@ -19,7 +19,7 @@ from isolates.operators import textaudit as T
 from isolates.plans.cohort_queries import _CLUSTER_PAIRS, _CLUSTERS, _CONSENSUS, _VARIANTS, _chain, contributions, variants
 from isolates.plans.fixtures import run_sql, view, with_sql
 from isolates.plans.typing_queries import _GENOTYPES, _VALIDITY, _panel, _support, sample_validity
-from isolates.session import read_table
+from isolates.session import materialise, read_table
 
 QUERIES, SQL = {}, {}
 
@@ -348,6 +348,7 @@ def marker_species(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def distance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples, found = _chain(spark, sf_dir)
+    found = materialise(found, "pairs")
     return P.distance_rows(found, cohort.cluster_members(samples, found, 1), 1, 3_000_000).select("sample_a", "sample_b", "snps", "within", "sufficient", "same_cluster")
 
 
