@@ -31,7 +31,7 @@ def test_pairs_are_those_of_the_sql_and_meet_by_equal_places(spark, customers):
     assert not [line for line in plan(found).splitlines() if "Join" in line and re.search(r" (<|<=|>|>=) ", line)]
 
 
-@pytest.mark.parametrize("name", ["distance_rows", "cohort_checks"])
+@pytest.mark.parametrize("name", ["distance_rows", "cohort_checks", "cluster_summary"])
 def test_pairs_are_written_once(spark, customers, name):
     assert " % 7)" not in plan(registry.QUERIES[name](spark, customers))
 
