@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from isolates.functions import expressions as E
 from isolates.functions.thresholds import VALIDITY_ORDER, VALUE
+from isolates.operators.lineage import by_position
 from isolates.operators.sites import minor_fractions
 
 USES = ("resistance", "transmission")
@@ -47,7 +48,7 @@ def lineage_mixture(sites: DataFrame, barcode: DataFrame) -> tuple[DataFrame, Da
     sites_examined; the second sample_id, taxon, callable_fraction, mean_fraction and minority_evidence: a callable
     share of 0.8 or more and a mean derived fraction from 0.05 to under 0.90.
     """
-    panel = minor_fractions(sites).join(F.broadcast(barcode), ["chrom", "pos"]).withColumn("ok", passes_mixture_filters())
+    panel = minor_fractions(sites).join(by_position(barcode), ["chrom", "pos"]).withColumn("ok", passes_mixture_filters())
     usable = panel.filter("ok")
     f = usable.groupBy("sample_id").agg(F.count("*").alias("sites_examined"))
     for n in (2, 47):

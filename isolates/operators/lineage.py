@@ -12,20 +12,32 @@ from isolates.functions.thresholds import VALUE, min_reads
 #: Family names of animal lineages, and the sign of BCG. Fixed values.
 ANIMAL_ROOTS = ("La1", "La2", "La3")
 BCG_SUFFIX = ".BCG"
+#: Positions up to which a barcode is sent to every task.
+SCHEME_ROWS = 100_000
+
+
+def by_position(barcode: DataFrame) -> DataFrame:
+    """``barcode`` for a join on its positions: broadcast as the scheme that it mostly is, or sorted and merged where it has
+    more rows. Spark's own guess goes by the size of files, which says little of rows in the driver's memory."""
+    return F.broadcast(barcode) if barcode.limit(SCHEME_ROWS + 1).count() <= SCHEME_ROWS else barcode.hint("merge")
 
 
 def genotype_barcode(sites: DataFrame, barcode: DataFrame, platform: str, minor_fraction: float = VALUE["min_minor_fraction"], reads: int | None = None) -> DataFrame:
     """Every barcode position of every sample: depth, allele, callable, supports, minor_support.
 
-    ``barcode``: chrom, pos, taxon, alleles (array). Positions without a site are not callable. The barcode is a
-    scheme of some thousand positions, which Spark broadcasts if it fits; the grid is the output itself.
+    ``barcode``: chrom, pos, taxon, alleles (array). Positions without a site are not callable. The names of the samples
+    are broadcast, the barcode only if Spark finds that it fits; the grid is the output itself.
     """
-    floor = min_reads(platform) if reads is None else reads
     samples = sites.select("sample_id").distinct()
-    grid = samples.join(F.broadcast(barcode), how="cross")
+    grid = F.broadcast(samples).join(barcode, how="cross")
     counts = sites.select("sample_id", "chrom", "pos", "n_a", "n_c", "n_g", "n_t")
-    counts = counts.join(F.broadcast(barcode.select("chrom", "pos").distinct()), ["chrom", "pos"], "left_semi")
-    out = grid.join(counts, ["sample_id", "chrom", "pos"], "left")
+    counts = counts.join(by_position(barcode.select("chrom", "pos").distinct()), ["chrom", "pos"], "left_semi")
+    return _genotyped(grid.join(counts, ["sample_id", "chrom", "pos"], "left"), platform, minor_fraction, reads)
+
+
+def _genotyped(out: DataFrame, platform: str, minor_fraction: float, reads: int | None) -> DataFrame:
+    """Rows of a barcode position with a sample's counts, NULL without a site, and what they say."""
+    floor = min_reads(platform) if reads is None else reads
     depth = F.coalesce(E.acgt_depth(), F.lit(0))
     out = out.withColumn("depth", depth).withColumn("observed", F.when(depth > 0, E.major_allele()))
     target = sum((F.when(F.array_contains("alleles", b), F.coalesce(E.COUNT[b], F.lit(0))).otherwise(0) for b in E.BASES), F.lit(0))
@@ -47,6 +59,28 @@ def taxon_support(genotypes: DataFrame) -> DataFrame:
         F.count_if("minor_support").alias("minor"),
         *[F.max(c).alias(c) for c in known],
     )
+    return _with_shares(out)
+
+
+def barcode_support(sites: DataFrame, barcode: DataFrame, platform: str, minor_fraction: float = VALUE["min_minor_fraction"], reads: int | None = None) -> DataFrame:
+    """What :func:`taxon_support` gives for :func:`genotype_barcode`, without the grid of all samples and positions.
+
+    Only positions that have a site meet the barcode, by equal keys; the others count in a taxon's total, which is the
+    barcode's own. A position is one row of a sample in ``sites``.
+    """
+    known = [c for c in ("family", "spoligotype") if c in barcode.columns]
+    counts = sites.select("sample_id", "chrom", "pos", "n_a", "n_c", "n_g", "n_t")
+    seen = _genotyped(counts.join(by_position(barcode), ["chrom", "pos"]), platform, minor_fraction, reads)
+    numbers = {"callable_sites": "callable", "supporting": "supports", "minor": "minor_support"}
+    seen = seen.groupBy(F.col("sample_id").alias("__sample"), F.col("taxon").alias("__taxon")).agg(*[F.count_if(c).alias(f"__{n}") for n, c in numbers.items()])
+    totals = barcode.groupBy("taxon").agg(F.count("*").alias("total"), *[F.max(c).alias(c) for c in known])
+    grid = sites.select("sample_id").distinct().join(F.broadcast(totals), how="cross")
+    out = grid.join(seen, (F.col("sample_id") == F.col("__sample")) & F.col("taxon").eqNullSafe(F.col("__taxon")), "left")
+    return _with_shares(out.select("sample_id", "taxon", "total", *[F.coalesce(f"__{n}", F.lit(0)).alias(n) for n in numbers], *known))
+
+
+def _with_shares(out: DataFrame) -> DataFrame:
+    """Counts by sample and taxon with their shares, and whether the taxon is supported."""
     out = out.withColumns(
         {
             "callable_fraction": E.ratio("callable_sites", "total"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isolates.functions import expressions as E
 from isolates.operators import checks as Q
 from isolates.operators import cohort
+from isolates.operators import contamination as X
 from isolates.operators import coverage as C
 from isolates.operators import intervals as I
 from isolates.operators import lineage as L
@@ -18,7 +19,7 @@ from isolates.operators import resistance as R
 from isolates.operators import textaudit as T
 from isolates.plans.cohort_queries import _CLUSTER_PAIRS, _CLUSTERS, _CONSENSUS, _VARIANTS, _chain, contributions, variants
 from isolates.plans.fixtures import run_sql, view, with_sql
-from isolates.plans.typing_queries import _GENOTYPES, _VALIDITY, _panel, _support, sample_validity
+from isolates.plans.typing_queries import _GENOTYPES, _VALIDITY, _panel, _support
 from isolates.session import materialise, read_table
 
 QUERIES, SQL = {}, {}
@@ -178,7 +179,8 @@ def variant_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cohort_summary")
 def cohort_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = R.consensus(contributions(spark, sf_dir), "illumina")
-    return P.cohort_summary(L.call_lineages(_support(spark, sf_dir)), sample_validity(spark, sf_dir), calls)
+    sites = materialise(view(spark, sf_dir, "sites"), "sites")
+    return P.cohort_summary(L.call_lineages(_support(spark, sf_dir, sites)), X.sample_validity(_panel(spark, sf_dir, sites)), calls)
 
 
 _TURNS = """

@@ -123,10 +123,10 @@ _SUPPORT = (
 )
 
 
-def _support(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _support(spark: SparkSession, sf_dir: str, sites: DataFrame | None = None) -> DataFrame:
     # the sites of most taxa are all ancestral here; those that are not stay with a few taxa, so that some are refuted
     barcode = view(spark, sf_dir, "barcode").filter("allele = 'A' or taxon like '%.1'").select("chrom", "pos", "taxon", F.array("allele").alias("alleles"))
-    return L.taxon_support(L.genotype_barcode(view(spark, sf_dir, "sites"), barcode, "illumina"))
+    return L.barcode_support(view(spark, sf_dir, "sites") if sites is None else sites, barcode, "illumina")
 
 
 @query(
@@ -368,8 +368,8 @@ def mixture_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _panel(spark, sf_dir).select("sample_id", "mixture")
 
 
-def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites = _sites_with_qual(spark, sf_dir)
+def _panel(spark: SparkSession, sf_dir: str, sites: DataFrame | None = None) -> DataFrame:
+    sites = _sites_with_qual(spark, sf_dir) if sites is None else sites.withColumn("qual", F.col("pos") % 41)
     f, _ = C.lineage_mixture(sites, view(spark, sf_dir, "barcode"))
     unamb = C.unambiguous_fraction(sites)
     breadth = sites.groupBy("sample_id").agg((F.count_if(E.acgt_depth() > 0) / 1000).alias("breadth"))

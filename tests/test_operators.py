@@ -333,3 +333,20 @@ def test_registry():
 
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and len(names) >= 40
+
+
+def test_a_barcode_that_grows_is_not_broadcast(spark, monkeypatch):
+    """Support without the grid is that of the grid, for samples and positions without sites too."""
+    monkeypatch.setattr(L, "SCHEME_ROWS", 3)
+    barcode = spark.createDataFrame([("c", p, f"lineage{p % 3}", ["A"] if p % 4 else ["C", "T"], "f" if p % 2 else "") for p in range(1, 40)] + [("c", 5, "lineage1", ["A"], "")], "chrom string, pos int, taxon string, alleles array<string>, family string")
+    rows = [(s, "c", p, (p * k) % 40, (p + k) % 7, p % 3, k) for k, s in enumerate(("a", "b", "z"), 1) for p in range(k, 45, k)] + [("far", "d", 1, 9, 0, 0, 0)]
+    sites = spark.createDataFrame(rows, COUNTS)
+    for platform in ("illumina", "ont"):
+        want, got = L.taxon_support(L.genotype_barcode(sites, barcode, platform)), L.barcode_support(sites, barcode, platform)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 12
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    mixture, _ = contamination.lineage_mixture(sites.withColumn("qual", F.lit(30)), barcode.withColumn("allele", F.lit("A")))
+    assert "strategy=broadcast" not in plan(mixture)
+    # only the taxa and their totals
+    assert plan(L.barcode_support(sites, barcode, "illumina")).count("strategy=broadcast") == 1
